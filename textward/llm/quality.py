@@ -170,7 +170,7 @@ WITH d AS (
 ), c AS (
   SELECT r, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-         length(text) AS chars, len(regexp_extract_all(text, '[A-Za-z]')) AS asc, len(regexp_extract_all(text, '\p{{L}}')) AS lets,
+         length(text) AS chars, len(regexp_extract_all(text, '[A-Za-z]')) AS n_asc, len(regexp_extract_all(text, '\p{{L}}')) AS lets,
          len(regexp_extract_all(text, '[0-9]')) AS digs,
          {", ".join(f"len(list_filter(words, lambda x: list_contains({_sql_list(COMMON[k])}, lower(x)))) AS c_{k}" for k in _NAMES)}
   FROM d
@@ -184,7 +184,7 @@ WITH d AS (
 ), s AS (
   SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(chars, 1)::DOUBLE AS ch, greatest(n_words, 1)::DOUBLE AS nw FROM c LEFT JOIN v USING (r)
 ), p AS (
-  SELECT *, asc / ch AS k1, (lets - asc) / ch AS k2, digs / ch AS k3, (chars - word_chars) / ch AS k4, n_symbols / ch AS k5,
+  SELECT *, n_asc / ch AS k1, (lets - n_asc) / ch AS k2, digs / ch AS k3, (chars - word_chars) / ch AS k4, n_symbols / ch AS k5,
          (ch - lets - digs - (chars - word_chars) - n_symbols) / ch AS k6,
          {", ".join(f"c_{k} / nw AS q{i}" for i, k in enumerate(_NAMES, 1))}, (nw - {" - ".join(f"c_{k}" for k in _NAMES)}) / nw AS q6,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
