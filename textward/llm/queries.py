@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, quality
+from . import exact_dedup, line_dedup, mixing, near_dup, quality, tokens
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
@@ -24,7 +28,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.strip_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_mixing, op7_quality_rules, op8_line_dedup)}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group(table(spark, sf_dir, "documents")).drop("best")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_quality_rules, op8_line_dedup, op9_simhash_near_dedup, op10_token_counts)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
