@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dup, quality, tokens
+from . import ctw, exact_dedup, line_dedup, mixing, near_dup, quality, tokens
 from .common import table
 
 
+def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_quality_rules, op8_line_dedup, op9_simhash_near_dedup, op10_token_counts)
+_ALL = (op1_ctw_scoring, op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_quality_rules, op8_line_dedup, op9_simhash_near_dedup, op10_token_counts)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
