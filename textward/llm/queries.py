@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, exact_dedup, line_dedup, mixing, near_dup, quality, tokens
+from . import ctw, exact_dedup, html_text, line_dedup, mixing, near_dup, quality, tokens, url_rules
 from .common import table
 
 
@@ -12,10 +12,18 @@ def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -40,9 +48,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_ctw_scoring, op3_exact_dedup, op5_mixing, op6_sentencepiece, op7_quality_rules, op8_line_dedup, op9_simhash_near_dedup, op10_token_counts)
+_ALL = (
+    op1_ctw_scoring,
+    op2_url_filters,
+    op3_exact_dedup,
+    op4_html_extraction,
+    op5_mixing,
+    op6_sentencepiece,
+    op7_quality_rules,
+    op8_line_dedup,
+    op9_simhash_near_dedup,
+    op10_token_counts,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
+    "op2_url_filters": url_rules.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_quality_rules": quality.ORACLE,
