@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 DEPTH = 5
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 5_000_000
 FOLDS, HELD_OUT = 7, 2
 _END = b"\n"
 _TABLE = 1 << 14
@@ -160,16 +160,17 @@ class Top:
 def keys_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) keys of all bytes of normalised texts, and the text each belongs to; ends precede a text."""
     pad = _END * depth
-    data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), dtype=np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    own = np.repeat(np.arange(len(texts)), sizes + depth)
     starts = np.cumsum(sizes + depth) - sizes - depth
-    scored = np.arange(len(data)) - starts[own] >= depth
-    at = np.flatnonzero(scored)
-    keys = data[at]
+    scored = np.ones(len(data), dtype=bool)
+    for k in range(depth):
+        scored[starts + k] = False
+    keys = data[scored].astype(np.uint64)
+    scored = scored[depth:]
     for back in range(1, depth + 1):
-        keys |= data[at - back] << np.uint64(8 * (depth + 1 - back))
-    return keys, own[at]
+        keys |= data[depth - back : len(data) - back][scored].astype(np.uint64) << np.uint64(8 * (depth + 1 - back))
+    return keys, np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)
 
 
 def _normal(raw: bytes | None) -> tuple[bytes, list[bytes]]:
@@ -185,12 +186,23 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 def _grouped(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts under 65536: the distinct keys, where their runs start, and the text of each run's members."""
-    keys, own = keys_of(texts, depth)
-    both = (keys << np.uint64(16)) | own.astype(np.uint64)
+    both, own = keys_of(texts, depth)
+    both <<= np.uint64(16)
+    both |= own
     both.sort()
-    keys = both >> np.uint64(16)
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], starts, (both & np.uint64(0xFFFF)).astype(np.int64)
+    own = both.astype(np.uint16)
+    both >>= np.uint64(16)
+    starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[starts], starts, own
+
+
+def _packed(values: np.ndarray, kind: type = np.int64) -> bytes:
+    """Ascending numbers as their steps: mostly zero bytes, which Spark's shuffle compresses."""
+    return np.diff(values.astype(np.int64), prepend=0).astype(kind).tobytes()
+
+
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=kind), dtype=np.int64)
 
 
 def _shard_of_keys(keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -232,13 +244,13 @@ def _block_sends(depth: int, shards: int):
         found = []
         for k, texts in _parts([t for t, _ in normal]):
             keys, starts, own = _grouped(texts, depth)
-            found.append((keys, np.add.reduceat(train[k + own].astype(np.int64), starts)))
+            found.append((keys, np.add.reduceat(train[k:][own].astype(np.int64), starts)))
         keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
         counts = np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(keys)).astype(np.int64)
-        rows = [(s, block, "gram", keys[p].tobytes(), counts[p].tobytes()) for s, p in _split(keys, _shard_of_keys(keys, depth, shards))]
+        rows = [(s, block, "gram", _packed(keys[p]), counts[p].astype(np.int32).tobytes()) for s, p in _split(keys, _shard_of_keys(keys, depth, shards))]
         hashes, words = _word_keys(every)
         counts = np.array([counted[w] for w in words], dtype=np.int64)
-        rows += [(s, block, "word", hashes[p].tobytes(), counts[p].tobytes()) for s, p in _split(hashes, (hashes >> np.uint64(20)).astype(np.int64) % shards)]
+        rows += [(s, block, "word", _packed(hashes[p].view(np.int64)), counts[p].astype(np.int32).tobytes()) for s, p in _split(hashes, (hashes >> np.uint64(20)).astype(np.int64) % shards)]
         return _rows(rows, _SENT)
 
     return work
@@ -261,17 +273,17 @@ def _shard_merges(depth: int):
     def work(table: pa.Table) -> pa.Table:
         shard, kind = table.column("shard")[0].as_py(), table.column("kind")[0].as_py()
         blocks = table.column("block").to_pylist()
-        keys = [_longs(x).view(np.uint64) for x in table.column("keys")]
+        keys = [_unpacked(x.as_py()).view(np.uint64) for x in table.column("keys")]
         merged, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([_longs(x) for x in table.column("counts")]), minlength=len(merged)).astype(np.int64)
+        counts = np.bincount(at, weights=np.concatenate([np.frombuffer(x.as_py(), dtype=np.int32) for x in table.column("counts")]), minlength=len(merged)).astype(np.int64)
         parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
         if kind == "word":
             value = np.log10(counts + 1.0)
             rows = [(shard, b, "word", value[p].tobytes(), None) for b, p in zip(blocks, parts)]
             rows.append((shard, None, "total", np.array([counts.sum(), (counts > 0).sum()]).tobytes(), None))
         else:
-            rows = [(shard, b, "at", p.astype(np.int32).tobytes(), None) for b, p in zip(blocks, parts)]
-            rows.append((shard, None, "model", merged.tobytes(), counts.tobytes()))
+            rows = [(shard, b, "at", _packed(p, np.int32), None) for b, p in zip(blocks, parts)]
+            rows.append((shard, None, "model", _packed(merged), counts.tobytes()))
             trees = Subtrees(merged, counts, depth)
             for bit in range(8):
                 nodes, *sums = trees.upper(bit)
@@ -299,8 +311,8 @@ def _shard_answers(depth: int, top: Top):
         shard = table.column("shard")[0].as_py()
         rows = list(zip(table.column("block"), table.column("kind").to_pylist(), table.column("a"), table.column("b")))
         model = next((a, b) for _, kind, a, b in rows if kind == "model")
-        value = Subtrees(_longs(model[0]).view(np.uint64), _longs(model[1]), depth).log10(top).astype(np.float32)
-        answers = [(shard, block.as_py(), "gram", value[np.frombuffer(a.as_py(), dtype=np.int32)].tobytes(), None) for block, kind, a, _ in rows if kind == "at"]
+        value = Subtrees(_unpacked(model[0].as_py()).view(np.uint64), _longs(model[1]), depth).log10(top).astype(np.float32)
+        answers = [(shard, block.as_py(), "gram", value[_unpacked(a.as_py(), np.int32)].tobytes(), None) for block, kind, a, _ in rows if kind == "at"]
         return _rows(answers, _KEPT)
 
     return work
@@ -328,8 +340,7 @@ def _block_scores(depth: int, shards: int, n_ends: int):
             value[p] = np.frombuffer(mine["gram", s].as_py(), dtype=np.float32)
         score = np.zeros(len(normal))
         for k, own_keys, starts, own in parts:
-            each = np.repeat(value[np.searchsorted(keys, own_keys)], np.diff(np.append(starts, len(own))))
-            sums = np.bincount(own, weights=each)
+            sums = np.bincount(own, weights=np.repeat(value[np.searchsorted(keys, own_keys)], np.diff(np.append(starts, len(own)))))
             score[k : k + len(sums)] += sums
         rows = []
         for (text, w), doc_id, train, total in zip(normal, docs.column("doc_id").to_pylist(), docs.column("train").to_pylist(), score.tolist()):

@@ -145,7 +145,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     wide = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)])
     rows = judge(wide, carry=[f"in_{i}" for i in range(len(columns))])
-    return rows.where("kept").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)])
+    # a filter on the verdict itself would be pushed down with the whole judgement written out in it, many times over;
+    # it isn't pushed through an explode
+    rows = rows.withColumn("stays", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))))
+    return rows.where("stays").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def _sql_distance(shares: list[str], references: dict[str, tuple[float, ...]]) -> str:
