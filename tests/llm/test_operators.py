@@ -1,0 +1,311 @@
+"""Each operator against a brute-force version, with nulls, blanks, repeats, ties, long texts, clashing columns."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+
+from textward.llm import ctw, exact_dedup, html_text, line_dedup, mixing, near_dup, pieces, quality, tokens, url_rules
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, salt int, in_0 string, rank int"
+PROSE = "the quick brown fox jumps over the lazy dog and runs on to the river where it is cool and quiet for a while"
+TEXTS = [
+    None, "", " \t\n", "one", "one ", "o n e", "The The the", PROSE, PROSE + " ", PROSE.replace("quick", "quiet"), PROSE + "\n" + PROSE,
+    "a b c\nd e f\ng h i\nj k l", "x\na b c\nd e f\ng h i\ny", "***" * 40, "é È 日本 \x0b tab\tz", "word " * 30_000, "ab" * 20_000, "a b", "<s> </s> <unk> ▁x",
+    " ".join(f"w{k}" for k in range(300)),
+]
+
+
+def table(spark, texts=TEXTS, ids=None):
+    rows = [(k if ids is None else ids[k], t, "en", [None, "a", "b", ""][k % 4], 0, 7, "z", 1) for k, t in enumerate(texts)]
+    rows += [rows[7], rows[0], (None, "null id", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)] if ids is None else []
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+def test_exact_dedup(docs, rows):
+    bare = lambda t: re.sub(r"[\x20\x09-\x0d]", "", t)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[bare(t)].append((-len(t), i is None, i or 0, i))
+    found = exact_dedup.mark_copies(docs).collect()
+    assert len(found) == len(rows)
+    want = Counter()
+    for i, t in rows:
+        g = groups[bare(t)]
+        want[i, min(g)[3], len(g)] += 1
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == want
+    assert sum(r["kept"] for r in found) == len(groups)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_exact_dedup_salted(spark):
+    many = spark.range(0, 4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 < 2 THEN repeat('hot ', 1 + int(id % 2)) ELSE concat('t', id) END AS text")
+    found = exact_dedup.mark_copies(many).where("doc_id % 3 < 2").selectExpr("text_sha256", "keep_id", "group_size", "kept").distinct().collect()
+    assert len({(r["keep_id"], r["group_size"]) for r in found}) == 2
+
+
+def test_quality(docs, rows):
+    found = {r["doc_id"]: r for r in quality.judge(docs).where("doc_id IS NOT NULL").collect()}
+    for i, t in rows:
+        if i is None:
+            continue
+        words = re.findall(r"[^\x20\x09-\x0d]+", t)
+        seen = Counter(zip(words, words[1:], words[2:]))
+        covered = {k + j for k, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        r = found[i]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(covered), len(lines) - len(set(lines)))
+        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t))
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and good.count() == sum(r["kept"] for r in quality.judge(docs).collect())
+
+
+def test_line_dedup(docs, rows):
+    found = {r["doc_id"]: r for r in line_dedup.strip_repeats(docs).where("doc_id IS NOT NULL").collect()}
+    seen, want = set(), {}
+    for i, t in sorted(dict((i, t) for i, t in rows if i is not None).items()):
+        lines, gone = t.split("\n"), set()
+        for k in range(len(lines) - 2):
+            w = tuple(lines[k : k + 3])
+            if "".join(w).strip(" "):
+                gone |= {k, k + 1, k + 2} if w in seen else set()
+                seen.add(w)
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    assert {i: (r["text"], r["n_removed"]) for i, r in found.items()} == want
+    assert want[12][1] == 3
+
+
+def test_mixing(docs, rows):
+    found = mixing.mix(docs).collect()
+    assert sorted(r["size"] for r in found) == sorted(len(re.findall(r"[^\x20\x09-\x0d]+", t)) for _, t in rows)
+    assert all(r["taken"] <= 3 * r["size"] for r in found)
+    assert mixing.mix(docs).exceptAll(mixing.mix(docs)).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_targets(spark):
+    sizes = {"a": 1000, "b": 10, "c": 500, None: 3000}
+    want, weights = {}, {"a": 5.0, "b": 2.0, "c": 1.0, None: 5.0}
+    open_, left = dict(sizes), float(sum(sizes.values()))
+    while True:
+        total = sum(weights[k] for k in open_)
+        over = [k for k in open_ if left * weights[k] / total > 3 * sizes[k]]
+        if not over:
+            want |= {k: left * weights[k] / total for k in open_}
+            break
+        for k in over:
+            want[k] = 3.0 * sizes[k]
+            left -= want[k]
+            del open_[k]
+    df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    assert all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_mixing_near_target(spark):
+    many = spark.range(0, 3000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('w ', 20 + int(id % 60)) AS text").selectExpr("*", "source AS s")
+    found = mixing.mix(many, carry=["s"]).groupBy("s", "target").agg({"taken": "sum"}).collect()
+    assert len(found) == 3 and all(abs(r["sum(taken)"] - r["target"]) <= 80 for r in found)
+
+
+def fingerprint(t):
+    words = t.encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps):
+    root = list(range(len(fps)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= 4:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(fps))]
+
+
+def test_near_dup(docs, rows):
+    found = near_dup.group(docs).collect()
+    fps = [fingerprint(t) for _, t in rows]
+    roots = brute_components(fps)
+    least = defaultdict(lambda: math.inf)
+    for (i, _), k in zip(rows, roots):
+        least[k] = min(least[k], math.inf if i is None else i)
+    want = Counter((i, f"{f:016x}", None if least[k] == math.inf else least[k]) for (i, _), f, k in zip(rows, fps, roots))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found) == want
+    assert sum(r["best"] for r in found) == len(set(roots))
+    one = near_dup.one_of_each(docs)
+    assert one.columns == docs.columns and one.count() == len(set(roots))
+
+
+def test_near_dup_links(spark):
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(0, 2**63))
+    fps = {base}
+    while len(fps) < 300:  # a dense ball with chains out of it, and some strangers
+        f = rng.choice(list(fps))
+        for b in rng.integers(0, 64, int(rng.integers(1, 5))):
+            f = int(f) ^ (1 << int(b))
+        fps.add(int(f) & (2**64 - 1))
+    fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    fps = sorted(fps)
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    root = {r["node"]: r["root"] for r in near_dup.components(near_dup.links(nodes)).collect()}
+    want = brute_components(fps)
+    got = [root.get(f, f) for f in signed]
+    assert len({(a, b) for a, b in zip(want, got)}) == len(set(want)) == len(set(got))
+    assert near_dup.links(nodes).count() < 15 * len(fps) * 12
+
+
+def test_pieces(docs, rows):
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
+    count = Counter((r["doc_id"], r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in tokens.count(docs).collect())
+    ids = [lib.encode(t) for _, t in rows]
+    assert count == Counter((i, len(x), len(t.encode()), len(x) > 4096) for (i, t), x in zip(rows, ids))
+    encoded = tokens.encode(docs, carry=["salt"])
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == Counter((i, tuple(x)) for (i, _), x in zip(rows, ids))
+    assert encoded.where("NOT round_trip").count() == 0
+    assert Counter(r["text"] for r in tokens.decode(encoded).collect()) == Counter(lib.decode(x) for x in ids)
+
+
+def test_piece_stream():
+    machine = pieces.transducer(tokens.model_path())
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
+    for t in ("implementation  of it", "--------=====", "x" * 500, "日本語𠮷 \x00 é", "a     b", "thththeredonble"):
+        whole = pieces.SPACE + t.replace(" ", pieces.SPACE)
+        for size in (1, 3, 1000):
+            assert list(machine.stream(whole[k : k + size] for k in range(0, len(whole), size))) == lib.encode(t)
+
+
+def test_ctw_base(docs, rows):
+    found = ctw.score(docs, block_bytes=20_000).collect()
+    assert len(found) == len(rows)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    words = lambda t: [*t.encode().lower().split(), None]
+    counts = Counter(w for i, t in rows if not held(i) for w in words(t))
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((-1 if i is None else i, held(i), len(words(t)), sum(counts[w] > 0 for w in words(t)), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), 4)) for i, t in rows)
+    assert want == sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in found)
+    assert {r["train_tokens"] for r in found} == {n} and all(r["score"] < 0 for r in found)
+
+
+def test_ctw_against_recursion(spark):
+    """The mixture of all depths, by definition, on a few short texts."""
+    texts = ["the cat sat on the mat", "the cat ate", "a dog sat on a log", "on the mat", "dogs and cats", "that cat"]
+    got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_bytes=40).collect()}
+    depth = ctw.DEPTH
+    spelled = [b"\n" * depth + t.encode() + b"\n" for t in texts]
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    steps = lambda q: ((q[:k], (1 << j) | (q[k] >> (8 - j)), q[k] >> (7 - j) & 1) for k in range(depth, len(q)) for j in range(8))
+    for i, q in enumerate(spelled):
+        if not got[i]["held_out"]:
+            for before, node, bit in steps(q):
+                for d in range(depth + 1):
+                    counts[before[len(before) - d :], node][bit] += 1
+                    if d:
+                        children[before[len(before) - d + 1 :] if d > 1 else b"", node].add(before[len(before) - d :])
+    own = lambda c: math.lgamma(c[0] + 0.5) + math.lgamma(c[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(c) + 1)
+
+    def weighted(context, node):
+        e = own(counts[context, node])
+        if len(context) == depth:
+            return e
+        return math.log(0.5) + float(np.logaddexp(e, sum(weighted(c, node) for c in children[context, node])))
+
+    for i, q in enumerate(spelled):
+        total = 0.0
+        for before, node, bit in steps(q):
+            mixed, rest, one = 0.0, 1.0, 0.5
+            for d in range(depth + 1):
+                context = before[len(before) - d :]
+                if (context, node) not in counts:
+                    break
+                z, o = counts[context, node]
+                p = (o + 0.5) / (z + o + 1)
+                one = mixed + rest * p
+                w = math.exp(math.log(0.5) + own((z, o)) - weighted(context, node)) if d < depth else 1.0
+                mixed, rest = mixed + rest * w * p, rest * (1 - w)
+            total += math.log10(one if bit else 1 - one)
+        assert math.isclose(total, got[i]["score"], rel_tol=1e-4)
+
+
+def test_ctw_learns(spark):
+    """Held-out prose of a corpus scores better than under unigrams."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{a}" for a in "bdfgkl" for b in "aeiou"]  # each is followed by one of two others
+
+    def prose():
+        at, out = 0, []
+        for step in rng.integers(0, 2, 200):
+            at = (7 * at + 3 + int(step)) % len(words)
+            out.append(words[at])
+        return " ".join(out)
+
+    rows = [(k, prose()) for k in range(100)]
+    out = ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"]
+
+
+PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/x'>menu</a></nav><div class='ad'>buy</div><article><h1>Head</h1><p>one &amp;  two<p><b>three</b> four<br>five</article><div class='comments'><p>reader</p></div><footer>&copy; x</footer></body></html>"
+
+
+def test_html(spark):
+    urls = ["http://a.example/1", "http://a.example/2", None, "nothing"]
+    pages = [(k, u, h, 1) for k, (u, h) in enumerate(zip(urls * 2, [PAGE, PAGE.replace("five", "six"), None, "", "<p>bare", "plain <b>text</b>", PAGE[:200], "<article>" * 3 + "deep"]))]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string, salt int")).collect()}
+    assert got[0]["text"] == "Head\none & two\nthree four\nfive" and got[0]["n_chars"] == len(got[0]["text"])
+    assert [got[k]["text"] for k in (2, 3, 4, 5, 7)] == ["", "", "bare", "plain text", "deep"]
+    assert got[1]["text"].endswith("six") and got[6]["text"].startswith("Head")
+
+
+def test_html_template_without_roles(spark):
+    """No article element: the main slot is the element with most text, and blocks of the template are left out."""
+    page = "<html><body><div id=a><a href=x>one</a><a href=y>two</a></div><div id=b><p>Same on all pages</p><p>own text number {} is long enough to win</p></div></body></html>"
+    rows = [(k, f"http://h.example/{k}", page.format(k)) for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own text number {k} is long enough to win" for k in range(10)}
+
+
+def test_url_rules(spark):
+    urls = [
+        "http://x.example.com/en/1", "https://example.com/en/71?q#f", "https://EXAMPLE.com/en/8", "http://badexample.com/en/7", "http://a.net/de/8", "http://b.example.net/de/8x", "http://a.org/es/",
+        "http://casino-win.example.org/a", "http://a.org/x?u=com/en/", "no scheme", None, "://", "http://com/en/", "http://x.com/EN/1", "http://x.com/en",
+    ]
+    got = {r["page_id"]: r for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[k]["rule"] for k in range(15)] == ["com/en/", "example.com/en/7", "com/en/", "com/en/", "net/de/", "example.net/de/8", "org/es/", None, None, None, None, None, "com/en/", None, None]
+    assert [got[k]["verdict"] for k in range(9)] == ["block", "allow", "block", "block", "allow", "block", "block", "block", "allow"]
+    index = url_rules.Index(list(url_rules.SITES + url_rules.JUNK), {"com": 9, "en": 5, "example": 1})
+    assert index.by_token["example"] and all(len(index.candidates(u or "")) <= len(index.rules) for u in urls)
+
+
+def test_empty_tables(spark):
+    none = table(spark, [], ids=[])
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for out in (
+        exact_dedup.mark_copies(none), exact_dedup.drop_copies(none), quality.keep_good(none), line_dedup.strip_repeats(none), mixing.mix(none), near_dup.group(none), tokens.count(none), tokens.encode(none),
+        ctw.score(none), html_text.main_text(pages), url_rules.judge(pages),
+    ):
+        assert out.count() == 0

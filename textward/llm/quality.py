@@ -62,6 +62,7 @@ def judge(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance, kept and the columns in carry. Null and blank texts have no words and fail. Distances are null for
     texts under MIN_CHARS characters or MIN_WORDS words, which the method leaves alone. Repeated rows are judged alike.
+    To filter on the verdict use keep_good: a plain where() would be pushed into the scan with all of this written out.
     """
     names = [f"carried_{i}" for i in range(len(carry))]
     rows = docs.select(
