@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ LATIN = {
     "thstem": EDGE + "thth[a-z]*",
     "ending": "(?:tiontion|bleble)" + TAIL,
     "ounou": "ouou|heheha?",
-    "mail": r"[a-z0-9._-]+@[a-z0-9-]+\.[a-z]+",
+    "mail": r"[a-z0-9._-]@[a-z0-9-]+\.[a-z]",
     "symbols": r"(?:&&&|\*\*\*|###|%%%|\$\$\$)",
 }
 # Spam categories (Russian).
@@ -42,9 +44,33 @@ TOXIC = {
 }
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern at its outermost level."""
+    parts, depth, escaped = [""], 0, False
+    for ch in pattern:
+        if ch == "|" and depth == 0:
+            parts.append("")
+            continue
+        if not escaped:
+            depth += (ch in "([") - (ch in ")]")
+        escaped = ch == "\\" and not escaped
+        parts[-1] += ch
+    return parts
+
+
+def is_cyrillic(pattern: str) -> bool:
+    """Whether every alternative needs a Cyrillic letter, so that texts without one can be passed over."""
+    return all(re.search("[а-яё]", part) for part in alternatives(pattern))
+
+
+def _search(text: Column, pattern: str, cyrillic: bool) -> Column:
+    found = clean(text).rlike("(?iu)" + pattern)
+    return clean(text).rlike("[а-яА-ЯёЁ]") & found if cyrillic else found
+
+
 def hits(text: Column, pattern: str) -> Column:
     """Case-blind match; blank text never hits."""
-    return clean(text).rlike("(?iu)" + pattern)
+    return _search(text, pattern, is_cyrillic(pattern))
 
 
 def categories(text: Column, patterns: dict[str, str]) -> Column:
@@ -55,7 +81,7 @@ def categories(text: Column, patterns: dict[str, str]) -> Column:
 
 def any_hit(text: Column, patterns: dict[str, str]) -> Column:
     """Whether some category hits: one pattern, so a text is searched once."""
-    return hits(text, "|".join(f"(?:{p})" for p in patterns.values()))
+    return _search(text, "|".join(f"(?:{p})" for p in patterns.values()), all(map(is_cyrillic, patterns.values())))
 
 
 def mask(text: Column, patterns: dict[str, str]) -> Column:

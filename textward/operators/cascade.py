@@ -20,26 +20,32 @@ def symbol_score(text_col: Column) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(text_col, F.lit(r"[^\p{L}\p{Z}\x09-\x0d]")).cast("double"), F.length(text_col).cast("double")), F.lit(0.0))
 
 
-def toxicity(t: Column, patterns: dict[str, str] = rules.LATIN, scorer: Callable[[Column], Column] = symbol_score, threshold: float = 0.5) -> list[Column]:
+def _evidence(t: Column, toxic: dict[str, str], junk: dict[str, str], scorer: Callable[[Column], Column]) -> dict[str, list[Column]]:
+    """What each side's verdict rests on, computed once per row; the scorers run only on what the rules miss."""
+    blank = text.strip(text.clean(t)) == ""
+    tox_hit, junk_hit = rules.any_hit(t, toxic), rules.any_hit(t, junk)
+    caps = features.matches_caps_shout(t) | features.matches_caps_word(t)
+    tox_score = F.when(tox_hit, 1.0).when(blank, 0.0).otherwise(scorer(text.normalise(t)))
+    return {
+        "tox": [tox_hit.alias("_tox_hit"), tox_score.alias("_tox_score")],
+        "spam": [junk_hit.alias("_spam_hit"), F.when(junk_hit | caps, 1.0).when(blank, 0.0).otherwise(scorer(text.process_spam(t))).alias("_spam_score")],
+    }
+
+
+def toxicity(t: Column, patterns: dict[str, str], threshold: float = 0.5) -> list[Column]:
     """Rules first; the scorer decides on what they miss. Empty text is a stub, blank text scores 0 in stage two."""
-    empty = text.clean(t) == ""
-    found = rules.categories(t, patterns)
-    hit = rules.any_hit(t, patterns)
-    score = F.when(hit, 1.0).otherwise(F.when(text.strip(text.clean(t)) == "", 0.0).otherwise(scorer(text.normalise(t))))
+    empty, hit, score = text.clean(t) == "", F.col("_tox_hit"), F.col("_tox_score")
     return [
         F.when(empty, False).otherwise(score >= threshold).alias("is_toxic"),
         F.when(empty, 0.0).otherwise(score).alias("toxicity_score"),
-        F.when(hit, rules.names(found)).otherwise("").alias("toxicity_types"),
+        F.when(hit, rules.names(rules.categories(t, patterns))).otherwise("").alias("toxicity_types"),
         F.when(empty, None).when(hit, "regex").otherwise("tfidf").alias("tox_model_used"),
     ]
 
 
-def spam(t: Column, patterns: dict[str, str] = rules.SPAM, scorer: Callable[[Column], Column] = symbol_score, threshold: float = 0.5) -> list[Column]:
+def spam(t: Column, threshold: float = 0.5) -> list[Column]:
     """Rules, then in stage two capitals rules with score 1 before the scorer."""
-    empty = text.clean(t) == ""
-    hit = rules.any_hit(t, patterns)
-    caps = features.matches_caps_shout(t) | features.matches_caps_word(t)
-    score = F.when(hit | caps, 1.0).otherwise(F.when(text.strip(text.clean(t)) == "", 0.0).otherwise(scorer(text.process_spam(t))))
+    empty, hit, score = text.clean(t) == "", F.col("_spam_hit"), F.col("_spam_score")
     return [
         F.when(empty, False).otherwise(score >= threshold).alias("is_spam"),
         F.when(empty, 0.0).otherwise(score).alias("spam_score"),
@@ -47,16 +53,17 @@ def spam(t: Column, patterns: dict[str, str] = rules.SPAM, scorer: Callable[[Col
     ]
 
 
-
-def classify(df: DataFrame, mode: str = "both", column: str = "text", **options) -> DataFrame:
+def classify(df: DataFrame, mode: str = "both", column: str = "text", toxic: dict[str, str] = rules.LATIN, junk: dict[str, str] = rules.SPAM, scorer: Callable[[Column], Column] = symbol_score) -> DataFrame:
     """df with both verdicts; a side that the mode switches off is a stub and is never planned."""
     if mode not in ("both", "tox_only", "spam_only"):
         raise ValueError(f"mode {mode}")
     t = F.col(column)
     tox_stub = [F.lit(False).alias("is_toxic"), F.lit(0.0).alias("toxicity_score"), F.lit("").alias("toxicity_types"), F.lit(None).cast("string").alias("tox_model_used")]
     spam_stub = [F.lit(False).alias("is_spam"), F.lit(0.0).alias("spam_score"), F.lit(None).cast("string").alias("spam_model_used")]
-    tox = tox_stub if mode == "spam_only" else toxicity(t, options.get("toxic", rules.LATIN))
-    return df.select("*", *tox, *(spam_stub if mode == "tox_only" else spam(t, options.get("spam", rules.SPAM))))
+    evidence = _evidence(t, toxic, junk, scorer)
+    used = [c for side, columns in evidence.items() if mode in ("both", f"{side}_only") for c in columns]
+    tox = tox_stub if mode == "spam_only" else toxicity(t, toxic)
+    return df.select("*", *used).select(*[F.col(f"`{c}`") for c in df.columns], *tox, *(spam_stub if mode == "tox_only" else spam(t)))
 
 
 def fallback(attempts: DataFrame, preferred: str | None = None, chain: list[str] = CHAIN) -> DataFrame:
