@@ -243,7 +243,7 @@ def j07_cascade_delete(spark, d):
     """WITH u AS (SELECT user_id AS task_id, arg_max(CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END, event_id) AS s, max(event_id) AS at
     FROM events WHERE user_id % 2 = 0 GROUP BY user_id),
     t AS (SELECT DISTINCT user_id AS task_id FROM events)
-    SELECT t.task_id, coalesce(u.s, 'queued') AS status, CASE WHEN u.s IN ('completed', 'failed') THEN u.at END AS completed_at, CASE WHEN u.s = 'failed' THEN 'stopped' END AS error
+    SELECT t.task_id, coalesce(u.s, 'queued') AS status, CASE WHEN u.s IN ('completed', 'failed') THEN u.at ELSE -1 END AS completed_at, CASE WHEN u.s = 'failed' THEN 'stopped' END AS error
     FROM t LEFT JOIN u USING (task_id)"""
 )
 def j08_transitions(spark, d):
@@ -251,7 +251,7 @@ def j08_transitions(spark, d):
     tasks = e.select(F.col("user_id").alias("task_id")).distinct().select("task_id", F.lit("queued").alias("status"), F.lit(0).alias("created_at"), F.lit(None).cast("long").alias("completed_at"))
     status = F.when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
     updates = e.where("user_id % 2 = 0").select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("event_id").alias("at"), F.lit("stopped").alias("error"))
-    return relational.transition(tasks, updates).drop("created_at")
+    return relational.transition(tasks, updates).drop("created_at").withColumn("completed_at", F.coalesce("completed_at", F.lit(-1)))
 
 
 @query(f"SELECT 'missing' AS status, count(*) AS n FROM (SELECT DISTINCT conv_id AS task_id FROM conversations) c ANTI JOIN ({_TASKS}) t USING (task_id) UNION ALL SELECT status, count(*) AS n FROM ({_TASKS}) WHERE status <> 'completed' GROUP BY status")

@@ -230,12 +230,12 @@ def p03_label_01(spark, d):
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN try_cast(trim(v) AS DOUBLE) IS NOT NULL THEN trunc(try_cast(trim(v) AS DOUBLE)) <> 0
-    WHEN lower(trim(v)) IN ('spam','junk','toxic','1','true','yes','y') THEN true WHEN lower(trim(v)) IN ('ham','not_spam','0','false','no','n') THEN false END AS label
+    f"""SELECT doc_id, coalesce((CASE WHEN try_cast(trim(v) AS DOUBLE) IS NOT NULL THEN trunc(try_cast(trim(v) AS DOUBLE)) <> 0
+    WHEN lower(trim(v)) IN ('spam','junk','toxic','1','true','yes','y') THEN true WHEN lower(trim(v)) IN ('ham','not_spam','0','false','no','n') THEN false END)::VARCHAR, 'unknown') AS label
     FROM (SELECT doc_id, {_LABELS} AS v FROM labels)"""
 )
 def p04_label_bool(spark, d):
-    return _label_text(spark, d).select("doc_id", corpus.label_bool(F.col("v")).alias("label"))
+    return _label_text(spark, d).select("doc_id", F.coalesce(corpus.label_bool(F.col("v")).cast("string"), F.lit("unknown")).alias("label"))
 
 
 @query(
