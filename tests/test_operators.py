@@ -1,14 +1,16 @@
 """Library operators: oracles on the smallest tables, planted rows, streams."""
 
 import json
+import math
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textward.functions import features, rules, text
-from textward.operators import augment, cascade, corpus, models, prefix, windows
+from textward.operators import augment, cascade, corpus, metrics, models, prefix, windows
 from textward.plans import registry
+from textward.sources import tables
 from textward.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
@@ -140,3 +142,48 @@ def test_update_stream(spark, tmp_path):
     q = jobs.updates(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("updates").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["update_id"] for r in spark.table("updates").collect()) == [1, 3]
+
+
+def test_p_values():
+    # by the closed form of Student's t with one and two degrees of freedom
+    for r in (0.05, 0.5, 0.9, -0.99):
+        assert metrics.correlation_p(r, 3) == pytest.approx(1 - 2 / math.pi * math.asin(abs(r)), abs=1e-6)
+        assert metrics.correlation_p(r, 4) == pytest.approx(1 - abs(r), abs=1e-9)
+    assert metrics.correlation_p(0.0, 10) == 1.0 and metrics.correlation_p(1.0, 10) == 0.0 and metrics.correlation_p(None, 10) is None and metrics.correlation_p(0.5, 2) is None
+
+
+def test_sources(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.read_corpus(spark, train=DATA)
+    pair = tables.read_corpus(spark, train=f"{DATA}/labels.parquet", val=f"{DATA}/labels.parquet")
+    assert pair[2] is False and pair[1].count() == pair[0].count()
+    runs = spark.createDataFrame([('{"run_tag": "a", "conditions": {"mode": "closed", "other": 1}, "metrics": {"e2e_p50": 2.5}, "note": "x, \\"y\\""}',), ("broken",)], "value string")
+    for _ in range(2):
+        tables.append_rows(tables.run_rows(runs), f"{tmp_path}/runs")
+    back = tables.read_report(spark, f"{tmp_path}/runs", ", ".join(f"{n} {t}" for n, t in tables.run_rows(runs).dtypes))
+    assert back.columns == tables.ROW
+    assert sorted(map(str, back.select("run_tag", "mode", "e2e_p50", "prefetch", "note").collect())) == sorted([str(r) for r in tables.run_rows(runs).select("run_tag", "mode", "e2e_p50", "prefetch", "note").collect()] * 2)
+
+
+@pytest.mark.parametrize("name", ["s01_read_corpus", "s05_write_splits", "s06_write_report", "s07_run_rows", "s12_verdict_table", "g_a9_round_trip"])
+def test_source_oracles(spark, duck, name):
+    test_oracle(spark, duck, name)
+
+
+def test_round_trip_failures(spark):
+    rows = spark.createDataFrame([(1, "da"), (2, " "), (3, None), (4, "x" * 501), (5, "boom")], "doc_id long, text string")
+
+    def there(texts):
+        if "boom" in texts:
+            raise RuntimeError
+        return [t + "1" for t in texts]
+
+    got = {r[0]: tuple(r[1:]) for r in augment.round_trip(rows, there, lambda texts: [t + "2" for t in texts], size=1).collect()}
+    assert got == {1: ("da12", "back_translation"), 2: (" ", "original"), 3: ("", "original"), 4: ("x" * 501, "original"), 5: ("boom", "original")}
+
+
+def test_dual_vocabularies(spark):
+    rows = [(k, "ПОДАРОК всем" if k % 2 else "подарок всем", k % 2) for k in range(20)] + [(99, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r[0]: (r[1], r[2]) for r in models.score_dual(models.fit_dual(frame), frame).collect()}
+    assert got[99] == (0.0, False) and all(got[k][1] is bool(k % 2) for k in range(20))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .corpus import hash_order
 
 # Keyboard rows (neighbours are the keys beside), look-alike characters.
@@ -63,6 +64,35 @@ def noise(df: DataFrame, kind: str, intensity: float = 0.05, seed: str = "noise-
     return rows.mapInPandas(work, f"{key} {dict(df.dtypes)[key]}, text string, kind string")
 
 
+def _stage(df: DataFrame, translate: Callable[[list[str]], list[str]], size: int) -> DataFrame:
+    """df with made translated in lists of `size`; a list that fails, or texts that are null, give null."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made: list[str | None] = [None] * len(pdf)
+            given = [k for k, t in enumerate(pdf["made"]) if isinstance(t, str)]
+            for a in range(0, len(given), size):
+                part = given[a : a + size]
+                try:
+                    answers = list(translate([pdf["made"].iloc[k] for k in part]))
+                except Exception:  # a failing plug-in leaves the originals
+                    continue
+                for k, t in zip(part, answers):
+                    made[k] = t
+            yield pdf.assign(made=pd.Series(made, index=pdf.index, dtype=object))
+
+    return df.mapInPandas(work, df.schema)
+
+
+def round_trip(df: DataFrame, there: Callable[[list[str]], list[str]], back: Callable[[list[str]], list[str]], most: int = 500, size: int = 16, key: str = "doc_id") -> DataFrame:
+    """key, text, kind: texts through two plug-ins; blank or longer than `most`, failed, empty or unchanged ones stay original."""
+    own = F.coalesce("text", F.lit(""))
+    asked = df.select(key, own.alias("text"), F.when((strip(own) != "") & (F.length(own) <= most), own).alias("made"))
+    done = _stage(_stage(asked, there, size), back, size)
+    new = (F.coalesce("made", F.lit("")) != "") & (F.col("made") != F.col("text"))
+    return done.select(key, F.when(new, F.col("made")).otherwise(F.col("text")).alias("text"), F.when(new, "back_translation").otherwise("original").alias("kind"))
+
+
 def dataset(df: DataFrame, p: float = 0.5, more: float = 1.5, intensity: float = 0.05, seed: str = "noise-1", key: str = "doc_id") -> DataFrame:
     """Originals and noisy copies (key, text, label, kind); positives are drawn more often, unchanged copies dropped."""
     share = F.least(F.lit(1.0), F.when(F.col("label") == 1, p * more).otherwise(p))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,32 @@ def roc_auc(points: DataFrame) -> DataFrame:
     return points.agg(won.alias("won"), F.max("all_pos").alias("p"), F.sum("neg").alias("n")).select(ratio(F.col("won"), F.col("p") * F.col("n")).alias("auc"))
 
 
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p-value of a Pearson r over n rows: the t distribution's tail by its incomplete beta continued fraction.
+
+    For the few aggregated rows of a feature table; None where r is undefined or n < 3.
+    """
+    if r is None or r != r or n < 3:
+        return None
+    a, b, x = (n - 2) / 2.0, 0.5, 1.0 - min(1.0, r * r)
+    if x <= 0.0 or x >= 1.0:
+        return 0.0 if x <= 0.0 else 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * _beta_fraction(a, b, x) / a)
+    return max(0.0, 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The fraction 1/(1+ d1/(1+ d2/(1+ ...))), evaluated from its tail; 400 terms are ample on the side it is used."""
+    tail = 1.0
+    for k in range(400, 0, -1):
+        m = k // 2
+        d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        tail = 1.0 + d / tail
+    return 1.0 / tail
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """label, n, weight: n_all / (classes x n)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +24,63 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.withColumn("grams", tx.char_ngrams(tx.normalise(F.col("text")), 3, 4))
 
 
-def _stages(size: int) -> list:
-    return [
-        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=size, minDF=2.0),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features"),
-    ]
+def _vectors(rows: DataFrame, size: int, grams: str = "grams", mark: str = "") -> tuple[list, DataFrame]:
+    """The fitted stages up to one normalised TF-IDF column, and rows with it in place of the n-grams.
+
+    N-grams are made once to count the vocabulary and once to vectorise; later passes read the small kept vectors.
+    """
+    terms = CountVectorizer(inputCol=grams, outputCol=f"tf{mark}", vocabSize=size, minDF=2.0).fit(rows)
+    counted = terms.transform(rows).drop(grams).persist(StorageLevel.MEMORY_AND_DISK)
+    weights = IDF(inputCol=f"tf{mark}", outputCol=f"tfidf{mark}").fit(counted)
+    unit = Normalizer(inputCol=f"tfidf{mark}", outputCol=f"features{mark}")
+    return [terms, weights, unit], unit.transform(weights.transform(counted))
+
+
+def _balanced(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with their class weights, and how many they are: one count per class, so the weights fit in an expression."""
+    found = class_weights(rows).select("label", "n", "weight").collect()  # a row per class
+    weight = F.lit(0.0)
+    for r in found:
+        weight = F.when(F.col("label") == r["label"], float(r["weight"])).otherwise(weight)
+    return rows.withColumn("weight", weight), sum(r["n"] for r in found)
+
+
+def _logistic(rows: DataFrame, c: float) -> LogisticRegressionModel:
+    weighted, n = _balanced(rows)
+    return LogisticRegression(labelCol="label", weightCol="weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50).fit(weighted)
 
 
 def fit(df: DataFrame, c: float = 1.0, size: int = 2000) -> PipelineModel:
     """Logistic regression with balanced class weights on (text, label); regParam 1 / (C n)."""
-    rows = prepared(df.where("label IS NOT NULL"))
-    n = rows.count()
-    weights = class_weights(rows).select("label", "weight")  # a row per class
-    rows = rows.join(F.broadcast(weights), "label")
-    model = LogisticRegression(labelCol="label", weightCol="weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50)
-    return Pipeline(stages=[*_stages(size), model]).fit(rows)
+    stages, rows = _vectors(prepared(df.where("label IS NOT NULL")), size)
+    return PipelineModel(stages=[*stages, _logistic(rows, c)])
 
 
 def fit_bayes(df: DataFrame, alpha: float = 1.0, size: int = 2000) -> PipelineModel:
     """Complement naive Bayes on the same vectors."""
-    rows = prepared(df.where("label IS NOT NULL"))
-    return Pipeline(stages=[*_stages(size), NaiveBayes(labelCol="label", modelType="complement", smoothing=alpha)]).fit(rows)
+    stages, rows = _vectors(prepared(df.where("label IS NOT NULL")), size)
+    return PipelineModel(stages=[*stages, NaiveBayes(labelCol="label", modelType="complement", smoothing=alpha).fit(rows)])
+
+
+def prepared_dual(df: DataFrame) -> DataFrame:
+    """Two vocabularies' n-grams: of the capitals words, case kept, and of the rest; without stop words."""
+    caps, rest = tx.split_caps(tx.process_spam(F.col("text")))
+    return df.withColumns({"grams_caps": tx.char_ngrams(caps, 3, 4), "grams": tx.char_ngrams(rest, 3, 4)})
+
+
+def fit_dual(df: DataFrame, c: float = 1.0, size: int = 2000) -> PipelineModel:
+    """Logistic regression on [TF-IDF of capitals words | TF-IDF of the rest], each with a vocabulary of its own."""
+    caps, rows = _vectors(prepared_dual(df.where("label IS NOT NULL")), size, "grams_caps", "_caps")
+    rest, rows = _vectors(rows, size, mark="_rest")
+    both = VectorAssembler(inputCols=["features_caps", "features_rest"], outputCol="features")
+    return PipelineModel(stages=[*caps, *rest, both, _logistic(both.transform(rows), c)])
+
+
+def score_dual(model: PipelineModel, df: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """As score, for fit_dual; texts without words score 0."""
+    out = model.transform(prepared_dual(df)).withColumn("p", vector_to_array("probability")[1])
+    s = F.when((F.size("grams") == 0) & (F.size("grams_caps") == 0), 0.0).otherwise(F.col("p"))
+    return out.select(key, F.round(s, 6).alias("score"), (s >= threshold).alias("decided"))
 
 
 def score(model: PipelineModel, df: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -90,10 +126,11 @@ def search(df: DataFrame, penalties: list[float], folds: int = 3, size: int = 20
     """c, ap: mean average precision over folds; the vocabulary is fitted on the training folds only."""
     rows = split(df.where("label IS NOT NULL"), "label", "doc_id", {"all": 1.0}).withColumn("fold", F.col("rank") % folds)
     found = []
-    for c in penalties:
-        for fold in range(folds):
-            held = rows.where(F.col("fold") == fold)
-            scored = score(fit(rows.where(F.col("fold") != fold), c, size), held).join(held.select("doc_id", "label"), "doc_id")
+    for fold in range(folds):
+        stages, train = _vectors(prepared(rows.where(F.col("fold") != fold)), size)
+        held = rows.where(F.col("fold") == fold)
+        for c in penalties:
+            scored = score(PipelineModel(stages=[*stages, _logistic(train, c)]), held).join(held.select("doc_id", "label"), "doc_id")
             found.append((float(c), float(average_precision(curve(scored)).first()[0] or 0.0)))
     table = df.sparkSession.createDataFrame(found, "c double, ap double")  # penalties x folds rows
     return table.groupBy("c").agg(F.round(F.avg("ap"), 6).alias("ap"))

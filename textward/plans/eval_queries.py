@@ -132,6 +132,15 @@ def a12_feature_target(spark, d):
     return stacked.groupBy("feature").agg(F.round(F.corr("v", "label"), 4).alias("r"), mean(1).alias("mean_1"), mean(0).alias("mean_0"))
 
 
+@query()
+def a12_p_values(spark, d):
+    """The correlations with their p-values; a row per feature passes through the driver."""
+    rows = labelled(spark, d).select("label", *ft.features(F.col("text"), _USED))
+    found = rows.agg(F.count("label").alias("n"), *[F.corr(k, "label").alias(k) for k in _USED]).first()
+    table = [(k, found[k], metrics.correlation_p(found[k], found["n"])) for k in _USED]
+    return spark.createDataFrame(table, "feature string, r double, p_value double")
+
+
 @query(
     f"""WITH t AS (SELECT DISTINCT doc_id, label, unnest({base.sql_tokens("lower(coalesce(text, ''))")}) AS term FROM ({LABELLED})),
     n AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM ({LABELLED}))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, data_queries, eval_queries, job_queries, text_queries  # noqa: F401  (they register their queries)
+from . import base, data_queries, eval_queries, job_queries, source_queries, text_queries  # noqa: F401  (they register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
