@@ -128,10 +128,13 @@ def search(df: DataFrame, penalties: list[float], folds: int = 3, size: int = 20
     found = []
     for fold in range(folds):
         stages, train = _vectors(prepared(rows.where(F.col("fold") != fold)), size)
-        held = rows.where(F.col("fold") == fold)
+        held = PipelineModel(stages=stages).transform(prepared(rows.where(F.col("fold") == fold)))
+        held = held.select("label", (F.size("grams") == 0).alias("blank"), "features").persist(StorageLevel.MEMORY_AND_DISK)
         for c in penalties:
-            scored = score(PipelineModel(stages=[*stages, _logistic(train, c)]), held).join(held.select("doc_id", "label"), "doc_id")
+            p = vector_to_array(F.col("probability"))[1]
+            scored = _logistic(train, c).transform(held).select("label", F.round(F.when(F.col("blank"), 0.0).otherwise(p), 6).alias("score"))
             found.append((float(c), float(average_precision(curve(scored)).first()[0] or 0.0)))
+        held.unpersist()
     table = df.sparkSession.createDataFrame(found, "c double, ap double")  # penalties x folds rows
     return table.groupBy("c").agg(F.round(F.avg("ap"), 6).alias("ap"))
 
