@@ -30,3 +30,49 @@ def test_stages(spark):
             assert {i: kept[name].count(i) for i in set(kept[name])} == want
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0 and sizes[4] == sizes[5]
     assert pipeline.run(spark, DATA).count() == sizes[-1]
+
+
+def test_near_copies_go(spark):
+    """Of planted near copies (real Jaccard of five-word shingles 0.8 to 1) one of each component stays, and nothing else goes."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    texts = []
+    for k in range(200):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(base))
+        for _ in range(k % 4):
+            copy = list(base)
+            for _ in range(max(1, len(copy) // rng.choice((45, 60, 30)))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(max(0, b - 4), b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        root = [root[a] if r == root[b] else r for r in root] if root[a] < root[b] else [root[b] if r == root[a] else r for r in root]
+    assert len(pairs) > 100 and len(set(root)) > 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = pipeline.STAGES[2][1]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, DATA).collect()) == sorted(set(root))
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A bucket cut into blocks loses no link; blank texts are alike, and texts of fewer than five words differ by words."""
+    import random
+
+    from textward.llm import similar
+
+    monkeypatch.setattr(similar, "HOT_BUCKET", 20)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(copy)))
+    rows += [(200, None), (201, " \n"), (202, "one two"), (203, "One  two"), (204, "one three"), (None, "no id")]
+    found = {r["doc_id"]: r["component_id"] for r in similar.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: 0 for k in range(150)} | {200: 200, 201: 200, 202: 202, 203: 202, 204: 204, None: None}

@@ -232,18 +232,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def group(docs: DataFrame, carry: list[str] = (), bits: int = BITS) -> DataFrame:
-    """Every row with its component of near-duplicates.
-
-    Returns doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component), best (whether the row
-    is the one of its component to keep: the smallest id) and the columns in carry. Texts without words have
-    fingerprint zero and link like any other. Null ids are larger than all others; a component of null ids only has a
-    null component_id. Of rows that repeat the smallest id one is best. An empty table gives no rows.
-    """
-    names = [f"carried_{i}" for i in range(len(carry))]
-    marked = written(fingerprints(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry)]), names), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(links(nodes, bits))
+def with_components(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every row of marked (doc_id, fp, ...) with component_id and best, from nodes (fp, least_id) and their components."""
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp"))
     ids = rooted.groupBy("root").agg(least.alias("least")).select("root", F.col("least.least_id").alias("component_id"), F.col("least.fp").alias("best_fp"))
@@ -256,11 +246,27 @@ def group(docs: DataFrame, carry: list[str] = (), bits: int = BITS) -> DataFrame
     out = marked.withColumn("salt", salt(F.col("fp"), hot, F.coalesce("doc_id", F.lit(0)), SALTS)).join(spread, ["fp", "salt"])
     # rows that repeat id and fingerprint share a salted group, so this window needs no shuffle of its own
     first = F.row_number().over(Window.partitionBy("fp", "salt", "doc_id").orderBy(F.lit(0)))
+    best = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("best_fp")) & (first == 1)
+    return out.withColumn("best", best)
+
+
+def group(docs: DataFrame, carry: list[str] = (), bits: int = BITS) -> DataFrame:
+    """Every row with its component of near-duplicates.
+
+    Returns doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component), best (whether the row
+    is the one of its component to keep: the smallest id) and the columns in carry. Texts without words have
+    fingerprint zero and link like any other. Null ids are larger than all others; a component of null ids only has a
+    null component_id. Of rows that repeat the smallest id one is best. An empty table gives no rows.
+    """
+    names = [f"carried_{i}" for i in range(len(carry))]
+    marked = written(fingerprints(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry)]), names), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    out = with_components(marked, nodes, components(links(nodes, bits)))
     return out.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("best_fp")) & (first == 1)).alias("best"),
+        "best",
         *[F.col(n).alias(c) for n, c in zip(names, carry)],
     )
 
