@@ -289,6 +289,21 @@ def test_html_template_without_roles(spark):
     assert got == {k: f"own text number {k} is long enough to win" for k in range(10)}
 
 
+def test_html_repeats_are_no_template(spark):
+    """Equal pages count once; blocks of an article stay, also those that equal a line of the site elsewhere."""
+    plain = "<html><body><div><p>The whole text</p><p>of one page</p></div></body></html>"
+    both = "<html><body><p>site line</p><article><h1>Shared head</h1><p>site line</p><p>own {}</p></article></body></html>"
+    bare = "<html><body><div><p>site line</p><p>{}</p></div><p>site line</p></body></html>"
+    rows = [("http://rows.example/1", plain)] * 8 + [(f"http://pages.example/{k}", plain) for k in range(8)] + [(None, PAGE)] * 8
+    rows += [(f"http://both.example/{k}", both.format(k)) for k in range(8)] + [(f"http://bare.example/{k}", bare.format(f"own {k}" if k else "")) for k in range(8)]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert [got[k] for k in range(16)] == ["The whole text\nof one page"] * 16
+    assert [got[k] for k in range(16, 24)] == ["Head\none & two\nthree four\nfive"] * 8
+    assert [got[k] for k in range(24, 32)] == [f"Shared head\nsite line\nown {k}" for k in range(8)]
+    assert [got[k] for k in range(32, 40)] == ["site line\nsite line"] + [f"own {k}" for k in range(1, 8)]
+
+
 def test_url_rules(spark):
     urls = [
         "http://x.example.com/en/1", "https://example.com/en/71?q#f", "https://EXAMPLE.com/en/8", "http://badexample.com/en/7", "http://a.net/de/8", "http://b.example.net/de/8x", "http://a.org/es/",

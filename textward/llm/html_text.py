@@ -7,7 +7,7 @@ another; classes hold parts of pages (a truncated page lacks its footer) and nes
 they are the host's template, and what lies between its tokens are slots. The main slot is the template element made
 for it (article, main) or else the one with most text outside links; elements that serve as menus, headers, footers,
 adverts and so on are left out by name. Blocks that are themselves template tokens, once on every page of a host with
-MIN_PAGES or more, are no content.
+MIN_PAGES or more different pages, are no content, except inside an element made for content and where nothing else is left.
 
 Vectors are compared by a sum of hashes over (page, count), so a host with a third of all pages is an ordinary partial
 aggregation. A host's template comes down to one short row; these rows go to the pages' tasks.
@@ -110,56 +110,66 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
         yield done
 
 
-def block_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def block_hash(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def tokens(page: str) -> dict[tuple[str, int], list[int]]:
-    """Occurrences of a page's tokens: (path, 0) for containers with text and link chars, (path, hash) for blocks."""
+    """Occurrences of a page's tokens: (path, 0) for containers with text and link chars, (path, hash) for blocks.
+
+    The last value tells whether the token is inside an element for content.
+    """
     found: dict[tuple[str, int], list[int]] = {}
-    for path, text, dropped, _, links in blocks(page):
+    for path, text, dropped, made, links in blocks(page):
         if dropped:
             continue
-        own = found.setdefault((path, 0), [0, 0, 0])
+        own = found.setdefault((path, 0), [0, 0, 0, 0])
+        own[3] |= made
         if text:
             own[1] += len(text)
             own[2] += links
-            found.setdefault((path, block_hash(text)), [0, len(text), links])[0] += 1
+            block = found.setdefault((path, block_hash(path, text)), [0, len(text), links, 0])
+            block[0] += 1
+            block[3] |= made
         else:
             own[0] += 1
     return found
 
 
 def extract(page: str, main: str | None, boilerplate: frozenset[int] = frozenset()) -> str:
-    """The text in the slots of the template element main, without boilerplate blocks.
+    """The text in the slots of the template element main, without boilerplate blocks (hashes of path and text).
 
+    Blocks inside an element for content stay, and all where every block would go.
     Where the page lacks it: what lies in an article or main element, else everything that no role drops.
     """
     found = [b for b in blocks(page) if not b[2]]
     inside = [b for b in found if main and (b[0] == main or b[0].startswith(main + ">"))]
     if not inside:
         inside = [b for b in found if b[3]] or found
-    return "\n".join(b[1] for b in inside if b[1] and block_hash(b[1]) not in boilerplate)
+    full = [b for b in inside if b[1]]
+    own = [b for b in full if b[3] or block_hash(b[0], b[1]) not in boilerplate]
+    return "\n".join(b[1] for b in own or full)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, main (path of the main element), boilerplate (hashes of template blocks), from all pages of each host."""
+    """host, main (path of the main element), boilerplate (hashes of template blocks), from all different pages of each host."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url, page in zip(batch.column("url"), batch.column("html")):
                 page = page.as_py() or ""
-                host, key = parts(url.as_py())[0], block_hash(page + "\n" + (url.as_py() or ""))
+                host, key = parts(url.as_py())[0], block_hash("", page)
                 rows += [(host, key, path, h, *n) for (path, h), n in tokens(page).items()]
-            names = ("host", "page", "path", "block", "n", "chars", "links")
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            names = ("host", "page", "path", "block", "n", "chars", "links", "made")
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    seen = pages.select("url", "html").mapInArrow(work, "host string, page long, path string, block long, n long, chars long, links long")
+    seen = pages.select("url", "html").mapInArrow(work, "host string, page long, path string, block long, n long, chars long, links long, made long")
+    seen = seen.distinct()  # a page that is there several times counts once
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
     classes = seen.groupBy("host", "path", "block").agg(
-        vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+        vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("made").alias("made")
     )
     classes = written(classes, "html-tokens")
     whole = classes.where("block = 0").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max_by("vector", "pages").alias("root"))
@@ -178,7 +188,7 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     main = ranked.groupBy("host").agg(F.max("rank").alias("best"))
     fixed = (
-        classes.where(f"block <> 0 and most = 1 and pages >= {MIN_PAGES}").join(whole, "host")
+        classes.where(f"block <> 0 and most = 1 and made = 0 and pages >= {MIN_PAGES}").join(whole, "host")
         .where("pages = all_pages and vector = root").groupBy("host").agg(F.array_sort(F.collect_set("block")).alias("boilerplate"))
     )
     return whole.select("host").join(main, "host", "left").join(fixed, "host", "left").select("host", F.col("best.path").alias("main"), "boilerplate")
@@ -188,7 +198,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row: its main text, blocks joined by \\n.
 
     Null html counts as empty and gives an empty text. Pages of a null or hostless url share the template of the empty
-    host. A host with one page is its own template. Repeated rows weigh double in their host's template and give the
+    host. A host with one page is its own template. Equal pages of a host count once in its template and give the
     same text. Other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
