@@ -1,236 +1,258 @@
 """HTML extraction by equivalence classes of template tokens.
 
-A page's tokens are its container elements (tag, class and id, under the path of containers around them) and its whole
-text blocks. Over the pages of a host, tokens with the same occurrence vector (how often each page has them) form an
-equivalence class. A class is valid when its tokens occur once per page at most and, as paths show, nest in one
-another; classes hold parts of pages (a truncated page lacks its footer) and nest in the class of the whole. Together
-they are the host's template, and what lies between its tokens are slots. The main slot is the template element made
-for it (article, main) or else the one with most text outside links; elements that serve as menus, headers, footers,
-adverts and so on are left out by name. Blocks that are themselves template tokens, once on every page of a host with
-MIN_PAGES or more different pages, are no content, except inside an element made for content and where nothing else is left.
-
-Vectors are compared by a sum of hashes over (page, count), so a host with a third of all pages is an ordinary partial
-aggregation. A host's template comes down to one short row; these rows go to the pages' tasks.
+Pages are scanned once into tag tokens and text blocks (html_scan.py) and kept as a table. Over the different pages of
+a host, tokens with the same occurrence vector (how often each page has them) form an equivalence class. A class can be
+part of the template when it is on two pages or more, has two tokens or more and a tag among them. It is valid when its
+tokens come in the same order on every page, and when on every page it lies in the same gap between two tokens of the
+class around it (or in none): so valid classes nest, the class of all pages outermost, and together are the template.
+
+What lies between template tokens are slots, named by the template token before them. A slot is judged over all pages
+of its host: most of its text inside links makes it a menu. Text that is itself a template token is the site's, not
+the page's. Menus, headers, footers and so on are told by elements and names first, as on hosts with one page there is
+no template to tell them; where a page has an element made for articles, its text is the article and nothing of it goes.
+
+Vectors are compared by a sum of hashes over (page, count): equal pages count alike for all their tokens, so they
+change no comparison, and a host with a third of all pages is an ordinary partial aggregation. Order and nesting are
+checked page by page, with a page's own tokens as the largest group.
 """
 
 from __future__ import annotations
 
-import html
-import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import all_salts, hot_values, salt, written
+from .html_scan import MADE, PLAIN, ROLE, Scanner
 from .url_rules import parts
 
-MIN_PAGES = 8
-#: Up to this many hosts their templates are broadcast (about 100 bytes each); beyond it pages are joined by salted host.
-BROADCAST_HOSTS = 100_000
+#: Templates of this size together (80 bytes a token in a Python set) are broadcast; beyond it pages meet theirs in a join, hot hosts salted.
+BROADCAST_BYTES = 32_000_000
 SALTS = 64
+#: A slot with more than this share of its characters inside links is a menu.
+MENU_SHARE = 0.5
+_ROWS = 256
 
-_SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z]+")
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-# Elements by kind.
-_WORDS = lambda s: frozenset(s.split())
-CONTAINERS = _WORDS("html head body header footer nav main article section aside div form ul ol dl table figure dialog details template noscript iframe svg object button select textarea fieldset menu")
-INLINE = _WORDS("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr")
-RAW = _WORDS("script style title textarea xmp noembed noframes")
-VOID = _WORDS("area base br col embed hr img input link meta param source track wbr")
-DROPPED = _WORDS("head nav header footer aside form script style title noscript iframe svg object button select textarea template dialog menu fieldset")
-ROLES = _WORDS(
-    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr header masthead menu "
-    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar social sponsor "
-    "sponsored subscribe toolbar widget"
-)
-MAIN = ("article", "main")
-
-
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The token of a container, whether its name says that it is no content, and whether it is made for content."""
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes else {}
-    words = _NAME.findall(" ".join(found.values()).lower())
-    label = tag + "".join(f".{w}" for w in sorted(set(_NAME.findall((found.get("class", "") + " " + found.get("id", "")).lower()))))
-    return label, tag in DROPPED or any(w in ROLES for w in words), tag in MAIN or found.get("role", "").lower() == "main"
-
-
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
-    """Text blocks in page order: path of containers, text, dropped by role, inside an element for content, link chars.
-
-    Also yields an empty block where a container starts, so that containers without text are tokens as well.
-    """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, dropped, main
-    text: list[str] = []
-    links, in_link, at = 0, False, 0
-
-    def flush():
-        nonlocal text, links
-        joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-        size, text, links = links, [], 0
-        return (stack[-1][1], joined, stack[-1][2], stack[-1][3], size) if joined else None
-
-    while at <= len(page):
-        m = _TAG.search(page, at)
-        part = page[at : m.start()] if m else page[at:]
-        if part:
-            text.append(part)
-            links += len(part) if in_link else 0
-        if not m:
-            break
-        at = max(m.end(), at + 1)
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        closing = m[1] == "/"
-        if tag == "a":
-            in_link = not closing
-        if tag in INLINE:
-            continue
-        done = flush()
-        if done:
-            yield done
-        if tag in RAW and not closing:
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page) + 1
-        elif tag in CONTAINERS:
-            if not closing:
-                label, dropped, main = _label(tag, m[3])
-                stack.append((tag, f"{stack[-1][1]}>{label}", stack[-1][2] or dropped, stack[-1][3] or main))
-                yield (stack[-1][1], "", stack[-1][2], stack[-1][3], 0)
-            elif any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-    done = flush()
-    if done:
-        yield done
-
-
-def block_hash(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def tokens(page: str) -> dict[tuple[str, int], list[int]]:
-    """Occurrences of a page's tokens: (path, 0) for containers with text and link chars, (path, hash) for blocks.
-
-    The last value tells whether the token is inside an element for content.
-    """
-    found: dict[tuple[str, int], list[int]] = {}
-    for path, text, dropped, made, links in blocks(page):
-        if dropped:
-            continue
-        own = found.setdefault((path, 0), [0, 0, 0, 0])
-        own[3] |= made
-        if text:
-            own[1] += len(text)
-            own[2] += links
-            block = found.setdefault((path, block_hash(path, text)), [0, len(text), links, 0])
-            block[0] += 1
-            block[3] |= made
-        else:
-            own[0] += 1
-    return found
-
-
-def extract(page: str, main: str | None, boilerplate: frozenset[int] = frozenset()) -> str:
-    """The text in the slots of the template element main, without boilerplate blocks (hashes of path and text).
-
-    Blocks inside an element for content stay, and all where every block would go.
-    Where the page lacks it: what lies in an article or main element, else everything that no role drops.
-    """
-    found = [b for b in blocks(page) if not b[2]]
-    inside = [b for b in found if main and (b[0] == main or b[0].startswith(main + ">"))]
-    if not inside:
-        inside = [b for b in found if b[3]] or found
-    full = [b for b in inside if b[1]]
-    own = [b for b in full if b[3] or block_hash(b[0], b[1]) not in boilerplate]
-    return "\n".join(b[1] for b in own or full)
+_BLOCKS = "at array<int>, links array<int>, chars array<int>, kind array<tinyint>, token array<long>"
+_SCANNED = f"page_id long, url string, host string, page long, tags array<long>, {_BLOCKS}, text array<string>"
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, main (path of the main element), boilerplate (hashes of template blocks), from all different pages of each host."""
+def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array([x for v in values for x in v], kind))
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """A row per page: its tags in order and its text blocks, as parallel arrays."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        scanner = Scanner()
+        for whole in batches:
+            for start in range(0, len(whole), _ROWS):
+                batch = whole.slice(start, _ROWS)
+                html = [p.as_py() or "" for p in batch.column("html")]
+                found = [scanner.scan(p) for p in html]
+                keys = [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63) for p in html]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "page_id": batch.column("page_id"),
+                        "url": batch.column("url"),
+                        "host": pa.array([parts(u.as_py())[0] for u in batch.column("url")], pa.string()),
+                        "page": pa.array(keys, pa.int64()),
+                        "tags": _lists([f.tags for f in found], pa.int64()),
+                        "at": _lists([f.at for f in found], pa.int32()),
+                        "links": _lists([f.links for f in found], pa.int32()),
+                        "chars": _lists([[len(t) for t in f.text] for f in found], pa.int32()),
+                        "kind": _lists([f.kind for f in found], pa.int8()),
+                        "token": _lists([f.token for f in found], pa.int64()),
+                        "text": _lists([f.text for f in found], pa.string()),
+                    }
+                )
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(work, _SCANNED)
+
+
+_OCCURS = "host string, page long, token long, n int, first int, last int, tag boolean"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, page, token, how often, first and last place, and whether it is a tag; a page itself is token 0."""
+    for whole in batches:
+        for start in range(0, len(whole), _ROWS):
             rows = []
-            for url, page in zip(batch.column("url"), batch.column("html")):
-                page = page.as_py() or ""
-                host, key = parts(url.as_py())[0], block_hash("", page)
-                rows += [(host, key, path, h, *n) for (path, h), n in tokens(page).items()]
-            names = ("host", "page", "path", "block", "n", "chars", "links", "made")
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            for r in whole.slice(start, _ROWS).to_pylist():
+                seen: dict[int, list] = {0: [1, -1, -1, True]}
+                places = [(2 * k + 1, t, True) for k, t in enumerate(r["tags"])]
+                places += [(2 * k, t, False) for k, t, kind in zip(r["at"], r["token"], r["kind"]) if kind == PLAIN]
+                for place, token, tag in places:
+                    own = seen.setdefault(token, [0, place, place, tag])
+                    own[0] += 1
+                    own[1], own[2] = min(own[1], place), max(own[2], place)
+                rows += [(r["host"], r["page"], token, *own) for token, own in seen.items()]
+            names = [x.split()[0] for x in _OCCURS.split(", ")]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    seen = pages.select("url", "html").mapInArrow(work, "host string, page long, path string, block long, n long, chars long, links long, made long")
-    seen = seen.distinct()  # a page that is there several times counts once
-    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
-    classes = seen.groupBy("host", "path", "block").agg(
-        vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("made").alias("made")
-    )
-    classes = written(classes, "html-tokens")
-    whole = classes.where("block = 0").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max_by("vector", "pages").alias("root"))
-    # elements of valid classes; text in a container's subtree is its own and that of the containers below
-    elements = classes.where("block = 0 and most <= 1 and path <> ''")
-    above = F.transform(F.sequence(F.lit(2), F.size(F.split("path", ">"))), lambda k: F.array_join(F.slice(F.split("path", ">"), 1, k), ">"))
-    weight = (
-        classes.where("block = 0 and path <> ''").select("host", F.explode(above).alias("path"), (F.col("chars") - F.col("links")).alias("words"))
-        .groupBy("host", "path").agg(F.sum("words").alias("words"))
-    )
-    last = F.regexp_extract("path", r">([a-z0-9]+)[^>]*$", 1)
-    ranked = elements.join(weight, ["host", "path"]).select(
-        "host",
-        # made for content first, then most words, then the innermost of those that hold the same words
-        F.struct(last.isin(*MAIN).alias("made"), F.when(last.isin(*MAIN), F.col("pages")).otherwise(0).alias("in_pages"), "words", F.length("path").alias("deep"), "path").alias("rank"),
-    )
-    main = ranked.groupBy("host").agg(F.max("rank").alias("best"))
-    fixed = (
-        classes.where(f"block <> 0 and most = 1 and made = 0 and pages >= {MIN_PAGES}").join(whole, "host")
-        .where("pages = all_pages and vector = root").groupBy("host").agg(F.array_sort(F.collect_set("block")).alias("boilerplate"))
-    )
-    return whole.select("host").join(main, "host", "left").join(fixed, "host", "left").select("host", F.col("best.path").alias("main"), "boilerplate")
 
+@dataclass
+class Span:
+    """Where a class lies on a page: its tokens' first and last places, outer limits, rank and order."""
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row: its main text, blocks joined by \\n.
+    name: str
+    rank: tuple
+    marks: list[tuple[int, int]]
+    order: int
 
-    Null html counts as empty and gives an empty text. Pages of a null or hostless url share the template of the empty
-    host. A host with one page is its own template. Equal pages of a host count once in its template and give the
-    same text. Other columns are not read.
-    """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = written(templates(rows), "html-templates")
-    out = "page_id long, url string, text string, n_chars long"
 
-    def texts(batch, lines):
-        pages_of = [p.as_py() or "" for p in batch.column("html")]
-        found = [extract(p, *line) for p, line in zip(pages_of, lines)]
-        return pa.RecordBatch.from_pydict(
-            {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(found, pa.string()), "n_chars": pa.array([len(t) for t in found], pa.int64())}
-        )
+def nest(tokens: list[dict]) -> list[tuple[str, int, int]]:
+    """Of one page's class tokens: each class, a hash of its tokens' order, and the gap it lies in (0: no class around it).
 
-    if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        table = {r["host"]: (r["main"], frozenset(r["boilerplate"] or ())) for r in found.toLocalIterator()}
-        sent = rows.sparkSession.sparkContext.broadcast(table)
+    tokens have class, rows, size, token, first, last. The class around another is the smallest whose span holds its
+    span. Of two classes whose spans cross, the one on fewer pages (then of fewer tokens) does not nest; nor does a class
+    that has a first or last place of the class around it inside its span. Those have gap -1 and are around no other.
+    """
+    classes: dict[str, list[dict]] = defaultdict(list)
+    for t in tokens:
+        classes[t["class"]].append(t)
+    spans = []
+    for name, own in classes.items():
+        marks = sorted({(t[end], t["token"]) for t in own for end in ("first", "last")})
+        order = [[t["token"] for t in sorted(own, key=lambda t: t[end])] for end in ("first", "last")]
+        spans.append(Span(name, (-own[0]["rows"], -own[0]["size"], name), marks, xxhash.xxh64_intdigest(repr(order).encode()) >> 1))
+    gaps: dict[str, int] = {}
+    around: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s.marks[0][0], -s.marks[-1][0])):
+        lo, hi = s.marks[0][0], s.marks[-1][0]
+        while around and around[-1].marks[-1][0] < lo:
+            around.pop()
+        while around and around[-1].marks[-1][0] < hi and around[-1].rank > s.rank:
+            gaps[around.pop().name] = -1
+        gap = 0
+        if around:
+            outer = around[-1].marks
+            k = bisect_left(outer, (lo,))
+            if outer[-1][0] < hi or k < bisect_left(outer, (hi,)):
+                gap = -1
+            else:
+                gap = xxhash.xxh64_intdigest(f"{around[-1].name} {outer[k - 1][1]}".encode()) >> 1
+        gaps[s.name] = gap
+        if gap >= 0:
+            around.append(s)
+    return [(s.name, s.order, gaps[s.name]) for s in spans]
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(r["host"], *found) for r in batch.to_pylist() for found in nest(r["own"])]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "class", "order", "gap"])
+
+
+def _host_join(rows: DataFrame, per_host: DataFrame, key: Column, hot: list[str], on: list[str], how: str = "inner") -> DataFrame:
+    """rows with what their host has; the rows of hot hosts are dealt by key to many tasks."""
+    spread = per_host.withColumn("salt", F.explode(all_salts(F.col("host"), hot, SALTS)))
+    return rows.withColumn("salt", salt(F.col("host"), hot, key, SALTS)).join(spread, [*on, "salt"], how).drop("salt")
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hosts = [parts(u.as_py())[0] for u in batch.column("url")]
-                yield texts(batch, [sent.value.get(h, (None, frozenset())) for h in hosts])
 
-        return rows.mapInArrow(work, out)
+def templates(pages: DataFrame) -> DataFrame:
+    """host, tokens (sorted): the tokens of all valid classes, for hosts with two different pages or more."""
+    seen = written(pages.select("host", "page", "tags", "at", "token", "kind").mapInArrow(_occurrences, _OCCURS), "html-occurrences")
+    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string")
+    found = seen.groupBy("host", "token").agg(vector.alias("class"), F.count(F.lit(1)).alias("rows"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.first("tag").alias("tag"))
+    found = written(found.where("lo <> hi").drop("lo", "hi"), "html-tokens")
+    sizes = found.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size"), F.count_if("tag").alias("tags")).where("size > 1 AND tags > 0")
+    frequent = written(found.join(sizes, ["host", "class"]).select("host", "token", "class", "rows", "size"), "html-classes")
+    hot = hot_values(pages.select("host"), "host")
+    own = _host_join(seen, frequent, F.col("page"), hot, ["host", "token"])
+    own = own.groupBy("host", "page").agg(F.collect_set(F.struct("class", "rows", "size", "token", "first", "last")).alias("own"))
+    checked = own.select("host", "own").mapInArrow(_nested, "host string, class string, order long, gap long")
+    valid = checked.groupBy("host", "class").agg(F.min("order").alias("o1"), F.max("order").alias("o2"), F.min("gap").alias("g1"), F.max("gap").alias("g2"))
+    valid = valid.where("o1 = o2 AND g1 = g2 AND g1 >= 0").select("host", "class")
+    return frequent.join(valid, ["host", "class"]).groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+
+
+def slots_of(tags: list[int], at: list[int], template: frozenset[int]) -> list[int]:
+    """The slot of each block: the last template tag before it, 0 before the first."""
+    out, slot, k = [], 0, 0
+    for place in at:
+        while k < place:
+            slot = tags[k] if tags[k] in template else slot
+            k += 1
+        out.append(slot)
+    return out
+
+
+def _with_template(rows: DataFrame, found: DataFrame, fields: list[str], key: Column, work, schema: str) -> DataFrame:
+    """rows through work(row as dict, fields of its host's line, {} without one), each result a tuple of schema's columns or several."""
+    kept = ["host", *fields]
+    found = found.select(*kept)
+    size = found.agg(F.sum(sum([F.coalesce(F.size(f), F.lit(0)) for f in fields], F.lit(4)) * 80)).first()[0] or 0
+
+    def batches_of(line):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            arrow = {"long": pa.int64(), "string": pa.string()}
+            columns = [c.split() for c in schema.split(", ")]
+            for whole in batches:
+                for start in range(0, len(whole), _ROWS):
+                    made = [m for r in whole.slice(start, _ROWS).to_pylist() for m in work(r, line(r))]
+                    yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], arrow[t]) for k, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
+
+        return run
+
+    if size <= BROADCAST_BYTES:
+        lines = {r["host"]: {f: frozenset(r[f] or ()) for f in fields} for r in found.toLocalIterator()}
+        sent = rows.sparkSession.sparkContext.broadcast(lines)
+        return rows.mapInArrow(batches_of(lambda r: sent.value.get(r["host"], {})), schema)
+    hot = hot_values(rows.select("host"), "host")
+    joined = _host_join(rows, found.select("host", F.struct(*fields).alias("line")), key, hot, ["host"], "left")
+    return joined.mapInArrow(batches_of(lambda r: {f: frozenset(r["line"][f] or ()) for f in fields} if r["line"] else {}), schema)
+
+
+def _slot_sums(row: dict, line: dict) -> Iterator[tuple]:
+    """host, slot, characters, characters in links of the blocks that could be an article's."""
+    if line:
+        sums: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for slot, chars, links, kind in zip(slots_of(row["tags"], row["at"], line["tokens"]), row["chars"], row["links"], row["kind"]):
+            if kind == PLAIN:
+                sums[slot][0] += chars
+                sums[slot][1] += links
+        yield from ((row["host"], slot, *s) for slot, s in sums.items())
+
+
+def article(row: dict, line: dict) -> str:
+    """The text of a page, by its host's template (tokens, menus), or without one."""
+    blocks = list(zip(row["text"], row["kind"], row["token"], slots_of(row["tags"], row["at"], line.get("tokens", frozenset()))))
+    made = [text for text, kind, _, _ in blocks if kind == MADE]
+    plain = [b for b in blocks if b[1] != ROLE]
+    own = [text for text, _, token, slot in plain if token not in line.get("tokens", ()) and slot not in line.get("menus", ())]
+    return "\n".join(made or own or [b[0] for b in plain])
 
-    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = rows.withColumn("host", host)
-    hot = hot_values(keyed.select("host"), "host")
-    spread = found.withColumn("salt", F.explode(all_salts(F.col("host"), hot, SALTS)))
-    joined = keyed.withColumn("salt", salt(F.col("host"), hot, F.coalesce("page_id", F.lit(0)), SALTS)).join(spread, ["host", "salt"], "left")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield texts(batch, [(m.as_py(), frozenset(b.as_py() or ())) for m, b in zip(batch.column("main"), batch.column("boilerplate"))])
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every row: its main text, blocks joined by \\n.
 
-    return joined.select("page_id", "url", "html", "main", "boilerplate").mapInArrow(work, out)
+    Null html counts as empty and gives an empty text. Pages of a null or hostless url share the template of the empty
+    host. A host with one page, or with equal pages only, has no template: elements and names alone decide there.
+    Repeated rows give the same text each. Where a page is made of template text and menus only, they are its text.
+    Pages of any length and depth cost memory in proportion. Other columns are not read.
+    """
+    rows = written(scanned(pages), "html-pages")
+    found = written(templates(rows), "html-templates")
+    lean = rows.select("host", "page", "tags", "at", "links", "chars", "kind")
+    sums = _with_template(lean, found, ["tokens"], F.col("page"), _slot_sums, "host string, slot long, chars long, links long")
+    menus = sums.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).where(F.col("links") > MENU_SHARE * F.col("chars"))
+    menus = menus.groupBy("host").agg(F.collect_set("slot").alias("menus"))
+    lines = written(found.join(menus, "host", "left"), "html-slots")
+    whole = rows.select("page_id", "url", "host", "tags", "at", "kind", "token", "text")
+    out = _with_template(
+        whole, lines, ["tokens", "menus"], F.coalesce("page_id", F.lit(0)), lambda row, line: [(row["page_id"], row["url"], article(row, line))], "page_id long, url string, text string"
+    )
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
