@@ -191,13 +191,50 @@ def test_pieces(docs, rows):
     assert Counter(r["text"] for r in tokens.decode(encoded).collect()) == Counter(lib.decode(x) for x in ids)
 
 
-def test_piece_stream():
-    machine = pieces.transducer(tokens.model_path())
-    lib = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
-    for t in ("implementation  of it", "--------=====", "x" * 500, "日本語𠮷 \x00 é", "a     b", "thththeredonble"):
-        whole = pieces.SPACE + t.replace(" ", pieces.SPACE)
-        for size in (1, 3, 1000):
-            assert list(machine.stream(whole[k : k + size] for k in range(0, len(whole), size))) == lib.encode(t)
+ODD = ("implementation  of it", "--------=====", "x" * 500, "日本語𠮷 \x00 é", "a     b", "thththeredonble", "", " ", "\n\n x\n", "▁a▁", "tab\there " * 9, "=" * 77 + " " * 33 + "-" * 41, "é" * 90)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
+
+
+@pytest.mark.parametrize("size", [1, 3, 17, 1000])
+def test_piece_stream(library, size):
+    """Ids come out of the stream as from the library, however it is cut, and before the end of a long text."""
+    model = pieces.pieces(tokens.model_path())
+    for t in ODD:
+        whole = model.spelled(t)
+        assert list(model.stream(whole[k : k + size] for k in range(0, len(whole), size))) == library.encode(t)
+    given, out = [], model.stream(given.append(k) or "some words and more " for k in range(10_000))
+    assert next(out) and len(given) < 50
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 1000])
+def test_piece_counts(library, chunk):
+    """Counts of composed maps; composition in any grouping."""
+    counter = pieces.Counter(pieces.pieces(tokens.model_path()))
+    for t in (*ODD, PROSE, "ab" * 3000):
+        assert counter.count(t, chunk) == len(library.encode(t))
+    whole = counter.model.spelled(PROSE + "  x\n" + PROSE)
+    maps = [counter.stretch(whole[k : k + chunk]) for k in range(0, len(whole), chunk)]
+    left = right = None
+    for m in maps:
+        left = m if left is None else counter.compose(left, m)
+    for m in reversed(maps):
+        right = m if right is None else counter.compose(m, right)
+    assert left == right == counter.scan(maps)[-1]
+    assert [counter.total(m) for m in counter.scan(maps)] == [len(library.encode(whole[1 : k + chunk].replace(pieces.SPACE, " "))) if k + chunk > 1 else counter.total(maps[0]) for k in range(0, len(whole), chunk)]
+
+
+def test_pieces_forget(library, monkeypatch):
+    """What a worker remembers is bounded; results stay."""
+    monkeypatch.setattr(pieces, "MAX_TRANSITIONS", 50)
+    monkeypatch.setattr(pieces, "MAX_WORDS", 3)
+    counter, encoded = pieces.Counter(pieces.pieces(tokens.model_path())), pieces.Encoded(pieces.pieces(tokens.model_path()))
+    for t in (*ODD, PROSE):
+        assert counter.count(t, 7) == len(library.encode(t)) and [i for r in encoded.of(t) for i in r] == library.encode(t)
+        assert len(counter.words) <= 3 and len(encoded) <= 3 and counter.known <= 110
 
 
 def test_ctw_base(docs, rows):
@@ -269,41 +306,6 @@ def test_ctw_learns(spark):
     assert out["sum(score)"] > out["sum(base_score)"]
 
 
-PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/x'>menu</a></nav><div class='ad'>buy</div><article><h1>Head</h1><p>one &amp;  two<p><b>three</b> four<br>five</article><div class='comments'><p>reader</p></div><footer>&copy; x</footer></body></html>"
-
-
-def test_html(spark):
-    urls = ["http://a.example/1", "http://a.example/2", None, "nothing"]
-    pages = [(k, u, h, 1) for k, (u, h) in enumerate(zip(urls * 2, [PAGE, PAGE.replace("five", "six"), None, "", "<p>bare", "plain <b>text</b>", PAGE[:200], "<article>" * 3 + "deep"]))]
-    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string, salt int")).collect()}
-    assert got[0]["text"] == "Head\none & two\nthree four\nfive" and got[0]["n_chars"] == len(got[0]["text"])
-    assert [got[k]["text"] for k in (2, 3, 4, 5, 7)] == ["", "", "bare", "plain text", "deep"]
-    assert got[1]["text"].endswith("six") and got[6]["text"].startswith("Head")
-
-
-def test_html_template_without_roles(spark):
-    """No article element: the main slot is the element with most text, and blocks of the template are left out."""
-    page = "<html><body><div id=a><a href=x>one</a><a href=y>two</a></div><div id=b><p>Same on all pages</p><p>own text number {} is long enough to win</p></div></body></html>"
-    rows = [(k, f"http://h.example/{k}", page.format(k)) for k in range(10)]
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: f"own text number {k} is long enough to win" for k in range(10)}
-
-
-def test_html_repeats_are_no_template(spark):
-    """Equal pages count once; blocks of an article stay, also those that equal a line of the site elsewhere."""
-    plain = "<html><body><div><p>The whole text</p><p>of one page</p></div></body></html>"
-    both = "<html><body><p>site line</p><article><h1>Shared head</h1><p>site line</p><p>own {}</p></article></body></html>"
-    bare = "<html><body><div><p>site line</p><p>{}</p></div><p>site line</p></body></html>"
-    rows = [("http://rows.example/1", plain)] * 8 + [(f"http://pages.example/{k}", plain) for k in range(8)] + [(None, PAGE)] * 8
-    rows += [(f"http://both.example/{k}", both.format(k)) for k in range(8)] + [(f"http://bare.example/{k}", bare.format(f"own {k}" if k else "")) for k in range(8)]
-    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
-    assert [got[k] for k in range(16)] == ["The whole text\nof one page"] * 16
-    assert [got[k] for k in range(16, 24)] == ["Head\none & two\nthree four\nfive"] * 8
-    assert [got[k] for k in range(24, 32)] == [f"Shared head\nsite line\nown {k}" for k in range(8)]
-    assert [got[k] for k in range(32, 40)] == ["site line\nsite line"] + [f"own {k}" for k in range(1, 8)]
-
-
 def test_url_rules(spark):
     urls = [
         "http://x.example.com/en/1", "https://example.com/en/71?q#f", "https://EXAMPLE.com/en/8", "http://badexample.com/en/7", "http://a.net/de/8", "http://b.example.net/de/8x", "http://a.org/es/",

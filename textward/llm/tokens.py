@@ -1,12 +1,10 @@
 """Encoding and decoding with a piece vocabulary, and counting its tokens.
 
-Both read runs between sure boundaries (see pieces.py). Encoding commits the ids of each run; counting needs only how
-many ids a run emits: a run is one transition of a deterministic transducer whose state after it is always the same,
-so the state map of a chunk of runs is constant and annotated with a count, and maps compose by addition. All runs of
-a batch lie in one array; one prefix scan (a cumulative sum) over it gives the count of every text as a difference.
+Encoding runs every text through the streaming search of pieces.py, one run between two resets after another, and
+decodes what it found to compare. Counting composes the maps of the counting transducer over chunks of CHUNK characters.
 
 Rows are processed where they are read: no shuffle. Memory is bounded by a slice of SLICE characters and by what a
-worker remembers of runs.
+worker remembers of runs and transitions.
 """
 
 from __future__ import annotations
@@ -24,8 +22,9 @@ from .common import text_of
 MODEL = "piece_bpe_32k.model"
 SLICE = 2_000_000
 LIMIT = 4096
+CHUNK = 4096
 
-_runs: dict = {}
+_kept: dict = {}
 
 
 def model_path(name: str = MODEL) -> str:
@@ -34,22 +33,18 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def _runs_of(path: str | None, value):
-    """The runs of a vocabulary, one per Python worker and kind of value."""
-    from .pieces import Runs
-
-    key = (path, value.__name__)
-    if key not in _runs:
-        _runs[key] = Runs(path or model_path(), value)
-    return _runs[key]
-
-
-def id_bytes(ids: list[int]) -> bytes:
+def _id_bytes(ids: Iterator[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def count_of(ids: list[int]) -> int:
-    return len(ids)
+def _of_worker(path: str | None, kind: str):
+    """The remembered runs (ids) or the counting transducer (counts) of a vocabulary, one per Python worker."""
+    from . import pieces
+
+    if (path, kind) not in _kept:
+        model = pieces.pieces(path or model_path())
+        _kept[path, kind] = pieces.Encoded(model, _id_bytes) if kind == "ids" else pieces.Counter(model)
+    return _kept[path, kind]
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -81,17 +76,14 @@ def encode(docs: DataFrame, path: str | None = None, carry: list[str] = ()) -> D
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _runs_of(path, id_bytes)
-        machine = runs.machine
-        table = np.array(machine.as_bytes, dtype=object)
+        runs = _of_worker(path, "ids")
         for batch in batches:
             for start, texts in _slices(batch.column("text")):
                 own = [b"".join(runs.of(t)) for t in texts]
                 ids = np.frombuffer(b"".join(own), dtype=np.int32)
                 counts = np.array([len(x) // 4 for x in own], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
-                raw = [t.replace("▁", " ").encode("utf-8", "surrogatepass") for t in texts]
-                back = [b"".join(table[ids[a:b]].tolist())[1:] == r for a, b, r in zip(offsets[:-1], offsets[1:], raw)]
+                back = [runs.model.decode(array("i", x)) == t.replace("▁", " ") for x, t in zip(own, texts)]
                 head = batch.slice(start, len(texts))
                 columns = {
                     "doc_id": head.column("doc_id"),
@@ -114,15 +106,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of rows with doc_id, ids: the inverse of encode. Null ids give null; ids outside the vocabulary fail."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _runs_of(path, id_bytes).machine
+        model = _of_worker(path, "ids").model
         for batch in batches:
-            texts = [None if x.as_py() is None else machine.decode(x.as_py()) for x in batch.column("ids")]
+            texts = [None if x.as_py() is None else model.decode(x.as_py()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(work, "doc_id long, text string")
 
 
-def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
+def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of every row's whole text.
 
     Counts are those of the vocabulary's library without begin or end tokens. Null and empty texts have 0 of each.
@@ -130,19 +122,10 @@ def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataF
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _runs_of(path, count_of)
+        counter = _of_worker(path, "counts")
         for batch in batches:
-            sums = []
-            for _, texts in _slices(batch.column("text")):
-                emitted: list[int] = []
-                ends = [0]
-                for t in texts:
-                    emitted += runs.of(t)
-                    ends.append(len(emitted))
-                scan = np.concatenate([[0], np.cumsum(np.array(emitted, dtype=np.int64))])
-                sums.append(np.diff(scan[ends]))
-            counts = np.concatenate(sums) if sums else np.array([], dtype=np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(counts.astype(np.int64))})
+            counts = [counter.count(x.as_py() or "", chunk) for x in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64())})
 
     text = text_of("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
