@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from textward.llm import ctw, exact_dedup, html_text, line_dedup, mixing, near_dup, pieces, quality, tokens, url_rules
 
@@ -60,6 +61,16 @@ def test_exact_dedup_salted(spark):
     assert len({(r["keep_id"], r["group_size"]) for r in found}) == 2
 
 
+def test_exact_dedup_contents_decide(spark, docs, rows, monkeypatch):
+    """Where digests coincide, contents are compared; many equal rows of a hot digest give one that stays."""
+    monkeypatch.setattr(exact_dedup, "_digests", lambda body: [F.lit("same").alias("sha"), F.lit(1).alias("second"), F.lit(2).alias("body_len")])
+    test_exact_dedup(docs, rows)
+    monkeypatch.undo()
+    many = spark.range(0, 3000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 END AS doc_id", "'same text' AS text", "id % 2 AS n")
+    found = exact_dedup.mark_copies(many)
+    assert found.count() == 3000 and [r["doc_id"] for r in found.where("kept").collect()] == [5] and exact_dedup.drop_copies(many).count() == 1
+
+
 def test_quality(docs, rows):
     found = {r["doc_id"]: r for r in quality.judge(docs).where("doc_id IS NOT NULL").collect()}
     for i, t in rows:
@@ -125,6 +136,22 @@ def test_mixing_near_target(spark):
     assert len(found) == 3 and all(abs(r["sum(taken)"] - r["target"]) <= 80 for r in found)
 
 
+def test_mixing_repeats(spark):
+    """Of equal rows at the budget's end only as many are taken as fit, by the operator and by its SQL alike."""
+    import duckdb
+
+    rows = [(1, "a", "one two three four five six seven eight nine ten")] * 300 + [(k, "b", "w " * 30) for k in range(2, 400)] + [(500, None, "x y")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mix(docs).toPandas()
+    documents = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(mixing.ORACLE).df()
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(tuple, found[columns].round(6).values.tolist())) == sorted(map(tuple, want[columns].round(6).values.tolist()))
+    taken = found[found.doc_id == 1]
+    assert abs(taken.taken.sum() - taken.target.iloc[0]) <= 10
+    assert mixing.mixed(docs).where("doc_id = 1").count() == taken.copies.sum()
+
+
 def fingerprint(t):
     words = t.encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
@@ -180,6 +207,21 @@ def test_near_dup_links(spark):
     assert near_dup.links(nodes).count() < 15 * len(fps) * 12
 
 
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_near_dup_blocks(spark, monkeypatch, blocks):
+    """Every number of blocks and hot buckets cut into cells give the same components."""
+    monkeypatch.setattr(near_dup, "BLOCKS", ((1 << 63, blocks),))
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 20)
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 2**63))
+    fps = sorted({base} | {base ^ sum(1 << int(b) for b in rng.choice(20, int(rng.integers(1, 7)), replace=False)) for _ in range(200)} | {int(x) for x in rng.integers(0, 2**63, 100)})
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    root = {r["node"]: r["root"] for r in near_dup.components(near_dup.links(nodes)).collect()}
+    got = [root.get(f, f) for f in signed]
+    assert len(set(zip(brute_components(fps), got))) == len(set(brute_components(fps))) == len(set(got))
+
+
 def test_pieces(docs, rows):
     lib = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
     count = Counter((r["doc_id"], r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in tokens.count(docs).collect())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_salts, hot_values, salt, text_of, written
+from .common import WORD, all_salts, hot_values, salt, text_of, written
 
 LINES = 3
 SALTS = 64
@@ -22,7 +22,7 @@ def strip_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
 
     Returns doc_id, text (the lines that stay, joined by \\n), n_lines, n_removed and the columns in carry. Lines are
     what \\n separates; a null text counts as empty (one blank line); texts under three lines have no window and stay.
-    Windows of three blank lines are no window. Occurrences are ordered by doc_id (nulls last), hash of the text, line.
+    Three lines without a word are no window. Occurrences are ordered by doc_id (nulls last), hash of the text, line.
     Rows alike in id and text are one document in this order: each gets the same result, and they do not remove each
     other's lines.
     """
@@ -36,7 +36,7 @@ def strip_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     )
     lined = rows.select("doc_id", "row", F.split("text", "\n").alias("lines")).where(F.size("lines") >= LINES)
     window = lambda i: F.md5(F.concat_ws("\n", *[F.element_at("lines", i + k) for k in range(LINES)]))
-    blank = lambda i: F.concat(*[F.trim(F.element_at("lines", i + k)) for k in range(LINES)]) == ""
+    blank = lambda i: ~F.concat(*[F.element_at("lines", i + k) for k in range(LINES)]).rlike(WORD)
     found = lined.select(
         F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row").alias("doc"),
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lines") - (LINES - 1)), lambda i: F.when(~blank(i), window(i)))).alias("at", "hash"),
@@ -51,7 +51,10 @@ def strip_repeats(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
         .where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     )
     covered = later.groupBy(F.col("doc.row").alias("row")).agg(F.collect_set("at").alias("starts"))
-    out = rows.join(covered, "row", "left")
+    # rows alike in id and text meet their one line of covered positions over salted keys; a small table is broadcast by its size
+    alike = hot_values(rows.select("row"), "row")
+    covered = covered.withColumn("salt", F.explode(all_salts(F.col("row"), alike, SALTS)))
+    out = rows.withColumn("salt", salt(F.col("row"), alike, F.monotonically_increasing_id(), SALTS)).join(covered, ["row", "salt"], "left")
     lines = F.split("text", "\n")
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (LINES - 1)))))
     out = out.select("doc_id", "text", *names, lines.alias("lines"), F.coalesce(F.array_sort(gone), F.array().cast("array<int>")).alias("gone"))
@@ -81,7 +84,7 @@ WITH d AS (
   SELECT DISTINCT doc_id, row_key, unnest(range(0, len(lines) - 2)) AS pos0, lines FROM l WHERE len(lines) >= 3
 ), w AS (
   SELECT doc_id, row_key, pos0, array_to_string(lines[pos0 + 1 : pos0 + 3], chr(10)) AS win FROM u
-  WHERE trim(lines[pos0 + 1], ' ') || trim(lines[pos0 + 2], ' ') || trim(lines[pos0 + 3], ' ') <> ''
+  WHERE regexp_matches(lines[pos0 + 1] || lines[pos0 + 2] || lines[pos0 + 3], '[^\x20\x09-\x0D]')
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, row_key, pos0) AS rn FROM w
 ), g AS (

@@ -1,8 +1,9 @@
 """SimHash near-duplicates, verified through pivot distance tables.
 
 Each text's fingerprint is the bitwise majority of its shingles' hashes. Equal fingerprints are one node, so copies
-cost nothing further. Two fingerprints within 4 bits agree in at least two of six bit blocks, so each node goes to 15
-buckets (one per pair of blocks), and all links lie inside buckets. In a bucket, a table of distances to reference
+cost nothing further. Fingerprints are cut into bit blocks; two within 4 bits agree in at least all blocks but four, so
+each node goes to a bucket for every choice of so many blocks, and all links lie inside buckets. More nodes are cut into
+more blocks, which makes keys longer and keeps buckets small. In a bucket, a table of distances to reference
 fingerprints is computed once per node; a pair whose coordinates differ by more than 4 anywhere cannot link and is
 discarded; the survivors are verified on the full 64 bits.
 
@@ -27,11 +28,11 @@ from .common import all_salts, hot_values, salt, text_of, written
 BITS = 4
 SHINGLE = 4
 SEED = 42
-BLOCKS = 6
+#: Blocks by number of nodes: 6 give keys of 21 bits, 7 of 27, 8 of 32. Links are the same with each.
+BLOCKS = ((1 << 23, 6), (1 << 29, 7), (1 << 63, 8))
 SALTS = 64
-#: A bucket with more nodes than this (and than a thousandth of all) is cut into CUTS blocks.
+#: A bucket with more nodes than this (and than a thousandth of all) is cut into blocks of about this size, which meet two by two.
 HOT_BUCKET = 4096
-CUTS = 8
 #: Reference fingerprints: fixed values, from a rule (multiples of the golden ratio's 64 bits).
 PIVOTS = np.array([(0x9E3779B97F4A7C15 * k) & (2**64 - 1) for k in range(1, 17)], dtype=np.uint64)
 _SLICE = 100_000
@@ -102,17 +103,28 @@ def fingerprints(docs: DataFrame, carry: list[str] = (), shingle: int = SHINGLE)
     return out.select("doc_id", "fp", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
-def _bucket_keys() -> Column:
-    """The bucket numbers of a node: for each pair of blocks its place and both blocks' bits."""
-    widths = [64 // BLOCKS + (k < 64 % BLOCKS) for k in range(BLOCKS)]
+def _bucket_keys(blocks: int, bits: int) -> Column:
+    """The bucket numbers of a node: for each choice of blocks that a link must share, its place and the blocks' bits."""
+    widths = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
     at = [0, *accumulate(widths)]
     block = lambda k: F.shiftrightunsigned("fp", at[k]).bitwiseAND(F.lit((1 << widths[k]) - 1))
-    return F.array(
-        *[
-            F.lit(n << 40).cast("long") + F.shiftleft(block(a), 20) + block(b)
-            for n, (a, b) in enumerate(combinations(range(BLOCKS), 2))
-        ]
-    )
+
+    def key(n: int, chosen: tuple[int, ...]) -> Column:
+        out = F.lit(n).cast("long")
+        for k in chosen:
+            out = F.shiftleft(out, widths[k]) + block(k)
+        return out
+
+    return F.array(*[key(n, chosen) for n, chosen in enumerate(combinations(range(blocks), blocks - bits))])
+
+
+def cut_cells(key: Column, member: Column, sizes: dict[int, int], room: int) -> Column:
+    """The cells to which a member of a bucket goes: in a hot one, cell (c, d) for its own block c and each other d."""
+    if not sizes:
+        return F.array(F.lit(0).cast("long"))
+    many = F.coalesce(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(-(-n // room)))])[key], F.lit(1)).cast("long")
+    own = F.pmod(F.xxhash64(member), many)
+    return F.transform(F.sequence(F.lit(0).cast("long"), many - 1), lambda d: F.least(own, d) * many + F.greatest(own, d))
 
 
 def distances(fps: np.ndarray) -> np.ndarray:
@@ -179,34 +191,36 @@ def _linked(bits: int):
             a, b = a.view(np.int64), b.view(np.int64)
             return pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))})
 
-        keys, fps = np.zeros((0, 2), dtype=np.int64), np.array([], dtype=np.uint64)
-        for batch in batches:  # sorted by key; the last run may go on in the next batch
-            more = np.stack([batch.column("key").to_numpy(), batch.column("cut").to_numpy()], axis=1)
-            keys = np.concatenate([keys, more])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            if len(keys):
-                same = np.all(keys == keys[-1], axis=1)
-                end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-                if end:
-                    yield out(keys[:end], fps[:end])
-                    keys, fps = keys[end:], fps[end:]
-        if len(keys):
-            yield out(keys, fps)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the last run, which may go on in the next batch
+        for batch in batches:  # sorted by key
+            keys = np.stack([batch.column("key").to_numpy(), batch.column("cut").to_numpy()], axis=1)
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            if held and np.any(keys[0] != held[-1][0][-1]):
+                yield out(*map(np.concatenate, zip(*held)))
+                held = []
+            ends = np.flatnonzero(np.any(keys != keys[-1], axis=1))
+            end = int(ends[-1]) + 1 if len(ends) else 0
+            if end:
+                held.append((keys[:end], fps[:end]))
+                yield out(*map(np.concatenate, zip(*held)))
+                held = []
+            held.append((keys[end:], fps[end:]))
+        if held:
+            yield out(*map(np.concatenate, zip(*held)))
 
     return work
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """u, v: links between the fingerprints of nodes (column fp, distinct), enough to connect all that are linked."""
-    keyed = nodes.select("fp", F.explode(_bucket_keys()).alias("key"))
-    hot = hot_values(keyed, "key", 1000, HOT_BUCKET)
-    if hot:
-        # block c meets block d in cut (c, d): members of a hot bucket go to all cuts of their block
-        own = F.pmod(F.xxhash64("fp"), F.lit(CUTS)).cast("int")
-        cuts = F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda d: (F.least(own, d) * CUTS + F.greatest(own, d)).cast("long"))
-        keyed = keyed.withColumn("cut", F.explode(F.when(F.col("key").isin(hot), cuts).otherwise(F.array(F.lit(0).cast("long")))))
-    else:
-        keyed = keyed.withColumn("cut", F.lit(0).cast("long"))
+    count = nodes.count()
+    blocks = next(b for most, b in BLOCKS if count <= most)
+    keyed = nodes.select("fp", F.explode(_bucket_keys(blocks, bits)).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_BUCKET, count // 1000))
+    hot = {r["key"]: r["n"] for r in sizes.collect()}  # under a thousand for each choice of blocks
+    keyed = keyed.withColumn("cut", F.explode(cut_cells(F.col("key"), F.col("fp"), hot, HOT_BUCKET)))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key", "cut").sortWithinPartitions("key", "cut")
     return dealt.mapInArrow(_linked(bits), "u long, v long").distinct()
@@ -215,16 +229,18 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for the nodes of edges (u > v), root itself left out.
 
-    Large star and small star rounds, each written to shared storage, until nothing changes.
+    Large star and small star rounds, each written to shared storage, until nothing changes. A node with very many links
+    meets its least neighbour over salted keys.
     """
     edges = written(edges, "links")
     seen = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = _meet(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = written(large, "links")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = _meet(large, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:
@@ -232,6 +248,14 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _meet(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the m of their u; least has the number n of each u's edges."""
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hot = [r["u"] for r in least.where(F.col("n") > max(1000, total // 1000)).select("u").collect()]  # under a thousand
+    spread = least.select("u", "m", F.explode(all_salts(F.col("u"), hot, SALTS)).alias("salt"))
+    return edges.withColumn("salt", salt(F.col("u"), hot, F.col("v"), SALTS)).join(spread, ["u", "salt"])
+
+
 def with_components(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Every row of marked (doc_id, fp, ...) with component_id and best, from nodes (fp, least_id) and their components."""
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
