@@ -360,6 +360,37 @@ def test_url_rules(spark):
     assert index.by_token["example"] and all(len(index.candidates(u or "")) <= len(index.rules) for u in urls)
 
 
+def test_url_rules_in_a_table(spark, monkeypatch):
+    """The join of many rules gives what the index gives, and what trying every rule on every URL gives."""
+    import random
+
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "shop", "news", "x1"]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    patterns = [rng.choice(["||{}.{}^", "^{}^{}^", "/{}*{}", "*{}-{}", "||{}.com/{}"]).format(*pick(2)) for _ in range(60)] + ["*", "^7^"]
+    rules = tuple(url_rules.Rule(p, rng.choice(["block", "allow"]), rng.choice([None, None, p.strip("|")])) for p in dict.fromkeys(patterns) if p != "*")
+    urls = [f"http://{'.'.join(pick(2))}.{rng.choice(['com', 'COM', 'org'])}/{'/'.join(pick(3))}{rng.choice(['', '?q=' + words[0], '/7'])}" for _ in range(300)]
+    urls += [None, "", "://", urls[0], "http://shop.com/" + "a/" * 50_000 + "alpha-beta"] + urls[:20]
+    pages = spark.createDataFrame([(k, u, "clash", 3) for k, u in enumerate(urls)], "page_id long, url string, token string, salt int")
+
+    def brute(url):
+        host, path = url_rules.parts(url)
+        fits = [r for r in rules if re.search(url_rules.expression(r.pattern), host + path, re.S)]
+        named = sorted((r for r in fits if r.name), key=lambda r: (-len(r.name), r.verdict != "block", r.name))
+        kinds = {r.verdict for r in fits}
+        return (host, path, named[0].name, named[0].verdict) if named else (host, path, None, "block" if kinds == {"block"} else "allow")
+
+    want = {k: brute(u) for k, u in enumerate(urls)}
+    assert len({w[2:] for w in want.values()}) > 5
+    table_of_rules = spark.createDataFrame([(r.pattern, r.verdict, r.name) for r in rules], "pattern string, verdict string, name string")
+    assert {r[0]: tuple(r[1:]) for r in url_rules.judge(pages, rules).collect()} == want
+    assert {r[0]: tuple(r[1:]) for r in url_rules.judge(pages, table_of_rules).collect()} == want
+    monkeypatch.setattr(url_rules, "MAX_RULES", 5)
+    assert {r[0]: tuple(r[1:]) for r in url_rules.judge(pages, rules).collect()} == want
+    monkeypatch.setattr(url_rules, "hot_values", lambda rows, column: ["shop", "alpha", "", "alpha.beta.com"])
+    assert {r[0]: tuple(r[1:]) for r in url_rules.judge(pages, table_of_rules).collect()} == want
+
+
 def test_empty_tables(spark):
     none = table(spark, [], ids=[])
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -5,8 +5,9 @@ A rule is a pattern over host and path: literal text with * (anything), ^ (a sep
 matching URL must hold as a whole token: the rarest of its tokens, by count over all URLs of the table. A URL looks up
 its own tokens; only the rules found there run their regular expression. Rules without such a token run always.
 
-The rule list is a parameter that the driver holds (at most MAX_RULES); the index is sent to the tasks. URLs are judged
-where they are read, without a shuffle; the token counts are one partial aggregation over the rules' own tokens.
+Up to MAX_RULES rules are sent to the tasks as an index, and URLs are judged where they are read, without a shuffle. A
+larger table of rules meets the URLs in a join on tokens, hot tokens salted; each different URL is judged once there.
+Token counts are one partial aggregation over all URLs.
 """
 
 from __future__ import annotations
@@ -15,12 +16,17 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 200_000
+from .common import all_salts, hot_values, salt
+
+#: More rules than this are joined instead of sent (about 1 kB each with their compiled expressions).
+MAX_RULES = 50_000
+SALTS = 64
 _TOKEN = re.compile("[A-Za-z0-9]+")
 _URL = re.compile(r".*?://([^/?#]*)([^?#]*)", re.S)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,14 +46,21 @@ def site(name: str, verdict: str) -> Rule:
     return Rule(f"||{name}" + ("" if "/" in name else "^"), verdict, name)
 
 
-# The rules of the contract, and host or path words of junk sites.
+def read_rules(path: str | Path) -> tuple[Rule, ...]:
+    """Rules of a local text file: verdict, pattern and perhaps a name on each line; # begins a comment."""
+    lines = (line.split("#")[0].split() for line in Path(path).read_text(encoding="utf-8").splitlines())
+    return tuple(Rule(pattern, verdict, *name) for verdict, pattern, *name in filter(None, lines))
+
+
+# The rules of the contract.
 SITES = (site("com/en/", "block"), site("example.com/en/7", "allow"), site("net/de/", "allow"), site("example.net/de/8", "block"), site("org/es/", "block"))
-JUNK = tuple(Rule(f"^{word}^", "block") for word in ("casino", "pills", "bets", "spam", "ads", "viagra", "xxx", "porn", "lottery", "warez"))
+#: Patterns of junk sites, a parameter of judge like any other list.
+JUNK = read_rules(Path(__file__).with_name("junk_rules.txt"))
 
 
 def expression(pattern: str) -> str:
-    """The regular expression of a pattern, to be searched in host + path."""
-    start = ""
+    """The regular expression of a pattern, to be searched in host + path; a * at either end says nothing."""
+    start, pattern = "", pattern.strip("*")
     if pattern.startswith("||"):
         start, pattern = r"^(?:[^/]*\.)?", pattern[2:]
     parts = {"*": ".*", "^": r"(?:^|$|[^A-Za-z0-9])"}
@@ -103,22 +116,40 @@ class Index:
         return None, "block" if "block" in verdicts and "allow" not in verdicts else "allow"
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITES + JUNK) -> DataFrame:
+def token_counts(pages: DataFrame) -> DataFrame:
+    """token, n: in how many URLs (host lower-cased, path) each token is."""
+    host, path = _host_path()
+    tokens = F.array_distinct(F.regexp_extract_all(F.concat(host, path), F.lit("[A-Za-z0-9]+"), 0))
+    return pages.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _host_path():
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    host = F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
+_JUDGED = "page_id long, host string, path string, rule string, verdict string"
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITES + JUNK) -> DataFrame:
     """page_id, host, path, rule, verdict for every row.
 
-    Named rules win by length; of equally long ones a block. Without a named rule, unnamed patterns decide: block if
-    some fits and no unnamed allow does, else allow. Null URLs have empty host and path and are allowed. Repeated rows
-    are judged alike; other columns are not read.
+    rules are a list, or a table with pattern, verdict and name (null for none). Named rules win by length; of equally
+    long ones a block. Without a named rule, unnamed patterns decide: block if some fits and no unnamed allow does, else
+    allow. Null URLs have empty host and path and are allowed. Repeated rows are judged alike, very long URLs whole;
+    other columns are not read. An empty table gives no rows.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES} at most")
+    if not isinstance(rules, DataFrame) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame([(r.pattern, r.verdict, r.name) for r in rules], "pattern string, verdict string, name string")
+    if isinstance(rules, DataFrame):
+        if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+            return _joined(pages, rules)
+        rules = tuple(Rule(*r) for r in rules.select("pattern", "verdict", "name").toLocalIterator())
     tokens = sorted({t for r in rules for t in literals(r.pattern)})
-    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     counts: dict[str, int] = {}
     if tokens:
-        in_url = F.filter(F.regexp_extract_all(F.regexp_extract(url, r"(?s)^.*?://([^?#]*)", 1), F.lit("[A-Za-z0-9]+"), 0), lambda t: t.isin(tokens))
-        counted = pages.select(F.explode(F.array_distinct(in_url)).alias("token")).groupBy("token").count()
-        counts = {r[0]: r[1] for r in counted.collect()}  # a row for each of the rules' tokens at most
+        counts = {r["token"]: r["n"] for r in token_counts(pages).where(F.col("token").isin(tokens)).collect()}  # a row for each of the rules' tokens at most
     index = Index(list(rules), counts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +165,42 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITES + JUNK) -> DataFrame
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url")).mapInArrow(
-        work, "page_id long, host string, path string, rule string, verdict string"
-    )
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(work, _JUDGED)
+
+
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rules with their regular expression and the tokens they could be filed under."""
+    for batch in batches:
+        patterns = batch.column("pattern").to_pylist()
+        made = {"id": batch.column("id"), "search": pa.array([f"(?s){expression(p)}" for p in patterns]), "tokens": pa.array([sorted(set(literals(p))) for p in patterns], pa.list_(pa.string()))}
+        yield pa.RecordBatch.from_pydict(made | {c: batch.column(c) for c in ("verdict", "name")})
+
+
+def _joined(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """As judge, with rules filed under their rarest token by joins. Rules without a token (few, as they run always) are sent whole."""
+    numbered = rules.select("pattern", "verdict", "name").distinct().withColumn("id", F.xxhash64("pattern", "verdict", "name"))
+    filed = numbered.mapInArrow(_filed, "id long, search string, tokens array<string>, verdict string, name string")
+    counted = filed.select("*", F.explode_outer("tokens").alias("token")).join(token_counts(pages), "token", "left")
+    rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token"))
+    filed = counted.groupBy("id", "search", "verdict", "name").agg(rarest.alias("token"))
+    host, path = _host_path()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = rows.select("host", "path").distinct().withColumn("text", F.concat("host", "path"))
+    asked = urls.select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0)))).alias("token"))
+    filed = filed.withColumn("token", F.coalesce("token", F.lit("")))
+    asked = asked.join(filed.select("token").distinct(), "token", "left_semi")
+    hot = hot_values(asked.select("token"), "token")
+    spread = filed.withColumn("salt", F.explode(all_salts(F.col("token"), hot, SALTS)))
+    met = asked.withColumn("salt", salt(F.col("token"), hot, F.col("text"), SALTS)).join(spread, ["token", "salt"]).where(F.expr("text RLIKE search"))
+    named = F.col("name").isNotNull()
+    best = F.min(F.when(named, F.struct((-F.length("name")).alias("long"), (F.col("verdict") != "block").alias("late"), "name", "verdict")))
+    is_any = lambda v: F.coalesce(F.max(~named & (F.col("verdict") == v)), F.lit(False))
+    judged = met.groupBy("host", "path").agg(best.alias("best"), is_any("block").alias("blocked"), is_any("allow").alias("allowed"))
+    verdict = F.coalesce("best.verdict", F.when(F.col("blocked") & ~F.col("allowed"), "block"), F.lit("allow"))
+    many = hot_values(rows.select("host"), "host")
+    judged = judged.select("host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), F.explode(all_salts(F.col("host"), many, SALTS)).alias("salt"))
+    out = rows.withColumn("salt", salt(F.col("host"), many, F.monotonically_increasing_id(), SALTS)).join(judged, ["host", "path", "salt"], "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
 def _sql_case() -> tuple[str, str]:
@@ -149,7 +213,7 @@ def _sql_case() -> tuple[str, str]:
     return f"CASE {name} END", f"CASE {verdict}"
 
 
-_WORDS = "|".join(r.pattern.strip("^") for r in JUNK)
+_JUNK_SQL = " OR ".join(f"regexp_matches(host || path, '(?s){expression(r.pattern)}')" for r in JUNK)
 ORACLE = rf"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -157,6 +221,6 @@ WITH u AS (
   FROM pages
 )
 SELECT page_id, host, path, {_sql_case()[0]} AS rule,
-       {_sql_case()[1]} WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])({_WORDS})([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+       {_sql_case()[1]} WHEN {_JUNK_SQL} THEN 'block' ELSE 'allow' END AS verdict
 FROM u
 """
