@@ -23,7 +23,7 @@ import sentencepiece
 SPACE = "▁"
 NEVER = float("inf")
 #: Bounds of what one Python worker remembers; beyond them it starts afresh, results stay the same.
-MAX_TRANSITIONS = 200_000
+MAX_TRANSITIONS = 1_000_000
 MAX_WORDS = 400_000
 MAX_PAIRS = 2_000_000
 LONGEST_KEPT = 64
