@@ -14,7 +14,7 @@ ENDINGS = r"(?i)\.(?:xyz|top|work|click|link|info|biz|win|tk|ml|ga|cf|gq|cc|ws|b
 PARAMETERS = r"(?i)\?(?:ref=|promo=|utm_|aff=)|&(?:ref=|utm_)"
 DIGIT_INSIDE = r"[а-яА-Яa-zA-Z][0-9]|[0-9][а-яА-Яa-zA-Z]"
 DOTS_INSIDE = EDGE + r"[a-zA-Zа-яА-Я][.]{1,2}[a-zA-Zа-яА-Я]"
-PHONE = r"(?<!\p{Nd})(?:\+?\p{Nd}[\s\-()]*)(?:\p{Nd}[\s\-()]*){9,14}(?!\p{Nd})"
+PHONE = rf"(?<!\p{{Nd}})(?:\+?\p{{Nd}}[{WS}\-()]*)(?:\p{{Nd}}[{WS}\-()]*){{9,14}}(?!\p{{Nd}})"
 CAPS_SHOUT = EDGE + rf"[A-ZА-ЯЁ]{{5,}}[{WS}]*!{{2,}}"
 CAPS_WORD = EDGE + r"[A-ZА-ЯЁ]{7,}" + TAIL
 WEIRD = rf"[^\p{{L}}\p{{Nd}}{WS}.,!?;:\-()\[\]{{}}\"'…]"
@@ -24,7 +24,7 @@ NAMES = [
     "length_chars_log1p", "typo_score", "max_excl_run_log1p", "max_q_run_log1p", "upper_words_count", "upper_words_ratio", "space_ratio",
     "single_letter_token_ratio", "weird_char_ratio", "has_phone",
 ]
-MINIMAL = ["caps_ratio", "repeated_chars_ratio"]
+MINIMAL = ["length_chars_log1p", "space_ratio"]
 
 
 def _count(text: Column, pattern: str) -> Column:

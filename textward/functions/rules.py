@@ -17,31 +17,62 @@ LATIN = {
     "mail": r"[a-z0-9._-]@[a-z0-9-]+\.[a-z]",
     "symbols": r"(?:&&&|\*\*\*|###|%%%|\$\$\$)",
 }
+
+
+def dialect(pattern: str) -> str:
+    """A pattern with \\b, \\w, \\s, \\S, \\d in their Unicode sense, spelled out so that all engines agree.
+
+    A word boundary before a word becomes the text's start or a character of no word, one after a word the end or such a
+    character: the same texts match, though a match takes the character in.
+    """
+    out, k, inside = "", 0, False
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == "\\b":
+            out += EDGE if k == 0 or pattern[k - 1] in "(|" else TAIL
+        elif two == "\\s":
+            out += WS if inside else f"[{WS}]"
+        elif two == "\\S":
+            out += f"[^{WS}]"
+        elif two == "\\w":
+            out += r"[\p{L}\p{N}_]"
+        elif two == "\\d":
+            out += r"\p{Nd}"
+        else:
+            inside = pattern[k] == "[" or inside and pattern[k] != "]"
+            out += pattern[k]
+            k += 1
+            continue
+        k += 2
+    return out
+
+
 # Spam categories (Russian).
-_GAP = r"[^\n]{0,25}"
-SPAM = {
-    "earnings": "|".join(
-        [
-            rf"без[{WS}]*вложений", rf"пассивн[\p{{L}}\p{{N}}_]*[{WS}]+доход" + TAIL, EDGE + rf"схем[\p{{L}}\p{{N}}_]*[{WS}]+(?:заработ|доход)",
-            EDGE + rf"реферал[\p{{L}}\p{{N}}_]*[{WS}]+(?:ссылк|код)", EDGE + rf"бонус[\p{{L}}\p{{N}}_]*[{WS}]+за[{WS}]+(?:регистрац|рег)" ,
-            EDGE + rf"(?:заработ|доход)[\p{{L}}\p{{N}}_]*[{WS}]+от[{WS}]+\p{{Nd}}", EDGE + rf"вывод[\p{{L}}\p{{N}}_]*[{WS}]+(?:на[{WS}]+)?(?:карт|кошел)",
-        ]
-    ),
-    "cta_links": "|".join(
-        [
-            r"(?:перейд|переход|(?:на)?жми|кликай|тыкай)[\p{L}\p{N}_]*[^\n]{0,20}(?:ссылк|линк|link)" + TAIL,
-            EDGE + rf"(?:на)?пиши[{WS}]+(?:в[{WS}]+)?(?:лс|личк|директ)" + TAIL, EDGE + rf"подпис[\p{{L}}\p{{N}}_]*[{WS}]+на[{WS}]+канал" + TAIL, EDGE + rf"канал[\p{{L}}\p{{N}}_]*[{WS}]+подпис",
-        ]
-    ),
-    "recruitment": "шабашк|халтурк?а|зарабатывай",
-}
+_SPAM = {
+    "earnings": r"\bбез\s*вложений\b"
+    r"|(?:заработ\w*|доход\w*)[^\n]{0,25}без\s*вложений"
+    r"|без\s*вложений[^\n]{0,25}(?:заработ|доход)"
+    r"|\bпассивн\w*\s+доход\b"
+    r"|\bсхем\w*\s+(?:заработ|доход)"
+    r"|\b(?:реферал\w*\s+(?:ссылк|код)|реферальн\w*\s+ссылк)"
+    r"|\bбонус\w*\s+за\s+(?:регистрац|рег)\b"
+    r"|\b(?:заработ|доход)\w*\s+от\s+\d"
+    r"|\bвывод\w*\s+(?:на\s+)?(?:карт|кошел)",
+    "cta_links": r"(?:перейд|переход|(?:на)?жми|кликай|тыкай)\w*[^\n]{0,20}(?:ссылк|линк|link)\b"
+    r"|\b(?:на)?пиши\s+(?:в\s+)?(?:лс|личк|директ)\b"
+    r"|\bподпис\w*\s+на\s+канал\b"
+    r"|\bканал\w*\s+подпис",
+    "recruitment": r"шабашк|халтурк?а|зарабатывай",
+}
 # Toxicity categories (Russian insults).
-TOXIC = {
-    "хуй": EDGE + r"(?:(?:по|ни|на|а|о)?ху[ейяию]|аху)|" + EDGE + r"херов|херн|" + EDGE + r"(?:хули|хер)" + TAIL + "|титьк|сиськ",
-    "бля": EDGE + r"бл[яеэ]+(?:[тд]ь?)?" + TAIL + r"|бляд|жоп|залуп|г[ао]ндон|д[еи]бил|ч[ьъ]?мо|идиот|ублюд|шлюх|урод|д[оа]лб[ао]",
-    "пиздец": r"п[еи]?зде?ц?|" + EDGE + "пиз" + TAIL + r"|пид[оа]?р|" + EDGE + "трах",
-    "говно": r"г[ао]вн|" + EDGE + "дерьмо" + TAIL,
+_TOXIC = {
+    "хуй": r"\b(?:(?:по|ни|на|а|о)?ху[ейяию]|аху)\S*|\bхеров|херн|\b(?:хули|ху?[\sй]?н[яюе]|х\s?у?ета?|хер)\b|титьк|сиськ",
+    "бля": r"\bбл[яеэ]+(?:[тд]ь?)?\b|бляд|жоп|залуп\S*|г[ао]ндон|д[еи]бил|ч[ьъ]?мо|идиот|ублюд|шлюх|урод|д[оа]лб[ао]",
+    "пиздец": r"п[еи]?зде?ц?|\bпиз\b|пид[оа]?р|\bтрах",
+    "говно": r"г[ао]вн|\bдерьмо\b",
 }
+SPAM = {name: dialect(pattern) for name, pattern in _SPAM.items()}
+TOXIC = {name: dialect(pattern) for name, pattern in _TOXIC.items()}
 
 
 def alternatives(pattern: str) -> list[str]:

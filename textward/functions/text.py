@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # White space in the sense of Unicode, with U+001C to U+001F.
@@ -90,7 +90,7 @@ def core(word: Column) -> Column:
 def is_caps(word: Column) -> Column:
     """At least two letters, and a letter after the first that is upper case."""
     letters = replace(core(word), r"[^\p{L}]", "")
-    return (F.length(letters) >= 2) & F.substring(letters, 2, 1 << 20).rlike(r"\p{Lu}")
+    return letters.rlike(r"(?s)^.+\p{Lu}")
 
 
 def split_caps(text: Column) -> tuple[Column, Column]:
@@ -105,8 +105,23 @@ def cache_key(text: Column, case_sensitive: bool = False) -> Column:
     return F.concat(F.lit("moderation:cache:"), F.sha2(own if case_sensitive else F.lower(own), 256))
 
 
-def char_ngrams(text: Column, least: int, most: int) -> Column:
-    """Character n-grams inside words, each padded by one space: a word shorter than n is emitted once, then no longer n."""
+def gram_counts(rows: DataFrame, keys: list[str], text: Column, least: int, most: int) -> DataFrame:
+    """keys, term, tf: character n-grams inside words, each padded by one space, counted per keys.
+
+    A word that is shorter than n with its spaces is emitted once, at the first such n. Words are counted first, then
+    every place of a word gives its n-grams of all sizes: no step leaves generated code. Where rows are dealt by some of
+    the keys, nothing is sent; the n-grams of a text never are.
+    """
+    words = rows.select(*keys, F.explode(F.split(text, rf"[{WS}]+")).alias("word")).where("word <> ''")
+    padded = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("times")).select(*keys, F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"), "times")
+    placed = padded.select(*keys, "padded", "times", F.explode(F.sequence(F.lit(1), F.char_length("padded"))).alias("at"))
+    sized = F.inline(F.array(*[F.struct(F.substring("padded", F.col("at"), F.lit(n)).alias("term"), F.lit(n).alias("n")) for n in range(least, most + 1)]))
+    grams = placed.select(*keys, "times", "at", sized).where((F.char_length("term") == F.col("n")) | ((F.col("at") == 1) & (F.col("n") == least)))
+    return grams.groupBy(*keys, "term").agg(F.sum("times").alias("tf"))
+
+
+def char_ngrams(text: Column, least: int, most: int, lower: bool = True) -> Column:
+    """Character n-grams of a text as an array: words padded by one space, a word shorter than n once, then no longer n."""
 
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
@@ -122,4 +137,4 @@ def char_ngrams(text: Column, least: int, most: int) -> Column:
         sizes = F.filter(sizes, lambda n: (n == least) | (size > n - 1))
         return F.flatten(F.transform(sizes, of_size))
 
-    return F.flatten(F.transform(tokens(F.lower(clean(text))), of_word))
+    return F.flatten(F.transform(tokens(F.lower(clean(text)) if lower else clean(text)), of_word))

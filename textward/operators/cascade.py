@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features, rules, text
+from ..sources.tables import scratch
+from .models import Model, scores
 
 # The fallback chain and the models' limits in seconds.
 CHAIN = ["tfidf", "bert", "rnn", "regex"]
@@ -15,57 +18,82 @@ LIMITS = {"regex": 0.05, "tfidf": 0.1, "rnn": 0.5, "bert": 1.0}
 OTHER_LIMIT = 0.2
 
 
-def symbol_score(text_col: Column) -> Column:
-    """A stand-in scorer as a Column: share of symbols and digits."""
-    return F.coalesce(F.try_divide(F.regexp_count(text_col, F.lit(r"[^\p{L}\p{Z}\x09-\x0d]")).cast("double"), F.length(text_col).cast("double")), F.lit(0.0))
+def classify(
+    df: DataFrame, mode: str = "both", toxic: dict[str, str] = rules.LATIN, junk: dict[str, str] = rules.SPAM, tox_model: Model | None = None, spam_model: Model | None = None, key: str = "doc_id"
+) -> DataFrame:
+    """df (key, text and more) with both verdicts; a side that the mode switches off is a stub and is never planned.
 
-
-def _evidence(t: Column, toxic: dict[str, str], junk: dict[str, str], scorer: Callable[[Column], Column]) -> dict[str, list[Column]]:
-    """What each side's verdict rests on, computed once per row; the scorers run only on what the rules miss."""
-    blank = text.strip(text.clean(t)) == ""
-    tox_hit, junk_hit = rules.any_hit(t, toxic), rules.any_hit(t, junk)
-    caps = features.matches_caps_shout(t) | features.matches_caps_word(t)
-    tox_score = F.when(tox_hit, 1.0).when(blank, 0.0).otherwise(scorer(text.normalise(t)))
-    return {
-        "tox": [tox_hit.alias("_tox_hit"), tox_score.alias("_tox_score")],
-        "spam": [junk_hit.alias("_spam_hit"), F.when(junk_hit | caps, 1.0).when(blank, 0.0).otherwise(scorer(text.process_spam(t))).alias("_spam_score")],
-    }
-
-
-def toxicity(t: Column, patterns: dict[str, str], threshold: float = 0.5) -> list[Column]:
-    """Rules first; the scorer decides on what they miss. Empty text is a stub, blank text scores 0 in stage two."""
-    empty, hit, score = text.clean(t) == "", F.col("_tox_hit"), F.col("_tox_score")
+    Rules first: they are searched once per row. What they miss goes to the side's model, if there is one (else the
+    verdict is the rules' own, score 0, and says so). On the spam side capitals rules decide with score 1 before the
+    model. Empty text is a stub, blank text scores 0. Different texts of a key are scored once.
+    """
+    if mode not in ("both", "tox_only", "spam_only"):
+        raise ValueError(f"mode {mode}")
+    t, names = F.col("text"), df.columns
+    empty = text.clean(t) == ""
+    found = {"_empty": empty, "_blank": text.strip(text.clean(t)) == ""}
+    if mode != "spam_only":
+        found |= {"_tox_hit": rules.any_hit(t, toxic)}
+    if mode != "tox_only":
+        found |= {"_spam_hit": rules.any_hit(t, junk), "_caps": features.matches_caps_shout(t) | features.matches_caps_word(t)}
+    rows = df.withColumns(found)
+    if mode != "spam_only":
+        rows = rows.withColumn("_types", F.when(F.col("_tox_hit"), rules.names(rules.categories(t, toxic))).otherwise(""))
+    rows = rows.withColumn("_tox_score", F.lit(0.0)).withColumn("_spam_score", F.lit(0.0))
+    sides = [("tox", tox_model if mode != "spam_only" else None, ["_tox_hit", "_blank"]), ("spam", spam_model if mode != "tox_only" else None, ["_spam_hit", "_caps", "_blank"])]
+    if any(model for _, model, _ in sides):
+        # what the rules found is kept, so no search runs again for the branches below
+        path = scratch(df.sparkSession, "rule-hits")
+        rows.write.parquet(path)
+        rows = df.sparkSession.read.schema(rows.schema).parquet(path).withColumn("_h", F.xxhash64("text"))
+        base = rows
+        for side, model, known in sides:
+            if model:
+                missed = base.where(~reduce(or_, [F.col(c) for c in known])).select(key, "text")
+                made = scores(model, missed, key).select(F.col(key), F.col("h").alias("_h"), F.col("score").alias("_made"))
+                rows = rows.drop(f"_{side}_score").join(made, [key, "_h"], "left").withColumn(f"_{side}_score", F.coalesce("_made", F.lit(0.0))).drop("_made")
+    own = [F.col(f"`{c}`") for c in names]
+    return rows.select(*own, *(_tox_stub() if mode == "spam_only" else _toxicity(tox_model)), *(_spam_stub() if mode == "tox_only" else _spam(spam_model)))
+
+
+def merge(messages: DataFrame, tox: DataFrame, spam: DataFrame, key: str) -> DataFrame:
+    """messages (key) with the verdicts of both sides, judged apart; a message that a side lacks gets its stub."""
+    sides = [(tox, _tox_stub(), ["is_toxic", "toxicity_score", "toxicity_types", "tox_model_used"]), (spam, _spam_stub(), ["is_spam", "spam_score", "spam_model_used"])]
+    for verdicts, stub, names in sides:
+        messages = messages.join(verdicts.select(key, *names), key, "left").withColumns({n: F.coalesce(n, s) for n, s in zip(names, stub)})
+    return messages
+
+
+def _tox_stub() -> list[Column]:
+    return [F.lit(False).alias("is_toxic"), F.lit(0.0).alias("toxicity_score"), F.lit("").alias("toxicity_types"), F.lit(None).cast("string").alias("tox_model_used")]
+
+
+def _spam_stub() -> list[Column]:
+    return [F.lit(False).alias("is_spam"), F.lit(0.0).alias("spam_score"), F.lit(None).cast("string").alias("spam_model_used")]
+
+
+def _toxicity(model: Model | None) -> list[Column]:
+    empty, hit = F.col("_empty"), F.col("_tox_hit")
+    score = F.when(hit, 1.0).when(F.col("_blank"), 0.0).otherwise(F.col("_tox_score"))
     return [
-        F.when(empty, False).otherwise(score >= threshold).alias("is_toxic"),
+        F.when(empty, False).otherwise(score >= (model.threshold if model else 0.5)).alias("is_toxic"),
         F.when(empty, 0.0).otherwise(score).alias("toxicity_score"),
-        F.when(hit, rules.names(rules.categories(t, patterns))).otherwise("").alias("toxicity_types"),
-        F.when(empty, None).when(hit, "regex").otherwise("tfidf").alias("tox_model_used"),
+        F.col("_types").alias("toxicity_types"),
+        F.when(empty, None).when(hit, "regex").otherwise("tfidf" if model else "regex").alias("tox_model_used"),
     ]
 
 
-def spam(t: Column, threshold: float = 0.5) -> list[Column]:
-    """Rules, then in stage two capitals rules with score 1 before the scorer."""
-    empty, hit, score = text.clean(t) == "", F.col("_spam_hit"), F.col("_spam_score")
+def _spam(model: Model | None) -> list[Column]:
+    """Without a model the capitals rules, which belong to stage two, do not decide."""
+    empty, hit = F.col("_empty"), F.col("_spam_hit")
+    score = F.when(hit, 1.0).when(F.col("_caps") & F.lit(model is not None), 1.0).when(F.col("_blank"), 0.0).otherwise(F.col("_spam_score"))
     return [
-        F.when(empty, False).otherwise(score >= threshold).alias("is_spam"),
+        F.when(empty, False).otherwise(score >= (model.threshold if model else 0.5)).alias("is_spam"),
         F.when(empty, 0.0).otherwise(score).alias("spam_score"),
-        F.when(empty, None).when(hit, "regex").otherwise("tfidf").alias("spam_model_used"),
+        F.when(empty, None).when(hit, "regex").otherwise("tfidf" if model else "regex").alias("spam_model_used"),
     ]
 
 
-def classify(df: DataFrame, mode: str = "both", column: str = "text", toxic: dict[str, str] = rules.LATIN, junk: dict[str, str] = rules.SPAM, scorer: Callable[[Column], Column] = symbol_score) -> DataFrame:
-    """df with both verdicts; a side that the mode switches off is a stub and is never planned."""
-    if mode not in ("both", "tox_only", "spam_only"):
-        raise ValueError(f"mode {mode}")
-    t = F.col(column)
-    tox_stub = [F.lit(False).alias("is_toxic"), F.lit(0.0).alias("toxicity_score"), F.lit("").alias("toxicity_types"), F.lit(None).cast("string").alias("tox_model_used")]
-    spam_stub = [F.lit(False).alias("is_spam"), F.lit(0.0).alias("spam_score"), F.lit(None).cast("string").alias("spam_model_used")]
-    evidence = _evidence(t, toxic, junk, scorer)
-    used = [c for side, columns in evidence.items() if mode in ("both", f"{side}_only") for c in columns]
-    tox = tox_stub if mode == "spam_only" else toxicity(t, toxic)
-    return df.select("*", *used).select(*[F.col(f"`{c}`") for c in df.columns], *tox, *(spam_stub if mode == "tox_only" else spam(t)))
-
-
 def fallback(attempts: DataFrame, preferred: str | None = None, chain: list[str] = CHAIN) -> DataFrame:
     """For (msg, model, score, error, elapsed): the first usable model of the chain, the preferred one before it."""
     order = ([preferred] if preferred else []) + [m for m in chain if m != preferred]

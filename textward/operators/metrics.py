@@ -109,3 +109,11 @@ def percentiles(value: Column, shares: tuple[float, ...] = (0.5, 0.95, 0.99, 0.9
     """Exact, linearly interpolated percentiles with count, mean, min, max."""
     made = [F.round(F.percentile(value, p), 6).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in shares]
     return [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *made]
+
+
+def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with columns less their mean, over their population deviation (1 where that is 0): one aggregation."""
+    stats = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.avg, F.stddev_pop)])  # one row
+    rows = df.join(F.broadcast(stats))
+    own = {c: (F.col(c) - F.col(f"avg_{c}")) / F.when(F.col(f"stddev_pop_{c}") == 0, 1.0).otherwise(F.col(f"stddev_pop_{c}")) for c in columns}
+    return rows.select(*[own[c].alias(c) if c in own else F.col(c) for c in df.columns])

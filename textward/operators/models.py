@@ -1,101 +1,209 @@
-"""TF-IDF with linear models on Spark ML, saved with their metadata."""
+"""TF-IDF over character n-grams with linear models: native joins for weights and scores, Spark ML for the fits.
+
+A fitted model is a table of terms with their idf and coefficient, of bounded size, plus a few numbers. Scoring joins a
+document's n-grams with it; nothing but the table of terms is broadcast.
+"""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import features
 from ..functions import text as tx
+from ..sources.tables import scratch
 from .corpus import split
-from .metrics import average_precision, class_weights, curve
+from .metrics import average_precision, best_threshold, class_weights, curve
+
+#: Terms of a vocabulary at most: a table of this size is broadcast (some 5 MB).
+SIZE = 45_000
+FLAVOURS = ("toxicity", "spam", "dual")
+
+
+@dataclass
+class Model:
+    """terms: part, term, idf, coefficient. extra: hand-made features with mean, deviation and coefficient."""
+
+    terms: DataFrame
+    intercept: float
+    flavour: str = "toxicity"
+    sizes: tuple[int, int] = (3, 4)
+    threshold: float = 0.5
+    extra: list[tuple[str, float, float, float]] = field(default_factory=list)
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """Character n-grams of the normalised text; blank texts have none."""
-    return df.withColumn("grams", tx.char_ngrams(tx.normalise(F.col("text")), 3, 4))
+def parts(text: Column, flavour: str) -> list[tuple[str, Column]]:
+    """The texts whose n-grams a flavour weighs, each with a vocabulary of its own; case is kept on the spam side."""
+    if flavour == "toxicity":
+        return [("all", tx.normalise(text))]
+    if flavour == "spam":
+        return [("all", tx.process_spam(text))]
+    if flavour == "dual":
+        caps, rest = tx.split_caps(tx.process_spam(text))
+        return [("caps", caps), ("rest", rest)]
+    raise ValueError(f"flavour {flavour}; known are {FLAVOURS}")
 
 
-def _vectors(rows: DataFrame, size: int, grams: str = "grams", mark: str = "") -> tuple[list, DataFrame]:
-    """The fitted stages up to one normalised TF-IDF column, and rows with it in place of the n-grams.
+def _rows(df: DataFrame, key: str, flavour: str, *others: Column) -> DataFrame:
+    """key, h (hash of the text), text, others, and the parts of the text; equal rows once.
 
-    N-grams are made once to count the vocabulary and once to vectorise; later passes read the small kept vectors.
+    Rows are dealt by key and text, so that all counts of a text stay in its task.
     """
-    terms = CountVectorizer(inputCol=grams, outputCol=f"tf{mark}", vocabSize=size, minDF=2.0).fit(rows)
-    counted = terms.transform(rows).drop(grams).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = IDF(inputCol=f"tf{mark}", outputCol=f"tfidf{mark}").fit(counted)
-    unit = Normalizer(inputCol=f"tfidf{mark}", outputCol=f"features{mark}")
-    return [terms, weights, unit], unit.transform(weights.transform(counted))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.select(F.col(key), F.xxhash64("text").alias("h"), "text", *others).repartition(n, key, "h").distinct()
+    return own.withColumn("parts", F.array(*[F.struct(F.lit(name).alias("part"), c.alias("made")) for name, c in parts(F.col("text"), flavour)]))
 
 
-def _balanced(rows: DataFrame) -> tuple[DataFrame, int]:
-    """rows with their class weights, and how many they are: one count per class, so the weights fit in an expression."""
-    found = class_weights(rows).select("label", "n", "weight").collect()  # a row per class
-    weight = F.lit(0.0)
-    for r in found:
-        weight = F.when(F.col("label") == r["label"], float(r["weight"])).otherwise(weight)
-    return rows.withColumn("weight", weight), sum(r["n"] for r in found)
+def counts(rows: DataFrame, key: str, sizes: tuple[int, int]) -> DataFrame:
+    """key, h, part, term, tf of rows."""
+    return tx.gram_counts(rows.select(key, "h", F.inline("parts")), [key, "h", "part"], F.col("made"), *sizes)
 
 
-def _logistic(rows: DataFrame, c: float) -> LogisticRegressionModel:
-    weighted, n = _balanced(rows)
-    return LogisticRegression(labelCol="label", weightCol="weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50).fit(weighted)
+def vocabulary(tf: DataFrame, n: int, size: int = SIZE, min_df: int = 2, max_df: float = 1.0) -> DataFrame:
+    """part, term, total, df: terms in min_df documents at least and a share of max_df at most, the `size` commonest."""
+    found = tf.groupBy("part", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    return found.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "part", "term").limit(size)
 
 
-def fit(df: DataFrame, c: float = 1.0, size: int = 2000) -> PipelineModel:
-    """Logistic regression with balanced class weights on (text, label); regParam 1 / (C n)."""
-    stages, rows = _vectors(prepared(df.where("label IS NOT NULL")), size)
-    return PipelineModel(stages=[*stages, _logistic(rows, c)])
+def weighted(tf: DataFrame, terms: DataFrame) -> DataFrame:
+    """tf with w = (1 + ln tf) idf for the terms of a vocabulary (with idf)."""
+    return tf.join(F.broadcast(terms), ["part", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
 
 
-def fit_bayes(df: DataFrame, alpha: float = 1.0, size: int = 2000) -> PipelineModel:
-    """Complement naive Bayes on the same vectors."""
-    stages, rows = _vectors(prepared(df.where("label IS NOT NULL")), size)
-    return PipelineModel(stages=[*stages, NaiveBayes(labelCol="label", modelType="complement", smoothing=alpha).fit(rows)])
+def with_idf(terms: DataFrame, n: int) -> DataFrame:
+    return terms.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
-def prepared_dual(df: DataFrame) -> DataFrame:
-    """Two vocabularies' n-grams: of the capitals words, case kept, and of the rest; without stop words."""
-    caps, rest = tx.split_caps(tx.process_spam(F.col("text")))
-    return df.withColumns({"grams_caps": tx.char_ngrams(caps, 3, 4), "grams": tx.char_ngrams(rest, 3, 4)})
+def _kept(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
-def fit_dual(df: DataFrame, c: float = 1.0, size: int = 2000) -> PipelineModel:
-    """Logistic regression on [TF-IDF of capitals words | TF-IDF of the rest], each with a vocabulary of its own."""
-    caps, rows = _vectors(prepared_dual(df.where("label IS NOT NULL")), size, "grams_caps", "_caps")
-    rest, rows = _vectors(rows, size, mark="_rest")
-    both = VectorAssembler(inputCols=["features_caps", "features_rest"], outputCol="features")
-    return PipelineModel(stages=[*caps, *rest, both, _logistic(both.transform(rows), c)])
+def _blank(rows: DataFrame) -> Column:
+    return F.array_join(F.transform("parts", lambda p: p["made"]), "") == ""
 
 
-def score_dual(model: PipelineModel, df: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """As score, for fit_dual; texts without words score 0."""
-    out = model.transform(prepared_dual(df)).withColumn("p", vector_to_array("probability")[1])
-    s = F.when((F.size("grams") == 0) & (F.size("grams_caps") == 0), 0.0).otherwise(F.col("p"))
-    return out.select(key, F.round(s, 6).alias("score"), (s >= threshold).alias("decided"))
+def _training(df: DataFrame, key: str, flavour: str, sizes: tuple[int, int], size: int, min_df: int, max_df: float, names: list[str]) -> tuple[DataFrame, DataFrame, list[tuple[str, float, float]]]:
+    """Rows of (label, vector), the vocabulary with idf and idx, and mean and population deviation of each feature.
 
+    Texts without words are left out, on the spam side also those that a capitals rule decides. Vectors have unit length
+    in each part and are kept as a table.
+    """
+    extra = features.features(F.col("text"), names) if names else []
+    rows = _rows(df.where("label IS NOT NULL"), key, flavour, F.col("label").cast("int").alias("label"), *extra)
+    if flavour != "toxicity":
+        rows = rows.where(~(features.matches_caps_shout(F.col("text")) | features.matches_caps_word(F.col("text"))))
+    rows = rows.where(~_blank(rows))
+    tf = _kept(counts(rows, key, sizes), "gram-counts")
+    plain = _kept(rows.select(key, "h", "label", *names), "training-rows")
+    n = plain.count()
+    terms = with_idf(vocabulary(tf, n, size, min_df, max_df), n)
+    order = F.row_number().over(tx.Window.orderBy(F.desc("total"), "part", "term")) - 1  # `size` rows at most
+    terms = _kept(terms.withColumn("idx", order), "vocabulary")
+    stats = plain.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.avg, F.stddev_pop)]).first() if names else {}
+    scaled = [(c, stats[f"avg_{c}"] or 0.0, stats[f"stddev_pop_{c}"] or 1.0) for c in features.NAMES if c in names]
+    unit = weighted(tf, terms).groupBy(key, "h", "part").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("own"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = unit.select(key, "h", F.transform("own", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("norm")).alias("w"))).alias("own"))
+    unit = unit.groupBy(key, "h").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own"))
+    wide = terms.count()
+    tail = F.array(*[F.struct(F.lit(wide + k).alias("idx"), ((F.col(c) - m) / s).cast("double").alias("w")) for k, (c, m, s) in enumerate(scaled)]) if scaled else F.array().cast("array<struct<idx:int,w:double>>")
+    made = plain.join(unit, [key, "h"], "left").withColumn("own", F.concat(F.coalesce("own", F.array()), tail))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(wide + len(scaled)).alias("size"), F.transform("own", lambda x: x["idx"]).alias("indices"), F.transform("own", lambda x: x["w"]).alias("values"))
+    # a vector column is stored as this struct, so the kept table is read back as vectors
+    vectors = made.select(F.col("label").cast("double").alias("label"), vector.alias("features"))
+    return _kept(vectors, "vectors", StructType().add("label", "double").add("features", VectorUDT())), terms, scaled
+
+
+def _logistic(vectors: DataFrame, c: float):
+    found = class_weights(vectors).select("label", "n", "weight").collect()  # a row per class
+    weight = F.lit(0.0)
+    for r in found:
+        weight = F.when(F.col("label") == r["label"], float(r["weight"])).otherwise(weight)
+    n = sum(r["n"] for r in found)
+    return LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50).fit(vectors.withColumn("weight", weight))
 
-def score(model: PipelineModel, df: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """key, score, decided; blank texts score 0."""
-    out = model.transform(prepared(df)).withColumn("p", vector_to_array("probability")[1])
-    s = F.when(F.size("grams") == 0, 0.0).otherwise(F.col("p"))
-    return out.select(key, F.round(s, 6).alias("score"), (s >= threshold).alias("decided"))
 
+def fit(df: DataFrame, flavour: str = "toxicity", c: float = 1.0, size: int = SIZE, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: float = 1.0, names: list[str] | None = None, key: str = "doc_id") -> Model:
+    """Logistic regression with balanced class weights and regParam 1 / (C n) on (key, text, label).
 
-def score_spam(model: PipelineModel, df: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """As score, but the capitals rules decide first, with score 1."""
-    rule = features.matches_caps_shout(F.col("text")) | features.matches_caps_word(F.col("text"))
-    out = model.transform(prepared(df)).withColumn("p", vector_to_array("probability")[1])
-    s = F.when(rule, 1.0).when(F.size("grams") == 0, 0.0).otherwise(F.col("p"))
-    return out.select(key, F.round(s, 6).alias("score"), (s >= threshold).alias("decided"))
+    The vectors are [TF-IDF | scaled hand-made features]; the spam flavours take all features unless names says which.
+    """
+    names = (features.NAMES if flavour != "toxicity" else []) if names is None else [n for n in features.NAMES if n in names]
+    vectors, terms, scaled = _training(df, key, flavour, sizes, size, min_df, max_df, names)
+    fitted = _logistic(vectors, c)
+    coefficients = fitted.coefficients.toArray().tolist()  # size + 17 numbers at most
+    wide = len(coefficients) - len(scaled)
+    table = df.sparkSession.createDataFrame(list(enumerate(coefficients[:wide])), "idx int, coefficient double")
+    own = _kept(terms.join(F.broadcast(table), "idx").select("part", "term", "idf", "coefficient"), "model")
+    return Model(own, float(fitted.intercept), flavour, sizes, 0.5, [(*s, coefficients[wide + k]) for k, s in enumerate(scaled)])
+
+
+def fit_bayes(df: DataFrame, flavour: str = "toxicity", alpha: float = 1.0, size: int = SIZE, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: float = 1.0, key: str = "doc_id") -> Model:
+    """Complement naive Bayes on unit TF-IDF vectors, in closed form: one aggregation over weights.
+
+    A class is judged by the terms of the other's documents, so a term's coefficient is the log ratio of its smoothed
+    shares in label 1 and in label 0; the two-class score is their sum through a logistic function.
+    """
+    rows = _rows(df.where("label IS NOT NULL"), key, flavour, F.col("label").cast("int").alias("label"))
+    rows = rows.where(~_blank(rows))
+    plain = _kept(rows.select(key, "h", "label"), "training-rows")
+    tf = _kept(counts(rows, key, sizes).join(plain, [key, "h"]), "gram-counts")
+    n = plain.count()
+    terms = _kept(with_idf(vocabulary(tf, n, size, min_df, max_df), n).select("part", "term", "idf"), "vocabulary")
+    w = weighted(tf, terms)
+    norms = w.groupBy(key, "h", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    w = w.join(norms, [key, "h", "part"]).withColumn("w", F.col("w") / F.col("norm"))
+    of = lambda y: F.sum(F.when(F.col("label") == y, F.col("w")).otherwise(0.0))
+    sums = _kept(w.groupBy("part", "term").agg(of(1).alias("w1"), of(0).alias("w0")), "class-weights")
+    s1, s0, v = sums.agg(F.sum("w1"), F.sum("w0"), F.count(F.lit(1))).first()
+    share = lambda x, s: F.log((F.col(x) + alpha) / F.lit(float((s or 0.0) + alpha * v)))
+    own = terms.join(F.broadcast(sums), ["part", "term"]).select("part", "term", "idf", (share("w1", s1) - share("w0", s0)).alias("coefficient"))
+    return Model(_kept(own, "model"), 0.0, flavour, sizes)
+
+
+def scores(model: Model, df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, h, score of each different (key, text) that has words."""
+    extra = [features.feature(name, F.col("text")).alias(name) for name, *_ in model.extra]
+    rows = _rows(df, key, model.flavour, *extra)
+    names = [name for name, *_ in model.extra]
+    tf = tx.gram_counts(rows.select(key, "h", *names, F.inline("parts")), [key, "h", *names, "part"], F.col("made"), *model.sizes)
+    w = tf.join(F.broadcast(model.terms), ["part", "term"], "left").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    dot = F.sum(F.col("w") * F.col("coefficient")) / F.sqrt(F.sum(F.col("w") * F.col("w")))
+    dots = w.groupBy(key, "h", *names, "part").agg(dot.alias("dot")).groupBy(key, "h", *names).agg(F.coalesce(F.sum("dot"), F.lit(0.0)).alias("dot"))
+    hand = F.lit(model.intercept)
+    for name, mean, deviation, coefficient in model.extra:
+        hand = hand + (F.col(name) - mean) / deviation * coefficient
+    return dots.select(key, "h", (1 / (1 + F.exp(-(hand + F.col("dot"))))).alias("score"))
+
+
+def scored(model: Model, df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df (key, text and more) with score: 0 for texts without words, 1 by a capitals rule on the spam side, else the model's."""
+    out = df.withColumn("h", F.xxhash64("text")).join(scores(model, df, key), [key, "h"], "left")
+    score = F.coalesce("score", F.lit(0.0))
+    if model.flavour != "toxicity":
+        score = F.when(features.matches_caps_shout(F.col("text")) | features.matches_caps_word(F.col("text")), 1.0).otherwise(score)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], score.alias("score"))
+
+
+def score(model: Model, df: DataFrame, key: str = "doc_id", threshold: float | None = None) -> DataFrame:
+    """key, score, decided; the threshold is the model's unless given."""
+    limit = model.threshold if threshold is None else threshold
+    out = scored(model, df.select(key, "text"), key).withColumn("score", F.round("score", 6))
+    return out.select(key, "score", (F.col("score") >= limit).alias("decided"))
+
+
+def with_threshold(model: Model, df: DataFrame, floor: float = 0.9, by: str = "f1", key: str = "doc_id") -> Model:
+    """The model with the threshold that is best on labelled rows."""
+    points = curve(scored(model, df.where("label IS NOT NULL"), key).select("score", "label"))
+    return replace(model, threshold=best_threshold(points, floor, by).first()[0])
 
 
 def batch_scores(df: DataFrame, scorer: Callable[[list[str]], list[float]], key: str = "doc_id", size: int = 64) -> DataFrame:
@@ -115,36 +223,48 @@ def batch_scores(df: DataFrame, scorer: Callable[[list[str]], list[float]], key:
     return rows.mapInPandas(work, f"{key} {dict(df.dtypes)[key]}, score double")
 
 
-def importance(model: PipelineModel) -> DataFrame:
-    """term, coefficient of the linear model, largest absolute value first; a row per term of the bounded vocabulary."""
-    terms, coefficients = model.stages[0].vocabulary, model.stages[-1].coefficients.toArray().tolist()
-    rows = SparkSession.getActiveSession().createDataFrame(list(zip(terms, coefficients)), "term string, coefficient double")
-    return rows.orderBy(F.abs("coefficient").desc(), "term")
+def importance(model: Model) -> DataFrame:
+    """part, term, coefficient of terms and hand-made features, largest absolute value first."""
+    spark = model.terms.sparkSession
+    hand = spark.createDataFrame([("feature", name, float(c)) for name, _, _, c in model.extra], "part string, term string, coefficient double")
+    return model.terms.select("part", "term", "coefficient").unionByName(hand).orderBy(F.abs("coefficient").desc(), "part", "term")
 
 
-def search(df: DataFrame, penalties: list[float], folds: int = 3, size: int = 2000) -> DataFrame:
-    """c, ap: mean average precision over folds; the vocabulary is fitted on the training folds only."""
-    rows = split(df.where("label IS NOT NULL"), "label", "doc_id", {"all": 1.0}).withColumn("fold", F.col("rank") % folds)
+def search(df: DataFrame, trials: list[dict], folds: int = 3, val: DataFrame | None = None, by: str = "ap", floor: float = 0.9, key: str = "doc_id", flavour: str = "toxicity") -> DataFrame:
+    """trial, params, objective of each of the trials (arguments of fit): mean over folds, or on fixed validation rows.
+
+    by is ap (average precision) or f1 (best F1 at a precision of floor or more). Vocabulary, scaling and model are fitted
+    on the training rows of a fold only.
+    """
+    labelled = df.where("label IS NOT NULL")
+    if val is None:
+        ranked = _kept(split(labelled, "label", key, {"all": 1.0}).withColumn("fold", F.col("rank") % folds), "folds")
+        pairs = [(ranked.where(F.col("fold") != k), ranked.where(F.col("fold") == k)) for k in range(folds)]
+    else:
+        pairs = [(labelled, val.where("label IS NOT NULL"))]
     found = []
-    for fold in range(folds):
-        stages, train = _vectors(prepared(rows.where(F.col("fold") != fold)), size)
-        held = PipelineModel(stages=stages).transform(prepared(rows.where(F.col("fold") == fold)))
-        held = held.select("label", (F.size("grams") == 0).alias("blank"), "features").persist(StorageLevel.MEMORY_AND_DISK)
-        for c in penalties:
-            p = vector_to_array(F.col("probability"))[1]
-            scored = _logistic(train, c).transform(held).select("label", F.round(F.when(F.col("blank"), 0.0).otherwise(p), 6).alias("score"))
-            found.append((float(c), float(average_precision(curve(scored)).first()[0] or 0.0)))
-        held.unpersist()
-    table = df.sparkSession.createDataFrame(found, "c double, ap double")  # penalties x folds rows
-    return table.groupBy("c").agg(F.round(F.avg("ap"), 6).alias("ap"))
-
-
-def save(model: PipelineModel, path: str, metadata: dict) -> None:
-    """The model with its metadata (threshold, parameters) beside it."""
-    model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-
-
-def load(spark, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    for number, params in enumerate(trials):
+        for train, held in pairs:
+            points = curve(scored(fit(train.select(key, "text", "label"), flavour=flavour, key=key, **params), held.select(key, "text", "label"), key).select(F.round("score", 6).alias("score"), "label"))
+            if by == "ap":
+                reached = average_precision(points).first()[0]
+            else:
+                p, r = F.col("precision"), F.col("recall")
+                reached = points.where(p >= floor).agg(F.max(F.try_divide(2 * p * r, p + r))).first()[0]
+            found.append((number, json.dumps(params, sort_keys=True), float(reached or 0.0)))
+    table = df.sparkSession.createDataFrame(found, "trial int, params string, objective double")  # trials x folds rows
+    return table.groupBy("trial", "params").agg(F.round(F.avg("objective"), 6).alias("objective"))
+
+
+def save(model: Model, path: str, **more) -> None:
+    """The model's terms, and beside them its metadata: threshold, flavour, n-gram sizes, features, and what else is given."""
+    model.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    metadata = {"threshold": model.threshold, "intercept": model.intercept, "flavour": model.flavour, "sizes": model.sizes, "features": model.extra, **more}
+    model.terms.sparkSession.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Model, dict]:
+    """A saved model, which decides by its saved threshold, and its metadata."""
+    metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    terms = spark.read.parquet(f"{path}/terms")
+    return Model(terms, metadata["intercept"], metadata["flavour"], tuple(metadata["sizes"]), metadata["threshold"], [tuple(x) for x in metadata["features"]]), metadata

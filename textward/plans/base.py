@@ -104,3 +104,48 @@ def sql_prf(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
         return f"round(CASE WHEN {b} = 0 THEN 0 ELSE ({a})::DOUBLE / ({b}) END, 6)"
 
     return f"{r(tp, f'({tp} + {fp})')} AS precision, {r(tp, f'({tp} + {fn})')} AS recall, {r(f'2 * {tp}', f'(2 * {tp} + {fp} + {fn})')} AS f1"
+
+
+def sql_gram_counts(source: str, x: str, least: int = 3, most: int = 4) -> str:
+    """doc_id, term, tf of the n-grams inside the words of x."""
+    sizes = ", ".join(str(n) for n in range(least, most + 1))
+    return f"""SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(CASE WHEN length(p) <= n THEN [p] ELSE list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i, n)) END) AS term
+      FROM (SELECT doc_id, p, unnest([{sizes}]) AS n FROM (SELECT doc_id, ' ' || unnest({sql_tokens(x)}) || ' ' AS p FROM {source})) WHERE n = {least} OR length(p) >= n) GROUP BY doc_id, term"""
+
+
+def sql_bayes(name: str, x: str, labels: str) -> str:
+    """CTEs of a complement naive Bayes model on x over labels (doc_id, text, label): <name>_model has term, idf, coef."""
+    return f"""{name}_l AS (SELECT doc_id, label, made FROM (SELECT doc_id, label, {x} AS made FROM ({labels}) WHERE label IS NOT NULL) WHERE made <> ''),
+    {name}_t AS ({sql_gram_counts(f"{name}_l", "made")}),
+    {name}_v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM {name}_l)) / (1.0 + count(*))) + 1.0 AS idf FROM {name}_t GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 45000),
+    {name}_w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM {name}_t JOIN {name}_v USING (term)),
+    {name}_n AS (SELECT doc_id, term, label, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM {name}_w JOIN {name}_l USING (doc_id)),
+    {name}_c AS (SELECT term, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS w1, sum(CASE WHEN label = 0 THEN w ELSE 0 END) AS w0 FROM {name}_n GROUP BY term),
+    {name}_model AS (SELECT term, idf, ln((w1 + 1) / (sum(w1) OVER () + count(*) OVER ())) - ln((w0 + 1) / (sum(w0) OVER () + count(*) OVER ())) AS coef FROM {name}_c JOIN {name}_v USING (term))"""
+
+
+def sql_bayes_scores(name: str, source: str, x: str) -> str:
+    """doc_id, p of the documents that have words."""
+    return f"""SELECT doc_id, 1 / (1 + exp(-coalesce(sum(w * coef) / sqrt(sum(w * w)), 0))) AS p
+    FROM (SELECT doc_id, (1 + ln(tf)) * idf AS w, coef FROM ({sql_gram_counts(source, x)}) LEFT JOIN {name}_model USING (term)) GROUP BY doc_id"""
+
+
+TOXIC_LABELS = "SELECT d.doc_id, d.text, l.toxic::INT AS label FROM documents d JOIN labels l USING (doc_id)"
+SPAM_LABELS = "SELECT d.doc_id, d.text, (l.quality = 0)::INT AS label FROM documents d JOIN labels l USING (doc_id)"
+
+_models: dict = {}
+
+
+def spam_labelled(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, text, label: bad quality stands for spam."""
+    return labelled(spark, d).selectExpr("doc_id", "text", "CAST(quality = 0 AS INT) AS label")
+
+
+def fitted(spark: SparkSession, d: str):
+    """The toxicity and the spam model of a folder's labels, fitted once for a session."""
+    from ..operators import models
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _models:
+        _models[key] = models.fit_bayes(labelled(spark, d)), models.fit_bayes(spam_labelled(spark, d), "spam")
+    return _models[key]

@@ -14,24 +14,25 @@ from .base import LABELLED, docs, labelled, query, quote, table
 
 L = rules.LATIN
 _CAPS = f"(regexp_matches(coalesce(text, ''), {quote(ft.CAPS_WORD)}) OR regexp_matches(coalesce(text, ''), {quote(ft.CAPS_SHOUT)}))"
-_SCORE = lambda x: f"(CASE WHEN length({x}) = 0 THEN 0.0 ELSE len(regexp_extract_all({x}, '[^\\p{{L}}\\p{{Z}}\\x09-\\x0d]'))::DOUBLE / length({x}) END)"
 _HIT, _SPAM_HIT = base.sql_any("text"), base.sql_any("text", rules.SPAM)
 
 
-def _sql_verdicts(source: str, keep: str) -> str:
-    """Both verdicts over a table with a column text."""
-    return f"""SELECT {keep}, score >= 0.5 AND text <> '' AS is_toxic, CASE WHEN text = '' THEN 0.0 ELSE score END AS toxicity_score,
-      CASE WHEN hit THEN types ELSE '' END AS toxicity_types, CASE WHEN text = '' THEN NULL WHEN hit THEN 'regex' ELSE 'tfidf' END AS tox_model_used,
-      sscore >= 0.5 AND text <> '' AS is_spam, CASE WHEN text = '' THEN 0.0 ELSE sscore END AS spam_score,
-      CASE WHEN text = '' THEN NULL WHEN shit THEN 'regex' ELSE 'tfidf' END AS spam_model_used
-    FROM (SELECT {keep}, coalesce(text, '') AS text, hit, types, shit, CASE WHEN hit THEN 1.0 ELSE round({_SCORE('norm')}, 6) END AS score,
-      CASE WHEN shit OR caps THEN 1.0 ELSE round({_SCORE('sproc')}, 6) END AS sscore
-      FROM (SELECT {keep}, text, {_HIT} AS hit, {base.sql_names('text', L)} AS types, {_SPAM_HIT} AS shit, {_CAPS} AS caps,
-        {base.sql_normalise('text')} AS norm, {base.sql_spam('text')} AS sproc FROM {source}))"""
+def _sql_verdicts(source: str) -> str:
+    """Both verdicts over a table with doc_id and text: rules, then the model on what they miss."""
+    return f"""WITH {base.sql_bayes("tox", base.sql_normalise("text"), base.TOXIC_LABELS)}, {base.sql_bayes("spam", base.sql_spam("text"), base.SPAM_LABELS)},
+    tox_p AS ({base.sql_bayes_scores("tox", f"(SELECT DISTINCT * FROM {source})", base.sql_normalise("text"))}),
+    spam_p AS ({base.sql_bayes_scores("spam", f"(SELECT DISTINCT * FROM {source})", base.sql_spam("text"))}),
+    e AS (SELECT doc_id, coalesce(text, '') AS text, {base.sql_strip("coalesce(text, '')")} = '' AS blank, {_HIT} AS hit, {base.sql_names('text', L)} AS types, {_SPAM_HIT} AS shit, {_CAPS} AS caps FROM {source}),
+    s AS (SELECT e.*, CASE WHEN hit THEN 1.0 WHEN blank THEN 0.0 ELSE coalesce(t.p, 0.0) END AS score, CASE WHEN shit OR caps THEN 1.0 WHEN blank THEN 0.0 ELSE coalesce(s.p, 0.0) END AS sscore
+      FROM e LEFT JOIN tox_p t USING (doc_id) LEFT JOIN spam_p s USING (doc_id))
+    SELECT doc_id, text <> '' AND score >= 0.5 AS is_toxic, CASE WHEN text = '' THEN 0.0 ELSE round(score, 6) END AS toxicity_score, CASE WHEN hit THEN types ELSE '' END AS toxicity_types,
+      CASE WHEN text = '' THEN NULL WHEN hit THEN 'regex' ELSE 'tfidf' END AS tox_model_used, text <> '' AND sscore >= 0.5 AS is_spam,
+      CASE WHEN text = '' THEN 0.0 ELSE round(sscore, 6) END AS spam_score, CASE WHEN text = '' THEN NULL WHEN shit THEN 'regex' ELSE 'tfidf' END AS spam_model_used FROM s"""
 
 
-def verdicts(df, mode="both"):
-    out = cascade.classify(df, mode)
+def verdicts(spark, d, df, mode="both"):
+    tox, spam = base.fitted(spark, d)
+    out = cascade.classify(df, mode, tox_model=tox, spam_model=spam)
     return out.withColumns({c: F.round(c, 6) for c in ("toxicity_score", "spam_score")})
 
 
@@ -41,14 +42,32 @@ def c01_rule_classifier(spark, d):
     return out.select("*", (F.col("categories") != "").alias("hit"), F.when(F.col("categories") != "", 1.0).otherwise(0.0).alias("score"))
 
 
-@query(f"SELECT doc_id, {base.sql_names('text', rules.TOXIC)} AS categories FROM documents")
+# the tables hold no Cyrillic: frequent words of theirs stand for words of ours, in several cases and neighbourhoods
+_CYRILLIC = {
+    " the ": " идиот ", " of ": " ХЕР.", " de ": " говна ", " que ": " пиздеж ", " der ": " схема  заработка ", " la ": " без вложений ", " and ": " подпись на канал ", " en ": " жмите тут: link\n",
+    " to ": " зарабатывай! ", " in ": " халтура", " und ": " Трах\u00a0", " die ": " перебляди ", " el ": " бонус за регистрацию ", " et ": " вывод на карту ", " a ": " хер\u0456 ", " is ": " пиши в лс ",
+}
+
+
+def _planted(column):
+    for k, v in _CYRILLIC.items():
+        column = F.replace(column, F.lit(k), F.lit(v))
+    return column
+
+
+_PLANTED = "text"
+for _k, _v in _CYRILLIC.items():
+    _PLANTED = f"replace({_PLANTED}, {quote(_k)}, {quote(_v)})"
+
+
+@query(f"SELECT doc_id, {base.sql_names('text', rules.TOXIC)} AS categories FROM (SELECT doc_id, {_PLANTED} AS text FROM documents)")
 def c02_toxic_rules(spark, d):
-    return docs(spark, d).select("doc_id", rules.names(rules.categories(F.col("text"), rules.TOXIC)).alias("categories"))
+    return docs(spark, d).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.TOXIC)).alias("categories"))
 
 
-@query(f"SELECT doc_id, {base.sql_names('text', rules.SPAM)} AS categories FROM documents")
+@query(f"SELECT doc_id, {base.sql_names('text', rules.SPAM)} AS categories FROM (SELECT doc_id, {_PLANTED} AS text FROM documents)")
 def c03_spam_rules(spark, d):
-    return docs(spark, d).select("doc_id", rules.names(rules.categories(F.col("text"), rules.SPAM)).alias("categories"))
+    return docs(spark, d).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.SPAM)).alias("categories"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"CASE WHEN {base.sql_hit('text', p)} THEN 1 ELSE 0 END AS {k}" for k, p in L.items()) + f", CASE WHEN {_HIT} THEN 1 ELSE 0 END AS any_hit FROM documents")
@@ -59,40 +78,40 @@ def c04_wide_flags(spark, d):
 
 _TOX_COLS = "doc_id, is_toxic, toxicity_score, toxicity_types, tox_model_used"
 _SPAM_COLS = "doc_id, is_spam, spam_score, spam_model_used"
-_V = _sql_verdicts("documents", "doc_id")
+_V = _sql_verdicts("documents")
 
 
 @query(f"SELECT {_TOX_COLS} FROM ({_V})")
 def c08_toxicity_cascade(spark, d):
-    return verdicts(docs(spark, d)).select(*_TOX_COLS.split(", "))
+    return verdicts(spark, d, docs(spark, d), "tox_only").select(*_TOX_COLS.split(", "))
 
 
 @query(f"SELECT {_SPAM_COLS} FROM ({_V})")
 def c09_spam_cascade(spark, d):
-    return verdicts(docs(spark, d)).select(*_SPAM_COLS.split(", "))
+    return verdicts(spark, d, docs(spark, d), "spam_only").select(*_SPAM_COLS.split(", "))
 
 
 @query(
-    f"""WITH t AS (SELECT * FROM ({_V}) WHERE doc_id % 3 <> 0), s AS (SELECT * FROM ({_V}) WHERE doc_id % 5 <> 0)
-    SELECT d.doc_id, coalesce(t.is_toxic, false) AS is_toxic, coalesce(t.toxicity_score, 0) AS toxicity_score, coalesce(s.is_spam, false) AS is_spam, coalesce(s.spam_score, 0) AS spam_score
+    f"""WITH v AS (SELECT * FROM ({_V})), t AS (SELECT v.* FROM v JOIN labels USING (doc_id)), s AS (SELECT v.* FROM v JOIN documents d USING (doc_id) WHERE d.lang = 'en')
+    SELECT d.doc_id, coalesce(t.is_toxic, false) AS is_toxic, coalesce(t.toxicity_score, 0) AS toxicity_score, t.tox_model_used, coalesce(s.is_spam, false) AS is_spam, coalesce(s.spam_score, 0) AS spam_score, s.spam_model_used
     FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)"""
 )
 def c10_merge_verdicts(spark, d):
-    both = verdicts(docs(spark, d))
-    tox = both.where("doc_id % 3 <> 0").select("doc_id", "is_toxic", "toxicity_score")
-    spam = both.where("doc_id % 5 <> 0").select("doc_id", "is_spam", "spam_score")
-    out = docs(spark, d).select("doc_id").join(tox, "doc_id", "left").join(spam, "doc_id", "left")
-    return out.select("doc_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("is_toxic", False), ("toxicity_score", 0.0), ("is_spam", False), ("spam_score", 0.0))])
+    """Sides judged apart: toxicity where there is a label, spam in English; where one is missing it is a stub."""
+    rows = table(spark, d, "documents").select("doc_id", "text", "lang")
+    tox = verdicts(spark, d, rows.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "tox_only")
+    spam = verdicts(spark, d, rows.where("lang = 'en'"), "spam_only")
+    return cascade.merge(rows.select("doc_id"), tox, spam, "doc_id").drop("toxicity_types")
 
 
 @query(_V)
 def c11_moderate(spark, d):
-    return verdicts(docs(spark, d).select("doc_id", "text")).drop("text")
+    return verdicts(spark, d, docs(spark, d).select("doc_id", "text")).drop("text")
 
 
 @query(f"SELECT doc_id, is_toxic, toxicity_score, toxicity_types, tox_model_used, false AS is_spam, 0.0::DOUBLE AS spam_score, NULL::VARCHAR AS spam_model_used FROM ({_V})")
 def c11_moderate_tox_only(spark, d):
-    return verdicts(docs(spark, d).select("doc_id", "text"), "tox_only").drop("text")
+    return verdicts(spark, d, docs(spark, d).select("doc_id", "text"), "tox_only").drop("text")
 
 
 _ATTEMPTS = """SELECT event_id // 4 AS msg, ['tfidf', 'bert', 'rnn', 'regex'][(event_id % 4 + 1)::INT] AS model, round(value / 100, 6) AS score,
@@ -352,7 +371,7 @@ def n01_parse_verdict(spark, d):
 
 @query(f"""SELECT doc_id, '{{"is_toxic":' || is_toxic || ',"types":"' || toxicity_types || '"}}' AS value, CASE WHEN tox_model_used = 'regex' THEN 300 ELSE 3600 END AS ttl_s FROM ({_V})""")
 def n02_serialise_verdict(spark, d):
-    v = verdicts(docs(spark, d))
+    v = verdicts(spark, d, docs(spark, d))
     return v.select("doc_id", F.to_json(F.struct("is_toxic", F.col("toxicity_types").alias("types"))).alias("value"), F.when(F.col("tox_model_used") == "regex", 300).otherwise(3600).alias("ttl_s"))
 
 

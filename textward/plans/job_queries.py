@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import features as ft
 from ..functions import text as tx
-from ..operators import metrics, windows
-from ..operators.corpus import hash_order
+from ..operators import corpus, metrics, models, windows
+from ..sources import tables
 from . import base
 from .base import docs, query, table
 from .data_queries import _TASKS, _V, _tasks, verdicts
+from .text_queries import _FEATURE_SQL, S
 
 _US = "epoch_us(ts)"
 
@@ -229,7 +230,7 @@ def w08_padding(spark, d):
 
 @query(f"SELECT doc_id, 'delete' AS action FROM ({_V}) WHERE (is_toxic OR is_spam) AND doc_id % 4 = 0")
 def p09_actions(spark, d):
-    v = verdicts(docs(spark, d).select("doc_id", "text"))
+    v = verdicts(spark, d, docs(spark, d).select("doc_id", "text"))
     return v.where((F.col("is_toxic") | F.col("is_spam")) & (F.col("doc_id") % 4 == 0)).select("doc_id", F.lit("delete").alias("action"))
 
 
@@ -248,7 +249,7 @@ def p11_batch_size(spark, d):
 
 @query(f"SELECT doc_id FROM ({_V}) WHERE tox_model_used IS NOT NULL OR spam_model_used IS NOT NULL")
 def p14_cacheable(spark, d):
-    return verdicts(docs(spark, d).select("doc_id", "text")).where("text <> '' AND (tox_model_used IS NOT NULL OR spam_model_used IS NOT NULL)").select("doc_id")
+    return verdicts(spark, d, docs(spark, d).select("doc_id", "text")).where("text <> '' AND (tox_model_used IS NOT NULL OR spam_model_used IS NOT NULL)").select("doc_id")
 
 
 @query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -264,100 +265,106 @@ def p13_row_range(spark, d):
     return b.join(first, "item_id", "left_anti").select("item_id", "text")
 
 
-# vocabulary and weights
+# vocabulary, weights and models: n-grams of the normalised texts of labelled documents
 
-_TF = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({base.sql_tokens('lower(text)')}) AS term FROM documents) GROUP BY doc_id, term"
-_VOCAB = f"SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM ({_TF}) GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 500"
+_NORM = base.sql_normalise("text")
+_LABELLED_TEXTS = f"(SELECT doc_id, made FROM (SELECT doc_id, {_NORM} AS made FROM ({base.TOXIC_LABELS})) WHERE made <> '')"
+_TF = base.sql_gram_counts(_LABELLED_TEXTS, "made")
+_VOCAB = f"SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM ({_TF}) GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.7 * (SELECT count(*) FROM {_LABELLED_TEXTS}) ORDER BY total DESC, term LIMIT 45000"
 
 
 def _tf(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(tx.tokens(F.lower(tx.clean(F.col("text"))))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _vocabulary(tf, n, size=500):
-    counts = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return counts.where((F.col("df") >= 2) & (F.col("df") <= 0.9 * n)).orderBy(F.desc("total"), "term").limit(size)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = base.labelled(spark, d).select("doc_id", tx.normalise(F.col("text")).alias("made")).where("made <> ''").repartition(n, "doc_id")
+    return tx.gram_counts(rows.withColumn("part", F.lit("all")), ["doc_id", "part"], F.col("made"), 3, 4), rows.count()
 
 
 @query(_VOCAB)
 def m01_vocabulary(spark, d):
-    return _vocabulary(_tf(spark, d), docs(spark, d).count())
+    return models.vocabulary(*_tf(spark, d), min_df=5, max_df=0.7).drop("part")
 
 
 @query(
-    f"""WITH t AS (SELECT t.doc_id, t.term, (1 + ln(t.tf)) * (ln((1 + n) / (1 + v.df)::DOUBLE) + 1) AS w FROM ({_TF}) t JOIN ({_VOCAB}) v USING (term), (SELECT count(*)::DOUBLE AS n FROM documents))
+    f"""WITH t AS (SELECT t.doc_id, t.term, (1 + ln(t.tf)) * (ln((1 + n) / (1 + v.df)::DOUBLE) + 1) AS w FROM ({_TF}) t JOIN ({_VOCAB}) v USING (term), (SELECT count(*)::DOUBLE AS n FROM {_LABELLED_TEXTS}))
     SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM t"""
 )
 def m02_tfidf(spark, d):
-    tf, n = _tf(spark, d), docs(spark, d).count()
-    vocabulary = _vocabulary(tf, n)  # at most 500 rows
-    w = (1 + F.log(F.col("tf"))) * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)
-    rows = tf.join(F.broadcast(vocabulary), "term").select("doc_id", "term", w.alias("w"))
+    tf, n = _tf(spark, d)
+    w = models.weighted(tf, models.with_idf(models.vocabulary(tf, n, min_df=5, max_df=0.7), n))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return rows.select("doc_id", "term", F.round(F.col("w") / norm, 6).alias("weight"))
+    return w.select("doc_id", "term", F.round(F.col("w") / norm, 6).alias("weight"))
+
+
+_SCALED = [n for n in ft.NAMES if n not in ("repeated_chars_ratio", "has_phone")]  # those that the other engine can spell
 
 
-@query("SELECT vec_id, round((x - avg(x) OVER ()) / CASE WHEN stddev_pop(x) OVER () = 0 THEN 1 ELSE stddev_pop(x) OVER () END, 5) AS z FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)")
+@query(
+    "WITH f AS (SELECT doc_id, " + ", ".join(f"{_FEATURE_SQL[k]} AS {k}" for k in _SCALED) + f" FROM (SELECT doc_id, {S} AS s FROM documents)) SELECT doc_id, "
+    + ", ".join(f"round(({k} - avg({k}) OVER ()) / CASE WHEN stddev_pop({k}) OVER () = 0 THEN 1 ELSE stddev_pop({k}) OVER () END, 4) AS {k}" for k in _SCALED) + " FROM f"
+)
 def m03_scaling(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    stats = rows.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))  # one row
-    return rows.join(F.broadcast(stats)).select("vec_id", F.round((F.col("x") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")), 5).alias("z"))
+    """All hand-made features less their mean, over their population deviation."""
+    rows = docs(spark, d).select("doc_id", *ft.features(F.col("text"), _SCALED))
+    return metrics.scaled(rows, _SCALED).select("doc_id", *[F.round(c, 4).alias(c) for c in _SCALED])
 
 
 @query()
 def m04_logistic_scores(spark, d):
     """A logistic model fitted and applied: balanced weights, penalty 1 / (C n)."""
-    from ..operators import models
-
     rows = base.labelled(spark, d)
     return models.score(models.fit(rows, c=1.0), rows)
 
 
-@query()
+@query(f"WITH {base.sql_bayes('tox', _NORM, base.TOXIC_LABELS)} SELECT l.doc_id, round(coalesce(p, 0), 6) AS score, coalesce(p, 0) >= 0.5 AS decided FROM ({base.TOXIC_LABELS}) l LEFT JOIN ({base.sql_bayes_scores('tox', f'({base.TOXIC_LABELS})', _NORM)}) USING (doc_id)")
 def m05_naive_bayes(spark, d):
-    from ..operators import models
-
     rows = base.labelled(spark, d)
     return models.score(models.fit_bayes(rows, alpha=1.0), rows)
 
 
 @query()
 def c05_tfidf_scores(spark, d):
-    """The toxicity model applied to all documents, labelled or not."""
-    from ..operators import models
-
-    return models.score(models.fit(base.labelled(spark, d)), docs(spark, d))
+    """The toxicity model applied to all documents, labelled or not, at the threshold best on the labelled ones."""
+    rows = base.labelled(spark, d)
+    return models.score(models.with_threshold(models.fit(rows), rows, 0.5), docs(spark, d))
 
 
 @query()
 def c06_spam_model(spark, d):
-    """Capitals rules first with score 1, then the model on quality labels."""
-    from ..operators import models
+    """[TF-IDF | all 17 scaled features] of case-keeping texts; capitals rules first with score 1, their rows not learnt from."""
+    return models.score(models.fit(base.spam_labelled(spark, d), "spam"), docs(spark, d))
 
-    rows = base.labelled(spark, d).withColumn("label", (F.col("quality") == 0).cast("int"))
-    return models.score_spam(models.fit(rows), docs(spark, d))
+
+@query()
+def m07_saved_model(spark, d):
+    """A model saved with its threshold, loaded and applied: decisions are by the saved threshold."""
+    path = tables.scratch(spark, "saved-model")
+    models.save(models.with_threshold(models.fit_bayes(base.labelled(spark, d)), base.labelled(spark, d), 0.5), path, preprocessing="normalise")
+    model, _ = models.load(spark, path)
+    return models.score(model, docs(spark, d))
 
 
 @query()
 def c14_batch_scorer(spark, d):
-    from ..operators import models
-
     return models.batch_scores(docs(spark, d), lambda texts: [len(t) / (1.0 + len(t)) for t in texts])
 
 
 @query()
 def a14_importance(spark, d):
-    from ..operators import models
-
-    return models.importance(models.fit(base.labelled(spark, d), size=500))
+    """Terms and hand-made features of the spam model, the two features of the small set among them."""
+    return models.importance(models.fit(base.spam_labelled(spark, d), "spam", names=ft.MINIMAL))
 
 
 @query()
 def m06_search(spark, d):
-    """Penalties tried over folds; average precision of each."""
-    from ..operators import models
+    """Vocabulary sizes tried over two folds, by the best F1 at a precision of a half or more."""
+    return models.search(base.labelled(spark, d), [{"size": 10_000}, {"size": 45_000, "min_df": 5, "max_df": 0.7}], folds=2, by="f1", floor=0.5)
 
-    return models.search(base.labelled(spark, d), [0.1, 1.0], folds=2, size=500)
+
+@query()
+def m06_search_fixed(spark, d):
+    """Penalties tried on fixed validation rows, by average precision."""
+    parts = corpus.split(base.labelled(spark, d), "label", "doc_id", {"train": 0.75, "val": 0.25})
+    return models.search(parts.where("part = 'train'"), [{"c": 0.1}, {"c": 1.0}], val=parts.where("part = 'val'"))
 
 
 # augmentation: noise drawn from a hash of seed and row

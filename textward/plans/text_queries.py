@@ -117,8 +117,9 @@ _reg(
     SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(grams) AS gram FROM k) GROUP BY gram"""
 )
 def x17_char_ngrams(spark, d):
-    grams = docs(spark, d).select("doc_id", F.explode(tx.char_ngrams(F.col("text"), 3, 4)).alias("gram"))
-    return grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grams = tx.gram_counts(docs(spark, d).select("doc_id", "text").repartition(n, "doc_id"), ["doc_id"], F.lower(tx.clean(F.col("text"))), 3, 4)
+    return grams.groupBy(F.col("term").alias("gram")).agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 # features
