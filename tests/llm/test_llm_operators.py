@@ -291,6 +291,20 @@ def test_ctw_base(docs, rows):
     assert {r["train_tokens"] for r in found} == {n} and all(r["score"] < 0 for r in found)
 
 
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_ctw_slices(monkeypatch, size):
+    """Trees weighed slice by slice are the trees weighed at once."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 200, dtype=np.uint64), (np.uint64(7) << np.uint64(48)) + np.arange(90, dtype=np.uint64)]))
+    counts = rng.integers(0, 9, len(keys))
+    whole = ctw.Subtrees(keys, counts)
+    monkeypatch.setattr(ctw, "_SLICE", size)
+    parts = list(ctw._trees(keys, counts, ctw.DEPTH))
+    assert len(parts) > 1 and np.array_equal(np.concatenate([p.entries[ctw.DEPTH] for p in parts]), keys)
+    top = ctw.Top(*[np.concatenate(x) for x in zip(*[whole.upper(bit) for bit in range(8)])])
+    assert np.allclose(np.concatenate([p.log10(top) for p in parts]), whole.log10(top))
+
+
 def test_ctw_against_recursion(spark):
     """The mixture of all depths, by definition, on a few short texts."""
     texts = ["the cat sat on the mat", "the cat ate", "a dog sat on a log", "on the mat", "dogs and cats", "that cat"]
@@ -317,17 +331,16 @@ def test_ctw_against_recursion(spark):
     for i, q in enumerate(spelled):
         total = 0.0
         for before, node, bit in steps(q):
-            mixed, rest, one = 0.0, 1.0, 0.5
+            mixed, rest = 0.0, 1.0
             for d in range(depth + 1):
                 context = before[len(before) - d :]
                 if (context, node) not in counts:
+                    mixed += rest / 2
                     break
                 z, o = counts[context, node]
-                p = (o + 0.5) / (z + o + 1)
-                one = mixed + rest * p
                 w = math.exp(math.log(0.5) + own((z, o)) - weighted(context, node)) if d < depth else 1.0
-                mixed, rest = mixed + rest * w * p, rest * (1 - w)
-            total += math.log10(one if bit else 1 - one)
+                mixed, rest = mixed + rest * w * (o + 0.5) / (z + o + 1), rest * (1 - w)
+            total += math.log10(mixed if bit else 1 - mixed)
         assert math.isclose(total, got[i]["score"], rel_tol=1e-4)
 
 

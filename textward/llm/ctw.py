@@ -3,8 +3,8 @@
 A text is its lower-cased words joined by spaces and one end. Each byte is coded as eight binary decisions; each
 decision node (a prefix of the byte's bits) has its own context tree over the DEPTH bytes before. A node of that tree
 estimates its bit from counts by Krichevsky-Trofimov; the tree mixes the estimates of all depths with the weights that
-context-tree weighting gives: P_w = (P_e + prod P_w(children)) / 2. A context without training counts has nothing to
-weigh, so the mixture ends at the deepest trained node.
+context-tree weighting gives: P_w = (P_e + prod P_w(children)) / 2. A context without training counts estimates one half,
+as do all below it.
 
 How it runs at scale. Documents are dealt once to blocks of about BLOCK_BYTES. A block sends each distinct
 (context, byte) and each distinct word once, with its training count, to the shard that owns it, packed in one binary
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-DEPTH = 5
+DEPTH = 7
 BLOCK_BYTES = 5_000_000
 FOLDS, HELD_OUT = 7, 2
 _END = b"\n"
 _TABLE = 1 << 14
+#: Keys whose trees are weighed at a time: whole subtrees, so a larger one is a slice of its own.
+_SLICE = 1_000_000
 
 _LOG_RISING = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])  # ln G(n + 1/2) - ln G(1/2)
 _LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 1.0))])
@@ -120,23 +122,20 @@ class Subtrees:
         for bit in range(8):
             levels, parent, weight, _ = self.weigh(bit)
             node = self._above(bit, levels[2])
-            mixed, rest, stop = top.mixed[node], top.rest[node], top.stop[node]
+            mixed, rest = top.mixed[node], top.rest[node]
             for d in range(2, self.depth + 1):
                 here = levels[d]
                 if d > 2:
-                    mixed, rest, stop = mixed[parent[d]], rest[parent[d]], stop[parent[d]]
-                one = kt(here.zeros, here.ones)
-                seen = here.zeros + here.ones > 0
-                stop = np.where(seen, mixed + rest * one, stop)
-                mixed, rest = mixed + rest * weight[d] * one, rest * (1 - weight[d])
-            p = stop[levels[self.depth].node]
+                    mixed, rest = mixed[parent[d]], rest[parent[d]]
+                mixed, rest = mixed + rest * weight[d] * kt(here.zeros, here.ones), rest * (1 - weight[d])
+            p = mixed[levels[self.depth].node]
             is_one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
             out += np.log10(np.where(is_one, p, 1 - p))
         return out
 
 
 class Top:
-    """Depths 0 and 1 of all trees: mixture so far, weight left for below, and the value if nothing is below."""
+    """Depths 0 and 1 of all trees: mixture so far, and the weight left for below."""
 
     def __init__(self, nodes: np.ndarray, children: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
         full = [np.zeros(1 << 16) for _ in range(3)]
@@ -152,7 +151,6 @@ class Top:
         w0 = np.exp(own0 - np.logaddexp(own0, by_byte(total)))
         one0, one1 = np.tile(kt(z0, o0), 256), kt(z1, o1)
         w0 = np.tile(w0, 256)
-        self.stop = np.where(z1 + o1 > 0, w0 * one0 + (1 - w0) * one1, one0)
         self.mixed = w0 * one0 + (1 - w0) * w1 * one1
         self.rest = (1 - w0) * (1 - w1)
 
@@ -179,21 +177,30 @@ def _normal(raw: bytes | None) -> tuple[bytes, list[bytes]]:
 
 
 def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in parts of under 65536, so that key and text fit in 64 bits."""
+    """Texts in parts of under 65536, so that a text's number fits 16 bits."""
     for k in range(0, len(texts), 1 << 16):
         yield k, texts[k : k + (1 << 16)]
 
 
 def _grouped(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts under 65536: the distinct keys, where their runs start, and the text of each run's members."""
-    both, own = keys_of(texts, depth)
-    both <<= np.uint64(16)
-    both |= own
-    both.sort()
-    own = both.astype(np.uint16)
-    both >>= np.uint64(16)
-    starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-    return both[starts], starts, own
+    keys, own = keys_of(texts, depth)
+    order = np.argsort(keys, kind="stable")
+    keys, own = keys[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], starts, own
+
+
+def _trees(keys: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[Subtrees]:
+    """The subtrees of sorted keys, about _SLICE keys at a time; keys of a subtree (two bytes of context) stay together."""
+    two = keys >> np.uint64(8 * (depth - 1))
+    first = np.flatnonzero(np.concatenate([[True], two[1:] != two[:-1]])) if len(keys) else np.array([], dtype=np.int64)
+    start = 0
+    while start < len(keys):
+        k = int(np.searchsorted(first, start + _SLICE))
+        stop = len(keys) if k == len(first) else max(int(first[k - 1]), int(first[np.searchsorted(first, start, side="right")]) if first[k - 1] <= start else 0)
+        yield Subtrees(keys[start:stop], counts[start:stop], depth)
+        start = stop
 
 
 def _packed(values: np.ndarray, kind: type = np.int64) -> bytes:
@@ -284,10 +291,10 @@ def _shard_merges(depth: int):
         else:
             rows = [(shard, b, "at", _packed(p, np.int32), None) for b, p in zip(blocks, parts)]
             rows.append((shard, None, "model", _packed(merged), counts.tobytes()))
-            trees = Subtrees(merged, counts, depth)
-            for bit in range(8):
-                nodes, *sums = trees.upper(bit)
-                rows.append((shard, None, "upper", nodes.tobytes(), np.stack(sums).tobytes()))
+            for trees in _trees(merged, counts, depth):
+                for bit in range(8):
+                    nodes, *sums = trees.upper(bit)
+                    rows.append((shard, None, "upper", nodes.tobytes(), np.stack(sums).tobytes()))
         return _rows(rows, _KEPT)
 
     return work
@@ -311,7 +318,7 @@ def _shard_answers(depth: int, top: Top):
         shard = table.column("shard")[0].as_py()
         rows = list(zip(table.column("block"), table.column("kind").to_pylist(), table.column("a"), table.column("b")))
         model = next((a, b) for _, kind, a, b in rows if kind == "model")
-        value = Subtrees(_unpacked(model[0].as_py()).view(np.uint64), _longs(model[1]), depth).log10(top).astype(np.float32)
+        value = np.concatenate([t.log10(top).astype(np.float32) for t in _trees(_unpacked(model[0].as_py()).view(np.uint64), _longs(model[1]), depth)])
         answers = [(shard, block.as_py(), "gram", value[_unpacked(a.as_py(), np.int32)].tobytes(), None) for block, kind, a, _ in rows if kind == "at"]
         return _rows(answers, _KEPT)
 
@@ -358,7 +365,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -
     Returns doc_id, held_out (crc32 of the id mod 7 is 2), n_tokens, n_known, train_tokens, base_score (add-one
     unigrams over words), score (the model's) and code_length (bits per byte of the normalised text). A null text is
     empty: one end token. A null id is never held out. Repeated rows are counted and scored each. Without training
-    rows all estimates are uniform. Words are told apart by 64-bit hashes. depth is 2 to 5: a key fits 48 bits.
+    rows all estimates are uniform. Words are told apart by 64-bit hashes. depth is 2 to 7: a key fits 64 bits.
     """
     raw = text_of("text").cast("binary")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
