@@ -82,14 +82,83 @@ def test_char_ngrams(spark):
 
 
 def test_modes_and_empty(spark):
-    df = spark.createDataFrame([(1, None), (2, "  "), (3, "thth")], "k int, text string")
-    rows = {r["k"]: r for r in cascade.classify(df).collect()}
-    assert rows[1]["tox_model_used"] is None and rows[2]["tox_model_used"] == "tfidf" and rows[2]["toxicity_score"] == 0.0 and rows[3]["tox_model_used"] == "regex"
+    df = spark.createDataFrame([(1, None), (2, "  "), (3, "thth"), (4, "СКИДКА!!")], "doc_id int, text string")
+    rows = {r["doc_id"]: r for r in cascade.classify(df).collect()}
+    assert rows[1]["tox_model_used"] is None and rows[2]["tox_model_used"] == "regex" and rows[2]["toxicity_score"] == 0.0 and rows[3]["tox_model_used"] == "regex" and rows[3]["is_toxic"]
+    assert rows[4]["spam_score"] == 0.0  # without a model there is no stage two
     assert {r["spam_model_used"] for r in cascade.classify(df, "tox_only").collect()} == {None}
     with pytest.raises(ValueError):
         corpus.require(df, ["nothing"])
 
 
+def test_cascade_uses_the_model(spark):
+    """Rule hits skip the model, misses get its score, each different text once; capitals decide on the spam side."""
+    labelled = [(k, "good fine text here" if k % 2 else "bad awful junk there", 1 - k % 2) for k in range(20)]
+    tox = models.fit_bayes(spark.createDataFrame(labelled, "doc_id long, text string, label int"))
+    junk = models.fit_bayes(spark.createDataFrame(labelled, "doc_id long, text string, label int"), "spam")
+    df = spark.createDataFrame([(1, "awful junk"), (1, "awful junk"), (2, "fine text"), (3, "thth fine"), (4, ""), (5, " "), (6, "zzz qqq"), (7, "ПОДАРОК")], "doc_id long, text string")
+    rows = cascade.classify(df, tox_model=tox, spam_model=junk).collect()
+    assert len(rows) == 8
+    by = {r["doc_id"]: r for r in rows}
+    assert by[1]["is_toxic"] and by[1]["is_spam"] and by[1]["tox_model_used"] == "tfidf" and not by[2]["is_toxic"] and by[2]["tox_model_used"] == "tfidf"
+    assert (by[3]["tox_model_used"], by[3]["toxicity_score"], by[4]["tox_model_used"], by[5]["toxicity_score"]) == ("regex", 1.0, None, 0.0)
+    assert by[6]["toxicity_score"] == 0.5 and by[7]["spam_score"] == 1.0 and by[7]["spam_model_used"] == "tfidf"
+
+
+def test_tfidf_by_hand(spark):
+    """Vectors and complement Bayes against a plain computation."""
+    texts = ["aa bb aa", "bb cc", "cc aa dd", "dd", "aa bb"]
+    labels = [1, 0, 1, 0, 0]
+    frame = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, label int")
+
+    def grams(t):
+        out = {}
+        for w in t.split():
+            p = f" {w} "
+            for n in (3, 4):
+                for k in range(len(p) - n + 1):
+                    out[p[k : k + n]] = out.get(p[k : k + n], 0) + 1
+        return out
+
+    tf = [grams(t) for t in texts]
+    df = {g: sum(g in d for d in tf) for d in tf for g in d}
+    idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items() if n >= 2}
+    vectors = []
+    for d in tf:
+        w = {g: (1 + math.log(n)) * idf[g] for g, n in d.items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vectors.append({g: x / norm for g, x in w.items()})
+    share = {}
+    for y in (0, 1):
+        total = {g: sum(v.get(g, 0.0) for v, own in zip(vectors, labels) if own == y) for g in idf}
+        share[y] = {g: math.log((x + 1) / (sum(total.values()) + len(idf))) for g, x in total.items()}
+    want = [1 / (1 + math.exp(-sum(x * (share[1][g] - share[0][g]) for g, x in v.items()))) for v in vectors]
+    got = {r["doc_id"]: r["score"] for r in models.score(models.fit_bayes(frame), frame).collect()}
+    assert [got[k] for k in range(5)] == pytest.approx(want, abs=1e-6)
+    kept, terms, _ = models._training(frame, "doc_id", "toxicity", (3, 4), 100, 2, 1.0, [])
+    index = {r["idx"]: r["term"] for r in terms.collect()}
+    rows = sorted(sorted((index[int(i)], round(float(x), 6)) for i, x in zip(r["features"].indices, r["features"].values)) for r in kept.collect())
+    assert rows == sorted(sorted((g, round(x, 6)) for g, x in v.items()) for v in vectors)
+
+
+def test_spam_model_features(spark):
+    """Hand-made features take part, capitals rows are not learnt from, and decide with score 1."""
+    rows = [(k, "one two three" + ("!!!!!! ???" if k % 2 else ""), k % 2) for k in range(20)] + [(50, "СКИДКА!! one two three", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = models.fit(frame, "spam")
+    assert [x[0] for x in model.extra] == features.NAMES and [x[0] for x in models.fit(frame, "spam", names=["space_ratio", "length_chars_log1p"]).extra] == features.MINIMAL
+    got = {r["doc_id"]: r for r in models.score(model, frame).collect()}
+    assert got[1]["decided"] and not got[0]["decided"] and got[50]["score"] == 1.0
+    assert {r["part"] for r in models.importance(model).collect()} == {"all", "feature"}
+
+
+def test_search(spark):
+    rows = [(k, "good fine text here" if k % 2 else "bad awful junk there", k % 2) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    found = models.search(frame, [{"size": 50}], folds=2, by="f1").collect() + models.search(frame.where("doc_id < 8"), [{"c": 0.5}], val=frame.where("doc_id >= 8")).collect()
+    assert [r["objective"] for r in found] == [1.0, 1.0]
+
+
 def test_prefix_sum(spark):
     df = spark.range(0, 1000).selectExpr("cast(id AS double) AS x", "id % 7 AS v")
     got = {r["x"]: r["run_v"] for r in prefix.prefix_sum(df, "x", ["v"], 8).collect()}
@@ -103,41 +172,129 @@ def test_micro_batches(spark):
 
 
 def test_noise(spark):
-    df = spark.range(0, 40).selectExpr("id AS doc_id", "repeat('hello there ', 5) AS text", "cast(id % 2 AS int) AS label")
-    for kind, sign in (("insert", 1), ("delete", -1), ("replace", 0), ("keyboard", 0), ("leet", 0)):
+    df = spark.range(0, 40).selectExpr("id AS doc_id", "repeat('привет всем ', 5) AS text", "cast(id % 2 AS int) AS label")
+    for kind, sign in (("insert", 1), ("delete", -1), ("replace", 0), ("qwerty", 0), ("leet", 0)):
         one, two = augment.noise(df, kind), augment.noise(df.repartition(7), kind)
         assert one.exceptAll(two).count() == 0
-        grown = {(len(r["text"]) > 60) - (len(r["text"]) < 60) for r in one.collect()}
-        assert grown == {sign}
-    out = augment.dataset(df)
-    assert out.where("kind = 'original'").count() == 40 and out.where("kind <> 'original' AND text = repeat('hello there ', 5)").count() == 0
+        assert {(len(r["text"]) > 60) - (len(r["text"]) < 60) for r in one.collect()} == {sign}
+    out = augment.dataset(df.union(df))
+    assert out.where("kind = 'original'").count() == 80 and out.where("kind <> 'original' AND text = repeat('привет всем ', 5)").count() == 0
+    assert out.where("kind <> 'original'").groupBy("doc_id").count().where("count <> 2").count() == 0  # repeated rows do not multiply
+
+
+def test_noise_rules():
+    import random
+
+    rng = random.Random(1)
+    texts = [("Привет МИР и все", k) for k in range(300)]
+    for t, _ in texts:
+        made, name = augment.apply("qwerty", t, 0.2, rng)
+        moved = [(a, b) for a, b in zip(t, made) if a != b]
+        assert name == "char_noise_qwerty" and len(moved) <= 3 and all(b.lower() in augment.NEAR[a.lower()] and a.isupper() == b.isupper() for a, b in moved)
+        assert len(augment.apply("insert", t, 0.2, rng)[0]) == len(t) + 3 and len(augment.apply("delete", t, 0.2, rng)[0]) == len(t) - 3
+        assert all(b in augment.LEET.get(a.lower(), "").upper() + augment.LEET.get(a.lower(), "") for a, b in zip(t, augment.apply("leet", t, 0.5, rng)[0]) if a != b)
+        assert augment.apply("combined", t, 0.1, rng)[1] == "char_noise_combined"
+    assert augment.apply("delete", "я", 1.0, rng)[0] == "я" and augment.apply(None, "  ", 1.0, rng) == ("  ", "original")
+    kinds = {augment.apply(None, t, 0.1, rng)[1] for t, _ in texts}
+    assert kinds == {f"char_noise_{k}" for k in ("qwerty", "insert", "delete", "replace")}  # the shares leave nothing to the rest
+    assert {augment.apply(None, t, 0.1, rng, shares={"qwerty": 0.1, "leet": 0.2})[1] for t, _ in texts} == {"char_noise_qwerty", "char_noise_leet", "char_noise_combined"}
+
+
+def test_dataset_intensity(spark):
+    """Positives get more noise, up to a tenth of their length."""
+    df = spark.range(0, 200).selectExpr("id AS doc_id", "repeat('слово ', 50) AS text", "cast(id % 2 AS int) AS label")
+    sizes = {}
+    for r in augment.dataset(df, p=1.0, more=4.0, intensity=0.02).where("kind = 'char_noise_insert'").collect():
+        sizes.setdefault(r["label"], set()).add(len(r["text"]) - 300)
+    assert sizes == {0: {6}, 1: {24}}
 
 
 def test_model_round_trip(spark, tmp_path):
     rows = [(k, "good fine text here" if k % 2 else "bad awful junk there", k % 2) for k in range(20)]
     df = spark.createDataFrame([*rows, (99, "", 0)], "doc_id long, text string, label int")
-    model = models.fit(df, size=100)
-    models.save(model, str(tmp_path), {"threshold": 0.6})
+    model = models.with_threshold(models.fit(df, size=100), df)
+    models.save(model, str(tmp_path), note="x")
     again, metadata = models.load(spark, str(tmp_path))
     scores = {r["doc_id"]: r for r in models.score(again, df).collect()}
-    assert metadata == {"threshold": 0.6} and scores[1]["decided"] and not scores[0]["decided"] and scores[99]["score"] == 0.0
+    assert metadata["note"] == "x" and again.threshold == model.threshold != 0.5 and scores[1]["decided"] and not scores[0]["decided"] and scores[99]["score"] == 0.0
+
+
+def _send(folder, name, task, texts, at="2024-01-01T00:00:00Z"):
+    items = [{"text": t, "ref": {"chat_id": 7, "message_id": k}} for k, t in enumerate(texts)]
+    (folder / f"{name}.json").write_text(json.dumps({"task_id": task, "source": "telegram", "items": items, "sent_at": at}))
 
 
 def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    items = [{"text": "ththe", "ref": "r1"}, {"text": "fine words", "ref": "r2"}, {"text": "", "ref": "r3"}, {"text": "fine words", "ref": "r4"}]
-    (tmp_path / "in/a.json").write_text(json.dumps({"task_id": "t", "source": "telegram", "items": items, "sent_at": "2024-01-01T00:00:00Z"}))
-    jobs.moderate(jobs.requests(spark, str(tmp_path / "in")), str(tmp_path / "v"), str(tmp_path / "r"), str(tmp_path / "c")).awaitTermination(120)
-    verdicts = spark.read.parquet(str(tmp_path / "v"))
-    assert {r["ref"]: r["is_toxic"] for r in verdicts.collect()} == {"r1": True, "r2": False, "r3": False, "r4": False}
-    assert [r["ref"] for r in jobs.actions(verdicts).collect()] == ["r1"]
-    listed = json.loads(spark.read.json(str(tmp_path / "r")).first()["results"])
-    assert [x["ref"] for x in listed] == ["r1", "r2", "r3", "r4"]
+    """Items are judged, saved by key and sent back with their refs; a later batch finds its texts in the cache; failures are told."""
+    given, out = tmp_path / "in", str(tmp_path / "out")
+    given.mkdir()
+    run = lambda mode="both": jobs.moderate(jobs.requests(spark, str(given)), out, str(tmp_path / "c"), mode).awaitTermination(120)
+    _send(given, "a", "t", ["ththe", "fine words", "", "fine words"])
+    run()
+    items = lambda: {(r["task_id"], r["item_index"]): r for r in tables.verdict_table(spark, f"{out}/items", spark.read.parquet(f"{out}/items").drop("bucket")).collect()}
+    got = items()
+    assert [got["t", k]["is_toxic"] for k in range(4)] == [True, False, False, False] and not any(r["from_cache"] for r in got.values())
+    listed = json.loads(spark.read.json(f"{out}/results").first()["results"])
+    assert [x["ref"]["message_id"] for x in listed] == [0, 1, 2, 3]
+    _send(given, "b", "u", ["Fine words ", "new words", " "])
+    run()
+    got = items()
+    assert [got["u", k]["from_cache"] for k in range(3)] == [True, False, False] and len(got) == 7
+    flagged = jobs.actions(spark.createDataFrame(list(got.values())))
+    assert [tuple(r) for r in flagged.collect()] == [(7, 0, "delete")]
+    _send(given, "c", "v", ["x"])
+    run("broken")
+    failed = spark.read.json(f"{out}/failed").collect()
+    assert [(r["task_id"], r["status"]) for r in failed] == [("v", "failed")] and "broken" in spark.read.json(f"{out}/failed_items").first()["error"]
+    _send(given, "d", "w", ["fine words"], "2034-01-01T00:00:00Z")
+    run()
+    assert items()["w", 0]["from_cache"] is False and len(items()) == 8  # the remembered verdict is too old by then
+
+
+def _until(spark, name, n, seconds=90):
+    import time
+
+    for _ in range(seconds * 2):
+        rows = spark.table(name).collect()
+        if len(rows) >= n:
+            return rows
+        time.sleep(0.5)
+    raise AssertionError(f"{len(rows)} rows of {n}")
+
+
+def test_stream_micro_batches(spark, tmp_path):
+    """Batches close by size, by a later item, and by the clock when none comes."""
+    given = tmp_path / "in"
+    given.mkdir()
+    (given / "a.json").write_text("\n".join(json.dumps({"s": "a", "at": t, "k": k}) for k, t in enumerate([0.0, 0.1, 0.2, 0.3, 9.0])))
+    rows = spark.readStream.schema("s string, at double, k string").json(str(given))
+    query = jobs.count_or_age(rows, "s", "at", "k", 3, 2.0).writeStream.format("memory").queryName("micro").outputMode("append").start()
+    try:
+        assert sorted((r["key"], r["batch"]) for r in _until(spark, "micro", 5)) == [("0", 0), ("1", 0), ("2", 0), ("3", 1), ("4", 2)]
+    finally:
+        query.stop()
+
+
+def test_stream_verdict_cache(spark, tmp_path):
+    """Lookups find what was stored while it lives."""
+    given = tmp_path / "in"
+    given.mkdir()
+    lines = [
+        {"key": "a", "asked": "1", "at": 0}, {"key": "a", "verdict": "bad", "ttl_s": 300, "at": 1}, {"key": "a", "asked": "2", "at": 2}, {"key": "b", "asked": "3", "at": 2},
+        {"key": "a", "verdict": "good", "ttl_s": 300, "at": 3}, {"key": "a", "asked": "4", "at": 4}, {"key": "a", "asked": "5", "at": 303},
+    ]
+    (given / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    rows = spark.readStream.schema("key string, asked string, verdict string, ttl_s double, at double").json(str(given))
+    query = jobs.verdict_cache(rows).writeStream.format("memory").queryName("cached").outputMode("append").start()
+    try:
+        assert {r["asked"]: r["verdict"] for r in _until(spark, "cached", 5)} == {"1": None, "2": "bad", "3": None, "4": "good", "5": None}
+    finally:
+        query.stop()
 
 
 def test_update_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    line = lambda k, t: json.dumps({"update_id": k, "message": {"text": t, "message_id": k}, "at": "2024-01-01T00:00:00Z"})
+    line = lambda k, t: json.dumps({"update_id": k, "message": {"text": t, "message_id": k, "chat": {"id": 5}, "from": {"id": 6}}, "at": "2024-01-01T00:00:00Z"})
     (tmp_path / "in/a.json").write_text("\n".join([line(1, "x"), line(1, "x"), line(2, " "), line(3, "y")]))
     q = jobs.updates(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("updates").trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -183,7 +340,53 @@ def test_round_trip_failures(spark):
 
 
 def test_dual_vocabularies(spark):
-    rows = [(k, "ПОДАРОК всем" if k % 2 else "подарок всем", k % 2) for k in range(20)] + [(99, "", None)]
+    """Capitals words have a vocabulary of their own, case kept."""
+    rows = [(k, "ПРИЗ всем" if k % 2 else "приз всем", k % 2) for k in range(20)] + [(99, "", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    got = {r[0]: (r[1], r[2]) for r in models.score_dual(models.fit_dual(frame), frame).collect()}
+    model = models.fit(frame, "dual", names=[])
+    assert {r["term"] for r in model.terms.where("part = 'caps'").collect()} == {" ПР", "ПРИ", "РИЗ", "ИЗ ", " ПРИ", "ПРИЗ", "РИЗ "}
+    got = {r[0]: (r[1], r[2]) for r in models.score(model, frame).collect()}
     assert got[99] == (0.0, False) and all(got[k][1] is bool(k % 2) for k in range(20))
+
+
+def test_rules_planted(spark):
+    t = F.col("text")
+    toxic = ["перехуярь", "похуй!", "херов", "хер.", "херово", "хули", "ху ня", "трах", "страх", "говно", "дерьмовый", "чисто"]
+    got = [r[0] for r in values(spark, toxic, rules.names(rules.categories(t, rules.TOXIC)))]
+    assert got == ["", "хуй", "хуй", "хуй", "хуй", "хуй", "хуй", "пиздец", "", "говно", "", ""]
+    spam = ["работа без вложений", "без вложенийх", "заработок сразу без вложенийх", "БОНУС за\u00a0регистрацию", "бонус за рег", "жми сюда: ссылка", "жми сюда: ссылк", "пиши в лс", "пиши в лса", "доход от 5", "вывод на карту"]
+    got = [r[0] for r in values(spark, spam, rules.names(rules.categories(t, rules.SPAM)))]
+    assert got == ["earnings", "", "earnings", "", "earnings", "", "cta_links", "cta_links", "", "earnings", "earnings"]
+
+
+def test_phone_spaces(spark):
+    assert [r[0] for r in values(spark, ["8\u00a0900\u00a0123-45-67"], features.feature("has_phone", F.col("text")))] == [1.0]
+
+
+def test_corpora_by_suffix(spark, tmp_path):
+    frame = spark.createDataFrame([("a, \"b\"\nc", 1, "x")], "text string, label int, other string")
+    tables.write_report(frame, f"{tmp_path}/c.csv")
+    frame.write.parquet(f"{tmp_path}/c.parquet")
+    for name in ("c.csv", "c.parquet"):
+        assert [(r["text"], str(r["label"])) for r in tables.read_labelled(spark, f"{tmp_path}/{name}").collect()] == [("a, \"b\"\nc", "1")]
+    with pytest.raises(ValueError):
+        tables.read_labelled(spark, f"{tmp_path}/c.txt")
+
+
+def test_validity(spark):
+    from textward.operators import relational
+
+    rows = [(1, True, 0.5, "regex", False, 0.0, "tfidf"), (2, None, None, None, False, 0.0, None), (3, True, 1.5, None, None, -0.1, None)]
+    items = spark.createDataFrame(rows, "task_id int, is_toxic boolean, toxicity_score double, tox_model_used string, is_spam boolean, spam_score double, spam_model_used string")
+    assert [tuple(r) for r in items.orderBy("task_id").select(relational.faults("tox"), relational.faults("spam")).collect()] == [(0, 0), (2, 0), (2, 3)]
+
+
+def test_verdict_table_buckets(spark, tmp_path):
+    """A batch rewrites only the buckets of its keys, and a replay changes nothing."""
+    rows = lambda ids, v: spark.createDataFrame([(i, f"{v}", v) for i in ids], "k long, x string, version long")
+    path = str(tmp_path / "t")
+    tables.save_verdicts(rows(range(50), 0), path, 0, ["k"], "version")
+    for _ in range(2):
+        out = tables.save_verdicts(rows([3, 60], 1), path, 1, ["k"], "version")
+        assert out.count() == 51 and {r["k"] for r in out.where("version = 1").collect()} == {3, 60}
+    assert spark.read.parquet(f"{path}/version=1").select("bucket").distinct().count() <= 2

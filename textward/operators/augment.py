@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,56 +13,97 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from .corpus import hash_order
 
-# Keyboard rows (neighbours are the keys beside), look-alike characters.
-ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю"]
-LEET = dict(zip("aeiostbgаеоз", "4310578643"  "03"))
-KINDS = ("keyboard", "insert", "delete", "replace", "leet")
-NEAR = {ch: row[max(0, k - 1) : k] + row[k + 1 : k + 2] for row in ROWS for k, ch in enumerate(row)}
-
-
-def _like(ch: str, new: str) -> str:
-    return new.upper() if ch.isupper() else new
-
-
-def apply(kind: str, text: str, intensity: float, rng: random.Random) -> tuple[str, str]:
-    """The noisy text and the kind of noise; empty text stays."""
-    if not text:
-        return text, kind
-    if kind == "any":
-        kind = rng.choice(KINDS)
+# The neighbours of each key, look-alike characters (a letter may stand for itself), the alphabet.
+NEAR = {
+    "й": "цф", "ц": "йуы", "у": "цке", "к": "уен", "е": "кнг", "н": "егш", "г": "ншщ", "ш": "гщз", "щ": "шзх", "з": "щхъ", "х": "зъ", "ъ": "х",
+    "ф": "йыв", "ы": "фва", "в": "ыап", "а": "впр", "п": "аро", "р": "пол", "о": "рлд", "л": "одж", "д": "лжэ", "ж": "дэ", "э": "ж",
+    "я": "чсм", "ч": "ясм", "с": "чми", "м": "сит", "и": "мть", "т": "иьб", "ь": "тбю", "б": "ью", "ю": "б",
+}
+LEET = {"а": "4@", "о": "0о", "е": "3ё", "и": "1|", "с": "$с", "з": "3з", "т": "7т", "б": "6б"}
+ALPHABET = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+KINDS = ("qwerty", "insert", "delete", "replace", "leet")
+#: How likely each kind is when a kind is drawn; the rest falls to combined.
+SHARES = {"qwerty": 0.25, "insert": 0.25, "delete": 0.25, "replace": 0.25, "leet": 0.25}
+# Latin texts get the same noise by keys and letters of their own.
+_LATIN_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_LATIN_NEAR = {ch: row[max(0, k - 1) : k] + row[k + 1 : k + 2] for row in _LATIN_ROWS for k, ch in enumerate(row)}
+_LATIN_LEET = dict(zip("aeiostbg", "43105786"))
+
+
+@dataclass(frozen=True)
+class Script:
+    """What noise draws from: neighbours, look-alikes, alphabet."""
+
+    near: dict[str, str]
+    leet: dict[str, str]
+    alphabet: str
+
+
+CYRILLIC = Script(NEAR, LEET, ALPHABET)
+LATIN = Script(_LATIN_NEAR, _LATIN_LEET, "abcdefghijklmnopqrstuvwxyz")
+
+
+def _places(kind: str, chars: list[str], n: int, rng: random.Random, script: Script) -> None:
+    """n draws of a place, each changed once at most by what its letter may become; case is kept."""
+    options = {"qwerty": script.near.get, "leet": lambda ch: script.leet.get(ch) or (ch if ch in script.alphabet else None), "replace": lambda ch: script.alphabet if ch in script.alphabet else None}[kind]
+    changed = set()
+    for k in (rng.randrange(len(chars)) for _ in range(n)):
+        found = None if k in changed else options(chars[k].lower())
+        if found:
+            new = rng.choice(found)
+            chars[k] = new.upper() if chars[k].isupper() else new
+            changed.add(k)
+
+
+def apply(kind: str | None, text: str, intensity: float, rng: random.Random, script: Script = CYRILLIC, shares: dict[str, float] = SHARES) -> tuple[str, str]:
+    """The noisy text and the kind of noise; blank text stays, as original. Without a kind one is drawn by cumulative shares.
+
+    A kind changes max(1, int(length x intensity)) places. Combined takes each kind by its share (one at random if none),
+    splits the intensity over those taken, and applies the first two of them.
+    """
+    if not text.strip():
+        return text, "original"
+    if kind is None:
+        drawn, upto, kind = rng.random(), 0.0, "combined"
+        for name in KINDS:
+            upto += shares.get(name, 0.0)
+            if drawn < upto:
+                kind = name
+                break
     if kind == "combined":
-        for one in rng.sample(KINDS, 2):
-            text = apply(one, text, intensity / 2, rng)[0]
-        return text, kind
-    chars = list(text)
-    n = max(1, int(len(chars) * intensity))
-    places = sorted(rng.sample(range(len(chars)), min(n, len(chars))), reverse=True)
-    for k in places:
-        ch = chars[k]
-        row = next((r for r in ROWS if ch.lower() in r), None)
-        if kind == "keyboard" and NEAR.get(ch.lower()):
-            chars[k] = _like(ch, rng.choice(NEAR[ch.lower()]))
-        elif kind == "insert":
-            chars.insert(k, rng.choice(row or ROWS[0]))
-        elif kind == "delete" and len(chars) > 1:
-            del chars[k]
-        elif kind == "replace" and row:
-            chars[k] = _like(ch, rng.choice([c for c in row if c != ch.lower()]))
-        elif kind == "leet":
-            chars[k] = LEET.get(ch.lower(), ch)
-    return "".join(chars), kind
-
-
-def noise(df: DataFrame, kind: str, intensity: float = 0.05, seed: str = "noise-1", key: str = "doc_id") -> DataFrame:
-    """key, text (noisy), kind of every row; null texts count as empty."""
+        taken = [name for name in KINDS if rng.random() < shares.get(name, 0.0)] or [rng.choice(KINDS)]
+        for name in taken[:2]:
+            text = apply(name, text, intensity / len(taken), rng, script, shares)[0]
+        return text, "char_noise_combined"
+    chars, n = list(text), max(1, int(len(text) * intensity))
+    if kind == "insert":
+        for _ in range(n):
+            chars.insert(rng.randint(0, len(chars)), rng.choice(script.alphabet))
+    elif kind == "delete":
+        gone = set(rng.sample(range(len(chars)), min(n, len(chars) - 1)))
+        chars = [ch for k, ch in enumerate(chars) if k not in gone]
+    else:
+        _places(kind, chars, n, rng, script)
+    return "".join(chars), f"char_noise_{kind}"
+
+
+def noise(df: DataFrame, kind: str | None = None, intensity: float = 0.05, seed: str = "noise-1", key: str = "doc_id", script: Script = CYRILLIC, shares: dict[str, float] = SHARES) -> DataFrame:
+    """df (key, text and more) with text made noisy and kind added; null texts count as empty.
+
+    A column intensity of df, where it has one, is the row's own. Draws come from seed, key and text.
+    """
+    names = [c for c in df.columns if c not in ("text", "intensity")]
+    own = F.col("intensity") if "intensity" in df.columns else F.lit(intensity)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [apply(kind, t or "", intensity, random.Random(int(s))) for t, s in zip(pdf["text"], pdf["draw"])]
-            yield pd.DataFrame({key: pdf[key], "text": [m[0] for m in made], "kind": [m[1] for m in made]})
+            made = [apply(kind, t, x, random.Random(int(s)), script, shares) for t, x, s in zip(pdf["text"], pdf["_x"], pdf["_draw"])]
+            yield pdf[names].assign(text=[m[0] for m in made], kind=[m[1] for m in made])
 
-    rows = df.select(key, F.coalesce("text", F.lit("")).alias("text"), hash_order(seed, F.col(key)).alias("draw"))
-    return rows.mapInPandas(work, f"{key} {dict(df.dtypes)[key]}, text string, kind string")
+    text = F.coalesce("text", F.lit(""))
+    rows = df.select(*names, text.alias("text"), own.cast("double").alias("_x"), hash_order(seed, F.concat_ws("|", F.col(key).cast("string"), F.md5(text))).alias("_draw"))
+    kinds = dict(df.dtypes)
+    return rows.mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", text string, kind string")
 
 
 def _stage(df: DataFrame, translate: Callable[[list[str]], list[str]], size: int) -> DataFrame:
@@ -93,10 +135,15 @@ def round_trip(df: DataFrame, there: Callable[[list[str]], list[str]], back: Cal
     return done.select(key, F.when(new, F.col("made")).otherwise(F.col("text")).alias("text"), F.when(new, "back_translation").otherwise("original").alias("kind"))
 
 
-def dataset(df: DataFrame, p: float = 0.5, more: float = 1.5, intensity: float = 0.05, seed: str = "noise-1", key: str = "doc_id") -> DataFrame:
-    """Originals and noisy copies (key, text, label, kind); positives are drawn more often, unchanged copies dropped."""
-    share = F.least(F.lit(1.0), F.when(F.col("label") == 1, p * more).otherwise(p))
-    chosen = df.where(hash_order(seed + "-gate", F.col(key)) / float(2**32) < share)
-    noisy = noise(chosen, "any", min(0.1, intensity), seed, key).withColumnRenamed("text", "noisy")
-    changed = chosen.join(noisy, key).where("noisy <> text").select(key, F.col("noisy").alias("text"), "label", "kind")
-    return df.select(key, "text", "label", F.lit("original").alias("kind")).unionByName(changed)
+def dataset(df: DataFrame, p: float = 0.5, more: float = 1.5, intensity: float = 0.05, seed: str = "noise-1", key: str = "doc_id", script: Script = CYRILLIC) -> DataFrame:
+    """Originals and noisy copies (key, text, label, kind); positives are drawn more often (up to always) and get more noise (up to 0.1).
+
+    Blank texts get no copy, unchanged copies are dropped. The copy is made where its row is, so repeated ids stay apart.
+    """
+    positive = F.col("label") == 1
+    share = F.when(positive, min(1.0, p * more)).otherwise(p)
+    rows = df.select(key, F.coalesce("text", F.lit("")).alias("text"), "label")
+    chosen = rows.where((strip(F.col("text")) != "") & (hash_order(seed + "-gate", F.concat_ws("|", F.col(key).cast("string"), F.md5("text"))) / float(2**32) < share))
+    chosen = chosen.withColumns({"intensity": F.when(positive, min(0.1, intensity * more)).otherwise(intensity), "before": F.col("text")})
+    noisy = noise(chosen, None, intensity, seed, key, script).where("text <> before")
+    return df.select(key, "text", "label", F.lit("original").alias("kind")).unionByName(noisy.select(key, "text", "label", "kind"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features, rules, text
-from ..sources.tables import scratch
+from ..sources.scratch import scratch
 from .models import Model, scores
 
 # The fallback chain and the models' limits in seconds.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features, rules, text
+from ..sources.scratch import scratch
 
 # Label aliases.
 POSITIVE = ["spam", "junk", "toxic", "1", "true", "yes", "y"]
@@ -48,23 +49,63 @@ def distinct_on(df: DataFrame, key: Column, order: str) -> DataFrame:
     return first.select(*[F.col(f"first.{c}").alias(c) for c in rest])
 
 
+def rank_within(df: DataFrame, group: str, cut: Column, order: list[str]) -> DataFrame:
+    """df with rank (from 0, by order) and all (rows) within each group.
+
+    cut is a number that never falls along the order. Ranks come from counts per (group, cut) plus a rank inside the
+    cut, so no group is sorted as one.
+    """
+    df = df.withColumn("cut", cut)
+    totals = df.groupBy(group, "cut").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("own").orderBy("cut")
+    totals = totals.withColumn("own", F.struct(group)).withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("own")))
+    inside = F.row_number().over(Window.partitionBy("own", "cut").orderBy(*order))
+    ranked = df.withColumn("own", F.struct(group)).withColumn("inside", inside).join(totals.select("own", "cut", "before", "all"), ["own", "cut"])
+    return ranked.withColumn("rank", F.col("before") + F.col("inside") - 1).drop("own", "cut", "before", "inside")
+
+
+def row_range(df: DataFrame, key: str, start: int, stop: int | None = None) -> DataFrame:
+    """The rows at positions start to stop (not included; None: to the end) in order of key, for sharded runs.
+
+    Positions come from a range of keys per task and the counts of the ranges before it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    placed = dealt.join(F.broadcast(offsets), "_part").withColumn("_place", place).where(F.col("_place") >= start)
+    return (placed if stop is None else placed.where(F.col("_place") < stop)).select(*df.columns)
+
+
+def lemmatise(rows: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, out: words of the lower-cased text through a (word, lemma) table, each in its place; a word without a line stays.
+
+    Each different word of a text is looked up once, and only lines that change a word take part, so the commonest words
+    meet nothing; what is found returns to its text as a map.
+    """
+    own = rows.select(key, F.xxhash64("text").alias("h"), text.tokens(F.lower(text.clean(F.col("text")))).alias("words"))
+    asked = own.select(key, "h", F.explode(F.array_distinct("words")).alias("word")).distinct()
+    found = asked.join(dictionary.where("word <> lemma"), "word").groupBy(key, "h").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("lemmas"))
+    placed = F.transform("words", lambda w: F.coalesce(F.try_element_at("lemmas", w), w))
+    return own.join(found, [key, "h"], "left").select(key, F.translate(F.array_join(F.when(F.col("lemmas").isNull(), F.col("words")).otherwise(placed), " "), "ёъ", "еь").alias("out"))
+
+
 def split(df: DataFrame, label: str, key: str, shares: dict[str, float], seed: str = "split-1") -> DataFrame:
     """df with a column part: exact shares within each label, by hash order.
 
     Ranks come from counts per (label, hash range) plus a rank inside the range, so no label is sorted as one group.
     """
-    df = df.withColumn("draw", hash_order(seed, F.col(key))).withColumn("cut", F.shiftright("draw", 22))
-    totals = df.groupBy(label, "cut").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(label).orderBy("cut")
-    totals = totals.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(label)))
-    inside = F.row_number().over(Window.partitionBy(label, "cut").orderBy("draw", key))
-    ranked = df.withColumn("inside", inside).join(totals, [label, "cut"]).withColumn("rank", F.col("before") + F.col("inside") - 1)
+    df = df.withColumn("draw", hash_order(seed, F.col(key)))
+    ranked = rank_within(df, label, F.shiftright("draw", 22), ["draw", key])
     part, upto = None, 0.0
     for name, share in shares.items():
         upto += share
         test = F.col("rank") < F.floor(F.col("all") * round(upto, 9) + 0.5)
         part = F.when(test, name) if part is None else part.when(test, name)
-    return ranked.withColumn("part", part).select(*df.drop("draw", "cut").columns, "part", "rank")
+    return ranked.withColumn("part", part).select(*df.drop("draw").columns, "part", "rank")
 
 
 def repair_labels(df: DataFrame) -> DataFrame:
@@ -87,7 +128,6 @@ def adapt(df: DataFrame, text_col: str, label_col: str, key: str) -> DataFrame:
 
 def quota(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """At most n/10 positives (1 at least), the rest negatives, in order of key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(key))
     positives = max(1, n // 10)
-    ranked = df.withColumn("rank", rank)
-    return ranked.where(((F.col(label) == 1) & (F.col("rank") <= positives)) | ((F.col(label) == 0) & (F.col("rank") <= n - positives))).drop("rank")
+    first = lambda y, m: df.where(F.col(label) == y).orderBy(key).limit(m)  # noqa: E731  (each task keeps its first m)
+    return first(1, positives).unionByName(first(0, n - positives))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .prefix import prefix_sum
 
 
@@ -105,9 +106,9 @@ def focal_loss(logit: Column, label: Column, alpha: float = 0.25, gamma: float =
     return -(alpha * y + (1 - alpha) * (1 - y)) * F.pow(1 - F.exp(log_pt), F.lit(gamma)) * log_pt
 
 
-def percentiles(value: Column, shares: tuple[float, ...] = (0.5, 0.95, 0.99, 0.999)) -> list[Column]:
-    """Exact, linearly interpolated percentiles with count, mean, min, max."""
-    made = [F.round(F.percentile(value, p), 6).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in shares]
+def percentiles(value: Column, shares: tuple[float, ...] = (0.5, 0.95, 0.99, 0.999), accuracy: int | None = None) -> list[Column]:
+    """Linearly interpolated percentiles with count, mean, min, max: exact, or with an accuracy from a sketch of bounded size."""
+    made = [F.round(F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy), 6).alias(f"p{f'{p * 100:g}'.replace('.', '_')}") for p in shares]
     return [F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *made]
 
 
@@ -117,3 +118,75 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = df.join(F.broadcast(stats))
     own = {c: (F.col(c) - F.col(f"avg_{c}")) / F.when(F.col(f"stddev_pop_{c}") == 0, 1.0).otherwise(F.col(f"stddev_pop_{c}")) for c in columns}
     return rows.select(*[own[c].alias(c) if c in own else F.col(c) for c in df.columns])
+
+
+def pearson(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate, null where a column is constant (corr fails there)."""
+    a, b = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, r: Pearson's r of every pair, null where a column is constant; one aggregation."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+    found = df.agg(*[pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])))
+
+
+def feature_table(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """feature, n, r with the label, mean of either class, their difference, and the AUC of the feature alone, 0.5 at least."""
+    stacked = df.select(F.col(label).alias("label"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])))
+    mean = lambda y: F.avg(F.when(F.col("label") == y, F.col("v")))
+    stats = stacked.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), pearson("v", "label").alias("r"), mean(1).alias("mean_1"), mean(0).alias("mean_0")
+    )
+    curves = [roc_auc(curve(df.select(F.col(c).alias("score"), F.col(label).alias("label")))).select(F.lit(c).alias("feature"), F.greatest("auc", 1 - F.col("auc")).alias("auc")) for c in columns]
+    aucs = curves[0]
+    for c in curves[1:]:
+        aucs = aucs.unionByName(c)
+    return stats.withColumn("delta", F.col("mean_1") - F.col("mean_0")).join(F.broadcast(aucs), "feature")  # a row per feature
+
+
+def term_lift(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """term, d1, d0, rate_1, rate_0, lift from (label, term), each term once per document, and the documents (label)."""
+    sizes = F.broadcast(rows.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")))  # one row
+    counts = terms.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("d1"), F.count_if(F.col("label") == 0).alias("d0"))
+    lift = F.when(F.col("d0") == 0, 1e308).otherwise(F.round(F.try_divide(F.col("d1") / F.col("n1"), F.col("d0") / F.col("n0")), 6))
+    return counts.join(sizes).select("term", "d1", "d0", F.round(F.try_divide("d1", "n1"), 6).alias("rate_1"), F.round(F.try_divide("d0", "n0"), 6).alias("rate_0"), lift.alias("lift"))
+
+
+def ngram_sweep(df: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
+    """least, most, max_features, vocabulary, nonzeros_per_doc of (doc_id, made) for each setting.
+
+    N-grams of one least size are counted once, at the largest range; a narrower range has those that are not longer.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    found = []
+    for least in sorted({s[0] for s in settings}):
+        most = max(b for a, b, _ in settings if a == least)
+        counts = text.gram_counts(df.repartition(n, "doc_id"), ["doc_id"], F.col("made"), least, most)
+        counts = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+        for _, upto, limit in [s for s in settings if s[0] == least]:
+            best = counts.where(F.char_length("term") <= upto).orderBy(F.desc("total"), "term").limit(limit)
+            made = best.agg(F.count(F.lit(1)).alias("vocabulary"), F.round(F.sum("df") / F.lit(float(max(total, 1))), 4).alias("nonzeros_per_doc"))
+            found.append(made.select(F.lit(least).alias("least"), F.lit(upto).alias("most"), F.lit(limit).alias("max_features"), "vocabulary", "nonzeros_per_doc"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def evaluate(df: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
+    """side, confusion counts, precision, recall, f1 of each side's (predicted, label) columns; rows without a label are skipped."""
+    stacked = F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(p).alias("p"), F.col(y).cast("int").alias("label")) for k, (p, y) in sides.items()]))
+    return with_prf(df.select(stacked).where("label IS NOT NULL").groupBy("side").agg(*confusion(F.col("p"), F.col("label"))))
+
+
+def fold_summary(folds: DataFrame) -> DataFrame:
+    """mean, std (population), least, most of the score of (fold, score, threshold), the best fold and its threshold."""
+    return folds.agg(
+        F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.min("score").alias("least"), F.max("score").alias("most"),
+        F.max_by("fold", "score").alias("best"), F.max_by("threshold", "score").alias("threshold"),
+    )

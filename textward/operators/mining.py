@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -27,19 +27,39 @@ def _stack(hist: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return hist.select("*", F.inline(rows))
 
 
-def per_pattern(hist: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """hits, tp, fp, tp that no other pattern has, precision (1 without hits) of each pattern."""
+def with_costs(patterns: dict[str, str], costs: dict[str, float] | None) -> dict[str, float]:
+    """The cost of each pattern, from a table of measured costs; 1 where none is known."""
+    return {name: float((costs or {}).get(name, 1.0)) for name in patterns}
+
+
+def per_pattern(hist: DataFrame, patterns: dict[str, str], floor: float = 0.9, costs: dict[str, float] | None = None) -> DataFrame:
+    """Of each pattern hits, tp, fp, tp that no other has, precision (1 without hits), its share of all positives, and advice.
+
+    The advice is the first that holds: no hits; low precision without or with own positives; a double with or without
+    false positives; dear (over a quarter of all costs) for little; to be kept (own share 0.005 or more); open.
+    """
     hit = F.col("mask").bitwiseAND(F.col("bit")) != 0
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     y = F.col("label") == 1
     out = _stack(hist, patterns).groupBy("pattern").agg(
         n(hit).alias("hits"), n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n((F.col("mask") == F.col("bit")) & y).alias("unique_tp"), n(y).alias("positives")
     )
-    return out.select(
-        "pattern", "hits", "tp", "fp", "unique_tp",
-        F.when(F.col("hits") == 0, 1.0).otherwise(F.round(ratio(F.col("tp"), F.col("hits")), 6)).alias("precision"),
-        F.round(ratio(F.col("unique_tp"), F.col("positives")), 6).alias("unique_recall"),
-    )
+    cost = with_costs(patterns, costs)
+    share = F.create_map(*[x for k, v in cost.items() for x in (F.lit(k), F.lit(v / max(sum(cost.values()), 1e-12)))])[F.col("pattern")]
+    precision = F.when(F.col("hits") == 0, 1.0).otherwise(ratio(F.col("tp"), F.col("hits")))
+    recall = ratio(F.col("unique_tp"), F.col("positives"))
+    own = F.col("unique_tp") > 0
+    advice = (
+        F.when(F.col("hits") == 0, "drop: no hits")
+        .when((precision < floor) & ~own, "drop: imprecise")
+        .when((precision < floor) & own, "rewrite")
+        .when(~own & (F.col("fp") > 0), "drop: double")
+        .when(~own & (F.col("tp") > 0), "double")
+        .when((share > 0.25) & (recall < 0.01), "dear")
+        .when((precision >= floor) & (recall >= 0.005), "keep")
+        .otherwise("open")
+    )
+    return out.select("pattern", "hits", "tp", "fp", "unique_tp", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("unique_recall"), advice.alias("advice"))
 
 
 def removal_impact(hist: DataFrame, patterns: dict[str, str], mode: str = "exclusive") -> DataFrame:
@@ -51,28 +71,47 @@ def removal_impact(hist: DataFrame, patterns: dict[str, str], mode: str = "exclu
     return out.select("pattern", "tp_lost", "fp_saved", F.round(ratio(F.col("tp_lost"), F.col("positives")), 6).alias("recall_lost"))
 
 
-def subsets(hist: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Every subset of patterns with tp, fp, precision, recall: the histogram against 2^k subset numbers."""
-    spark = hist.sparkSession
-    numbers = F.broadcast(spark.range(1, 1 << len(patterns)).withColumnRenamed("id", "subset"))  # at most 2^16 rows
-    hit = F.col("mask").bitwiseAND(F.col("subset")) != 0
-    y = F.col("label") == 1
+def subsets(hist: DataFrame, patterns: dict[str, str], floor: float | None = None, costs: dict[str, float] | None = None) -> DataFrame:
+    """Every subset of patterns with tp, fp, precision, recall, f1, cost; those under the floor of precision left out.
+
+    Rows that a subset hits are all but those whose mask lies in its complement, so sums over sub-masks give tp and fp:
+    one pass per pattern over 2^k rows, in place of every subset against every mask.
+    """
+    cost = with_costs(patterns, costs)
+    spark, k = hist.sparkSession, len(patterns)
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    out = numbers.join(hist).groupBy("subset").agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(y).alias("positives"))
-    return out.select("subset", "tp", "fp", F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(ratio(F.col("tp"), F.col("positives")), 6).alias("recall"), F.bit_count("subset").cast("long").alias("cost"))
+    known = hist.groupBy("mask").agg(n(F.col("label") == 1).alias("pos"), n(F.col("label") != 1).alias("neg"))
+    below = spark.range(0, 1 << k).withColumnRenamed("id", "mask").join(F.broadcast(known), "mask", "left").na.fill(0)  # at most 2^16 rows
+    for bit in range(k):
+        # a mask with this bit takes over what the mask without it has
+        moved = below.select("*", F.explode(F.when(F.col("mask").bitwiseAND(F.lit(1 << bit)) == 0, F.array("mask", F.col("mask") + (1 << bit))).otherwise(F.array("mask"))).alias("to"))
+        below = moved.groupBy(F.col("to").alias("mask")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    totals = F.broadcast(known.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")))  # one row
+    full = (1 << k) - 1
+    out = below.select((F.lit(full) - F.col("mask")).alias("subset"), "pos", "neg").where("subset > 0").join(totals)
+    tp, fp = F.coalesce("positives", F.lit(0)) - F.col("pos"), F.coalesce("negatives", F.lit(0)) - F.col("neg")
+    price = sum([F.when(F.col("subset").bitwiseAND(F.lit(b)) != 0, F.lit(cost[name])).otherwise(0.0) for name, b in bits(patterns)], F.lit(0.0))
+    out = out.select("subset", tp.alias("tp"), fp.alias("fp"), F.coalesce("positives", F.lit(0)).alias("positives"), price.alias("cost"))
+    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("positives"))
+    out = out.select(
+        "subset", "tp", "fp", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
+        F.round(ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives")), 6).alias("f1"), F.round("cost", 6).alias("cost"),
+    )
+    return out if floor is None else out.where(F.col("precision") >= floor)
 
 
-def pareto(found: DataFrame, floor: float) -> DataFrame:
-    """Subsets of enough precision that no other beats on recall and cost."""
-    a = found.where(F.col("precision") >= floor)
-    b = F.broadcast(a.select(F.col("recall").alias("r2"), F.col("cost").alias("c2")).distinct())  # at most 2^16 rows
-    better = (F.col("r2") >= F.col("recall")) & (F.col("c2") <= F.col("cost")) & ((F.col("r2") > F.col("recall")) | (F.col("c2") < F.col("cost")))
-    return a.join(b, better, "left_anti")
+def pareto(found: DataFrame) -> DataFrame:
+    """Subsets that no other beats on recall and cost: of each cost the best recall, and more than all cheaper ones reach."""
+    best = found.groupBy("cost").agg(F.max("recall").alias("best"))
+    cheaper = Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1)  # a row per cost, at most 2^16
+    best = best.withColumn("before", F.max("best").over(cheaper)).where("before IS NULL OR best > before")
+    return found.join(F.broadcast(best.select("cost", F.col("best").alias("recall"))), ["cost", "recall"], "left_semi")
 
 
-def greedy(hist: DataFrame, patterns: dict[str, str], floor: float) -> DataFrame:
-    """Adds the pattern that gains most recall while precision holds; at most k steps over the collected histogram."""
+def greedy(hist: DataFrame, patterns: dict[str, str], floor: float, costs: dict[str, float] | None = None) -> DataFrame:
+    """Adds the pattern that gains most recall for its cost while precision holds; at most k steps over the collected histogram."""
     rows = [(r["mask"], r["label"], r["n"]) for r in hist.collect()]  # at most 2^(k+1) rows
+    cost = with_costs(patterns, costs)
 
     def measure(subset):
         tp = sum(n for m, y, n in rows if m & subset and y == 1)
@@ -85,10 +124,22 @@ def greedy(hist: DataFrame, patterns: dict[str, str], floor: float) -> DataFrame
             if not chosen & bit:
                 a, b = measure(chosen | bit)
                 if a > tp and a / (a + b) >= floor:
-                    options.append((-a, name, bit, a, b))
+                    options.append((-(a - tp) / max(cost[name], 0.001), name, bit, a, b))
         if not options:
             break
         _, name, bit, tp, fp = min(options)
         chosen |= bit
         steps.append((len(steps) + 1, name, tp, fp))
     return hist.sparkSession.createDataFrame(steps, "step int, pattern string, tp long, fp long")
+
+
+def false_positives(df: DataFrame, patterns: dict[str, str], stats: DataFrame, worst: int = 5, each: int = 3, key: str = "doc_id") -> DataFrame:
+    """pattern, key, example (120 characters, no line ends) of the least precise patterns with hits: the first rows by key.
+
+    One scan: a row goes to every chosen pattern that it hits, and each task keeps a pattern's smallest keys.
+    """
+    chosen = [r["pattern"] for r in stats.where("hits > 0 AND fp > 0").orderBy("precision", "pattern").limit(worst).collect()]
+    found = F.array(*[F.when(rules.hits(F.col("text"), patterns[p]), F.lit(p)) for p in chosen]) if chosen else F.array().cast("array<string>")
+    rows = df.where("label <> 1").select(key, F.translate(F.substring("text", 1, 120), "\n", " ").alias("example"), F.explode(F.filter(found, lambda p: p.isNotNull())).alias("pattern"))
+    rank = F.row_number().over(Window.partitionBy("pattern").orderBy(key))  # limited per task before the shuffle
+    return rows.withColumn("rank", rank).where(F.col("rank") <= each).select("pattern", key, "example")

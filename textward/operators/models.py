@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import features
 from ..functions import text as tx
-from ..sources.tables import scratch
+from ..sources.scratch import scratch
 from .corpus import split
 from .metrics import average_precision, best_threshold, class_weights, curve
 
@@ -202,7 +202,7 @@ def score(model: Model, df: DataFrame, key: str = "doc_id", threshold: float | N
 
 def with_threshold(model: Model, df: DataFrame, floor: float = 0.9, by: str = "f1", key: str = "doc_id") -> Model:
     """The model with the threshold that is best on labelled rows."""
-    points = curve(scored(model, df.where("label IS NOT NULL"), key).select("score", "label"))
+    points = curve(scored(model, df.where("label IS NOT NULL"), key).select(F.round("score", 6).alias("score"), "label"))  # as score rounds
     return replace(model, threshold=best_threshold(points, floor, by).first()[0])
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sum(df: DataFrame, order: str, values: list[str], parts: int = 32) -> DataFrame:
+def prefix_sum(df: DataFrame, order: str, values: list[str], parts: int | None = None) -> DataFrame:
     """df with run_<value>: the sum of value over all rows whose `order` is at least the row's (descending).
 
-    order must be numeric and distinct per row. Its quantiles (at most `parts` numbers) cut the table into ranges; the
+    order must be numeric and distinct per row. Its quantiles (as many as shuffle partitions unless told) cut the table into ranges; the
     ranges' totals, one short row each, become offsets; the running sum is then local to a range.
     """
+    parts = parts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
     cut = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>"), lambda e: e <= F.col(order)))
     cut = cut if edges else F.lit(0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import rank_within
+
 
 def peak_concurrency(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
     """Per group the most intervals open at once; ends come before starts of the same instant."""
@@ -57,11 +59,27 @@ def quantile_edges(df: DataFrame, value: str, n: int) -> list[int]:
     return edges
 
 
-def bucket_batches(df: DataFrame, bucket: str, key: str, size: int, seed: str) -> DataFrame:
-    """df with batch: rows of a bucket in hash order, cut into batches."""
-    draw = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(draw, key))
-    return df.withColumn("batch", F.floor((rank - 1) / size))
+def length_groups(df: DataFrame, group: str, length: Column, key: str, n: int) -> DataFrame:
+    """df with part 1 to n: rows of a group in order of length and key, cut to n parts of nearly equal size, longer parts first."""
+    ranked = rank_within(df.withColumn("_length", length), group, F.col("_length"), ["_length", key])
+    size, more = F.floor(F.col("all") / n), F.col("all") % n
+    whole = (size + 1) * more
+    part = F.when(F.col("rank") < whole, F.floor(F.col("rank") / (size + 1))).otherwise(more + F.floor((F.col("rank") - whole) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn("part", (part + 1).cast("long")).drop("_length", "rank", "all")
+
+
+def bucket_batches(df: DataFrame, bucket: str, key: str, size: int, seed: str, epoch: int = 1, drop_last: bool = False) -> DataFrame:
+    """df with batch (rows of a bucket in hash order of the epoch, cut into batches) and turn, a draw by which batches are ordered.
+
+    drop_last leaves out batches that are not full. Each epoch shuffles rows and batches anew.
+    """
+    draw = F.md5(F.concat(F.lit(f"{seed}-{epoch}" if epoch != 1 else seed), F.col(key).cast("string")))
+    ranked = rank_within(df.withColumn("_draw", draw), bucket, F.conv(F.substring("_draw", 1, 3), 16, 10).cast("int"), ["_draw", key])
+    out = ranked.withColumn("batch", F.floor(F.col("rank") / size))
+    if drop_last:
+        out = out.where((F.col("batch") + 1) * size <= F.col("all"))
+    turn = F.md5(F.concat_ws("|", F.lit(f"{seed}-{epoch}-turn"), F.col(bucket).cast("string"), F.col("batch").cast("string")))
+    return out.withColumn("turn", turn).drop("_draw", "rank", "all")
 
 
 def padding(df: DataFrame, batch: list[str], length: str) -> DataFrame:

@@ -179,20 +179,24 @@ def j01_tasks_items(spark, d):
     return _tasks(spark, d).join(_items(spark, d), "task_id").select("task_id", "status", "item_index", "role")
 
 
-_CACHE = """SELECT sha256(lower(trim(text))) AS key, CASE WHEN doc_id % 2 = 0 THEN 'clean' ELSE 'toxic' END AS verdict, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS cached_at,
-    CASE WHEN doc_id % 4 < 2 THEN 300 ELSE 3600 END AS ttl_s FROM documents WHERE doc_id % 2 = 0"""
+# the cache: verdicts of benchmark passages and of the documents of two sources, some long ago
+_CACHE = """SELECT sha256(lower(trim(text))) AS key, 'passage' AS verdict, TIMESTAMP '2024-01-01 00:10:00' AS cached_at, 3600 AS ttl_s FROM benchmark UNION ALL
+    SELECT sha256(lower(trim(text))), lang, TIMESTAMP '2024-01-01' + to_seconds(length(text)), CASE WHEN lang = 'en' THEN 300 ELSE 3600 END FROM documents WHERE source IN (SELECT min(source) FROM documents UNION ALL SELECT max(source) FROM documents)"""
 _LOOKUP = f"""SELECT d.doc_id, d.doc_id // 10 AS task_id, c.verdict FROM documents d LEFT JOIN
-    (SELECT key, arg_max(verdict, cached_at) AS verdict FROM ({_CACHE}) WHERE cached_at + to_seconds(ttl_s) > TIMESTAMP '2024-01-01 00:15:00' GROUP BY key) c
+    (SELECT key, arg_max(verdict, (cached_at, verdict)) AS verdict FROM ({_CACHE}) WHERE cached_at + to_seconds(ttl_s) > TIMESTAMP '2024-01-01 00:15:00' GROUP BY key) c
     ON trim(coalesce(d.text, '')) <> '' AND c.key = sha256(lower(trim(d.text)))"""
 
 
 def _looked_up(spark, d):
     key = F.sha2(F.lower(F.trim("text")), 256)
     rows = docs(spark, d)
-    cache = rows.where("doc_id % 2 = 0").select(
-        key.alias("key"), F.when(F.col("doc_id") % 2 == 0, "clean").otherwise("toxic").alias("verdict"),
-        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias("cached_at"), F.when(F.col("doc_id") % 4 < 2, 300).otherwise(3600).alias("ttl_s"),
+    whole = table(spark, d, "documents")
+    ends = F.broadcast(whole.agg(F.min("source").alias("lo"), F.max("source").alias("hi")))  # one row
+    old = whole.join(ends).where("source IN (lo, hi)").select(
+        key.alias("key"), F.col("lang").alias("verdict"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, length(text))").alias("cached_at"), F.when(F.col("lang") == "en", 300).otherwise(3600).alias("ttl_s"),
     )
+    passages = table(spark, d, "benchmark").select(key.alias("key"), F.lit("passage").alias("verdict"), F.expr("timestamp_ntz'2024-01-01 00:10:00'").alias("cached_at"), F.lit(3600).alias("ttl_s"))
+    cache = old.unionByName(passages)
     items = rows.select("doc_id", F.expr("doc_id div 10").alias("task_id"), "text", key.alias("key"))
     return relational.cache_lookup(items, cache, F.expr("timestamp_ntz'2024-01-01 00:15:00'")).select("doc_id", "task_id", "text", "verdict")
 
@@ -212,14 +216,15 @@ def j03_split_batches(spark, d):
 
 @query(
     f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS rk, count(*) OVER (PARTITION BY task_id) AS n FROM ({_LOOKUP}) WHERE verdict IS NULL),
-    r AS (SELECT doc_id, task_id, 'answer ' || doc_id AS verdict FROM ({_LOOKUP}) WHERE verdict IS NULL AND doc_id % 50 <> 7),
+    r AS (SELECT l.doc_id, l.task_id, 'answer ' || l.doc_id AS verdict FROM ({_LOOKUP}) l JOIN documents d USING (doc_id) WHERE l.verdict IS NULL AND trim(coalesce(d.text, '')) <> ''),
     q AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS rk, count(*) OVER (PARTITION BY task_id) AS n FROM r)
     SELECT m.task_id, m.doc_id, q.verdict AS answer FROM m JOIN q USING (task_id, rk, n)"""
 )
 def j04_realign(spark, d):
-    found = _looked_up(spark, d).select("doc_id", "task_id", "verdict")
-    results = found.where("verdict IS NULL AND doc_id % 50 <> 7").select("doc_id", "task_id", F.concat(F.lit("answer "), F.col("doc_id").cast("string")).alias("verdict"))
-    return relational.realign(found, results, order="doc_id")
+    """Answers come for the misses that have a text; a batch that misses one has another count and is left out."""
+    found = _looked_up(spark, d)
+    results = found.where("verdict IS NULL AND trim(coalesce(text, '')) <> ''").select("doc_id", "task_id", F.concat(F.lit("answer "), F.col("doc_id").cast("string")).alias("verdict"))
+    return relational.realign(found.select("doc_id", "task_id", "verdict"), results, order="doc_id")
 
 
 _ARRAYS = "SELECT conv_id, array_agg(turn ORDER BY turn) AS turns, array_agg(length(text) ORDER BY turn) AS score FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id"
@@ -259,18 +264,25 @@ def j07_cascade_delete(spark, d):
 
 
 @query(
-    """WITH u AS (SELECT user_id AS task_id, arg_max(CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END, event_id) AS s, max(event_id) AS at
-    FROM events WHERE user_id % 2 = 0 GROUP BY user_id),
+    f"""WITH u AS (SELECT user_id AS task_id, arg_max(CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END, event_id) AS s, max(event_id) AS at
+    FROM events WHERE event_type <> 'view' GROUP BY user_id),
     t AS (SELECT DISTINCT user_id AS task_id FROM events)
-    SELECT t.task_id, coalesce(u.s, 'queued') AS status, CASE WHEN u.s IN ('completed', 'failed') THEN u.at ELSE -1 END AS completed_at, CASE WHEN u.s = 'failed' THEN 'stopped' END AS error
-    FROM t LEFT JOIN u USING (task_id)"""
+    SELECT t.task_id, coalesce(u.s, 'queued') AS status, CASE WHEN u.s IN ('completed', 'failed') THEN u.at ELSE -1 END AS completed_at, CASE WHEN u.s = 'failed' THEN 'stopped' END AS error,
+      coalesce(string_agg(CASE WHEN u.s = 'failed' THEN i.item_index || ':stopped' END, ',' ORDER BY i.item_index), '') AS failed_items
+    FROM t LEFT JOIN u USING (task_id) LEFT JOIN ({_ITEMS}) i ON i.task_id = t.task_id GROUP BY t.task_id, u.s, u.at"""
 )
 def j08_transitions(spark, d):
+    """The last status that is no view counts; a failed task hands its error to all its items."""
     e = table(spark, d, "events")
     tasks = e.select(F.col("user_id").alias("task_id")).distinct().select("task_id", F.lit("queued").alias("status"), F.lit(0).alias("created_at"), F.lit(None).cast("long").alias("completed_at"))
     status = F.when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
-    updates = e.where("user_id % 2 = 0").select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("event_id").alias("at"), F.lit("stopped").alias("error"))
-    return relational.transition(tasks, updates).drop("created_at").withColumn("completed_at", F.coalesce("completed_at", F.lit(-1)))
+    updates = e.where("event_type <> 'view'").select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("event_id").alias("at"), F.lit("stopped").alias("error"))
+    moved = relational.transition(tasks, updates)
+    items = relational.fail_items(_items(spark, d).withColumn("error", F.lit(None).cast("string")), moved).where("error IS NOT NULL")
+    listed = items.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("item_index", "error"))).alias("l"))
+    lines = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["item_index"].cast("string"), x["error"])), ",")
+    out = moved.join(listed.select("task_id", lines.alias("failed_items")), "task_id", "left")
+    return out.select("task_id", "status", F.coalesce("completed_at", F.lit(-1)).alias("completed_at"), "error", F.coalesce("failed_items", F.lit("")).alias("failed_items"))
 
 
 @query(f"SELECT 'missing' AS status, count(*) AS n FROM (SELECT DISTINCT conv_id AS task_id FROM conversations) c ANTI JOIN ({_TASKS}) t USING (task_id) UNION ALL SELECT status, count(*) AS n FROM ({_TASKS}) WHERE status <> 'completed' GROUP BY status")
@@ -285,11 +297,72 @@ def j11_union_generated(spark, d):
     return docs(spark, d).select("doc_id", F.lit("original").alias("kind")).unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("generated").alias("kind")))
 
 
-@query(f"""SELECT t.task_id, t.status, CASE WHEN t.status IN ('completed', 'failed') THEN coalesce(r.roles, '') END AS roles FROM ({_TASKS}) t
-    LEFT JOIN (SELECT task_id, string_agg(role, ',' ORDER BY item_index) AS roles FROM ({_ITEMS}) GROUP BY task_id) r USING (task_id)""")
+# stored verdicts: the cascade over the turns of conversations. As stores go wrong, verdicts of system turns lost their model,
+# those of texts over 2000 characters were scaled, and blank texts have none.
+_KEYED = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+_STORED = f"""SELECT c.conv_id AS task_id, c.turn AS item_index, c.role, c.text, c.conv_id % 7 AS user_id, CASE WHEN trim(coalesce(c.text, '')) <> '' THEN v.is_toxic END AS is_toxic,
+    CASE WHEN length(c.text) > 2000 THEN v.toxicity_score * 10 ELSE v.toxicity_score END AS toxicity_score, v.toxicity_types, CASE WHEN c.role <> 'system' THEN v.tox_model_used END AS tox_model_used,
+    v.is_spam, v.spam_score, v.spam_model_used, CASE WHEN trim(coalesce(c.text, '')) = '' THEN 'blank' END AS error, c.text IN (SELECT text FROM documents) AS from_cache
+    FROM conversations c JOIN ({_sql_verdicts(_KEYED)}) v ON v.doc_id = c.conv_id * 1000 + c.turn"""
+
+
+def stored(spark, d):
+    c = table(spark, d, "conversations")
+    own = F.expr("conv_id * 1000 + turn")
+    v = verdicts(spark, d, c.select(own.alias("doc_id"), "text"))
+    known = F.broadcast(docs(spark, d).select(F.col("text").alias("known")).join(c.select("text"), F.col("known") == F.col("text"), "left_semi").distinct())  # at most the turns' texts
+    rows = c.join(v.drop("text"), own == F.col("doc_id")).join(known, F.col("text") == F.col("known"), "left")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    return rows.select(
+        F.col("conv_id").alias("task_id"), F.col("turn").alias("item_index"), "role", "text", (F.col("conv_id") % 7).alias("user_id"), F.when(~blank, F.col("is_toxic")).alias("is_toxic"),
+        F.when(F.length("text") > 2000, F.col("toxicity_score") * 10).otherwise(F.col("toxicity_score")).alias("toxicity_score"), "toxicity_types", F.when(F.col("role") != "system", F.col("tox_model_used")).alias("tox_model_used"),
+        "is_spam", "spam_score", "spam_model_used", F.when(blank, "blank").alias("error"), F.col("known").isNotNull().alias("from_cache"),
+    )
+
+
+@query(
+    f"""SELECT t.task_id, t.status, CASE WHEN t.status IN ('completed', 'failed') THEN coalesce(r.results, '') END AS results, CASE WHEN t.status = 'failed' THEN r.error END AS error, coalesce(r.user_id, -1) AS user_id FROM ({_TASKS}) t
+    LEFT JOIN (SELECT task_id, string_agg(item_index || ':' || coalesce(is_toxic, false) || ':' || coalesce(is_spam, false), ',' ORDER BY item_index) AS results, arg_min(user_id, item_index) AS user_id,
+      first(error ORDER BY item_index) AS error FROM ({_STORED}) GROUP BY task_id) r USING (task_id)"""
+)
 def a32_read_model(spark, d):
-    out = relational.read_model(_tasks(spark, d), _items(spark, d).withColumnRenamed("role", "verdict"))
-    return out.select("task_id", "status", F.array_join(F.transform("results", lambda r: r["verdict"]), ",").alias("roles"))
+    out = relational.read_model(_tasks(spark, d), stored(spark, d))
+    line = F.transform("results", lambda r: F.concat_ws(":", r["item_index"].cast("string"), r["is_toxic"].cast("string"), r["is_spam"].cast("string")))
+    return out.select("task_id", "status", F.when(F.col("results").isNotNull(), F.array_join(line, ",")).alias("results"), "error", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
+
+
+_BAD = {
+    "tox": "(is_toxic IS NULL)::INT + (toxicity_score IS NULL OR toxicity_score < 0 OR toxicity_score > 1)::INT + (tox_model_used IS NULL AND (coalesce(is_toxic, false) OR coalesce(toxicity_score, 0) <> 0))::INT",
+    "spam": "(is_spam IS NULL)::INT + (spam_score IS NULL OR spam_score < 0 OR spam_score > 1)::INT + (spam_model_used IS NULL AND (coalesce(is_spam, false) OR coalesce(spam_score, 0) <> 0))::INT",
+}
+
+
+@query(f"SELECT task_id, item_index, ({_BAD['tox']})::BIGINT AS bad_tox, ({_BAD['spam']})::BIGINT AS bad_spam FROM ({_STORED})")
+def p12_validity(spark, d):
+    return stored(spark, d).select("task_id", "item_index", *[relational.faults(s).cast("long").alias(f"bad_{s}") for s in ("tox", "spam")])
+
+
+@query(f"SELECT t.task_id, t.status, r.* EXCLUDE (task_id) FROM ({_TASKS}) t JOIN (SELECT task_id, count(*) AS n, sum({_BAD['tox']})::BIGINT AS bad_tox, sum({_BAD['spam']})::BIGINT AS bad_spam, count(error) AS err FROM ({_STORED}) GROUP BY task_id) r USING (task_id)")
+def a25_validity_report(spark, d):
+    return relational.validity(_tasks(spark, d), stored(spark, d))
+
+
+@query(f"SELECT role, count(*) AS n, count(*) FILTER (from_cache) AS hits, round(count(*) FILTER (from_cache)::DOUBLE / count(*), 6) AS rate FROM ({_STORED}) GROUP BY role")
+def a23_hit_rate(spark, d):
+    return stored(spark, d).groupBy("role").agg(*relational.cache_stats(stored(spark, d)))
+
+
+@query(f"SELECT side, arg_min(model, (-n, model)) AS model, max(n) AS n FROM (SELECT side, model, count(*) AS n FROM (SELECT 'tox' AS side, tox_model_used AS model FROM ({_STORED}) UNION ALL SELECT 'spam', spam_model_used FROM ({_STORED})) WHERE model IS NOT NULL GROUP BY side, model) GROUP BY side")
+def a24_dominant_model(spark, d):
+    return relational.dominant_models(stored(spark, d))
+
+
+@query(f"SELECT task_id AS chat_id, item_index AS message_id, 'delete' AS action FROM ({_STORED}) WHERE role = 'user' AND trim(coalesce(text, '')) <> '' AND (is_toxic OR is_spam)")
+def p09_actions(spark, d):
+    """Turns of users come from the platform and name chat and message, if they have a text; flagged ones are deleted."""
+    named = F.trim(F.coalesce("text", F.lit(""))) != ""
+    ref = F.struct(F.when(named, F.col("task_id")).alias("chat_id"), F.when(named, F.col("item_index")).alias("message_id"))
+    return relational.actions(stored(spark, d).withColumns({"source": F.when(F.col("role") == "user", "telegram").otherwise("api"), "ref": ref}))
 
 
 # distinct, splits, samples
@@ -389,10 +462,10 @@ def n04_explode_batches(spark, d):
 
 @query(
     """SELECT doc_id, array_to_string(CASE WHEN len(ids) >= 8 THEN list_concat(ids[1:7], [102]) ELSE list_concat(ids, list_transform(range(0, 8 - len(ids)), lambda x: 0)) END, ',') AS ids
-    FROM (SELECT doc_id, list_concat([101], list_transform(list_filter(string_split(text, ' '), lambda w: w <> '')[1:20], lambda w: length(w)), [102]) AS ids FROM documents)"""
+    FROM (SELECT doc_id, list_concat([101], list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w)), [102]) AS ids FROM documents)"""
 )
 def n05_pad_ids(spark, d):
-    words = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 20)
+    words = F.filter(F.split("text", " "), lambda w: w != "")
     ids = F.concat(F.array(F.lit(101)), F.transform(words, lambda w: F.length(w)), F.array(F.lit(102)))
     padded = F.when(F.size(ids) >= 8, F.concat(F.slice(ids, 1, 7), F.array(F.lit(102)))).otherwise(F.concat(ids, F.array_repeat(F.lit(0), F.greatest(F.lit(0), 8 - F.size(ids)))))
     return docs(spark, d).select("doc_id", F.array_join(padded.cast("array<string>"), ",").alias("ids"))

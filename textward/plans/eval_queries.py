@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
@@ -12,6 +10,7 @@ from ..functions import text as tx
 from ..operators import metrics, mining
 from . import base
 from .base import LABELLED, labelled, query, quote, table
+from .data_queries import _RANK, _V, _split_orders, verdicts
 from .text_queries import _FEATURE_SQL, S
 
 L = rules.LATIN
@@ -105,53 +104,79 @@ def a10_fixed_thresholds(spark, d):
     return metrics.with_prf(scored.groupBy("threshold").agg(*metrics.confusion(F.col("score") >= F.col("threshold"), F.col("label"))))
 
 
-_PAIRS = [("caps_ratio", "space_ratio"), ("caps_ratio", "weird_char_ratio"), ("space_ratio", "weird_char_ratio"), ("length_chars_log1p", "weird_char_ratio")]
-_USED = sorted({x for p in _PAIRS for x in p})
-_FEATS = "SELECT doc_id, " + ", ".join(f"{_FEATURE_SQL[k]} AS {k}" for k in _USED) + f" FROM (SELECT doc_id, {S} AS s FROM documents)"
+_USED = [n for n in ft.NAMES if n not in ("repeated_chars_ratio", "has_phone")]  # those that the other engine can spell
+_FEATS = "SELECT label, " + ", ".join(f"{_FEATURE_SQL[k]} AS {k}" for k in _USED) + f" FROM (SELECT label, {S} AS s FROM ({LABELLED}))"
+
 
+def _features(spark, d, names):
+    return labelled(spark, d).select("label", *ft.features(F.col("text"), names))
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM ({_FEATS})" for a, b in _PAIRS))
+
+@query(f"WITH f AS ({_FEATS}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM f HAVING abs(corr({a}, {b})) >= 0.3 AND NOT isnan(corr({a}, {b}))" for k, a in enumerate(_USED) for b in _USED[k + 1 :]))
 def a11_correlations(spark, d):
-    rows = base.docs(spark, d).select(*ft.features(F.col("text"), _USED))
-    out = rows.agg(*[F.round(F.corr(a, b), 4).alias(f"r{k}") for k, (a, b) in enumerate(_PAIRS)])
-    return out.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(_PAIRS)])))
+    """Pairs of hand-made features with a correlation of 0.3 or more, either way."""
+    found = metrics.correlations(_features(spark, d, _USED), _USED)
+    return found.where(F.abs("r") >= 0.3).withColumn("r", F.round("r", 4))
+
+
+@query()
+def a11_matrix(spark, d):
+    """All 17 features against each other; null where one is constant."""
+    return metrics.correlations(_features(spark, d, ft.NAMES), ft.NAMES)
 
 
-_LFEATS = "SELECT label, " + ", ".join(f"{_FEATURE_SQL[k]} AS {k}" for k in _USED) + f" FROM (SELECT label, {S} AS s FROM ({LABELLED}))"
+_AUC = """(SELECT round(greatest(a, 1 - a), 4) FROM (SELECT sum(neg * (pos_above + pos / 2.0)) / (sum(pos) * sum(neg)) AS a FROM
+    (SELECT *, coalesce(sum(pos) OVER (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_above FROM (SELECT {k} AS v, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM f GROUP BY {k}))))"""
 
 
 @query(
-    " UNION ALL ".join(
-        f"SELECT '{k}' AS feature, round(corr({k}, label), 4) AS r, round(avg({k}) FILTER (label = 1), 6) AS mean_1, round(avg({k}) FILTER (label = 0), 6) AS mean_0 FROM ({_LFEATS})" for k in _USED
+    f"WITH f AS ({_FEATS}) " + " UNION ALL ".join(
+        f"SELECT '{k}' AS feature, CASE WHEN isnan(corr({k}, label)) THEN NULL ELSE round(corr({k}, label), 4) END AS r, round(avg({k}) FILTER (label = 1), 6) AS mean_1, round(avg({k}) FILTER (label = 0), 6) AS mean_0, "
+        f"round(avg({k}) FILTER (label = 1) - avg({k}) FILTER (label = 0), 6) AS delta, {_AUC.format(k=k)} AS auc FROM f" for k in ft.MINIMAL + ["caps_ratio", "weird_char_ratio"]
     )
-)
+)
 def a12_feature_target(spark, d):
-    rows = labelled(spark, d).select("label", *ft.features(F.col("text"), _USED))
-    stacked = rows.select("label", F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("v")) for k in _USED])))
-    mean = lambda y: F.round(F.avg(F.when(F.col("label") == y, F.col("v"))), 6)
-    return stacked.groupBy("feature").agg(F.round(F.corr("v", "label"), 4).alias("r"), mean(1).alias("mean_1"), mean(0).alias("mean_0"))
+    names = [n for n in ft.NAMES if n in [*ft.MINIMAL, "caps_ratio", "weird_char_ratio"]]
+    out = metrics.feature_table(_features(spark, d, names), names)
+    return out.select("feature", F.round("r", 4).alias("r"), *[F.round(c, 6).alias(c) for c in ("mean_1", "mean_0", "delta")], F.round("auc", 4).alias("auc"))
+
+
+@query()
+def a12_model_table(spark, d):
+    """The table of all features with p-values and the spam model's coefficients."""
+    from ..operators import models
+
+    model = models.fit(base.spam_labelled(spark, d), "spam")
+    rows = base.spam_labelled(spark, d).select("label", *ft.features(F.col("text"), ft.NAMES))
+    coefficients = spark.createDataFrame([(name, float(c)) for name, _, _, c in model.extra], "feature string, coefficient double")  # 17 rows
+    found = metrics.feature_table(rows, ft.NAMES).join(F.broadcast(coefficients), "feature", "left")
+    p = {r["feature"]: metrics.correlation_p(r["r"], r["n"]) for r in found.select("feature", "r", "n").collect()}  # a row per feature
+    return found.join(F.broadcast(spark.createDataFrame(list(p.items()), "feature string, p_value double")), "feature")
 
 
 @query()
 def a12_p_values(spark, d):
     """The correlations with their p-values; a row per feature passes through the driver."""
-    rows = labelled(spark, d).select("label", *ft.features(F.col("text"), _USED))
-    found = rows.agg(F.count("label").alias("n"), *[F.corr(k, "label").alias(k) for k in _USED]).first()
-    table = [(k, found[k], metrics.correlation_p(found[k], found["n"])) for k in _USED]
-    return spark.createDataFrame(table, "feature string, r double, p_value double")
+    found = metrics.feature_table(_features(spark, d, ft.MINIMAL), ft.MINIMAL).select("feature", "r", "n").collect()
+    return spark.createDataFrame([(x["feature"], x["r"], metrics.correlation_p(x["r"], x["n"])) for x in found], "feature string, r double, p_value double")
+
+
+@query("SELECT doc_id, d.text IS NOT NULL AS has_text, l.toxic = 1 AS label FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL")
+def a26_labelled_rows(spark, d):
+    return labelled(spark, d).where("label IS NOT NULL").select("doc_id", F.col("text").isNotNull().alias("has_text"), (F.col("label") == 1).alias("label"))
 
 
 @query(
     f"""WITH t AS (SELECT DISTINCT doc_id, label, unnest({base.sql_tokens("lower(coalesce(text, ''))")}) AS term FROM ({LABELLED})),
-    n AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM ({LABELLED}))
-    SELECT term, count(*) FILTER (label = 1) AS d1, count(*) FILTER (label = 0) AS d0, round(count(*) FILTER (label = 1)::DOUBLE / max(n1), 6) AS rate_1, round(count(*) FILTER (label = 0)::DOUBLE / max(n0), 6) AS rate_0 FROM t, n GROUP BY term"""
+    n AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0 FROM ({LABELLED})),
+    c AS (SELECT term, count(*) FILTER (label = 1) AS d1, count(*) FILTER (label = 0) AS d0 FROM t GROUP BY term)
+    SELECT term, d1, d0, round(d1::DOUBLE / n1, 6) AS rate_1, round(d0::DOUBLE / n0, 6) AS rate_0, CASE WHEN d0 = 0 THEN 1e308 ELSE round((d1::DOUBLE / n1) / (d0::DOUBLE / n0), 6) END AS lift FROM c, n"""
 )
 def a13_term_lift(spark, d):
+    """Share of documents of either class that have a term, and their ratio; without any of class 0 it is the largest number."""
     rows = labelled(spark, d)
-    sizes = F.broadcast(rows.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")))  # one row
     terms = rows.select("label", F.explode(F.array_distinct(tx.tokens(F.lower(tx.clean(F.col("text")))))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("d1"), F.count_if(F.col("label") == 0).alias("d0"))
-    return counts.join(sizes).select("term", "d1", "d0", F.round(F.try_divide("d1", "n1"), 6).alias("rate_1"), F.round(F.try_divide("d0", "n0"), 6).alias("rate_0"))
+    return metrics.term_lift(terms, rows)
 
 
 @query("SELECT toxic AS label, count(*) AS n, round((SELECT count(*) FROM labels)::DOUBLE / ((SELECT count(DISTINCT toxic) FROM labels) * count(*)), 6) AS weight FROM labels GROUP BY toxic")
@@ -176,28 +201,46 @@ def a17_losses(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(metrics.focal_loss(x, y), 6).alias("focal"), F.round(bce, 6).alias("bce"))
 
 
-_GRAMS = f"""SELECT doc_id, p, n, CASE WHEN length(p) <= n THEN [p] ELSE list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i, n)) END AS grams
-    FROM (SELECT doc_id, p, unnest([2, 3]) AS n FROM (SELECT doc_id, ' ' || unnest({base.sql_tokens("lower(text)")}) || ' ' AS p FROM documents)) WHERE n = 2 OR length(p) >= n"""
+_SWEEP = [(2, 3, 1000), (2, 3, 100_000), (3, 4, 5000), (3, 4, 100_000)]
 
 
-@query(f"SELECT size, count(*) AS vocabulary, sum(n_docs)::BIGINT AS nonzeros FROM (SELECT length(gram) AS size, gram, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(grams) AS gram FROM ({_GRAMS})) GROUP BY gram) GROUP BY size")
+@query(
+    f"WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS made FROM documents), g AS MATERIALIZED ({base.sql_gram_counts('d', 'made', 2, 4)}), h AS MATERIALIZED ({base.sql_gram_counts('d', 'made', 3, 4)}) "
+    + " UNION ALL ".join(
+        f"SELECT {a} AS least, {b} AS most, {m} AS max_features, count(*) AS vocabulary, round(sum(df)::DOUBLE / (SELECT count(*) FROM documents), 4) AS nonzeros_per_doc FROM "
+        f"(SELECT term, count(*) AS df FROM {'g' if a == 2 else 'h'} WHERE length(term) <= {b} GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {m})" for a, b, m in _SWEEP
+    )
+)
 def a18_ngram_sweep(spark, d):
-    grams = base.docs(spark, d).select("doc_id", F.explode(F.array_distinct(tx.char_ngrams(F.col("text"), 2, 3))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).groupBy(F.length("gram").alias("size")).agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("n").alias("nonzeros"))
+    """Vocabulary and nonzeros per document for ranges of n-gram sizes and bounds of the vocabulary."""
+    return metrics.ngram_sweep(base.docs(spark, d).select("doc_id", F.lower(tx.clean(F.col("text"))).alias("made")), _SWEEP)
 
 
-@query("SELECT doc_id, d.text IS NOT NULL AS has_text, l.toxic = 1 AS label FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL")
-def a26_labelled_rows(spark, d):
-    return labelled(spark, d).where("label IS NOT NULL").select("doc_id", F.col("text").isNotNull().alias("has_text"), (F.col("label") == 1).alias("label"))
+_STORED = f"SELECT v.*, l.toxic, l.quality FROM ({_V}) v LEFT JOIN labels l USING (doc_id)"
 
 
 @query(
-    """WITH f AS (SELECT event_id % 5 AS fold, round(avg(value), 6) AS score FROM events GROUP BY event_id % 5)
-    SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, min(score) AS least, max(score) AS most, arg_max(fold, score) AS best FROM f"""
+    f"""SELECT side, tp, fp, fn, tn, {base.sql_prf()} FROM (SELECT side, {_CONF} FROM (
+    SELECT 'spam' AS side, is_spam AS p, CASE WHEN quality IS NOT NULL THEN (quality = 0)::INT END AS label FROM ({_STORED}) UNION ALL SELECT 'toxicity', is_toxic, toxic FROM ({_STORED})) WHERE label IS NOT NULL GROUP BY side)"""
+)
+def a26_labelled_evaluation(spark, d):
+    """Stored verdicts of both sides against the labels that exist; rows without one are left out."""
+    stored = verdicts(spark, d, base.docs(spark, d).select("doc_id", "text")).select("doc_id", "is_toxic", "is_spam")
+    labels = table(spark, d, "labels").selectExpr("doc_id", "toxic", "CAST(quality = 0 AS INT) AS spam")
+    return metrics.evaluate(stored.join(labels, "doc_id", "left"), {"toxicity": ("is_toxic", "toxic"), "spam": ("is_spam", "spam")})
+
+
+@query(
+    f"""WITH r AS (SELECT (rk % 5)::BIGINT AS fold, l.l_extendedprice::DOUBLE AS s, l.l_quantity AS q FROM ({_RANK}) o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),
+    f AS (SELECT fold, round(avg(s), 6) AS score, max(q)::DOUBLE AS threshold FROM r GROUP BY fold)
+    SELECT round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, min(score) AS least, max(score) AS most, arg_max(fold, score) AS best, arg_max(threshold, score) AS threshold FROM f"""
 )
 def a34_fold_summary(spark, d):
-    f = table(spark, d, "events").groupBy((F.col("event_id") % 5).alias("fold")).agg(F.round(F.avg("value"), 6).alias("score"))
-    return f.agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.min("score").alias("least"), F.max("score").alias("most"), F.max_by("fold", "score").alias("best"))
+    """Folds of orders by D5; of each fold a score and a threshold from its line items; mean, spread, and the best fold's threshold."""
+    folds = _split_orders(spark, d).select("o_orderkey", (F.col("rank") % 5).cast("long").alias("fold"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").cast("double").alias("s"), F.col("l_quantity").cast("double").alias("q"))
+    per_fold = items.join(folds, "o_orderkey").groupBy("fold").agg(F.round(F.avg("s"), 6).alias("score"), F.max("q").alias("threshold"))
+    return metrics.fold_summary(per_fold)
 
 
 # rule mining
@@ -221,13 +264,21 @@ def r02_histogram(spark, d):
     return _hist(spark, d)
 
 
+# the cost of a pattern: its length, a stand-in for measured times that both engines can compute
+_COSTS = {k: float(len(p)) for k, p in L.items()}
+_SHARES = "CASE pattern " + " ".join(f"WHEN {quote(k)} THEN {c / sum(_COSTS.values())!r}" for k, c in _COSTS.items()) + " END"
+
+
 @query(
-    f"""SELECT pattern, hits, tp, fp, unique_tp, CASE WHEN hits = 0 THEN 1.0 ELSE round(tp::DOUBLE / hits, 6) END AS precision, round(CASE WHEN positives = 0 THEN 0 ELSE unique_tp::DOUBLE / positives END, 6) AS unique_recall
-    FROM (SELECT pattern, count(*) FILTER (mask & bit <> 0) AS hits, count(*) FILTER (mask & bit <> 0 AND label = 1) AS tp, count(*) FILTER (mask & bit <> 0 AND label <> 1) AS fp,
-    count(*) FILTER (mask = bit AND label = 1) AS unique_tp, count(*) FILTER (label = 1) AS positives FROM ({_MASKED}), (VALUES {_BITS}) b(pattern, bit) GROUP BY pattern)"""
+    f"""SELECT pattern, hits, tp, fp, unique_tp, round(p, 6) AS precision, round(r, 6) AS unique_recall,
+    CASE WHEN hits = 0 THEN 'drop: no hits' WHEN p < 0.3 AND unique_tp = 0 THEN 'drop: imprecise' WHEN p < 0.3 THEN 'rewrite' WHEN unique_tp = 0 AND fp > 0 THEN 'drop: double' WHEN unique_tp = 0 AND tp > 0 THEN 'double'
+      WHEN {_SHARES} > 0.25 AND r < 0.01 THEN 'dear' WHEN r >= 0.005 THEN 'keep' ELSE 'open' END AS advice
+    FROM (SELECT *, CASE WHEN hits = 0 THEN 1.0 ELSE tp::DOUBLE / hits END AS p, CASE WHEN positives = 0 THEN 0.0 ELSE unique_tp::DOUBLE / positives END AS r FROM (
+      SELECT pattern, count(*) FILTER (mask & bit <> 0) AS hits, count(*) FILTER (mask & bit <> 0 AND label = 1) AS tp, count(*) FILTER (mask & bit <> 0 AND label <> 1) AS fp,
+      count(*) FILTER (mask = bit AND label = 1) AS unique_tp, count(*) FILTER (label = 1) AS positives FROM ({_MASKED}), (VALUES {_BITS}) b(pattern, bit) GROUP BY pattern))"""
 )
 def r03_pattern_stats(spark, d):
-    return mining.per_pattern(_hist(spark, d), L)
+    return mining.per_pattern(_hist(spark, d), L, 0.3, _COSTS)
 
 
 @query(f"SELECT tp, fp, fn, tn, {base.sql_prf()} FROM (SELECT {_CONF} FROM (SELECT mask <> 0 AS p, label FROM ({_MASKED})))")
@@ -253,14 +304,16 @@ def r05_removal_drop_hits(spark, d):
     return mining.removal_impact(_hist(spark, d), L, "drop_hits")
 
 
-_SUBSETS = f"""SELECT subset, tp, fp, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision, round(CASE WHEN positives = 0 THEN 0 ELSE tp::DOUBLE / positives END, 6) AS recall, bit_count(subset)::BIGINT AS cost
+_COST = " + ".join(f"CASE WHEN subset & {1 << i} <> 0 THEN {c} ELSE 0.0 END" for i, c in enumerate(_COSTS.values()))
+_SUBSETS = f"""SELECT subset, tp, fp, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS precision, round(CASE WHEN positives = 0 THEN 0 ELSE tp::DOUBLE / positives END, 6) AS recall,
+    round(CASE WHEN tp + fp + positives = 0 THEN 0 ELSE 2.0 * tp / (tp + fp + positives) END, 6) AS f1, ({_COST})::DOUBLE AS cost
     FROM (SELECT subset, count(*) FILTER (mask & subset <> 0 AND label = 1) AS tp, count(*) FILTER (mask & subset <> 0 AND label <> 1) AS fp, count(*) FILTER (label = 1) AS positives
     FROM ({_MASKED}), range(1, {1 << len(L)}) s(subset) GROUP BY subset)"""
 
 
-@query(_SUBSETS)
+@query(f"SELECT * FROM ({_SUBSETS}) WHERE precision >= 0.1")
 def r06_subsets(spark, d):
-    return mining.subsets(_hist(spark, d), L)
+    return mining.subsets(_hist(spark, d), L, 0.1, _COSTS)
 
 
 @query(
@@ -268,23 +321,23 @@ def r06_subsets(spark, d):
     (SELECT 1 FROM a b WHERE b.recall >= a.recall AND b.cost <= a.cost AND (b.recall > a.recall OR b.cost < a.cost))"""
 )
 def j10_pareto(spark, d):
-    return mining.pareto(mining.subsets(_hist(spark, d), L), 0.1)
+    return mining.pareto(mining.subsets(_hist(spark, d), L, 0.1, _COSTS))
 
 
 @query()
 def r07_greedy(spark, d):
-    return mining.greedy(_hist(spark, d), L, 0.1)
+    return mining.greedy(_hist(spark, d), L, 0.1, _COSTS)
+
+
+_WORST = f"""SELECT pattern FROM (SELECT pattern, count(*) FILTER (mask & bit <> 0) AS hits, count(*) FILTER (mask & bit <> 0 AND label <> 1) AS fp, count(*) FILTER (mask & bit <> 0 AND label = 1) AS tp
+    FROM ({_MASKED}), (VALUES {_BITS}) b(pattern, bit) GROUP BY pattern) WHERE fp > 0 ORDER BY tp::DOUBLE / hits, pattern LIMIT 3"""
 
 
 @query(
     "SELECT pattern, doc_id, example FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id) AS rk FROM ("
     + " UNION ALL ".join(f"SELECT {quote(k)} AS pattern, doc_id, replace(substr(text, 1, 120), chr(10), ' ') AS example FROM ({LABELLED}) WHERE label <> 1 AND {base.sql_hit('text', p)}" for k, p in L.items())
-    + ")) WHERE rk <= 3"
+    + f") WHERE pattern IN ({_WORST})) WHERE rk <= 3"
 )
 def r08_false_positive_examples(spark, d):
-    from pyspark.sql import Window
-
-    wrong = labelled(spark, d).where("label <> 1")
-    found = [wrong.where(rules.hits(F.col("text"), p)).select(F.lit(k).alias("pattern"), "doc_id", F.translate(F.substring("text", 1, 120), "\n", " ").alias("example")) for k, p in L.items()]
-    rank = F.row_number().over(Window.partitionBy("pattern").orderBy("doc_id"))
-    return reduce(lambda a, b: a.unionByName(b), found).withColumn("rk", rank).where("rk <= 3").drop("rk")
+    """The three least precise of the patterns, three examples of each."""
+    return mining.false_positives(labelled(spark, d), L, mining.per_pattern(_hist(spark, d), L), worst=3)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as ft
 from ..functions import text as tx
-from ..operators import corpus, metrics, models, windows
+from ..operators import augment, corpus, logs, metrics, models, relational, windows
 from ..sources import tables
 from . import base
 from .base import docs, query, table
@@ -22,7 +22,7 @@ def _micros(column):
 
 
 # events as log lines: component stage event wall task n ms
-_LINE = "'component=' || event_type || ' stage=s' || (user_id % 5) || ' event=' || CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'end' END || ' task=' || user_id || ' n=' || (event_id % 10) || CASE WHEN event_id % 4 = 0 THEN '' ELSE ' ms=' || (value::DECIMAL(12, 2)) END"
+_LINE = "'component=' || event_type || ' stage=s' || (user_id % 5) || ' event=' || CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'end' END || ' task=' || user_id || ' n=' || (event_id % 10) || CASE WHEN event_id % 4 = 0 THEN '' ELSE ' ms=' || (value::DECIMAL(12, 2)) END || CASE WHEN event_type = 'view' THEN ' hits=' || (user_id % 4) || ' path=p' || (event_id % 3) ELSE '' END"
 
 
 def _events_as_log(spark, d):
@@ -32,67 +32,66 @@ def _events_as_log(spark, d):
         F.lit("component="), "event_type", F.lit(" stage=s"), (F.col("user_id") % 5).cast("string"), F.lit(" event="), F.when(F.col("event_id") % 3 == 0, "start").otherwise("end"),
         F.lit(" task="), F.col("user_id").cast("string"), F.lit(" n="), (F.col("event_id") % 10).cast("string"),
         F.when(F.col("event_id") % 4 == 0, "").otherwise(F.concat(F.lit(" ms="), F.col("value").cast("decimal(12,2)").cast("string"))),
+        F.when(F.col("event_type") == "view", F.concat(F.lit(" hits="), (F.col("user_id") % 4).cast("string"), F.lit(" path=p"), (F.col("event_id") % 3).cast("string"))).otherwise(""),
     )
     return e.select("event_id", line.alias("line"))
 
 
-def parse_timing(lines):
-    """Typed events of timing lines; fields that a line lacks are null."""
-    part = lambda name, kind="[^ ]+": F.regexp_extract("line", rf"(?:^| ){name}=({kind})", 1)
-    return lines.select(
-        "event_id", part("component").alias("component"), part("stage").alias("stage"), part("event").alias("event"), part("task").try_cast("long").alias("task"),
-        part("n").try_cast("long").alias("n"), part("ms", "[0-9.]+").try_cast("double").alias("ms"),
-    )
-
-
 _PARSED = f"""SELECT event_id, regexp_extract(line, 'component=([^ ]+)', 1) AS component, regexp_extract(line, ' stage=([^ ]+)', 1) AS stage, regexp_extract(line, ' event=([^ ]+)', 1) AS event,
-    try_cast(regexp_extract(line, ' task=([^ ]+)', 1) AS BIGINT) AS task, try_cast(regexp_extract(line, ' n=([^ ]+)', 1) AS BIGINT) AS n, try_cast(regexp_extract(line, ' ms=([0-9.]+)', 1) AS DOUBLE) AS ms
+    try_cast(regexp_extract(line, ' task=([^ ]+)', 1) AS BIGINT) AS task, try_cast(regexp_extract(line, ' n=([^ ]+)', 1) AS BIGINT) AS n, try_cast(regexp_extract(line, ' ms=([0-9.]+)', 1) AS DOUBLE) AS ms,
+    try_cast(regexp_extract(line, ' hits=([0-9]+)', 1) AS BIGINT) AS hits, nullif(regexp_extract(line, ' path=([^ ]+)', 1), '') AS path
     FROM (SELECT event_id, {_LINE} AS line FROM events)"""
 
 
-@query(_PARSED)
+@query(f"SELECT * REPLACE (coalesce(ms, -1) AS ms, coalesce(hits, -1) AS hits, coalesce(path, '') AS path) FROM ({_PARSED})")
 def s08_parse_timing(spark, d):
-    return parse_timing(_events_as_log(spark, d))
+    return logs.timing_lines(_events_as_log(spark, d)).withColumns({"ms": F.coalesce("ms", F.lit(-1.0)), "hits": F.coalesce("hits", F.lit(-1)), "path": F.coalesce("path", F.lit(""))})
 
 
 _STATS = lambda v: f"count({v}) AS n, round(avg({v}), 6) AS mean, min({v}) AS least, max({v}) AS most, " + ", ".join(f"round(quantile_cont({v}, {p}), 6) AS {n}" for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"), (0.999, "p99_9")))
 
 
-# events as classify lines: mode executor items wall tox spam
-_CLASSIFY = "'mode=' || CASE WHEN user_id % 2 = 0 THEN 'both' ELSE 'tox_only' END || ' executor=' || event_type || ' items=' || (event_id % 100) || ' wall_ms=' || (value::DECIMAL(12, 2))"
+# events as classify lines: mode executor items wall tox spam; a side that a mode leaves out has no time
+_CLASSIFY = "'mode=' || CASE event_type WHEN 'view' THEN 'both' WHEN 'click' THEN 'tox_only' ELSE 'spam_only' END || ' executor=' || event_type || ' items=' || (event_id % 100) || ' wall_ms=' || (value::DECIMAL(12, 2)) || CASE WHEN event_type IN ('view', 'click') THEN ' tox_ms=' || (event_id % 50 + 0.5) ELSE '' END || CASE WHEN event_type <> 'click' THEN ' spam_ms=' || (user_id % 30 + 0.25) ELSE '' END"
+_CLASSIFIED = f"""SELECT event_id, regexp_extract(line, 'mode=([^ ]+)', 1) AS mode, regexp_extract(line, ' executor=([^ ]+)', 1) AS executor, try_cast(regexp_extract(line, ' items=([0-9]+)', 1) AS BIGINT) AS items,
+    try_cast(regexp_extract(line, ' wall_ms=([0-9.]+)', 1) AS DOUBLE) AS wall_ms, try_cast(regexp_extract(line, ' tox_ms=([0-9.]+)', 1) AS DOUBLE) AS tox_ms, try_cast(regexp_extract(line, ' spam_ms=([0-9.]+)', 1) AS DOUBLE) AS spam_ms
+    FROM (SELECT event_id, {_CLASSIFY} AS line FROM events)"""
 
 
-@query(
-    f"""SELECT event_id, regexp_extract(line, 'mode=([^ ]+)', 1) AS mode, regexp_extract(line, ' executor=([^ ]+)', 1) AS executor, try_cast(regexp_extract(line, ' items=([0-9]+)', 1) AS BIGINT) AS items,
-    try_cast(regexp_extract(line, ' wall_ms=([0-9.]+)', 1) AS DOUBLE) AS wall_ms, try_cast(regexp_extract(line, ' tox_ms=([0-9.]+)', 1) AS DOUBLE) AS tox_ms FROM (SELECT event_id, {_CLASSIFY} AS line FROM events)"""
-)
-def s09_parse_classify(spark, d):
+def _classified(spark, d):
+    e, ms = table(spark, d, "events"), lambda c: c.cast("decimal(12,2)").cast("string")
+    kind = F.col("event_type")
     line = F.concat(
-        F.lit("mode="), F.when(F.col("user_id") % 2 == 0, "both").otherwise("tox_only"), F.lit(" executor="), "event_type", F.lit(" items="), (F.col("event_id") % 100).cast("string"),
-        F.lit(" wall_ms="), F.col("value").cast("decimal(12,2)").cast("string"),
-    )
-    part = lambda name, kind="[^ ]+": F.regexp_extract("line", rf"(?:^| ){name}=({kind})", 1)
-    return table(spark, d, "events").select("event_id", line.alias("line")).select(
-        "event_id", part("mode").alias("mode"), part("executor").alias("executor"), part("items").try_cast("long").alias("items"),
-        part("wall_ms", "[0-9.]+").try_cast("double").alias("wall_ms"), part("tox_ms", "[0-9.]+").try_cast("double").alias("tox_ms"),
+        F.lit("mode="), F.when(kind == "view", "both").when(kind == "click", "tox_only").otherwise("spam_only"), F.lit(" executor="), kind, F.lit(" items="), (F.col("event_id") % 100).cast("string"), F.lit(" wall_ms="), ms(F.col("value")),
+        F.when(kind.isin("view", "click"), F.concat(F.lit(" tox_ms="), ((F.col("event_id") % 50).cast("string")), F.lit(".5"))).otherwise(""), F.when(kind != "click", F.concat(F.lit(" spam_ms="), ((F.col("user_id") % 30).cast("string")), F.lit(".25"))).otherwise(""),
     )
+    return logs.classify_lines(e.select("event_id", line.alias("line")))
+
+
+@query(f"SELECT * REPLACE (coalesce(tox_ms, -1) AS tox_ms, coalesce(spam_ms, -1) AS spam_ms) FROM ({_CLASSIFIED})")
+def s09_parse_classify(spark, d):
+    return _classified(spark, d).withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in ("tox_ms", "spam_ms")})
 
 
 @query(
-    f"""SELECT round(avg(late), 6) AS mean, round(quantile_cont(late, 0.95), 6) AS p95, count(*) AS n FROM
-    (SELECT (epoch_us(completed_at) - epoch_us(created_at) - task_id * 1000) / 1000.0 AS late FROM ({_TASKS}) t JOIN conversations c ON c.conv_id = t.task_id)"""
+    """WITH b AS (SELECT user_id AS batch, min(epoch_us(ts)) AS s, count(DISTINCT event_type) AS kinds, max(epoch_us(ts)) AS e FROM events GROUP BY user_id),
+    i AS (SELECT user_id AS batch, (b.e - (b.s + (epoch_us(ts) - b.s) / 2 + 2000000)) / 1e6 AS latency FROM events JOIN b ON b.batch = user_id WHERE kinds > 1)
+    SELECT batch, count(*) AS n, round(avg(latency), 4) AS mean, round(quantile_cont(latency, 0.95), 4) AS p95 FROM i WHERE latency >= 0 GROUP BY batch"""
 )
 def a27_intended_latency(spark, d):
-    """Completion less planned arrival: each item of a task was planned task_id ms after the task began."""
-    planned = table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"))
-    late = (_micros("completed_at") - _micros("created_at") - F.col("task_id") * 1000) / 1000.0
-    rows = _tasks(spark, d).join(planned, "task_id").select(late.alias("late"))
-    return rows.agg(F.round(F.avg("late"), 6).alias("mean"), F.round(F.percentile("late", 0.95), 6).alias("p95"), F.count(F.lit(1)).alias("n"))
+    """A user's events as a batch: arrivals were planned at half their distance from the first, clocks are 2 s apart; users of one kind of event went to two tasks."""
+    e = table(spark, d, "events").select("user_id", "event_type", _micros("ts").alias("us"))
+    start = F.min("us").alias("start")
+    users = e.groupBy("user_id").agg(start, F.max("us").alias("end"), F.collect_list("us").alias("all"), F.count_distinct("event_type").alias("kinds"))
+    tasks = F.when(F.col("kinds") > 1, F.array("user_id")).otherwise(F.array("user_id", -F.col("user_id")))
+    batches = users.select(F.col("user_id").alias("batch"), "start", tasks.alias("task_ids"), F.transform("all", lambda u: (u - F.col("start")) / 2e6).alias("arrivals"))
+    late = relational.intended_latency(batches, users.select(F.col("user_id").alias("task_id"), (F.col("end") / 1e6).alias("completed")), F.col("start") / 1e6, 2.0)
+    return late.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 4).alias("mean"), F.round(F.percentile("latency", 0.95), 4).alias("p95"))
 
 
 @query(f"SELECT component, stage, {_STATS('ms')} FROM ({_PARSED.replace(' n,', ' n_items,').replace('AS n,', 'AS n_items,')}) WHERE event = 'end' AND ms IS NOT NULL GROUP BY component, stage")
 def a29_stage_durations(spark, d):
-    rows = parse_timing(_events_as_log(spark, d)).where("event = 'end' AND ms IS NOT NULL")
+    rows = logs.timing_lines(_events_as_log(spark, d)).where("event = 'end' AND ms IS NOT NULL")
     return rows.groupBy("component", "stage").agg(*metrics.percentiles(F.col("ms")))
 
 
@@ -127,52 +126,36 @@ def a22_steady_throughput(spark, d):
     return inside.agg(F.count(F.lit(1)).alias("n"), F.max(span).alias("span")).select("n", F.round(F.col("n") / (F.col("span") * 0.8 / 1e6), 6).alias("per_second"))
 
 
-@query("SELECT user_id, count(*) FILTER (event_type = 'view') AS hits, round(count(*) FILTER (event_type = 'view')::DOUBLE / count(*), 6) AS rate FROM events GROUP BY user_id")
-def a23_hit_rate(spark, d):
-    hit = F.col("event_type") == "view"
-    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(hit).alias("hits"), F.round(F.count_if(hit) / F.count(F.lit(1)), 6).alias("rate"))
-
-
-@query("SELECT user_id, arg_min(event_type, (-n, event_type)) AS model FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id")
-def a24_dominant_model(spark, d):
-    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), F.col("event_type"))).alias("model"))
-
-
-_INVALID = "(value IS NULL)::INT + (value < 0 OR value > 100)::INT + (event_type = 'error' AND user_id % 3 = 0)::INT"
-
-
-@query(f"SELECT event_id, ({_INVALID})::BIGINT AS faults FROM events")
-def p12_validity(spark, d):
-    return table(spark, d, "events").select("event_id", _faults().cast("long").alias("faults"))
-
-
-def _faults():
-    v = F.col("value")
-    one = lambda c: F.when(c, 1).otherwise(0)
-    return one(v.isNull()) + one((v < 0) | (v > 100)) + one((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0))
-
-
-@query(f"SELECT user_id, count(*) AS n, sum({_INVALID})::BIGINT AS faults FROM events GROUP BY user_id")
-def a25_validity_report(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(_faults()).alias("faults"))
-
-
-@query("SELECT event_id % 10 AS offered, round(median(value), 6) AS median FROM events GROUP BY event_id % 10")
+@query(
+    """WITH r AS (SELECT event_type AS offered, user_id AS repeat, count(*)::DOUBLE AS achieved, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type, user_id)
+    SELECT offered, count(*) AS repeats, median(achieved) AS achieved, round(median(p50), 6) AS p50, round(median(p95), 6) AS p95, round(median(p99), 6) AS p99 FROM r GROUP BY offered"""
+)
 def a31_sweep_curve(spark, d):
-    return table(spark, d, "events").groupBy((F.col("event_id") % 10).alias("offered")).agg(F.round(F.percentile("value", 0.5), 6).alias("median"))
+    """Kinds of events as offered rates, users as repeats: of each rate the median over its repeats."""
+    shares = [F.percentile("value", p).alias(f"p{n}") for n, p in ((50, 0.5), (95, 0.95), (99, 0.99))]
+    points = table(spark, d, "events").groupBy(F.col("event_type").alias("offered"), F.col("user_id").alias("repeat")).agg(F.count(F.lit(1)).cast("double").alias("achieved"), *shares)
+    return logs.sweep_curve(points, ["achieved", "p50", "p95", "p99"])
 
 
-@query("SELECT round(avg(value) FILTER (dup), 6) AS hot, round(avg(value) FILTER (NOT dup), 6) AS cold, round(avg(value) FILTER (NOT dup) / avg(value) FILTER (dup), 6) AS ratio FROM (SELECT value, user_id % 2 = 0 AS dup FROM events)")
+@query(
+    f"""WITH h AS (SELECT conv_id AS task_id, count(DISTINCT lower(trim(text))) < count(*) AS has_dup FROM conversations GROUP BY conv_id),
+    l AS (SELECT task_id, (epoch_us(completed_at) - epoch_us(created_at)) / 1e6 AS latency FROM ({_TASKS}) WHERE completed_at >= created_at)
+    SELECT round(avg(latency) FILTER (NOT coalesce(has_dup, false)), 6) AS cold, round(avg(latency) FILTER (has_dup), 6) AS hot, round(avg(latency) FILTER (NOT coalesce(has_dup, false)) / avg(latency) FILTER (has_dup), 6) AS ratio FROM l LEFT JOIN h USING (task_id)"""
+)
 def a28_cold_hot(spark, d):
-    hot, cold = F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))), F.avg(F.when(F.col("user_id") % 2 != 0, F.col("value")))
-    return table(spark, d, "events").agg(F.round(hot, 6).alias("hot"), F.round(cold, 6).alias("cold"), F.round(F.try_divide(cold, hot), 6).alias("ratio"))
+    """Latencies of tasks whose batch (a conversation) repeats a text, and of the others."""
+    c = table(spark, d, "conversations")
+    batches = c.groupBy(F.col("conv_id").alias("task_id")).agg((F.count_distinct(F.lower(F.trim("text"))) < F.count(F.lit(1))).alias("has_dup"))
+    latencies = _tasks(spark, d).where("completed_at >= created_at").select("task_id", ((_micros("completed_at") - _micros("created_at")) / 1e6).alias("latency"))
+    return relational.cold_hot(latencies, batches)
 
 
-@query("SELECT event_type, round(avg(greatest(value, user_id)), 6) AS wall, string_agg(DISTINCT (user_id % 3)::VARCHAR, ',' ORDER BY (user_id % 3)::VARCHAR) AS modes FROM events GROUP BY event_type")
+@query(
+    f"""SELECT executor, count(*) AS n, round(avg(greatest(coalesce(tox_ms, 0), coalesce(spam_ms, 0))), 6) AS slower, round(max(greatest(coalesce(tox_ms, 0), coalesce(spam_ms, 0))), 6) AS most, round(avg(wall_ms), 6) AS wall, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes
+    FROM ({_CLASSIFIED}) GROUP BY executor"""
+)
 def a30_classify_timing(spark, d):
-    modes = F.array_join(F.sort_array(F.collect_set((F.col("user_id") % 3).cast("string"))), ",")
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(F.greatest("value", "user_id")), 6).alias("wall"), modes.alias("modes"))
+    return logs.classify_stats(_classified(spark, d))
 
 
 # ordered computations
@@ -195,7 +178,7 @@ def w03_micro_batches(spark, d):
 
 @query("SELECT source, doc_id, ntile(4) OVER (PARTITION BY source ORDER BY length(text), doc_id)::BIGINT AS part FROM documents")
 def w04_length_groups(spark, d):
-    return docs(spark, d).select("source", "doc_id", F.ntile(4).over(Window.partitionBy("source").orderBy(F.length("text"), "doc_id")).cast("long").alias("part"))
+    return windows.length_groups(docs(spark, d), "source", F.length("text"), "doc_id", 4).select("source", "doc_id", "part")
 
 
 @query("SELECT doc_id, greatest(0, least(7, floor((length(text) - 0) / 512.0)))::INT AS bucket FROM documents")
@@ -219,6 +202,15 @@ def w07_bucket_batches(spark, d):
     return windows.bucket_batches(docs(spark, d).select("doc_id", "source"), "source", "doc_id", 8, "epoch-1").select("doc_id", "batch")
 
 
+@query(
+    """WITH b AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5('epoch-1-2' || doc_id), doc_id) - 1) // 8 AS batch, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT doc_id, batch::BIGINT AS batch, md5(concat_ws('|', 'epoch-1-2-turn', source, batch::VARCHAR)) AS turn FROM b WHERE (batch + 1) * 8 <= n"""
+)
+def w07_second_epoch(spark, d):
+    """Another epoch: rows and batches are shuffled anew, batches that are not full are left out."""
+    return windows.bucket_batches(docs(spark, d).select("doc_id", "source"), "source", "doc_id", 8, "epoch-1", 2, drop_last=True).select("doc_id", "batch", "turn")
+
+
 @query(f"SELECT doc_id, (max(greatest(n, 1)) OVER (PARTITION BY source, batch) - greatest(n, 1))::BIGINT AS pad FROM ({_BB})")
 def w08_padding(spark, d):
     rows = windows.bucket_batches(docs(spark, d).select("doc_id", "source", F.length("text").alias("n")), "source", "doc_id", 8, "epoch-1")
@@ -228,17 +220,13 @@ def w08_padding(spark, d):
 # messages and actions
 
 
-@query(f"SELECT doc_id, 'delete' AS action FROM ({_V}) WHERE (is_toxic OR is_spam) AND doc_id % 4 = 0")
-def p09_actions(spark, d):
-    v = verdicts(spark, d, docs(spark, d).select("doc_id", "text"))
-    return v.where((F.col("is_toxic") | F.col("is_spam")) & (F.col("doc_id") % 4 == 0)).select("doc_id", F.lit("delete").alias("action"))
-
-
-@query("SELECT conv_id, turn, text FROM conversations WHERE trim(coalesce(text, '')) <> '' AND role = 'user'")
+@query("SELECT conv_id * 100 + turn AS update_id, text, conv_id AS chat_id, turn AS message_id, conv_id % 7 AS user_id FROM conversations WHERE trim(coalesce(text, '')) <> '' AND role <> 'system'")
 def p10_accept_updates(spark, d):
+    """Turns as updates: those of users are messages, those of the assistant edited ones, and system turns have neither."""
     c = table(spark, d, "conversations")
-    message, edited = F.when(F.col("turn") % 2 == 0, F.col("text")), F.when(F.col("turn") % 2 != 0, F.col("text"))
-    return c.where(F.col("role") == "user").select("conv_id", "turn", F.coalesce(message, edited).alias("text")).where(F.trim("text") != "")
+    m = F.struct("text", F.col("turn").alias("message_id"), F.struct(F.col("conv_id").alias("id")).alias("chat"), F.struct((F.col("conv_id") % 7).alias("id")).alias("from"))
+    updates = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("update_id"), F.when(F.col("role") == "user", m).alias("message"), F.when(~F.col("role").isin("user", "system"), m).alias("edited_message"))
+    return relational.accepted(updates).select("update_id", "text", "ref.*")
 
 
 @query("SELECT conv_id, count(*) AS n, CASE WHEN count(*) BETWEEN 1 AND 5 THEN 'accepted' ELSE 'rejected' END AS state FROM conversations GROUP BY conv_id")
@@ -257,12 +245,12 @@ def p01_null_text(spark, d):
     return docs(spark, d).select("doc_id", tx.clean(F.col("text")).alias("text"))
 
 
-@query("SELECT item_id, text FROM (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark) WHERE pos >= 5 AND pos < 1000000")
+@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) WHERE pos >= n // 4 AND pos < n // 2")
 def p13_row_range(spark, d):
-    """A range by a stable id: ranks come from the id, never from arrival order."""
-    b = table(spark, d, "benchmark")
-    first = b.orderBy("item_id").limit(5)
-    return b.join(first, "item_id", "left_anti").select("item_id", "text")
+    """The second quarter of the rows: positions come from the id, never from arrival order."""
+    rows = docs(spark, d).select("doc_id", "text")
+    n = rows.count()
+    return corpus.row_range(rows, "doc_id", n // 4, n // 2)
 
 
 # vocabulary, weights and models: n-grams of the normalised texts of labelled documents
@@ -372,9 +360,8 @@ def m06_search_fixed(spark, d):
 
 def _augmented(kind):
     def run(spark, d):
-        from ..operators import augment
-
-        return augment.noise(docs(spark, d).select("doc_id", "text"), kind)
+        made = augment.noise(docs(spark, d).select("doc_id", "text"), {"any": None, "keyboard": "qwerty"}.get(kind, kind), script=augment.LATIN)
+        return made.select("doc_id", "text", "kind")
 
     run.__name__ = f"g_a_{kind}"
     query()(run)
@@ -386,6 +373,11 @@ for _kind in ("keyboard", "insert", "delete", "replace", "leet", "combined", "an
 
 @query()
 def g_a8_augment_dataset(spark, d):
-    from ..operators import augment
+    return augment.dataset(base.labelled(spark, d).select("doc_id", "text", "label"), script=augment.LATIN)
+
 
-    return augment.dataset(base.labelled(spark, d).select("doc_id", "text", "label"))
+@query("SELECT kind, count(*) AS n FROM (SELECT 'original' AS kind FROM documents) GROUP BY kind")
+def g_a8_originals(spark, d):
+    """The originals of an augmented table are the table."""
+    rows = docs(spark, d).select("doc_id", "text", F.lit(1).alias("label"))
+    return augment.dataset(rows, script=augment.LATIN).where("kind = 'original'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..functions import text as tx
 from ..operators import corpus
+from ..sources import tables
 from . import base
 from .base import LABELLED, docs, labelled, query, quote, sub, table
 
@@ -66,15 +67,7 @@ def x10_lemmatise(spark, d):
     rows = docs(spark, d)
     words = rows.select(F.explode(F.array_distinct(tx.tokens(F.lower("text")))).alias("word")).distinct()
     lemma = F.when((F.length("word") > 5) & F.col("word").endswith("ing"), F.expr("left(word, length(word) - 3)")).otherwise(F.col("word"))
-    return corpus_lemmas(rows, words.select("word", lemma.alias("lemma")))
-
-
-def corpus_lemmas(rows, dictionary):
-    """Words through a (word, lemma) table, each in its place; a word without a line stands for itself."""
-    placed = rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(tx.tokens(F.lower(tx.clean(F.col("text"))))).alias("at", "word"))
-    joined = placed.join(dictionary, "word", "left").select("doc_id", "row", F.struct("at", F.coalesce("lemma", "word").alias("lemma")).alias("w"))
-    words = F.transform(F.array_sort(F.collect_list("w")), lambda w: w["lemma"])
-    return joined.groupBy("doc_id", "row").agg(F.translate(F.array_join(words, " "), "ёъ", "еь").alias("out")).drop("row")
+    return corpus.lemmatise(rows, words.select("word", lemma.alias("lemma")))
 
 
 def _sql_core(w):
@@ -201,11 +194,26 @@ def f17_caps_word_rule(spark, d):
     return docs(spark, d).select("doc_id", ft.matches_caps_word(F.col("text")).alias("caps"))
 
 
-@query(f"SELECT doc_id, round({_FEATURE_SQL['caps_ratio']}, 6) AS caps_ratio, round({_FEATURE_SQL['space_ratio']}, 6) AS space_ratio FROM (SELECT doc_id, {S} AS s FROM documents)")
+def _set_sql(names):
+    return "SELECT doc_id, " + ", ".join(f"round({_FEATURE_SQL[n]}, 6) AS {n}" for n in names) + f" FROM (SELECT doc_id, {S} AS s FROM documents)"
+
+
+@query(_set_sql(["caps_ratio", "space_ratio"]))
 def f18_feature_set(spark, d):
+    """Named features come in the fixed order, whatever the order of the names."""
     return docs(spark, d).select("doc_id", *[F.round(c, 6).alias(n) for c, n in zip(ft.features(F.col("text"), ["space_ratio", "caps_ratio"]), ["caps_ratio", "space_ratio"])])
 
 
+@query(_set_sql(["length_chars_log1p", "space_ratio"]))
+def f18_minimal_set(spark, d):
+    return docs(spark, d).select("doc_id", *[F.round(c, 6).alias(n) for c, n in zip(ft.features(F.col("text"), ft.MINIMAL), ft.MINIMAL)])
+
+
+@query()
+def f18_full_set(spark, d):
+    return docs(spark, d).select("doc_id", *ft.features(F.col("text")))
+
+
 # labels and sources
 
 
@@ -275,9 +283,14 @@ def p15_prepare_training(spark, d):
     return out.where("classical <> ''")
 
 
-@query("SELECT doc_id, text, label FROM (SELECT d.doc_id, d.text, l.toxic AS label FROM documents d JOIN labels l USING (doc_id))")
+@query("SELECT text, label::INT AS label FROM (SELECT d.text, l.toxic AS label FROM documents d JOIN labels l USING (doc_id)) WHERE text <> ''")
 def s02_read_projected(spark, d):
-    return labelled(spark, d).select("doc_id", "text", "label")
+    """A corpus of toxic and of other documents, one kept as CSV and one as Parquet, read by suffix."""
+    rows, path = labelled(spark, d).where("text <> ''"), tables.scratch(spark, "corpus")
+    tables.write_report(rows.where("label = 1").selectExpr("doc_id", "CAST(label AS INT) AS label", "text"), f"{path}/toxic.csv")
+    rows.where("label <> 1").write.parquet(f"{path}/other.parquet")
+    parts = [tables.read_labelled(spark, f"{path}/{name}").select("text", F.col("label").cast("int").alias("label")) for name in ("toxic.csv", "other.parquet")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark UNION ALL SELECT conv_id, text FROM conversations")

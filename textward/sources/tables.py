@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.corpus import require
 from ..operators.relational import upsert
+from .scratch import scratch  # noqa: F401
 
-# The columns of a run's summary row, in order, by the part of the run they come from.
-RUN = ["timestamp", "git_commit", "run_tag"]
-CONDITIONS = ["mode", "target_rate", "batch_size", "batch_window", "send_workers", "backend_replicas", "pool_workers", "prefetch", "model_tox", "model_spam"]
-METRICS = [
-    "achieved_throughput", "throughput_steady", "throughput_overall", "e2e_p50", "e2e_p95", "e2e_p99", "e2e_p999", "e2e_max", "intended_p50", "intended_p95", "intended_p99",
-    "intended_p999", "intended_max", "single_server_p50", "single_server_p95", "single_server_p99", "success_rate", "cache_hit_rate", "n_items",
+# The columns of a run's summary row, in order; below, the part of the run that they come from.
+ROW = [
+    "timestamp", "git_commit", "run_tag", "mode", "target_rate", "achieved_throughput", "throughput_steady", "throughput_overall", "e2e_p50", "e2e_p95", "e2e_p99", "e2e_p999", "e2e_max",
+    "intended_p50", "intended_p95", "intended_p99", "intended_p999", "intended_max", "single_server_p50", "single_server_p95", "single_server_p99", "success_rate", "cache_hit_rate", "n_items",
+    "batch_size", "batch_window", "send_workers", "backend_replicas", "pool_workers", "prefetch", "model_tox", "model_spam", "note",
 ]
-ROW = [*RUN, *CONDITIONS[:2], *METRICS, *CONDITIONS[2:], "note"]
+RUN, METRICS = ROW[:3], ROW[5:24]
+CONDITIONS = [*ROW[3:5], *ROW[24:32]]
 _TEXTS = {"mode", "model_tox", "model_spam"}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """text, label of a CSV or Parquet corpus, by the suffix of its path; of Parquet only these two columns are read."""
+    if path.rstrip("/").lower().endswith(".csv"):
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    elif path.rstrip("/").lower().endswith(".parquet"):
+        rows = spark.read.parquet(path)
+    else:
+        raise ValueError(f"{path}: a corpus is .csv or .parquet")
+    return require(rows, ["text", "label"]).select("text", "label")
 
 
 def read_corpus(spark: SparkSession, data: str | None = None, train: str | None = None, val: str | None = None) -> tuple[DataFrame, DataFrame | None, bool]:
@@ -68,16 +69,33 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def save_verdicts(updates: DataFrame, table: str, batch: int, keys: list[str], version: str) -> DataFrame:
+def save_verdicts(updates: DataFrame, table: str, batch: int, keys: list[str], version: str, buckets: int = 64) -> DataFrame:
     """Upserts a batch into a keyed Parquet table and returns the new state; for foreachBatch.
 
-    Each batch writes version=<batch> from the latest version before it, so a replayed batch makes the same table again.
+    The table lies in buckets by hash of the key. A batch writes only the buckets it has keys in, as version=<batch> from
+    their latest version before it, so a replayed batch makes the same table again and other buckets are not touched.
     """
     spark = updates.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-    done = [n for n in (int(x.split("=")[1]) for x in names if x.startswith("version=")) if n < batch and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={n}/_SUCCESS"))]
-    current = spark.read.schema(updates.schema).parquet(f"{table}/version={max(done)}") if done else updates.limit(0)
-    upsert(current, updates, keys, version).write.mode("overwrite").parquet(f"{table}/version={batch}")
-    return spark.read.schema(updates.schema).parquet(f"{table}/version={batch}")
+    rows = updates.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # `buckets` numbers at most
+    current = verdict_table(spark, table, updates, before=batch, only=touched)
+    new = upsert(current, updates, keys, version).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={batch}")
+    return verdict_table(spark, table, updates, before=batch + 1)
+
+
+def verdict_table(spark: SparkSession, table: str, like: DataFrame, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """The rows of a keyed table: of each bucket the latest complete version (before a batch)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([table, *parts]))
+    listed = lambda p: [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    done = sorted(int(n.split("=")[1]) for n in listed(root) if n.startswith("version=") and fs.exists(path(n, "_SUCCESS")))
+    latest: dict[int, str] = {}
+    for v in done:
+        if before is None or v < before:
+            for n in listed(path(f"version={v}")):
+                if n.startswith("bucket="):
+                    latest[int(n.split("=")[1])] = f"{table}/version={v}/{n}"
+    folders = [p for b, p in sorted(latest.items()) if only is None or b in only]
+    return spark.read.schema(like.schema).parquet(*folders) if folders else like.limit(0)

@@ -1,4 +1,4 @@
-"""Continuous moderation with Structured Streaming: intake, cascade, verdict table, results, actions, cache state."""
+"""Continuous moderation with Structured Streaming: intake, cached verdicts, cascade, verdict table, results, actions."""
 
 from __future__ import annotations
 
@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cascade
+from ..operators import cascade, relational
+from ..operators.models import Model
+from ..sources.scratch import scratch
+from ..sources.tables import save_verdicts, verdict_table
 
-REQUEST = "task_id string, source string, items array<struct<text string, ref string>>, sent_at timestamp"
-UPDATE = "update_id long, message struct<text string, message_id long>, edited_message struct<text string, message_id long>, at timestamp"
+REQUEST = "task_id string, source string, items array<struct<text string, ref struct<chat_id bigint, message_id bigint>>>, sent_at timestamp"
+_MESSAGE = "struct<text string, message_id bigint, chat struct<id bigint>, from struct<id bigint>>"
+UPDATE = f"update_id long, message {_MESSAGE}, edited_message {_MESSAGE}, at timestamp"
+VERDICT = ["is_toxic", "toxicity_score", "toxicity_types", "tox_model_used", "is_spam", "spam_score", "spam_model_used"]
+# How long a verdict is kept, in seconds, when rules alone gave it, and otherwise.
+TTL_RULES, TTL = 300, 3600
 
 
 def requests(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -22,75 +29,151 @@ def requests(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFram
 
 def unpack(messages: DataFrame) -> DataFrame:
     """One row per item with its position."""
-    item = messages.select("task_id", "source", F.posexplode("items").alias("item_index", "item"))
-    return item.select("task_id", "source", "item_index", "item.text", "item.ref", tx.cache_key(F.col("item.text")).alias("key"))
+    item = messages.select("task_id", "source", "sent_at", F.posexplode("items").alias("item_index", "item"))
+    return item.select("task_id", "source", "sent_at", "item_index", "item.text", "item.ref", tx.cache_key(F.col("item.text")).alias("key"))
 
 
-def judged(items: DataFrame, mode: str = "both") -> DataFrame:
-    """Each distinct text of a batch is judged once; blank texts stay apart, so they are no hot key of the join."""
-    full = items.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    once = full.groupBy("key").agg(F.min("text").alias("text"))
-    verdicts = cascade.classify(once, mode).drop("text")
-    blank = cascade.classify(items.where(F.trim(F.coalesce("text", F.lit(""))) == ""), mode)
-    return full.join(verdicts, "key").unionByName(blank)
+def judged(items: DataFrame, mode: str = "both", tox_model: Model | None = None, spam_model: Model | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """items with their verdicts and from_cache, and what is to be remembered (key, verdict, cached_at, ttl_s).
+
+    A text that the cache (key, verdict, cached_at, ttl_s) still holds at the time it was sent is not judged again; of
+    the others each different text is judged once. Blank texts are never looked up or remembered.
+    """
+    found = items.withColumn("verdict", F.lit(None).cast(_verdict_type()))
+    if cache is not None:
+        now = items.agg(F.max("sent_at")).first()[0]
+        found = relational.cache_lookup(items, cache, F.lit(now))
+    missed = found.where("verdict IS NULL").groupBy("key").agg(F.min("text").alias("text"))
+    made = cascade.classify(missed, mode, tox_model=tox_model, spam_model=spam_model, key="key")
+    made = made.select(F.col("key").alias("made_key"), F.col("text").alias("made_text"), F.struct(*[F.col(c).alias(c) for c in VERDICT]).alias("made"))
+    rows = found.join(made, F.when(F.col("verdict").isNull(), F.col("key")) == F.col("made_key"), "left")
+    verdict = F.coalesce("verdict", "made")
+    out = rows.select("task_id", "source", "sent_at", "item_index", "text", "ref", "key", F.col("verdict").isNotNull().alias("from_cache"), *[verdict[c].alias(c) for c in VERDICT])
+    rules_only = F.coalesce(F.col("made.tox_model_used") == "regex", F.lit(False))
+    kept = made.where(F.trim(F.coalesce("made_text", F.lit(""))) != "")
+    return out, kept.select(F.col("made_key").alias("key"), F.col("made").alias("verdict"), F.current_timestamp().alias("cached_at"), F.when(rules_only, TTL_RULES).otherwise(TTL).alias("ttl_s"))
+
+
+def _verdict_type() -> str:
+    kinds = {"is_toxic": "boolean", "is_spam": "boolean", "toxicity_score": "double", "spam_score": "double"}
+    return "struct<" + ", ".join(f"{c}: {kinds.get(c, 'string')}" for c in VERDICT) + ">"
+
+
+CACHE = f"key string, verdict {_verdict_type()}, cached_at timestamp, ttl_s int"
 
 
 def results(verdicts: DataFrame) -> DataFrame:
     """Result messages: the verdicts of a task with their refs, in order."""
-    fields = F.struct("item_index", "ref", "is_toxic", "toxicity_score", "is_spam", "spam_score")
+    fields = F.struct("item_index", "ref", *VERDICT)
     return verdicts.groupBy("task_id", "source").agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("results"))
 
 
-def moderate(messages: DataFrame, verdict_path: str, result_path: str, checkpoint: str, mode: str = "both"):
-    """Judges each micro-batch and writes verdicts and results; a replayed batch overwrites its own folder.
+def moderate(messages: DataFrame, path: str, checkpoint: str, mode: str = "both", tox_model: Model | None = None, spam_model: Model | None = None):
+    """Judges each micro-batch: looks texts up, judges the others, and saves items, cache and results under path.
 
-    A batch that fails is written as failed tasks and doesn't stop the stream.
+    Items (task_id, item_index) and cached verdicts (key) are upserted into keyed tables; a replayed batch makes the same
+    tables again. A batch that fails is written as failed tasks, its items with the error, and doesn't stop the stream.
     """
+    spark = messages.sparkSession
 
     def work(batch: DataFrame, number: int) -> None:
+        kept = scratch(spark, "batch")
+        batch.write.parquet(kept)  # read back by all steps, so the source is read once
+        batch = spark.read.schema(batch.schema).parquet(kept)
         try:
-            out = judged(unpack(batch), mode)
-            out.write.mode("overwrite").parquet(f"{verdict_path}/batch={number}")
-            results(out).write.mode("overwrite").json(f"{result_path}/batch={number}")
-        except Exception as error:  # the failure is recorded for every task of the batch
-            failed = batch.select("task_id", F.lit("failed").alias("status"), F.lit(str(error)[:200]).alias("error"))
-            failed.write.mode("overwrite").json(f"{result_path}/failed/batch={number}")
+            like = spark.createDataFrame([], CACHE)
+            cache = verdict_table(spark, f"{path}/cache", like, before=number)
+            out, learnt = judged(unpack(batch), mode, tox_model, spam_model, cache)
+            out.withColumns({"version": F.lit(number), "error": F.lit(None).cast("string")}).write.parquet(f"{kept}-items")
+            own = spark.read.parquet(f"{kept}-items")
+            save_verdicts(own, f"{path}/items", number, ["task_id", "item_index"], "version")
+            save_verdicts(learnt, f"{path}/cache", number, ["key"], "cached_at")
+            results(own).write.mode("overwrite").json(f"{path}/results/batch={number}")
+        except Exception as error:  # the failure is recorded for every task of the batch and its items
+            why = F.lit(str(error)[:200])
+            tasks = batch.select("task_id", F.lit("failed").alias("status"), why.alias("error"))
+            tasks.write.mode("overwrite").json(f"{path}/failed/batch={number}")
+            relational.fail_items(unpack(batch).withColumn("error", F.lit(None).cast("string")), tasks).drop("ref").write.mode("overwrite").json(f"{path}/failed_items/batch={number}")
 
     return messages.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def updates(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Platform updates: new or edited messages with text, each update_id once."""
-    raw = spark.readStream.schema(UPDATE).json(path).withColumn("m", F.coalesce("message", "edited_message"))
-    accepted = raw.where(F.trim(F.coalesce("m.text", F.lit(""))) != "").select("update_id", "at", "m.text", "m.message_id")
-    return accepted.withWatermark("at", late).dropDuplicatesWithinWatermark(["update_id"])
+    """Platform updates: new or edited messages with text, each update_id once, with chat, message and user in ref."""
+    raw = spark.readStream.schema(UPDATE).json(path)
+    return relational.accepted(raw).withWatermark("at", late).dropDuplicatesWithinWatermark(["update_id"])
 
 
 def actions(verdicts: DataFrame) -> DataFrame:
     """Delete actions of verdicts on messages of the platform; stateless, for batch and stream."""
-    return verdicts.where((F.col("source") == "telegram") & F.col("ref").isNotNull() & (F.col("is_toxic") | F.col("is_spam"))).select("task_id", "item_index", "ref", F.lit("delete").alias("action"))
+    return relational.actions(verdicts)
+
 
+def count_or_age(items: DataFrame, source: str, at: str, key: str, size: int, seconds: float) -> DataFrame:
+    """source, key, batch of a stream's items, given out when their batch closes: at `size` items, or `seconds` after its first.
 
-def count_or_age(items: DataFrame, source: str, at: str, size: int, seconds: float) -> DataFrame:
-    """Micro-batches per source from a stream: closed at `size` items, or by the first item `seconds` after the oldest."""
+    The age is told by the items' times where a later item shows it, and by the clock where none comes: a timer closes
+    what is left. State holds the open batch, under `size` items.
+    """
 
-    def work(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, n, batch = state.get if state.exists else (0.0, 0, 0)
-        rows = pd.concat(pdfs).sort_values("second")
-        out = []
-        for t in rows["second"]:
-            if n and (n >= size or t - first >= seconds):
-                batch, n = batch + 1, 0
-            first = t if n == 0 else first
-            n += 1
-            out.append(batch)
-        state.update((float(first), n, batch))
-        yield pd.DataFrame({source: [key[0]] * len(out), "second": rows["second"].to_numpy(), "batch": out})
+    def work(group, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        keys, first, batch = state.get if state.exists else ([], 0.0, 0)
+        keys, out = list(keys), []
+
+        def close():
+            nonlocal keys, batch
+            out.extend((k, batch) for k in keys)
+            keys, batch = [], batch + 1
+
+        if state.hasTimedOut:
+            close()
+        else:
+            for second, name in sorted((s, k) for pdf in pdfs for s, k in zip(pdf["second"], pdf["key"])):
+                if keys and second - first >= seconds:
+                    close()
+                first = second if not keys else first
+                keys.append(name)
+                if len(keys) >= size:
+                    close()
+        state.update((keys, float(first), batch))
+        if keys:
+            state.setTimeoutDuration(int(seconds * 1000))
+        yield pd.DataFrame({"source": [group[0]] * len(out), "key": [k for k, _ in out], "batch": [b for _, b in out]})
+
+    rows = items.select(F.col(source).cast("string").alias("source"), F.col(at).cast("double").alias("second"), F.col(key).cast("string").alias("key"))
+    return rows.groupBy("source").applyInPandasWithState(work, "source string, key string, batch long", "keys array<string>, first double, batch long", "append", "ProcessingTimeTimeout")
+
+
+def verdict_cache(rows: DataFrame) -> DataFrame:
+    """The verdict cache as keyed state. rows are stores (key, verdict, ttl_s) and lookups (key, asked; verdict null).
+
+    Gives key, asked, verdict of every lookup: what was stored last, as long as it lives, else null. Rows of one trigger
+    act in order of `at` (seconds), stores before lookups of the same time; an entry goes when its time is over.
+    """
 
-    rows = items.select(source, F.col(at).cast("double").alias("second"))
-    return rows.groupBy(source).applyInPandasWithState(work, f"{source} string, second double, batch long", "first double, n long, batch long", "append", "NoTimeout")
+    def work(group, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"key": [], "asked": [], "verdict": []}, dtype=object)
+            return
+        verdict, until = state.get if state.exists else (None, 0.0)
+        out, left = [], 0
+        for pdf in [pd.concat(pdfs).sort_values(["at", "asked"], na_position="first")]:
+            for asked, new, ttl, at in zip(pdf["asked"], pdf["verdict"], pdf["ttl_s"], pdf["at"]):
+                if isinstance(new, str):
+                    verdict, until, left = new, at + ttl, int(ttl)
+                else:
+                    out.append((group[0], asked, verdict if verdict is not None and at < until else None))
+        if left:
+            state.update((verdict, float(until)))
+        if left or state.exists:
+            state.setTimeoutDuration(max(1, left or 60) * 1000)
+        yield pd.DataFrame(out, columns=["key", "asked", "verdict"])
+
+    own = rows.select("key", F.col("asked").cast("string").alias("asked"), F.col("verdict").cast("string").alias("verdict"), F.col("ttl_s").cast("double").alias("ttl_s"), F.col("at").cast("double").alias("at"))
+    return own.groupBy("key").applyInPandasWithState(work, "key string, asked string, verdict string", "verdict string, until double", "append", "ProcessingTimeTimeout")
 
 
 def first_seen(items: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """The verdict cache as keyed state: items whose key was not seen within the time to live, by event time sent_at."""
+    """Items whose key was not seen within the time to live, by event time sent_at."""
     return items.withWatermark("sent_at", ttl).dropDuplicatesWithinWatermark(["key"])
