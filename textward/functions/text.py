@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # White space in the sense of Unicode, with U+001C to U+001F.
 WS = r"\x09-\x0d\x1c-\x20\x{85}\p{Z}"
+# The same, character by character: Z has a space separator in each of these places, and the line and paragraph separators.
+_WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 EDGE = r"(?:^|[^\p{L}\p{N}_])"
 TAIL = r"(?:$|[^\p{L}\p{N}_])"
 
@@ -27,6 +29,8 @@ MENTION_ID = rf"\[id\p{{Nd}}+\|[^\]]*\],?[{WS}]*"
 ENTITIES_GREEDY = r"&#\p{Nd}+;|&[^\n]+;"
 ENTITIES = r"&#\p{Nd}+;|&[a-z]+;"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+_PUNCTUATION_CHARS = "".join(chr(k) for k in range(0x21, 0x7F) if not chr(k).isalnum())
+_MARKS = r"[<&@\[]|https?://|www\."
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]+"
 SPACES = rf"[{WS}]{{2,}}"
 # The stop words of the spam side (Russian).
@@ -46,7 +50,8 @@ def replace(text: Column, pattern: str, by: str = " ") -> Column:
 
 
 def strip(text: Column) -> Column:
-    return replace(text, rf"^[{WS}]+|[{WS}]+$", "")
+    """Without the white space of WS at both ends."""
+    return F.btrim(text, F.lit(_WS_CHARS))
 
 
 def collapse(text: Column) -> Column:
@@ -57,8 +62,10 @@ def collapse(text: Column) -> Column:
 def normalise(text: Column, punctuation: bool = True) -> Column:
     """The whole chain of the toxicity side: lower, links, tags, mentions, entities, punctuation, spaces."""
     steps = [(URL_EMAIL, " "), (TAGS_LAZY, " "), (MENTION, ""), (ENTITIES_GREEDY, " ")]
-    out = reduce(lambda t, s: replace(t, *s), steps, F.lower(clean(text)))
-    return collapse(replace(out, PUNCTUATION) if punctuation else out)
+    low = F.lower(clean(text))
+    # one search tells texts in which none of the four can match; most are such
+    out = F.when(low.rlike(_MARKS), reduce(lambda t, s: replace(t, *s), steps, low)).otherwise(low)
+    return collapse(F.translate(out, _PUNCTUATION_CHARS, " " * len(_PUNCTUATION_CHARS)) if punctuation else out)
 
 
 def tokens(text: Column) -> Column:

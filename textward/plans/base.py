@@ -32,6 +32,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "source")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files give fewer tasks than there are: for heavy work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, text, label (toxic), quality: the documents that have labels."""
     labels = table(spark, d, "labels").selectExpr("doc_id", "toxic AS label", "quality")

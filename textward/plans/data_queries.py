@@ -32,13 +32,13 @@ def _sql_verdicts(source: str) -> str:
 
 def verdicts(spark, d, df, mode="both"):
     tox, spam = base.fitted(spark, d)
-    out = cascade.classify(df, mode, tox_model=tox, spam_model=spam)
+    out = cascade.classify(base.spread(df), mode, tox_model=tox, spam_model=spam)
     return out.withColumns({c: F.round(c, 6) for c in ("toxicity_score", "spam_score")})
 
 
 @query("WITH c AS (SELECT doc_id, " + base.sql_names("text", L) + " AS categories FROM documents) SELECT doc_id, categories, categories <> '' AS hit, CASE WHEN categories <> '' THEN 1.0 ELSE 0.0 END AS score FROM c")
 def c01_rule_classifier(spark, d):
-    out = docs(spark, d).select("doc_id", rules.names(rules.categories(F.col("text"), L)).alias("categories"))
+    out = base.spread(docs(spark, d)).select("doc_id", rules.names(rules.categories(F.col("text"), L)).alias("categories"))
     return out.select("*", (F.col("categories") != "").alias("hit"), F.when(F.col("categories") != "", 1.0).otherwise(0.0).alias("score"))
 
 
@@ -62,17 +62,17 @@ for _k, _v in _CYRILLIC.items():
 
 @query(f"SELECT doc_id, {base.sql_names('text', rules.TOXIC)} AS categories FROM (SELECT doc_id, {_PLANTED} AS text FROM documents)")
 def c02_toxic_rules(spark, d):
-    return docs(spark, d).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.TOXIC)).alias("categories"))
+    return base.spread(docs(spark, d)).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.TOXIC)).alias("categories"))
 
 
 @query(f"SELECT doc_id, {base.sql_names('text', rules.SPAM)} AS categories FROM (SELECT doc_id, {_PLANTED} AS text FROM documents)")
 def c03_spam_rules(spark, d):
-    return docs(spark, d).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.SPAM)).alias("categories"))
+    return base.spread(docs(spark, d)).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.SPAM)).alias("categories"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"CASE WHEN {base.sql_hit('text', p)} THEN 1 ELSE 0 END AS {k}" for k, p in L.items()) + f", CASE WHEN {_HIT} THEN 1 ELSE 0 END AS any_hit FROM documents")
 def c04_wide_flags(spark, d):
-    out = docs(spark, d).select("doc_id", *[F.when(rules.hits(F.col("text"), p), 1).otherwise(0).alias(k) for k, p in L.items()])
+    out = base.spread(docs(spark, d)).select("doc_id", *[F.when(rules.hits(F.col("text"), p), 1).otherwise(0).alias(k) for k, p in L.items()])
     return out.withColumn("any_hit", F.greatest(*L))
 
 

@@ -109,7 +109,7 @@ _FEATS = "SELECT label, " + ", ".join(f"{_FEATURE_SQL[k]} AS {k}" for k in _USED
 
 
 def _features(spark, d, names):
-    return labelled(spark, d).select("label", *ft.features(F.col("text"), names))
+    return base.spread(labelled(spark, d).select("label", "text")).select("label", *ft.features(F.col("text"), names))
 
 
 @query(f"WITH f AS ({_FEATS}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM f HAVING abs(corr({a}, {b})) >= 0.3 AND NOT isnan(corr({a}, {b}))" for k, a in enumerate(_USED) for b in _USED[k + 1 :]))
@@ -251,7 +251,7 @@ _BITS = ", ".join(f"({quote(k)}, {1 << i})" for i, k in enumerate(L))
 
 
 def _hist(spark, d):
-    return mining.histogram(labelled(spark, d), L)
+    return mining.histogram(base.spread(labelled(spark, d).select("text", "label")), L)
 
 
 @query(f"SELECT doc_id, {base.sql_mask('text', L)} AS mask FROM documents")

@@ -21,7 +21,7 @@ def _doc(column, source="documents"):
     """A query of one text Column over documents."""
 
     def run(spark, d):
-        return docs(spark, d).select("doc_id", column(F.col("text")).alias("out"))
+        return base.spread(docs(spark, d)).select("doc_id", column(F.col("text")).alias("out"))
 
     return run
 
@@ -158,7 +158,7 @@ def _feature_query(name, number):
     key, column, source = ("page_id", "url", "pages") if over_pages else ("doc_id", "text", "documents")
 
     def run(spark, d):
-        return table(spark, d, source).select(key, F.round(ft.feature(name, F.col(column)), 6).alias(name))
+        return base.spread(table(spark, d, source).select(key, column)).select(key, F.round(ft.feature(name, F.col(column)), 6).alias(name))
 
     run.__name__ = f"f{number:02d}_{name}"
     sql = _FEATURE_SQL.get(name)
@@ -181,7 +181,7 @@ for _name in ft.NAMES:
     SELECT doc_id, round(CASE WHEN length(s) = 0 THEN 0 ELSE coalesce(rep, 0)::DOUBLE / length(s) END, 6) AS repeated_chars_ratio FROM s LEFT JOIN n USING (r)"""
 )
 def f07_repeated_chars_ratio(spark, d):
-    return docs(spark, d).select("doc_id", F.round(ft.feature("repeated_chars_ratio", F.col("text")), 6).alias("repeated_chars_ratio"))
+    return base.spread(docs(spark, d)).select("doc_id", F.round(ft.feature("repeated_chars_ratio", F.col("text")), 6).alias("repeated_chars_ratio"))
 
 
 @query(f"SELECT doc_id, regexp_matches({T}, {quote(ft.CAPS_SHOUT)}) AS shout FROM documents")
@@ -211,7 +211,7 @@ def f18_minimal_set(spark, d):
 
 @query()
 def f18_full_set(spark, d):
-    return docs(spark, d).select("doc_id", *ft.features(F.col("text")))
+    return base.spread(docs(spark, d)).select("doc_id", *ft.features(F.col("text")))
 
 
 # labels and sources
