@@ -295,7 +295,8 @@ def test_ctw_base(docs, rows):
 def test_ctw_slices(monkeypatch, size):
     """Trees weighed slice by slice are the trees weighed at once."""
     rng = np.random.default_rng(1)
-    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 200, dtype=np.uint64), (np.uint64(7) << np.uint64(48)) + np.arange(90, dtype=np.uint64)]))
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 200, dtype=np.uint64), (np.uint64(7) << np.uint64(8 * (ctw.DEPTH - 1))) + np.arange(90, dtype=np.uint64)]))
+    keys = np.unique(keys & np.uint64((1 << 8 * (ctw.DEPTH + 1)) - 1))
     counts = rng.integers(0, 9, len(keys))
     whole = ctw.Subtrees(keys, counts)
     monkeypatch.setattr(ctw, "_SLICE", size)

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-DEPTH = 7
-BLOCK_BYTES = 5_000_000
+DEPTH = 6
+BLOCK_BYTES = 6_000_000
 FOLDS, HELD_OUT = 7, 2
 _END = b"\n"
 _TABLE = 1 << 14
@@ -186,7 +186,9 @@ def _grouped(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np
     """For texts under 65536: the distinct keys, where their runs start, and the text of each run's members."""
     keys, own = keys_of(texts, depth)
     order = np.argsort(keys, kind="stable")
-    keys, own = keys[order], own[order]
+    own = own[order]
+    keys = keys[order]
+    del order
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[starts], starts, own
 
@@ -252,8 +254,7 @@ def _block_sends(depth: int, shards: int):
         for k, texts in _parts([t for t, _ in normal]):
             keys, starts, own = _grouped(texts, depth)
             found.append((keys, np.add.reduceat(train[k:][own].astype(np.int64), starts)))
-        keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(keys)).astype(np.int64)
+        keys, counts = found[0] if len(found) == 1 else _merged(found)
         rows = [(s, block, "gram", _packed(keys[p]), counts[p].astype(np.int32).tobytes()) for s, p in _split(keys, _shard_of_keys(keys, depth, shards))]
         hashes, words = _word_keys(every)
         counts = np.array([counted[w] for w in words], dtype=np.int64)
@@ -263,6 +264,12 @@ def _block_sends(depth: int, shards: int):
     return work
 
 
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with counts from several such."""
+    keys, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(keys)).astype(np.int64)
+
+
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -341,7 +348,7 @@ def _block_scores(depth: int, shards: int, n_ends: int):
         logs = dict(zip(words, value.tolist()))
         end = float(np.log10(n_ends + 1.0))
         parts = [(k, *_grouped(texts, depth)) for k, texts in _parts([t for t, _ in normal])]
-        keys = np.unique(np.concatenate([p[1] for p in parts]))
+        keys = parts[0][1] if len(parts) == 1 else np.unique(np.concatenate([p[1] for p in parts]))
         value = np.zeros(len(keys))
         for s, p in _split(keys, _shard_of_keys(keys, depth, shards)):
             value[p] = np.frombuffer(mine["gram", s].as_py(), dtype=np.float32)
