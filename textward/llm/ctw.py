@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-DEPTH = 6
-BLOCK_BYTES = 6_000_000
+DEPTH = 5
+BLOCK_BYTES = 5_000_000
 FOLDS, HELD_OUT = 7, 2
 _END = b"\n"
 _TABLE = 1 << 14
