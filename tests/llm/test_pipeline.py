@@ -76,3 +76,17 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     rows += [(200, None), (201, " \n"), (202, "one two"), (203, "One  two"), (204, "one three"), (None, "no id")]
     found = {r["doc_id"]: r["component_id"] for r in similar.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {k: 0 for k in range(150)} | {200: 200, 201: 200, 202: 202, 203: 202, 204: 204, None: None}
+
+
+def test_empty_stages(spark):
+    """An empty table passes through all stages; columns with clashing names come through."""
+    from textward.llm import mixing, similar, tokens
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, salt int, in_0 string, fp long, best boolean")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, none, DATA)
+        assert out.columns == none.columns and out.count() == 0, name
+    assert pipeline.STAGES[-1][1](spark, none, DATA).count() == 0
+    assert mixing.mixed(none).count() == similar.one_of_each(none).count() == tokens.decode(tokens.encode(none)).count() == 0
+    rows = none.union(spark.createDataFrame([(1, "a b c", "en", None, 5, 7, "z", 9, True), (None, None, None, None, None, None, None, None, None), (1, "a b c", "en", None, 5, 7, "z", 9, True)], none.schema))
+    assert similar.one_of_each(rows).orderBy("doc_id").collect()[1] == rows.where("doc_id = 1").first() and similar.one_of_each(rows).count() == 2
