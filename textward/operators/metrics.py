@@ -140,11 +140,11 @@ def feature_table(df: DataFrame, columns: list[str], label: str = "label") -> Da
     stats = stacked.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), pearson("v", "label").alias("r"), mean(1).alias("mean_1"), mean(0).alias("mean_0")
     )
-    curves = [roc_auc(curve(df.select(F.col(c).alias("score"), F.col(label).alias("label")))).select(F.lit(c).alias("feature"), F.greatest("auc", 1 - F.col("auc")).alias("auc")) for c in columns]
-    aucs = curves[0]
-    for c in curves[1:]:
-        aucs = aucs.unionByName(c)
-    return stats.withColumn("delta", F.col("mean_1") - F.col("mean_0")).join(F.broadcast(aucs), "feature")  # a row per feature
+    counts = stacked.where("v is not null").groupBy("feature", F.col("v").cast("double").alias("v")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    won = F.sum(F.col("neg") * (F.col("run_pos") - F.col("pos") / 2.0))
+    auc = prefix_sum(counts, "v", ["pos", "neg"], by="feature").groupBy("feature").agg(ratio(won, F.sum("pos") * F.sum("neg")).alias("auc"))
+    aucs = auc.select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
+    return stats.withColumn("delta", F.col("mean_1") - F.col("mean_0")).join(F.broadcast(aucs), "feature", "left")  # a row per feature
 
 
 def term_lift(terms: DataFrame, rows: DataFrame) -> DataFrame:

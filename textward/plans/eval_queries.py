@@ -150,8 +150,8 @@ def a12_model_table(spark, d):
     rows = base.spam_labelled(spark, d).select("label", *ft.features(F.col("text"), ft.NAMES))
     coefficients = spark.createDataFrame([(name, float(c)) for name, _, _, c in model.extra], "feature string, coefficient double")  # 17 rows
     found = metrics.feature_table(rows, ft.NAMES).join(F.broadcast(coefficients), "feature", "left")
-    p = {r["feature"]: metrics.correlation_p(r["r"], r["n"]) for r in found.select("feature", "r", "n").collect()}  # a row per feature
-    return found.join(F.broadcast(spark.createDataFrame(list(p.items()), "feature string, p_value double")), "feature")
+    kept = found.collect()  # a row per feature
+    return spark.createDataFrame([(*r, metrics.correlation_p(r["r"], r["n"])) for r in kept], found.schema.add("p_value", "double"))
 
 
 @query()
