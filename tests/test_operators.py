@@ -391,3 +391,12 @@ def test_verdict_table_buckets(spark, tmp_path):
         out = tables.save_verdicts(rows([3, 60], 1), path, 1, ["k"], "version")
         assert out.count() == 51 and {r["k"] for r in out.where("version = 1").collect()} == {3, 60}
     assert spark.read.parquet(f"{path}/version=1").select("bucket").distinct().count() <= 2
+
+
+def test_prefix_sum_by_group(spark):
+    """Running sums of each group alone, over more ranges than one; an empty table gives none."""
+    rows = [(g, float(v), v % 3) for g, n in (("a", 50), ("b", 7), ("c", 1)) for v in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double, x long")
+    got = {(r["g"], r["v"]): r["run_x"] for r in prefix.prefix_sum_by(df, "g", "v", ["x"], 4).collect()}
+    assert got == {(g, v): sum(x for h, w, x in rows if h == g and w >= v) for g, v, _ in rows}
+    assert prefix.prefix_sum_by(df.limit(0), "g", "v", ["x"], 4).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .prefix import prefix_sum
+from .prefix import prefix_sum, prefix_sum_by
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -142,7 +142,7 @@ def feature_table(df: DataFrame, columns: list[str], label: str = "label") -> Da
     )
     counts = stacked.where("v is not null").groupBy("feature", F.col("v").cast("double").alias("v")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
     won = F.sum(F.col("neg") * (F.col("run_pos") - F.col("pos") / 2.0))
-    auc = prefix_sum(counts, "v", ["pos", "neg"], by="feature").groupBy("feature").agg(ratio(won, F.sum("pos") * F.sum("neg")).alias("auc"))
+    auc = prefix_sum_by(counts, "feature", "v", ["pos", "neg"]).groupBy("feature").agg(ratio(won, F.sum("pos") * F.sum("neg")).alias("auc"))
     aucs = auc.select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
     return stats.withColumn("delta", F.col("mean_1") - F.col("mean_0")).join(F.broadcast(aucs), "feature", "left")  # a row per feature
 
