@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, exact_dedup, html_text, line_dedup, mixing, near_dup, quality, tokens, url_rules
+from . import ctw, divergence, exact_dedup, html_text, line_dedup, manifest, mixing, near_dup, quality, tokens, url_rules
 from .common import table
 
 
@@ -48,6 +48,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_ctw_scoring,
     op2_url_filters,
@@ -59,6 +67,8 @@ _ALL = (
     op8_line_dedup,
     op9_simhash_near_dedup,
     op10_token_counts,
+    op11_source_divergence,
+    op12_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
@@ -67,4 +77,6 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }
