@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, divergence, exact_dedup, html_text, line_dedup, manifest, mixing, near_dup, quality, tokens, url_rules
+from . import ctw, divergence, exact_dedup, html_text, line_dedup, manifest, mixing, near_dup, ngram_join, quality, tokens, url_rules
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_ctw_scoring,
     op2_url_filters,
@@ -69,6 +73,7 @@ _ALL = (
     op10_token_counts,
     op11_source_divergence,
     op12_merkle_manifest,
+    op13_ngram_join,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
