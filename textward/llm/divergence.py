@@ -36,21 +36,21 @@ TERMS_OF_CELL = 1000
 LOWER = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def terms_of(raw: bytes) -> Counter:
+def terms_of(raw: bytes, slice_bytes: int = SLICE) -> Counter:
     """The terms of a text with their frequencies. Long texts are split piece by piece, cut at separators."""
     raw = raw.translate(LOWER)
-    if len(raw) <= SLICE:
+    if len(raw) <= slice_bytes:
         return Counter(raw.split())
     own, start = Counter(), 0
     while start < len(raw):
-        end = raw.find(b" ", start + SLICE)
+        end = raw.find(b" ", start + slice_bytes)
         end = len(raw) if end < 0 else end
         own.update(raw[start:end].split())
         start = end
     return own
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     """lang, source, term, n (occurrences), docs (documents) of a task's documents; a key may come again later."""
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 terms[term] += n
             within[lang, source].update(own.keys())
             held += len(terms) - before
-            if held > HELD:
+            if held > most:
                 yield from out()
                 often, within, held = defaultdict(Counter), defaultdict(Counter), 0
     yield from out()
@@ -115,26 +115,28 @@ def _cells(rows: DataFrame, buckets: Column) -> DataFrame:
     return rows.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(buckets).alias("bucket"))
 
 
-def _cell_sums(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
+def _cell_sums(block: int):
     """Of a cell, for each pair of its sources: the sum of differences over its terms, less what lacked terms would add."""
-    low, high = key[1].as_py(), key[2].as_py()
-    numbers = sources.column("number").to_numpy()
-    order = np.argsort(numbers)
-    numbers, none = numbers[order], sources.column("none").to_numpy()[order]
-    which = terms.column("term").combine_chunks().dictionary_encode()
-    shares = np.tile(none, (len(which.dictionary), 1))
-    shares[which.indices.to_numpy(), np.searchsorted(numbers, terms.column("number").to_numpy())] = terms.column("share").to_numpy()
-    right = np.flatnonzero(numbers // BLOCK == high)
-    a, b, extra = [], [], []
-    for x in np.flatnonzero(numbers // BLOCK == low) if len(shares) else []:
-        to = right[right > x] if low == high else right
-        sums = np.abs(shares[:, [x]] - shares[:, to]).sum(axis=0) - len(shares) * np.abs(none[x] - none[to])
-        a.append(np.full(len(to), numbers[x]))
-        b.append(numbers[to])
-        extra.append(sums)
-    join = lambda parts: np.concatenate(parts) if parts else np.array([], dtype=np.int64)
-    a, b, extra = join(a), join(b), join(extra)
-    return pa.table({"lang": pa.array([key[0].as_py()] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "extra": pa.array(extra, pa.int64())})
+
+    def work(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        numbers = sources.column("number").to_numpy()
+        order = np.argsort(numbers)
+        numbers, none = numbers[order], sources.column("none").to_numpy()[order]
+        which = terms.column("term").combine_chunks().dictionary_encode()
+        shares = np.tile(none, (len(which.dictionary), 1))
+        shares[which.indices.to_numpy(), np.searchsorted(numbers, terms.column("number").to_numpy())] = terms.column("share").to_numpy()
+        left, right = np.flatnonzero(numbers // block == low), np.flatnonzero(numbers // block == high)
+        a, b, extra = [], [], []
+        for x in left if len(shares) else []:
+            to = right[right > x] if low == high else right
+            a += [numbers[x]] * len(to)
+            b += numbers[to].tolist()
+            extra += (np.abs(shares[:, [x]] - shares[:, to]).sum(axis=0) - len(shares) * np.abs(none[x] - none[to])).tolist()
+        columns = {"a": a, "b": b, "extra": extra}
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(a), pa.string())} | {c: pa.array(x, pa.int64()) for c, x in columns.items()})
+
+    return work
 
 
 def pair_distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def pair_distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
     around = _cells(groups.where("kinds > 0"), F.sequence(F.lit(0), last))
     cell = ["lang", "low", "high", "bucket"]
     around = around.select(*cell, "number", "none").toDF(*cell, "number", "none")  # columns of its own beside those in terms
-    sums = terms.groupBy(*cell).cogroup(around.groupBy(*cell)).applyInArrow(_cell_sums, "lang string, a long, b long, extra long")
+    sums = terms.groupBy(*cell).cogroup(around.groupBy(*cell)).applyInArrow(_cell_sums(BLOCK), "lang string, a long, b long, extra long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("extra").alias("extra"))
     one = groups.select("lang", "source", "kinds", F.col("number").alias("x"), F.col("none").alias("x_none"))
     two = groups.select("lang", F.col("source").alias("item"), F.col("number").alias("y"), F.col("none").alias("y_none"))

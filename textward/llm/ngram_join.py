@@ -73,8 +73,8 @@ def need(n):
     return (PERCENT * n + 99) // 100
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Per batch: ids, numbers of shingles, and set ids; after it, in blocks, the sets not met before by the task: (None, fps, sizes, sets)."""
+def _blocks(batches: Iterator[pa.RecordBatch], block: int, remembered: int) -> Iterator[tuple]:
+    """(ids, set ids, numbers of shingles, None) of each batch; and (None, set ids, numbers, sets) of those the task has not met before, in blocks."""
     seen: set[int] = set()
     fps, sizes, sets, held = [], [], [], 0
     for batch in batches:
@@ -90,10 +90,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 sizes.append(n)
                 sets.append(classes)
                 held += n
-            if held >= BLOCK or len(fps) >= 1 << 16:
+            if held >= block or len(fps) >= 1 << 16:
                 yield None, fps, sizes, sets
                 fps, sizes, sets, held = [], [], [], 0
-        if len(seen) > SEEN:
+        if len(seen) > remembered:
             seen.clear()
         yield batch.column("doc_id"), own, counts, None
     if fps:
@@ -112,7 +112,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, fp (its set's id), n of every row; and rows with n = -1 whose fp is a shingle that a block holds `often` times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, fps, sizes, sets in _blocks(batches):
+        for ids, fps, sizes, sets in _blocks(batches, BLOCK, SEEN):
             if ids is not None:
                 columns = {"doc_id": ids, "fp": _signed(fps), "n": pa.array(sizes, pa.int64()), "often": pa.nulls(len(fps), pa.int64())}
             else:
@@ -143,7 +143,7 @@ def postings(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
         return bucket, planes.tobytes(), owners.astype(np.uint16).tobytes(), fps[present].tobytes(), sizes[present].tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, fps, sizes, sets in _blocks(batches):
+        for ids, fps, sizes, sets in _blocks(batches, BLOCK, SEEN):
             if ids is not None:
                 continue
             tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
