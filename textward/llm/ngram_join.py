@@ -34,8 +34,8 @@ SHINGLE = 4
 SEED = 42
 PERCENT = 85
 #: Shingles of a block, which one task packs at once, and of a bucket, which one task counts at once.
-BLOCK = 1 << 21
-BUCKET = 1 << 21
+BLOCK = 1 << 19
+BUCKET = 1 << 20
 #: Common shingles: more than this often, and than one in COMMON_SHARE of all shingles: so at most COMMON_SHARE of them.
 COMMON = 4096
 COMMON_SHARE = 1 << 20
@@ -187,25 +187,25 @@ def _per_set(tokens: np.ndarray, counts: np.ndarray, fps: np.ndarray, sizes: np.
 _PER_SET = "fp long, n long, tokens binary, counts binary"
 
 
-def _twice(key: tuple, table: pa.Table) -> pa.Table:
-    """Of a bucket, the shingles of more than one set, for each set."""
-    tokens, fps, sizes = map(np.concatenate, zip(*_unpacked(table)))
-    order = np.lexsort((fps, tokens))
-    tokens, fps, sizes = tokens[order], fps[order], sizes[order]
-    new = np.ones(len(fps), dtype=bool)  # copies of a text come from several tasks
-    new[1:] = (fps[1:] != fps[:-1]) | (tokens[1:] != tokens[:-1])
-    tokens, fps, sizes = tokens[new], fps[new], sizes[new]
-    _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    counts = counts[at]
-    some = counts > 1
-    return pa.table(_per_set(tokens[some], counts[some], fps[some], sizes[some]))
-
-
-def _common_sets(common: np.ndarray, often: np.ndarray):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tokens, fps, sizes in _unpacked(batch):
-                yield pa.RecordBatch.from_pydict(_per_set(tokens, often[np.searchsorted(common, tokens)], fps, sizes))
+def _counted(common: np.ndarray, often: np.ndarray):
+    """Of a bucket, the shingles of more than one set with their counts, for each set; common ones have theirs."""
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        tokens, fps, sizes = map(np.concatenate, zip(*_unpacked(table)))
+        if bucket < 0:
+            found = _per_set(tokens, often[np.searchsorted(common, tokens)], fps, sizes)
+        else:
+            order = np.lexsort((fps, tokens))
+            tokens, fps, sizes = tokens[order], fps[order], sizes[order]
+            new = np.ones(len(fps), dtype=bool)  # copies of a text come from several tasks
+            new[1:] = (fps[1:] != fps[:-1]) | (tokens[1:] != tokens[:-1])
+            tokens, fps, sizes = tokens[new], fps[new], sizes[new]
+            bounds = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])), len(tokens))
+            counts = np.repeat(np.diff(bounds), np.diff(bounds))
+            some = counts > 1
+            found = _per_set(tokens[some], counts[some], fps[some], sizes[some])
+        return pa.table({"bucket": pa.array(np.full(len(found["fp"]), bucket))} | found)
 
     return work
 
@@ -230,14 +230,11 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
     total = rows.where("n > 0").agg(F.sum("n")).first()[0] or 0
     common, often = common_shingles(rows, total)
     bits = max(0, (total // BUCKET).bit_length())
-    packed = postings(docs, bits, common)
-    if len(common):
-        packed = written(packed, "postings")  # read for both kinds
-    found = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_twice, _PER_SET)
-    if len(common):
-        known = packed.where("bucket = -1").mapInArrow(_common_sets(common, often), _PER_SET)
-        # a copy's common shingles come from every task that has met it
-        found = found.union(known.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "counts")]))
+    # common shingles need no counting: each block of them is a group of its own
+    packed = postings(docs, bits, common).withColumn("part", F.when(F.col("bucket") < 0, F.monotonically_increasing_id()).otherwise(0))
+    found = packed.groupBy("bucket", "part").applyInArrow(_counted(common, often), f"bucket long, {_PER_SET}")
+    # a copied text's common shingles come from every task that has met it
+    found = found.repartition("fp").groupBy("fp", "bucket").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "counts")])
     whole = found.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "counts")).alias("parts"))
     return whole.mapInArrow(_candidates, "fp long, n long, prefix array<long>, tokens binary")
 
