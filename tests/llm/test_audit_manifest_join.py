@@ -178,6 +178,13 @@ def near_copies():
     return rows
 
 
+def test_shingles_differ():
+    """Words in another order or number are another shingle."""
+    texts = ["a b b a", "b a a b", "a b a b", "b a b a", "a a b b", "b b a a", "a a a b", "a b b b", "a", "a a", "a a a", "a a a a", "a b", "b a", "a b a"]
+    assert len({int(ngram_join.shingles_of(t.encode())[1][0]) for t in texts}) == len(texts)
+    assert ngram_join.shingles_of(b"A b\tc\x0bd a b c D")[0] == 4
+
+
 def test_ngram_join(docs, rows):
     assert Counter(tuple(r) for r in ngram_join.join(docs).collect()) == joined(rows)
 

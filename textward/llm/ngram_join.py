@@ -11,8 +11,9 @@ shared, so a node with too many of them has no partner and goes no further.
    (two of similar size share a window). Lists with the same members are one list.
 3. Representatives: every group of a list is verified against the list's representative, and every member of a group
    against its group's. That is linear in the lists, and links most of what is linked.
-4. The rest: lists whose members are not one component yet. Jaccard distance is a metric, so what lies too near the
-   representative cannot reach a stray; the others are compared by walks through the list, long lists in cells.
+4. The rest: lists whose members are not one component yet, all lists of a representative as one. Jaccard distance is a
+   metric, so what lies too near the representative cannot reach a stray; the others are compared by walks through the
+   list, long lists in cells.
 
 Each link is verified on the whole sets. Common and unshared shingles change the order, never the result.
 """
@@ -43,23 +44,42 @@ COMMON_SHARE = 1 << 20
 REPORTED = 8
 #: A list of more nodes than this is compared in cells of about this size.
 HOT_LIST = 1024
-#: Texts that a task remembers to have met.
+#: Texts that a task remembers to have met, and words that a worker does.
 SEEN = 1_000_000
+WORDS = 500_000
+#: The factors of a shingle's words: fixed values, from a rule (powers of the golden ratio's 64 bits, of which no two sums agree).
+PLACES = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(SHINGLE)], dtype=np.uint64)
+
+
+class _Words(dict):
+    """Hashes of words, remembered by the worker."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        found = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+_words = _Words()
 
 
 def shingles_of(raw: bytes) -> tuple[int, np.ndarray]:
-    """How many distinct shingles a text has, and their classes (48 bits), sorted; a short text is one, without words none."""
+    """How many distinct shingles a text has, and their classes (48 bits), sorted; a short text is one, without words none.
+
+    A shingle's hash sums its words' hashes, each times the factor of its place.
+    """
     words = raw.lower().split()  # bytes: A-Z only, and the six ASCII spaces
     if not words:
         return 0, np.array([], dtype=np.uint64)
-    text = b" ".join(words)
-    if len(words) <= SHINGLE:
-        own = [xxhash.xxh64_intdigest(text, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        digest = xxhash.xxh64_intdigest
-        own = [digest(text[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])]
-    kinds = np.unique(np.array(own, dtype=np.uint64))
+    own = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    length = min(SHINGLE, len(words))
+    kinds = own[: len(own) - length + 1] * PLACES[0]
+    for k in range(1, length):
+        kinds += own[k : len(own) - length + 1 + k] * PLACES[k]
+    kinds = np.unique(kinds)
     classes = kinds >> np.uint64(16)
     return len(kinds), classes if np.all(classes[1:] != classes[:-1]) else np.unique(classes)
 
@@ -318,7 +338,7 @@ def forest(sets: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside runs of equal (list, cell), which come sorted; a run may go on in the next batch."""
+    """Links inside runs of equal (rep, cell), which come sorted; a run may go on in the next batch."""
     at, fps, sizes, sets = None, [], [], []
 
     def run() -> pa.RecordBatch:
@@ -326,7 +346,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"u": pa.array([max(p) for p in pairs], pa.int64()), "v": pa.array([min(p) for p in pairs], pa.int64())})
 
     for batch in batches:
-        for key, cell, fp, n, tokens in zip(*[batch.column(c).to_pylist() for c in ("list", "cell", "fp", "n", "tokens")]):
+        for key, cell, fp, n, tokens in zip(*[batch.column(c).to_pylist() for c in ("rep", "cell", "fp", "n", "tokens")]):
             if (key, cell) != at:
                 yield run()
                 at, fps, sizes, sets = (key, cell), [], [], []
@@ -337,18 +357,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unfinished(entries: DataFrame) -> DataFrame:
-    """list, fp, n, many of the lists that hold more than one component: who may still link across, and in how many parts to cut it.
+    """rep, fp, many: of the representatives met by more than one component, who may still link across, and in how many parts to cut them.
 
-    entries: list, fp, n, root, rep, distance (to rep). A set in the representative's component that is nearer to it than
-    every stray by more than a link's length cannot link to a stray.
+    entries: rep, fp, n, root, distance (to rep). A set in the representative's component that is nearer to it than every
+    stray by more than a link's length cannot link to a stray.
     """
-    own = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("fp") == F.col("rep"), F.col("root"))).alias("home")).where("low != high")
-    rows = written(_met(entries, own.select("list", "home"), "list"), "open-lists")
-    nearest = rows.where("root != home").groupBy("list").agg(F.min("distance").alias("nearest"))
+    own = entries.groupBy("rep").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("fp") == F.col("rep"), F.col("root"))).alias("home")).where("low != high")
+    rows = written(_met(entries, own.select("rep", "home"), "rep"), "open-lists")
+    nearest = rows.where("root != home").groupBy("rep").agg(F.min("distance").alias("nearest"))
     reach = F.col("nearest") - (100 - PERCENT) / 100 - 1e-9
-    rows = written(_met(rows, nearest, "list").where((F.col("root") != F.col("home")) | (F.col("distance") >= reach)).select("list", "fp", "n"), "strays")
-    sizes = rows.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / HOT_LIST), F.ceil(F.sum("n") / BLOCK)).alias("many"))
-    return _met(rows, sizes, "list")
+    rows = written(_met(rows, nearest, "rep").where((F.col("root") != F.col("home")) | (F.col("distance") >= reach)).select("rep", "fp", "n"), "strays")
+    sizes = rows.groupBy("rep").agg(F.greatest(F.ceil(F.count(F.lit(1)) / HOT_LIST), F.ceil(F.sum("n") / BLOCK)).alias("many"))
+    return _met(rows.select("rep", "fp"), sizes, "rep")
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -361,16 +381,16 @@ def links(sets: DataFrame) -> DataFrame:
     near = written(verified(pairs, sets), "near")
     ends = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     roots = written(components(ends(near.where("linked"))), "roots")
-    rows = members.select("fp", "n", "g").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "g", F.coalesce("root", "fp").alias("root"))
-    rows = _met(rows, lists.groupBy("g").agg(F.collect_list(F.struct("list", "rep")).alias("lists")), "g").select("fp", "n", "root", F.explode("lists").alias("own")).select("fp", "n", "root", "own.list", "own.rep")
-    near = near.select(F.col("u").alias("fp"), F.col("v").alias("rep"), "distance")
-    entries = rows.join(near, ["fp", "rep"], "left").withColumn("distance", F.when(F.col("fp") == F.col("rep"), 0.0).otherwise(F.col("distance")))
-    rest = unfinished(entries)
-    own = F.pmod(F.xxhash64("fp"), "many")
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda k: F.least(own, k) * F.col("many") + F.greatest(own, k))
-    rest = rest.select("list", "fp", F.explode(cells).alias("cell")).join(sets.select("fp", "n", "tokens"), "fp")
+    # all that share a list share its representative, and so one entry each
+    rooted = members.select("fp", "n").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    entries = near.select(F.col("v").alias("rep"), F.col("u").alias("fp"), "distance").join(rooted, "fp")
+    own = near.select(F.col("v").alias("fp")).distinct().join(rooted, "fp").select("fp", F.col("fp").alias("rep"), F.lit(0.0).alias("distance"), "n", "root")
+    rest = unfinished(entries.unionByName(own))
+    part = F.pmod(F.xxhash64("fp"), "many")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda k: F.least(part, k) * F.col("many") + F.greatest(part, k))
+    rest = rest.select("rep", "fp", F.explode(cells).alias("cell")).join(sets.select("fp", "n", "tokens"), "fp")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rest.repartition(parts, "list", "cell").sortWithinPartitions("list", "cell").mapInArrow(_linked, "u long, v long")
+    found = rest.repartition(parts, "rep", "cell").sortWithinPartitions("rep", "cell").mapInArrow(_linked, "u long, v long")
     return roots.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).union(found).distinct()
 
 
