@@ -2,14 +2,18 @@
 
 import json
 import math
+import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textward.functions import features, rules, text
 from textward.operators import augment, cascade, corpus, metrics, models, prefix, windows
 from textward.plans import registry
+from textward.plans.base import LATIN
 from textward.sources import tables
 from textward.streaming import jobs
 
@@ -83,10 +87,10 @@ def test_char_ngrams(spark):
 
 def test_modes_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, "  "), (3, "thth"), (4, "СКИДКА!!")], "doc_id int, text string")
-    rows = {r["doc_id"]: r for r in cascade.classify(df).collect()}
+    rows = {r["doc_id"]: r for r in cascade.classify(df, toxic=LATIN).collect()}
     assert rows[1]["tox_model_used"] is None and rows[2]["tox_model_used"] == "regex" and rows[2]["toxicity_score"] == 0.0 and rows[3]["tox_model_used"] == "regex" and rows[3]["is_toxic"]
     assert rows[4]["spam_score"] == 0.0  # without a model there is no stage two
-    assert {r["spam_model_used"] for r in cascade.classify(df, "tox_only").collect()} == {None}
+    assert {r["spam_model_used"] for r in cascade.classify(df, "tox_only", LATIN).collect()} == {None}
     with pytest.raises(ValueError):
         corpus.require(df, ["nothing"])
 
@@ -97,7 +101,7 @@ def test_cascade_uses_the_model(spark):
     tox = models.fit_bayes(spark.createDataFrame(labelled, "doc_id long, text string, label int"))
     junk = models.fit_bayes(spark.createDataFrame(labelled, "doc_id long, text string, label int"), "spam")
     df = spark.createDataFrame([(1, "awful junk"), (1, "awful junk"), (2, "fine text"), (3, "thth fine"), (4, ""), (5, " "), (6, "zzz qqq"), (7, "ПОДАРОК")], "doc_id long, text string")
-    rows = cascade.classify(df, tox_model=tox, spam_model=junk).collect()
+    rows = cascade.classify(df, toxic=LATIN, tox_model=tox, spam_model=junk).collect()
     assert len(rows) == 8
     by = {r["doc_id"]: r for r in rows}
     assert by[1]["is_toxic"] and by[1]["is_spam"] and by[1]["tox_model_used"] == "tfidf" and not by[2]["is_toxic"] and by[2]["tox_model_used"] == "tfidf"
@@ -165,10 +169,61 @@ def test_prefix_sum(spark):
     assert all(got[float(k)] == sum(i % 7 for i in range(k, 1000)) for k in range(0, 1000, 37))
 
 
-def test_micro_batches(spark):
+def test_micro_batches(spark, monkeypatch):
     rows = [("a", float(t), k) for k, t in enumerate([0, 1, 2, 3, 10, 30, 31, 45])]
     got = windows.micro_batches(spark.createDataFrame(rows, "s string, at double, id long"), "s", "at", "id", 3, 15.0)
-    assert [r["batch"] for r in got.orderBy("id").collect()] == [0, 0, 0, 1, 1, 2, 2, 3]
+    assert [r["batch"] for r in got.orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2, 2]  # the late one closes its batch
+    rng = random.Random(3)
+    rows = [(s, round(rng.random() * 60, 1), k) for k, s in enumerate(["a"] * 260 + ["b"] * 9 + ["c"] + [None] * 30)]
+    want, state = {}, {}
+    for s, at, k in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        n, first, batch = state.get(s, (0, 0, 0))
+        first = at if n == 0 else first
+        want[k] = batch
+        closed = n + 1 >= 4 or round(at - first, 6) >= 0.5
+        state[s] = (0, 0, batch + 1) if closed else (n + 1, first, batch)
+    monkeypatch.setattr(windows, "FAN", 3)
+    df = spark.createDataFrame([r for r in rows if r[0]], "s string, at double, id long")
+    assert {r["id"]: r["batch"] for r in windows.micro_batches(df, "s", "at", "id", 4, 0.5, block=6).collect()} == {k: b for k, b in want.items() if rows[k][0]}
+
+
+def test_peak_concurrency(spark):
+    rng = random.Random(2)
+    rows = [(g, a, a + rng.randint(0, 9)) for g in "abc" for a in [rng.randint(0, 300) for _ in range(200)]]
+    want = {}
+    for g in "abc":
+        moves = sorted([(a, 1) for k, a, _ in rows if k == g] + [(b, -1) for k, _, b in rows if k == g])
+        open_now = 0
+        want[g] = 0
+        for _, d in sorted(moves):
+            open_now += d
+            want[g] = max(want[g], open_now)
+    got = windows.peak_concurrency(spark.createDataFrame(rows, "g string, a int, b int"), "g", "a", "b")
+    assert {r["g"]: r["peak"] for r in got.collect()} == want
+
+
+def _edges(values):
+    out = []
+    for q in (0.25, 0.5, 0.75):
+        e = round(float(np.quantile(values, q)))
+        out.append(max(e, out[-1] + 1) if out else e)
+    return out
+
+
+def test_percentiles_selected(spark):
+    """Ranges are refined down to few rows: heavy tails, ties, single rows; and a sketch stays within its rank error."""
+    rng = np.random.default_rng(1)
+    values = {"tail": np.exp(rng.normal(0, 4, 3000)), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([7.0]), "two": np.array([-1.0, 2.0]), "same": np.full(90, 5.0)}
+    df = spark.createDataFrame([(g, float(v)) for g, own in values.items() for v in own] + [("tail", None)], "g string, v double")
+    got = {(r["g"], r["share"]): r["value"] for r in metrics.selected(df, ["g"], F.col("v"), bins=8, small=20).collect()}
+    assert got == {(g, p): pytest.approx(np.quantile(own, p)) for g, own in values.items() for p in metrics.SHARES}
+    exact = {r["g"]: r for r in metrics.percentile_table(df, ["g"], F.col("v")).collect()}
+    plain = {r["g"]: r for r in df.groupBy("g").agg(*metrics.percentiles(F.col("v"))).collect()}
+    assert {g: tuple(r) for g, r in exact.items()} == {g: tuple(r) for g, r in plain.items()}
+    rough = {r["g"]: r for r in df.groupBy("g").agg(*metrics.percentiles(F.col("v"), k=2000)).collect()}
+    for p in metrics.SHARES:
+        assert abs((values["tail"] <= rough["tail"][metrics.share_name(p)]).mean() - p) < 0.005
+    assert windows.quantile_edges(df.where("g = 'ties'"), "v", 4) == _edges(values["ties"])
 
 
 def test_noise(spark):
@@ -228,33 +283,51 @@ def test_stream(spark, tmp_path):
     """Items are judged, saved by key and sent back with their refs; a later batch finds its texts in the cache; failures are told."""
     given, out = tmp_path / "in", str(tmp_path / "out")
     given.mkdir()
-    run = lambda mode="both": jobs.moderate(jobs.requests(spark, str(given)), out, str(tmp_path / "c"), mode).awaitTermination(120)
-    _send(given, "a", "t", ["ththe", "fine words", "", "fine words"])
+    run = lambda mode="both": jobs.moderate(jobs.requests(spark, str(given)), out, str(tmp_path / "c"), mode, toxic=LATIN).awaitTermination(120)
+    _send(given, "a", "t", ["ththe", "fine words", "", "fine words", "БЕСПЛАТНО!!", "бесплатно!!", "   "])
     run()
-    saved = lambda: tables.verdict_table(spark, f"{out}/items", spark.read.parquet(f"{out}/items/version=0/*"))
-    items = lambda: {(r["task_id"], r["item_index"]): r for r in saved().collect()}
+    items = lambda: {(r["task_id"], r["item_index"]): r for r in jobs.saved_items(spark, out).collect()}
     got = items()
     assert [got["t", k]["is_toxic"] for k in range(4)] == [True, False, False, False] and not any(r["from_cache"] for r in got.values())
+    judged = {r["text"]: r for r in cascade.classify(spark.createDataFrame([(k, t) for k, t in enumerate(["", "   ", "БЕСПЛАТНО!!", "бесплатно!!"])], "doc_id int, text string"), toxic=LATIN).collect()}
+    for k, t in ((2, ""), (4, "БЕСПЛАТНО!!"), (5, "бесплатно!!"), (6, "   ")):
+        assert [got["t", k][c] for c in jobs.VERDICT] == [judged[t][c] for c in jobs.VERDICT]
     listed = json.loads(spark.read.json(f"{out}/results").first()["results"])
-    assert [x["ref"]["message_id"] for x in listed] == [0, 1, 2, 3]
+    assert [x["ref"]["message_id"] for x in listed] == list(range(7))
     _send(given, "b", "u", ["Fine words ", "new words", " "])
     run()
     got = items()
-    assert [got["u", k]["from_cache"] for k in range(3)] == [True, False, False] and len(got) == 7
-    flagged = jobs.actions(saved())
+    assert [got["u", k]["from_cache"] for k in range(3)] == [True, False, False] and len(got) == 10
+    flagged = jobs.actions(jobs.saved_items(spark, out).where("text = 'ththe'"))
     assert [tuple(r) for r in flagged.collect()] == [(7, 0, "delete")]
     _send(given, "c", "v", ["x"])
     run("broken")
     failed = spark.read.json(f"{out}/failed").collect()
     assert [(r["task_id"], r["status"]) for r in failed] == [("v", "failed")] and "broken" in spark.read.json(f"{out}/failed_items").first()["error"]
-    _send(given, "d", "w", ["fine words"], "2034-01-01T00:00:00Z")
+    # the rules' verdict lives for 300 s after it was given, that of new words was learnt later; by 2034 both are over
+    _send(given, "d", "w", ["fine words"], "2024-01-01T00:04:59Z")
+    _send(given, "e", "x", ["fine words"], "2034-01-01T00:00:00Z")
     run()
-    assert items()["w", 0]["from_cache"] is False and len(items()) == 8  # the remembered verdict is too old by then
+    assert items()["w", 0]["from_cache"] is True and items()["x", 0]["from_cache"] is False and len(items()) == 12
 
 
-def _until(spark, name, n, seconds=90):
-    import time
+def test_stream_rules(spark, tmp_path):
+    """The stream applies the toxicity rules unless told otherwise."""
+    given = tmp_path / "in"
+    given.mkdir()
+    _send(given, "a", "t", ["идиот полный", "добрый день"])
+    jobs.moderate(jobs.requests(spark, str(given)), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    got = {r["item_index"]: r for r in jobs.saved_items(spark, str(tmp_path / "out")).collect()}
+    assert got[0]["is_toxic"] and got[0]["tox_model_used"] == "regex" and got[0]["toxicity_score"] == 1.0 and not got[1]["is_toxic"]
+
 
+def test_queue_records(spark):
+    value = json.dumps({"task_id": "t", "source": "s", "items": [{"text": "x", "ref": {"chat_id": 1}}], "sent_at": "2024-01-01T00:00:00Z"})
+    rows = spark.createDataFrame([(value.encode(),), (b"broken",), (None,), (b"{}",)], "value binary")
+    assert [(r["task_id"], r["items"][0]["ref"]["chat_id"]) for r in jobs.parsed_requests(rows).collect()] == [("t", 1)]
+
+
+def _until(spark, name, n, seconds=90):
     for _ in range(seconds * 2):
         rows = spark.table(name).collect()
         if len(rows) >= n:
@@ -263,32 +336,43 @@ def _until(spark, name, n, seconds=90):
     raise AssertionError(f"{len(rows)} rows of {n}")
 
 
+def _feed(spark, folder, schema):
+    folder.mkdir()
+    return spark.readStream.schema(schema).json(str(folder)), lambda name, lines: (folder / f"{name}.json").write_text("\n".join(map(json.dumps, lines)))
+
+
 def test_stream_micro_batches(spark, tmp_path):
-    """Batches close by size, by a later item, and by the clock when none comes."""
-    given = tmp_path / "in"
-    given.mkdir()
-    (given / "a.json").write_text("\n".join(json.dumps({"s": "a", "at": t, "k": k}) for k, t in enumerate([0.0, 0.1, 0.2, 0.3, 9.0])))
-    rows = spark.readStream.schema("s string, at double, k string").json(str(given))
-    query = jobs.count_or_age(rows, "s", "at", "k", 3, 2.0).writeStream.format("memory").queryName("micro").outputMode("append").start()
+    """Batches close by size, by an item that shows their age, and by the first item's timer, which a trickle doesn't put off."""
+    rows, put = _feed(spark, tmp_path / "in", "s string, at double, k string")
+    put("a", [{"s": "a", "at": t, "k": str(k)} for k, t in enumerate([0.0, 0.1, 0.2, 0.3, 9.0, 9.1])])
+    query = jobs.count_or_age(rows, "s", "at", "k", 3, 4.0).writeStream.format("memory").queryName("micro").outputMode("append").start()
     try:
-        assert sorted((r["key"], r["batch"]) for r in _until(spark, "micro", 5)) == [("0", 0), ("1", 0), ("2", 0), ("3", 1), ("4", 2)]
+        assert sorted((r["key"], r["batch"]) for r in _until(spark, "micro", 6)) == [("0", 0), ("1", 0), ("2", 0), ("3", 1), ("4", 1), ("5", 2)]
+        for k in range(8):  # one item a second, far fewer than a batch within the timer
+            put(f"b{k}", [{"s": "b", "at": float(k) / 100, "k": f"b{k}"}])
+            time.sleep(1)
+            query.processAllAvailable()
+        got = [r for r in spark.table("micro").collect() if r["source"] == "b"]
+        assert {r["batch"] for r in got} >= {0} and 1 <= sum(r["batch"] == 0 for r in got) < 8
+        assert sorted(r["key"] for r in _until(spark, "micro", 14)) == sorted([str(k) for k in range(6)] + [f"b{k}" for k in range(8)])
     finally:
         query.stop()
 
 
 def test_stream_verdict_cache(spark, tmp_path):
-    """Lookups find what was stored while it lives."""
-    given = tmp_path / "in"
-    given.mkdir()
-    lines = [
+    """Lookups find what was stored while it lives, by the rows' times and by the state's own; lookups don't shorten or prolong it."""
+    rows, put = _feed(spark, tmp_path / "in", "key string, asked string, verdict string, ttl_s double, at double")
+    put("a", [
         {"key": "a", "asked": "1", "at": 0}, {"key": "a", "verdict": "bad", "ttl_s": 300, "at": 1}, {"key": "a", "asked": "2", "at": 2}, {"key": "b", "asked": "3", "at": 2},
         {"key": "a", "verdict": "good", "ttl_s": 300, "at": 3}, {"key": "a", "asked": "4", "at": 4}, {"key": "a", "asked": "5", "at": 303},
-    ]
-    (given / "a.json").write_text("\n".join(map(json.dumps, lines)))
-    rows = spark.readStream.schema("key string, asked string, verdict string, ttl_s double, at double").json(str(given))
-    query = jobs.verdict_cache(rows).writeStream.format("memory").queryName("cached").outputMode("append").start()
+        {"key": "long", "verdict": "kept", "ttl_s": 3600, "at": 1}, {"key": "short", "verdict": "gone", "ttl_s": 2, "at": 1}, {"key": "long", "asked": "6", "at": 2}, {"key": "short", "asked": "7", "at": 2},
+    ])
+    query = jobs.verdict_cache(rows, short=2, long=3600).writeStream.format("memory").queryName("cached").outputMode("append").start()
     try:
-        assert {r["asked"]: r["verdict"] for r in _until(spark, "cached", 5)} == {"1": None, "2": "bad", "3": None, "4": "good", "5": None}
+        assert {r["asked"]: r["verdict"] for r in _until(spark, "cached", 7)} == {"1": None, "2": "bad", "3": None, "4": "good", "5": None, "6": "kept", "7": "gone"}
+        time.sleep(3)  # the short state's own time is over; the rows' times stand still
+        put("b", [{"key": "long", "asked": "8", "at": 2}, {"key": "short", "asked": "9", "at": 2}, {"key": "long", "asked": "10", "at": 3600}, {"key": "long", "asked": "11", "at": 3601}])
+        assert {r["asked"]: r["verdict"] for r in _until(spark, "cached", 11) if int(r["asked"]) > 7} == {"8": "kept", "9": None, "10": "kept", "11": None}
     finally:
         query.stop()
 

@@ -9,16 +9,6 @@ from pyspark.sql import functions as F
 
 from .text import EDGE, TAIL, WS, clean
 
-# A Latin rule set for the given tables, with stems that occur in their prose.
-LATIN = {
-    "thstem": EDGE + "thth[a-z]*",
-    "ending": "(?:tiontion|bleble)" + TAIL,
-    "ounou": "ouou|heheha?",
-    "mail": r"[a-z0-9._-]@[a-z0-9-]+\.[a-z]",
-    "symbols": r"(?:&&&|\*\*\*|###|%%%|\$\$\$)",
-}
-
-
 def dialect(pattern: str) -> str:
     """A pattern with \\b, \\w, \\s, \\S, \\d in their Unicode sense, spelled out so that all engines agree.
 

@@ -19,13 +19,14 @@ OTHER_LIMIT = 0.2
 
 
 def classify(
-    df: DataFrame, mode: str = "both", toxic: dict[str, str] = rules.LATIN, junk: dict[str, str] = rules.SPAM, tox_model: Model | None = None, spam_model: Model | None = None, key: str = "doc_id"
+    df: DataFrame, mode: str = "both", toxic: dict[str, str] = rules.TOXIC, junk: dict[str, str] = rules.SPAM, tox_model: Model | None = None, spam_model: Model | None = None, key: str = "doc_id"
 ) -> DataFrame:
     """df (key, text and more) with both verdicts; a side that the mode switches off is a stub and is never planned.
 
     Rules first: they are searched once per row. What they miss goes to the side's model, if there is one (else the
     verdict is the rules' own, score 0, and says so). On the spam side capitals rules decide with score 1 before the
     model. Empty text is a stub, blank text scores 0. Different texts of a key are scored once.
+    With a model, what the rules found is written to shared storage here, so calling this runs a job on df.
     """
     if mode not in ("both", "tox_only", "spam_only"):
         raise ValueError(f"mode {mode}")

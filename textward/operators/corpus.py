@@ -114,7 +114,7 @@ def repair_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.when(rule, 1).otherwise((F.col("label") != 0).cast("int")))
 
 
-def invert_labels(df: DataFrame, patterns: dict[str, str] = rules.LATIN) -> DataFrame:
+def invert_labels(df: DataFrame, patterns: dict[str, str] = rules.TOXIC) -> DataFrame:
     """1 where the label is not set or a pattern hits."""
     return df.withColumn("label", F.when((F.coalesce("label", F.lit(0)) == 0) | rules.any_hit(F.col("text"), patterns), 1).otherwise(0))
 

@@ -2,45 +2,144 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .corpus import rank_within
+from .metrics import selected
 
-
-def peak_concurrency(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Per group the most intervals open at once; ends come before starts of the same instant."""
-    moves = df.select(group, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("delta")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("delta")))))
-    sums = moves.groupBy(group, "at").agg(F.sum("delta").alias("net"), F.sum(F.when(F.col("delta") < 0, F.col("delta")).otherwise(0)).alias("down"))
-    before = Window.partitionBy(group).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    open_then = F.coalesce(F.sum("net").over(before), F.lit(0)) + F.col("net")
-    return sums.withColumn("open", open_then).groupBy(group).agg(F.max("open").cast("long").alias("peak"))
+#: Rows of a block of micro-batches, and maps that are composed at once.
+BLOCK_ROWS = 100_000
+FAN = 64
 
 
-def micro_batches(df: DataFrame, source: str, at: str, key: str, size: int, seconds: float) -> DataFrame:
-    """df with batch: closes at `size` items or when an item comes `seconds` after the batch's first.
+def peak_concurrency(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """Per group the most intervals open at once; ends come before starts of the same instant.
 
-    A sequential recurrence per source over (time, key); state is one batch, so a source is streamed through its task.
+    Moves are sorted by ranges of (group, time). A range gives two numbers per group, its sum and its largest prefix, and
+    these merge in order of the ranges, so no group is walked in one task.
+    """
+    moves = df.select(group, F.inline(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("delta")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("delta")))))
+    net = moves.groupBy(group, "at").agg(F.sum("delta").alias("net"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = net.repartitionByRange(parts, group, "at").withColumn("range", F.spark_partition_id())
+    inside = F.sum("net").over(Window.partitionBy(group, "range").orderBy("at"))
+    ranges = dealt.withColumn("open", inside).groupBy(group, "range").agg(F.sum("net").alias("sum"), F.max("open").alias("highest"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranges.withColumn("peak", before + F.col("highest")).groupBy(group).agg(F.max("peak").cast("long").alias("peak"))
+
+
+def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with place (from 0, by order) within its group: sorted by ranges and written, then counted from the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(df.sparkSession, "placed")
+    df.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumns({"_range": F.shiftright("_at", 33), "_own": F.struct(group)})
+    spans = rows.groupBy("_own", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    spans = spans.withColumn("_before", F.sum("_n").over(Window.partitionBy("_own").orderBy("_range")) - F.col("_n")).drop("_n")
+    return rows.join(spans, ["_own", "_range"]).withColumn("place", F.col("_at") - F.col("_first") + F.col("_before")).select(*df.columns, "place")
+
+
+def _next_starts(times: np.ndarray, size: int, window: int) -> np.ndarray:
+    """For each row the place of the row that starts the next batch, if it starts one itself."""
+    ages = np.searchsorted(times, times + window, side="left")
+    return np.minimum(np.minimum(np.arange(len(times)) + size, ages + 1), len(times))
+
+
+def _batch_map(size: int, window: int, block: int):
+    """The map of a block of rows: from where a batch starts in it (0 to size - 1) to where one starts in the next block, and how many start between."""
+
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        own = int(np.count_nonzero(rows.column("place").to_numpy() < (key[1].as_py() + 1) * block))
+        to, count = _next_starts(rows.column("at").to_numpy(), size, window)[:own], np.ones(own, dtype=np.int64)
+        while np.any(to < own):  # each round doubles the steps taken
+            inside = np.flatnonzero(to < own)
+            at = to[inside]
+            count[inside], to[inside] = count[inside] + count[at], to[at]
+        leave, started = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        leave[: min(size, own)], started[: min(size, own)] = to[:size] - own, count[:size]
+        return pa.table({rows.column_names[0]: pa.array([key[0].as_py()], rows.schema.field(0).type), "block": [key[1].as_py()], "leave": [leave.tolist()], "started": [started.tolist()]})
+
+    return work
+
+
+def _composed(key: tuple, maps: pa.Table) -> pa.Table:
+    """The map of several neighbouring blocks."""
+    maps = maps.sort_by("block")
+    at = started = None
+    for leave, count in zip(maps.column("leave").to_pylist(), maps.column("started").to_pylist()):
+        leave, count = np.array(leave), np.array(count)
+        at, started = (leave, count) if at is None else (leave[at], started + count[at])
+    return pa.table({maps.column_names[0]: pa.array([key[0].as_py()], maps.schema.field(0).type), "block": [key[1].as_py()], "leave": [at.tolist()], "started": [started.tolist()]})
+
+
+def _entered(key: tuple, maps: pa.Table) -> pa.Table:
+    """Where the first batch of each of several neighbouring blocks starts, and its number, from those of all of them (entry, first)."""
+    maps = maps.sort_by("block")
+    entry, first = maps.column("entry")[0].as_py(), maps.column("first")[0].as_py()
+    entries, firsts = [], []
+    for leave, count in zip(maps.column("leave").to_pylist(), maps.column("started").to_pylist()):
+        entries.append(entry)
+        firsts.append(first)
+        entry, first = leave[entry], first + count[entry]
+    return pa.table({maps.column_names[0]: maps.column(0), "block": maps.column("block"), "entry": entries, "first": firsts})
+
+
+def _batched(size: int, window: int, block: int):
+    """The batch of each row of a block, given where its first batch starts (entry) and that batch's number (first)."""
+
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        own = int(np.count_nonzero(rows.column("place").to_numpy() < (key[1].as_py() + 1) * block))
+        after, starts = _next_starts(rows.column("at").to_numpy(), size, window).tolist(), []
+        at = rows.column("entry")[0].as_py()
+        while at < own:
+            starts.append(at)
+            at = after[at]
+        batch = rows.column("first")[0].as_py() + np.searchsorted(np.array(starts), np.arange(own), side="right") - 1
+        rows = rows.slice(0, own)
+        return pa.table({rows.column_names[0]: rows.column(0), rows.column_names[1]: rows.column(1), "batch": batch})
+
+    return work
+
+
+def micro_batches(df: DataFrame, source: str, at: str, key: str, size: int, seconds: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """source, key, batch: a batch closes with its `size`th item, or with the item that comes `seconds` or more after its first.
+
+    Whoever starts a batch tells who starts the next. Rows of a source are cut into blocks; a block is a map from the place
+    where a batch starts in it to the place where one starts in the next. Maps compose, FAN at a time up to one a source;
+    on the way back each block learns where its first batch starts, and numbers its rows. Times count to the microsecond.
     """
-    dealt = df.select(source, F.col(at).cast("double").alias("at"), key).repartition(F.col(source)).sortWithinPartitions(source, "at", key)
-
-    def work(batches):
-        now, first, n, batch = None, 0.0, 0, 0
-        for pdf in batches:
-            out = []
-            for src, t in zip(pdf[source], pdf["at"]):
-                if src != now:
-                    now, n, batch = src, 0, 0
-                if n and (n >= size or t - first >= seconds):
-                    batch, n = batch + 1, 0
-                if n == 0:
-                    first = t
-                n += 1
-                out.append(batch)
-            yield pdf[[source, key]].assign(batch=out)
-
-    kinds = dict(dealt.dtypes)
-    return dealt.mapInPandas(work, f"{source} {kinds[source]}, {key} {kinds[key]}, batch long")
+    spark, block, window = df.sparkSession, max(block, size), round(seconds * 1e6)
+    rows = placed(df.select(source, key, F.round(F.col(at).cast("double") * 1e6).cast("long").alias("at")), source, ["at", key])
+    rows = rows.withColumn("block", F.floor(F.col("place") / block))
+    ahead = rows.where((F.col("place") >= block) & (F.col("place") % block < size)).withColumn("block", F.col("block") - 1)
+    rows = rows.union(ahead)
+    kind = dict(rows.dtypes)[source]
+    most = rows.agg(F.max("block")).first()[0] or 0
+    entries = rows.select(source).distinct().withColumns({"block": F.lit(0).cast("long"), "entry": F.lit(0).cast("long"), "first": F.lit(0).cast("long")})
+    if most:
+        shape = f"{source} {kind}, block long, leave array<long>, started array<long>"
+        maps = [rows.groupBy(source, "block").applyInArrow(_batch_map(size, window, block), shape)]
+        while True:
+            path = scratch(spark, "maps")
+            maps[-1].write.parquet(path)
+            maps[-1] = spark.read.schema(shape).parquet(path)
+            if not most:
+                break
+            most //= FAN
+            above = maps[-1].select(source, F.floor(F.col("block") / FAN).alias("above"), "block", "leave", "started")
+            maps.append(above.groupBy(source, "above").applyInArrow(_composed, shape))
+        for level in reversed(maps[:-1]):
+            above = entries.withColumnRenamed("block", "above")
+            inside = level.withColumn("above", F.floor(F.col("block") / FAN)).join(above, [source, "above"]).select(source, "above", "block", "leave", "started", "entry", "first")
+            entries = inside.groupBy(source, "above").applyInArrow(_entered, f"{source} {kind}, block long, entry long, first long")
+    rows = rows.join(entries, [source, "block"]).select(source, key, "block", "place", "at", "entry", "first")
+    return rows.groupBy(source, "block").applyInArrow(_batched(size, window, block), f"{source} {kind}, {key} {dict(rows.dtypes)[key]}, batch long")
 
 
 def linear_bucket(value, least: float, most: float, n: int):
@@ -51,10 +150,10 @@ def linear_bucket(value, least: float, most: float, n: int):
 
 def quantile_edges(df: DataFrame, value: str, n: int) -> list[int]:
     """n-1 strictly increasing edges at the quantiles, rounded half to even."""
-    found = df.agg(F.percentile(value, [k / n for k in range(1, n)])).first()[0] or []
+    found = {r["share"]: r["value"] for r in selected(df, [], F.col(value), tuple(k / n for k in range(1, n))).collect()}  # n - 1 rows
     edges: list[int] = []
-    for e in found:
-        e = round(e)
+    for share in sorted(found):
+        e = round(found[share])
         edges.append(max(e, edges[-1] + 1) if edges else e)
     return edges
 

@@ -7,6 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rules, text
+from ..functions.text import EDGE, TAIL
+
+# A Latin rule set for the given tables, with stems that occur in their prose.
+LATIN = {
+    "thstem": EDGE + "thth[a-z]*",
+    "ending": "(?:tiontion|bleble)" + TAIL,
+    "ounou": "ouou|heheha?",
+    "mail": r"[a-z0-9._-]@[a-z0-9-]+\.[a-z]",
+    "symbols": r"(?:&&&|\*\*\*|###|%%%|\$\$\$)",
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,7 +103,7 @@ def sql_hit(x: str, pattern: str) -> str:
     return f"regexp_matches(coalesce({x}, ''), {quote('(?i)' + pattern)})"
 
 
-def sql_any(x: str, patterns: dict[str, str] = rules.LATIN) -> str:
+def sql_any(x: str, patterns: dict[str, str] = LATIN) -> str:
     return sql_hit(x, "|".join(f"(?:{p})" for p in patterns.values()))
 
 

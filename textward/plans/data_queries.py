@@ -12,7 +12,7 @@ from ..operators import cascade, corpus, relational
 from . import base
 from .base import LABELLED, docs, labelled, query, quote, table
 
-L = rules.LATIN
+L = base.LATIN
 _CAPS = f"(regexp_matches(coalesce(text, ''), {quote(ft.CAPS_WORD)}) OR regexp_matches(coalesce(text, ''), {quote(ft.CAPS_SHOUT)}))"
 _HIT, _SPAM_HIT = base.sql_any("text"), base.sql_any("text", rules.SPAM)
 
@@ -32,7 +32,7 @@ def _sql_verdicts(source: str) -> str:
 
 def verdicts(spark, d, df, mode="both"):
     tox, spam = base.fitted(spark, d)
-    out = cascade.classify(base.spread(df), mode, tox_model=tox, spam_model=spam)
+    out = cascade.classify(base.spread(df), mode, L, tox_model=tox, spam_model=spam)
     return out.withColumns({c: F.round(c, 6) for c in ("toxicity_score", "spam_score")})
 
 

@@ -13,7 +13,7 @@ from .base import LABELLED, labelled, query, quote, table
 from .data_queries import _RANK, _V, _split_orders, verdicts
 from .text_queries import _FEATURE_SQL, S
 
-L = rules.LATIN
+L = base.LATIN
 _PRED = f"SELECT doc_id, label, {base.sql_any('text')} AS p FROM ({LABELLED})"
 _CONF = "count(*) FILTER (p AND label = 1) AS tp, count(*) FILTER (p AND label <> 1) AS fp, count(*) FILTER (NOT p AND label = 1) AS fn, count(*) FILTER (NOT p AND label <> 1) AS tn"
 

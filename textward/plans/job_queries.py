@@ -92,12 +92,12 @@ def a27_intended_latency(spark, d):
 @query(f"SELECT component, stage, {_STATS('ms')} FROM ({_PARSED.replace(' n,', ' n_items,').replace('AS n,', 'AS n_items,')}) WHERE event = 'end' AND ms IS NOT NULL GROUP BY component, stage")
 def a29_stage_durations(spark, d):
     rows = logs.timing_lines(_events_as_log(spark, d)).where("event = 'end' AND ms IS NOT NULL")
-    return rows.groupBy("component", "stage").agg(*metrics.percentiles(F.col("ms")))
+    return metrics.percentile_table(rows, ["component", "stage"], F.col("ms"))
 
 
 @query(f"SELECT l_returnflag, {_STATS('l_extendedprice')} FROM lineitem GROUP BY l_returnflag")
 def a20_percentiles(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*metrics.percentiles(F.col("l_extendedprice")))
+    return metrics.percentile_table(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"))
 
 
 _LAT = f"SELECT task_id, epoch_us(completed_at) - epoch_us(created_at) AS us FROM ({_TASKS}) WHERE completed_at >= created_at"
@@ -170,7 +170,13 @@ def w02_peak_concurrency(spark, d):
     return windows.peak_concurrency(rows, "user_id", "a", "b")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    following AS (SELECT user_id, k, least(k + 20, coalesce(1 + min(k) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 600000000 FOLLOWING AND UNBOUNDED FOLLOWING), k + 20)) AS after FROM e),
+    starts AS (SELECT user_id, 1::BIGINT AS k, 0::BIGINT AS batch FROM e WHERE k = 1
+      UNION ALL SELECT s.user_id, f.after, s.batch + 1 FROM starts s JOIN following f ON f.user_id = s.user_id AND f.k = s.k JOIN e ON e.user_id = f.user_id AND e.k = f.after)
+    SELECT e.user_id, e.event_id, s.batch FROM e JOIN starts s ON e.user_id = s.user_id AND e.k >= s.k JOIN following f ON f.user_id = s.user_id AND f.k = s.k WHERE e.k < f.after"""
+)
 def w03_micro_batches(spark, d):
     e = table(spark, d, "events").select("user_id", (_micros("ts") / 1e6).alias("at"), "event_id")
     return windows.micro_batches(e, "user_id", "at", "event_id", 20, 600.0)

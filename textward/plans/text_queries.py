@@ -265,7 +265,7 @@ def p06_repair_labels(spark, d):
 
 @query(f"SELECT doc_id, CASE WHEN coalesce(label, 0) = 0 OR {base.sql_any('text')} THEN 1 ELSE 0 END AS label FROM ({LABELLED})")
 def p07_invert_labels(spark, d):
-    return corpus.invert_labels(labelled(spark, d)).select("doc_id", "label")
+    return corpus.invert_labels(labelled(spark, d), base.LATIN).select("doc_id", "label")
 
 
 @query(f"SELECT doc_id, label FROM ({LABELLED}) WHERE NOT {_RULE}")
