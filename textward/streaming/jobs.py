@@ -128,7 +128,14 @@ def moderate(
             tasks.write.mode("overwrite").json(f"{path}/failed/batch={number}")
             relational.fail_items(batch.drop("verdict").withColumn("error", F.lit(None).cast("string")), tasks).drop("ref").write.mode("overwrite").json(f"{path}/failed_items/batch={number}")
 
-    return looked_up.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # entries that are too old are never given out, so no micro-batch need run just to remove them
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
+    try:
+        return looked_up.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(idle, before)
 
 
 def saved_items(spark: SparkSession, path: str) -> DataFrame:
