@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textward.functions import features, rules, text
-from textward.operators import augment, cascade, corpus, metrics, models, prefix, windows
+from textward.operators import augment, cascade, corpus, metrics, mining, models, prefix, rule_table, windows
 from textward.plans import registry
 from textward.plans.base import LATIN
 from textward.sources import tables
@@ -490,3 +490,57 @@ def test_prefix_sum_by_group(spark):
     got = {(r["g"], r["v"]): r["run_x"] for r in prefix.prefix_sum_by(df, "g", "v", ["x"], 4).collect()}
     assert got == {(g, v): sum(x for h, w, x in rows if h == g and w >= v) for g, v, _ in rows}
     assert prefix.prefix_sum_by(df.limit(0), "g", "v", ["x"], 4).count() == 0
+
+
+def test_rule_literals():
+    """A literal is in every match, so no pattern is missed; without one a pattern is searched everywhere."""
+    cases = {
+        "халтурк?а": ["халтур"], r"бл[яеэ]+(?:[тд]ь?)?": ["бл"], "жоп|залуп\\S*".replace("\\\\", "\\"): ["жоп", "залуп"], "а.б": None, "(abc)?xy": ["xy"], r"a\.b": ["a.b"], "colou?r": ["colo"], "x{2}yz": ["yz"],
+        "[abc]": None, r"\bword\b": ["word"], "ab+cd": ["ab"], r"\p{L}+ing": ["ing"], "a|bc": None, "(?:a|b)cd|ef": ["cd", "ef"], "КАПС": ["капс"],
+    }
+    for pattern, want in cases.items():
+        assert rule_table.literals(pattern) == want, pattern
+
+
+def test_rule_table(spark):
+    """A thousand rules, and the library's own, give what searching each of them gives."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeабвг") for _ in range(rng.randint(1, 4))) for _ in range(120)]
+    table = [(f"r{k:04}", rng.choice([w, w + "?" + rng.choice(words), rng.choice(words) + r"\s+" + w, f"(?:{w}|{rng.choice(words)})x", w + "|" + rng.choice(words), f"[{w}]+" + rng.choice(words)])) for k, w in enumerate(rng.choice(words) for _ in range(1000))]
+    table += [(n, p) for n, p in {**rules.TOXIC, **rules.SPAM}.items()]
+    texts = [None, "", "  ", "ИДИОТ и халтура", "без   вложений"] + [" ".join(rng.choice([str.upper, str.lower])(rng.choice(words)) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(k, t, "x", k % 2) for k, t in enumerate(texts)], "doc_id int, text string, name string, label int")
+    known = spark.createDataFrame(table, "name string, pattern string")
+    compiled = [(n, rule_table.searchable(p)) for n, p in table]
+    want = {k: sorted({n for n, p in compiled if t and t.strip() and p.search(t)}) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["hits"] for r in rule_table.matched(df, known).collect()} == want
+    assert "бля" in want[3] and "recruitment" in want[3] and "earnings" in want[4]
+    hist = mining.histogram_of_rules(df, known)
+    stats = {r["pattern"]: r for r in mining.per_pattern(hist, dict(table)).collect()}
+    assert len(stats) == len(table)
+    for name in list(dict(table))[:50]:
+        own = [k for k in want if name in want[k]]
+        assert (stats[name]["hits"], stats[name]["tp"], stats[name]["unique_tp"]) == (len(own), sum(k % 2 for k in own), sum(k % 2 for k in own if len(want[k]) == 1))
+
+
+def test_greedy_many_patterns(spark):
+    """Forty patterns, against trying every pattern at every step."""
+    rng = random.Random(7)
+    names = [f"p{k:02}" for k in range(40)]
+    rows = [(sorted(rng.sample(names, rng.randint(0, 4))), rng.randint(0, 1), rng.randint(1, 5)) for _ in range(150)]
+    costs = {n: rng.choice([1.0, 2.0, 3.0]) for n in names}
+    chosen, want = [], []
+    hit = lambda own, y: sum(n for h, label, n in rows if label == y and set(h) & set(own))
+    while True:
+        options = []
+        for name in set(names) - set(chosen):
+            a, b = hit([*chosen, name], 1), hit([*chosen, name], 0)
+            if a > hit(chosen, 1) and a / (a + b) >= 0.5:
+                options.append((-(a - hit(chosen, 1)) / costs[name], name, a, b))
+        if not options:
+            break
+        _, name, a, b = min(options)
+        chosen.append(name)
+        want.append((len(chosen), name, a, b))
+    hist = spark.createDataFrame(rows, "hits array<string>, label int, n long")
+    assert 2 < len(want) and [tuple(r) for r in mining.greedy(hist, dict.fromkeys(names, ""), 0.5, costs).orderBy("step").collect()] == want

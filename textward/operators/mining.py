@@ -1,4 +1,7 @@
-"""Rule mining on the histogram of pattern masks: one scan of the corpus, then at most 2^(k+1) rows."""
+"""Rule mining on a histogram of what rules hit: one scan of the corpus, then a row for each set of rules that hit together.
+
+Sets are masks of up to MAX_MASK patterns, searched in the JVM, or arrays of names from a table of rules of any size.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.scratch import scratch
+from . import rule_table
 from .metrics import ratio
 
-MAX_PATTERNS = 16
+#: Bits of a mask, and patterns of which all subsets are formed.
+MAX_MASK, MAX_SUBSETS = 62, 16
 
 
 def histogram(df: DataFrame, patterns: dict[str, str], text: str = "text", label: str = "label") -> DataFrame:
     """mask, label, n."""
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"{len(patterns)} patterns; masks hold {MAX_PATTERNS}")
+    if len(patterns) > MAX_MASK:
+        raise ValueError(f"{len(patterns)} patterns; masks hold {MAX_MASK}, use histogram_of_rules")
     return df.groupBy(rules.mask(F.col(text), patterns).alias("mask"), F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -22,9 +28,28 @@ def bits(patterns: dict[str, str]) -> list[tuple[str, int]]:
     return [(name, 1 << k) for k, name in enumerate(patterns)]
 
 
-def _stack(hist: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(n).alias("pattern"), F.lit(b).cast("long").alias("bit")) for n, b in bits(patterns)])
-    return hist.select("*", F.inline(rows))
+def histogram_of_rules(df: DataFrame, table: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """hits (names of a table's rules), label, n."""
+    rows = rule_table.matched(df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")), table)
+    return rows.groupBy("hits", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def named(hist: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """A histogram with hits in place of the mask."""
+    if "hits" in hist.columns:
+        return hist
+    own = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(b)) != 0, F.lit(n)) for n, b in bits(patterns)])
+    return hist.withColumn("hits", F.filter(own, lambda x: x.isNotNull())).drop("mask")
+
+
+def _per_hit(hist: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """pattern, label, n, alone of every hit, and a row without hits for each pattern; positives on all rows."""
+    hist = named(hist, patterns)
+    spark = hist.sparkSession
+    own = hist.select(F.explode("hits").alias("pattern"), "label", "n", (F.size("hits") == 1).alias("alone"))
+    every = spark.createDataFrame([(name,) for name in patterns], "pattern string").select("pattern", F.lit(0).alias("label"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("alone"))
+    positives = hist.agg(F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("n"))), F.lit(0)).alias("positives"))
+    return own.union(every).crossJoin(F.broadcast(positives))  # one row
 
 
 def with_costs(patterns: dict[str, str], costs: dict[str, float] | None) -> dict[str, float]:
@@ -38,12 +63,9 @@ def per_pattern(hist: DataFrame, patterns: dict[str, str], floor: float = 0.9, c
     The advice is the first that holds: no hits; low precision without or with own positives; a double with or without
     false positives; dear (over a quarter of all costs) for little; to be kept (own share 0.005 or more); open.
     """
-    hit = F.col("mask").bitwiseAND(F.col("bit")) != 0
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     y = F.col("label") == 1
-    out = _stack(hist, patterns).groupBy("pattern").agg(
-        n(hit).alias("hits"), n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n((F.col("mask") == F.col("bit")) & y).alias("unique_tp"), n(y).alias("positives")
-    )
+    out = _per_hit(hist, patterns).groupBy("pattern", "positives").agg(F.sum("n").alias("hits"), n(y).alias("tp"), n(~y | y.isNull()).alias("fp"), n(F.col("alone") & y).alias("unique_tp"))
     cost = with_costs(patterns, costs)
     share = F.create_map(*[x for k, v in cost.items() for x in (F.lit(k), F.lit(v / max(sum(cost.values()), 1e-12)))])[F.col("pattern")]
     precision = F.when(F.col("hits") == 0, 1.0).otherwise(ratio(F.col("tp"), F.col("hits")))
@@ -64,10 +86,10 @@ def per_pattern(hist: DataFrame, patterns: dict[str, str], floor: float = 0.9, c
 
 def removal_impact(hist: DataFrame, patterns: dict[str, str], mode: str = "exclusive") -> DataFrame:
     """What dropping each pattern loses: all rows it hits (drop_hits) or only those no other hits (exclusive)."""
-    hit = F.col("mask").bitwiseAND(F.col("bit")) != 0 if mode == "drop_hits" else F.col("mask") == F.col("bit")
+    hit = F.lit(True) if mode == "drop_hits" else F.col("alone")
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     y = F.col("label") == 1
-    out = _stack(hist, patterns).groupBy("pattern").agg(n(hit & y).alias("tp_lost"), n(hit & ~y).alias("fp_saved"), n(y).alias("positives"))
+    out = _per_hit(hist, patterns).groupBy("pattern", "positives").agg(n(hit & y).alias("tp_lost"), n(hit & ~y).alias("fp_saved"))
     return out.select("pattern", "tp_lost", "fp_saved", F.round(ratio(F.col("tp_lost"), F.col("positives")), 6).alias("recall_lost"))
 
 
@@ -77,6 +99,8 @@ def subsets(hist: DataFrame, patterns: dict[str, str], floor: float | None = Non
     Rows that a subset hits are all but those whose mask lies in its complement, so sums over sub-masks give tp and fp:
     one pass per pattern over 2^k rows, in place of every subset against every mask.
     """
+    if len(patterns) > MAX_SUBSETS:
+        raise ValueError(f"{len(patterns)} patterns have too many subsets; {MAX_SUBSETS} at most, or greedy")
     cost = with_costs(patterns, costs)
     spark, k = hist.sparkSession, len(patterns)
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
@@ -109,28 +133,34 @@ def pareto(found: DataFrame) -> DataFrame:
 
 
 def greedy(hist: DataFrame, patterns: dict[str, str], floor: float, costs: dict[str, float] | None = None) -> DataFrame:
-    """Adds the pattern that gains most recall for its cost while precision holds; at most k steps over the collected histogram."""
-    rows = [(r["mask"], r["label"], r["n"]) for r in hist.collect()]  # at most 2^(k+1) rows
-    cost = with_costs(patterns, costs)
+    """Adds the pattern that gains most recall for its cost while precision holds, of equal ones the first by name.
 
-    def measure(subset):
-        tp = sum(n for m, y, n in rows if m & subset and y == 1)
-        return tp, sum(n for m, y, n in rows if m & subset and y != 1)
-
-    chosen, steps, tp = 0, [], 0
-    while True:
-        options = []
-        for name, bit in bits(patterns):
-            if not chosen & bit:
-                a, b = measure(chosen | bit)
-                if a > tp and a / (a + b) >= floor:
-                    options.append((-(a - tp) / max(cost[name], 0.001), name, bit, a, b))
-        if not options:
+    What the chosen hit already gains nothing, so a step is one aggregation over the rows that none of them hits.
+    """
+    hist = _kept(named(hist, patterns))
+    cost = with_costs(patterns, costs)
+    spark = hist.sparkSession
+    prices = spark.createDataFrame([(n, max(c, 0.001)) for n, c in cost.items()], "pattern string, cost double")
+    y = F.col("label") == 1
+    gain = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    chosen, steps, tp, fp = [], [], 0, 0
+    while len(chosen) < len(patterns):
+        rest = hist.where(~F.arrays_overlap("hits", F.array(*[F.lit(c) for c in chosen]))) if chosen else hist
+        gains = rest.select(F.explode("hits").alias("pattern"), "label", "n").groupBy("pattern").agg(gain(y).alias("tp"), gain(~y).alias("fp"))
+        fits = gains.where((F.col("tp") > 0) & ((F.col("tp") + tp) / (F.col("tp") + F.col("fp") + (tp + fp)) >= floor))
+        best = fits.join(F.broadcast(prices), "pattern").orderBy(F.desc(F.col("tp") / F.col("cost")), "pattern").first()  # a row per pattern
+        if best is None:
             break
-        _, name, bit, tp, fp = min(options)
-        chosen |= bit
-        steps.append((len(steps) + 1, name, tp, fp))
-    return hist.sparkSession.createDataFrame(steps, "step int, pattern string, tp long, fp long")
+        chosen.append(best["pattern"])
+        tp, fp = tp + best["tp"], fp + best["fp"]
+        steps.append((len(steps) + 1, best["pattern"], tp, fp))
+    return spark.createDataFrame(steps, "step int, pattern string, tp long, fp long")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "histogram")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def false_positives(df: DataFrame, patterns: dict[str, str], stats: DataFrame, worst: int = 5, each: int = 3, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as ft
 from ..functions import rules
 from ..functions import text as tx
-from ..operators import cascade, corpus, relational
+from ..operators import cascade, corpus, relational, rule_table
 from . import base
 from .base import LABELLED, docs, labelled, query, quote, table
 
@@ -70,6 +70,20 @@ def c03_spam_rules(spark, d):
     return base.spread(docs(spark, d)).select("doc_id", rules.names(rules.categories(_planted(F.col("text")), rules.SPAM)).alias("categories"))
 
 
+_PHRASE = "[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"
+
+
+@query(
+    f"""WITH r AS (SELECT item_id, lower(regexp_extract(text, '{_PHRASE}')) AS phrase FROM benchmark WHERE regexp_matches(text, '{_PHRASE}'))
+    SELECT doc_id, coalesce(string_agg(DISTINCT r.item_id::VARCHAR, ',' ORDER BY r.item_id::VARCHAR), '') AS items FROM documents d LEFT JOIN r ON contains(lower(coalesce(d.text, '')), r.phrase) GROUP BY doc_id"""
+)
+def c01_rule_table(spark, d):
+    """A table of rules made from the benchmark: the first three plain words of each item; which items' rules hit each document."""
+    items = table(spark, d, "benchmark").where(F.col("text").rlike(_PHRASE))
+    own = items.select(F.col("item_id").cast("string").alias("name"), F.regexp_extract("text", _PHRASE, 0).alias("pattern"))
+    return rule_table.matched(base.spread(docs(spark, d)).select("doc_id", "text"), own).select("doc_id", F.array_join("hits", ",").alias("items"))
+
+
 @query("SELECT doc_id, " + ", ".join(f"CASE WHEN {base.sql_hit('text', p)} THEN 1 ELSE 0 END AS {k}" for k, p in L.items()) + f", CASE WHEN {_HIT} THEN 1 ELSE 0 END AS any_hit FROM documents")
 def c04_wide_flags(spark, d):
     out = base.spread(docs(spark, d)).select("doc_id", *[F.when(rules.hits(F.col("text"), p), 1).otherwise(0).alias(k) for k, p in L.items()])
