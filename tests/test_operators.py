@@ -4,6 +4,7 @@ import json
 import math
 import random
 import time
+from datetime import datetime, timezone
 
 import duckdb
 import numpy as np
@@ -11,11 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from textward.functions import features, rules, text
-from textward.operators import augment, cascade, corpus, metrics, mining, models, prefix, rule_table, windows
+from textward.operators import augment, cascade, corpus, metrics, mining, models, prefix, relational, rule_table, windows
 from textward.plans import registry
 from textward.plans.base import LATIN
 from textward.sources import tables
-from textward.streaming import jobs
+from textward.streaming import intake, jobs
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -544,3 +545,67 @@ def test_greedy_many_patterns(spark):
         want.append((len(chosen), name, a, b))
     hist = spark.createDataFrame(rows, "hits array<string>, label int, n long")
     assert 2 < len(want) and [tuple(r) for r in mining.greedy(hist, dict.fromkeys(names, ""), 0.5, costs).orderBy("step").collect()] == want
+
+
+def test_update_source_and_result_sink(spark, tmp_path):
+    """A query that starts again neither repeats nor loses an update; results go out by batch."""
+    given, sent = tmp_path / "in", tmp_path / "out"
+    given.mkdir()
+
+    def put(name, ids):
+        line = lambda k: json.dumps({"update_id": k, "message": {"text": f"text {k}" if k % 5 else " ", "message_id": k, "chat": {"id": 1}, "from": {"id": 2}}, "at": "2024-01-01T00:00:00Z"})
+        (given / f"{name}.json").write_text("\n".join(map(line, ids)))
+
+    def run(seconds, want):
+        rows = intake.platform_updates(spark, "textward.streaming.intake:FolderUpdates", path=str(given), limit="4")
+        message = rows.select(F.to_json(F.struct("update_id", "text", "ref")).alias("value"))
+        q = message.writeStream.format("results").options(client="textward.streaming.intake:FolderResults", path=str(sent)).option("checkpointLocation", str(tmp_path / "c")).start()
+        try:
+            for _ in range(seconds * 2):
+                if len(told()) >= want:
+                    break
+                assert q.exception() is None
+                time.sleep(0.5)
+        finally:
+            q.stop()
+
+    told = lambda: [json.loads(x)["update_id"] for f in sorted(sent.glob("*.json")) for x in f.read_text().splitlines()] if sent.exists() else []
+    put("a", range(1, 12))
+    run(60, 9)
+    assert sorted(told()) == [k for k in range(1, 12) if k % 5]
+    put("b", range(12, 18))
+    run(60, 14)
+    assert sorted(told()) == [k for k in range(1, 18) if k % 5]
+
+
+def test_update_reader_replays(tmp_path):
+    """A batch that was planned before a failure is read again from its offsets alone."""
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"update_id": k}) for k in (3, 4, 6, 9, 10)))
+    reader = intake._UpdateReader({"client": "textward.streaming.intake:FolderUpdates", "path": str(tmp_path), "limit": "2"})
+    rows, end = reader.read(reader.initialOffset())
+    assert [r[0] for r in rows] == [3, 4] and end == {"update_id": 5}
+    assert [r[0] for r in reader.readBetweenOffsets({"update_id": 3}, {"update_id": 10})] == [3, 4, 6, 9]
+    assert reader.read({"update_id": 11})[1] == {"update_id": 11}
+
+
+def test_cache_by_hour_and_bucket(spark, tmp_path):
+    """A lookup reads the hours that are not over and the buckets it asks for; hours that are over can go."""
+    path = str(tmp_path / "cache")
+    at = lambda h: datetime(2024, 1, 1, h, tzinfo=timezone.utc)
+    rows = [(f"k{k}", f"v{k}", at(k % 3), 3600) for k in range(60)] + [("k1", "newer", at(2), 3600)]
+    tables.save_cache(spark.createDataFrame(rows, "key string, verdict string, cached_at timestamp, ttl_s int"), path, 8)
+    items = spark.createDataFrame([("k1", "a"), ("k2", "b"), ("k3", "c"), ("none", "d"), ("k2", " ")], "key string, text string")
+    own = tables.cached(spark, path, items, at(2), 8)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hour" in plan and "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert 0 < own.count() < 61
+    got = {(r["key"], r["text"]): r["verdict"] for r in relational.cache_lookup(items, own, F.lit(at(2))).collect()}
+    assert got == {("k1", "a"): "newer", ("k2", "b"): "v2", ("k3", "c"): None, ("none", "d"): None, ("k2", " "): None}
+    assert len(tables.drop_expired(spark, path, at(2))) == 1
+    assert {r["verdict"] for r in spark.read.parquet(path).collect()} == {r[1] for r in rows if r[2] > at(0)}
+
+
+def test_fixed_sample(spark):
+    df = spark.range(0, 1000)
+    got = [r["id"] for r in corpus.sample(df, 50, "id", "s").collect()]
+    assert len(set(got)) == 50 and got == [r["id"] for r in corpus.sample(df.repartition(7), 50, "id", "s").collect()] and corpus.sample(df.limit(3), 50, "id", "s").count() == 3

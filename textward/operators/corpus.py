@@ -42,6 +42,11 @@ def hash_order(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
+def sample(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
+    """n rows of df (all, where it has fewer), drawn by hash of the key; each task keeps its first n before they meet."""
+    return df.orderBy(hash_order(seed, F.col(key)), key).limit(n)
+
+
 def distinct_on(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row (smallest `order`) of each key; a partial aggregate, so common keys are merged before the shuffle."""
     rest = [c for c in df.columns]

@@ -16,7 +16,8 @@ def cache_lookup(items: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     fresh = cache.where(F.col("cached_at") + F.make_dt_interval(secs=F.col("ttl_s").cast("decimal(18,6)")) > now)
     fresh = fresh.groupBy("key").agg(F.max_by("verdict", "cached_at").alias("verdict"))
     full = F.trim(F.coalesce("text", F.lit(""))) != ""  # blank texts get keys of their own that no cache has, over many tasks
-    asked = items.withColumn("asked", F.when(full, F.col("key")).otherwise(F.concat(F.lit("blank-"), (F.rand(7) * 4096).cast("int").cast("string"))))
+    spread = F.pmod(F.xxhash64(*items.columns), F.lit(4096)).cast("string")  # by the row itself, so a task that runs again deals alike
+    asked = items.withColumn("asked", F.when(full, F.col("key")).otherwise(F.concat(F.lit("blank-"), spread)))
     return asked.join(fresh.withColumnRenamed("key", "asked"), "asked", "left").drop("asked")
 
 
@@ -98,8 +99,8 @@ def validity(tasks: DataFrame, items: DataFrame, key: str = "task_id") -> DataFr
     return tasks.select(key, "status").join(found, key)
 
 
-def cache_stats(items: DataFrame) -> list[Column]:
-    """Aggregates n, hits, rate over items with from_cache."""
+def cache_stats() -> list[Column]:
+    """Aggregates n, hits, rate over rows with from_cache."""
     hits = F.count_if(F.coalesce("from_cache", F.lit(False)))
     return [F.count(F.lit(1)).alias("n"), hits.alias("hits"), F.round(F.coalesce(F.try_divide(hits, F.count(F.lit(1))), F.lit(0.0)), 6).alias("rate")]
 

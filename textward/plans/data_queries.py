@@ -363,7 +363,7 @@ def a25_validity_report(spark, d):
 
 @query(f"SELECT role, count(*) AS n, count(*) FILTER (from_cache) AS hits, round(count(*) FILTER (from_cache)::DOUBLE / count(*), 6) AS rate FROM ({_STORED}) GROUP BY role")
 def a23_hit_rate(spark, d):
-    return stored(spark, d).groupBy("role").agg(*relational.cache_stats(stored(spark, d)))
+    return stored(spark, d).groupBy("role").agg(*relational.cache_stats())
 
 
 @query(f"SELECT side, arg_min(model, (-n, model)) AS model, max(n) AS n FROM (SELECT side, model, count(*) AS n FROM (SELECT 'tox' AS side, tox_model_used AS model FROM ({_STORED}) UNION ALL SELECT 'spam', spam_model_used FROM ({_STORED})) WHERE model IS NOT NULL GROUP BY side, model) GROUP BY side")
@@ -425,6 +425,12 @@ def d07_fraction_sample(spark, d):
     return table(spark, d, "orders").select("o_orderkey").where(corpus.hash_order("sample-1", F.col("o_orderkey")) < 429496729)
 
 
+@query("SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5('sample-2' || o_orderkey), 1, 8))::BIGINT, o_orderkey LIMIT 500")
+def d07_fixed_sample(spark, d):
+    """Five hundred orders, drawn."""
+    return corpus.sample(table(spark, d, "orders").select("o_orderkey"), 500, "o_orderkey", "sample-2")
+
+
 @query("SELECT doc_id, length(text)::BIGINT AS n FROM documents ORDER BY n DESC, doc_id")
 def d08_length_order(spark, d):
     return docs(spark, d).select("doc_id", F.length("text").cast("long").alias("n")).orderBy(F.desc("n"), "doc_id")

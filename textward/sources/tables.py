@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +101,32 @@ def verdict_table(spark: SparkSession, table: str, like: DataFrame, before: int
                     latest[int(n.split("=")[1])] = f"{table}/version={v}/{n}"
     folders = [p for b, p in sorted(latest.items()) if only is None or b in only]
     return spark.read.schema(like.schema).parquet(*folders) if folders else like.limit(0)
+
+
+def save_cache(rows: DataFrame, path: str, buckets: int = 64) -> None:
+    """Adds verdicts (key, verdict, cached_at, ttl_s) to a cache that lies by hour of expiry and bucket of the key.
+
+    A key may be there again (a newer verdict, or a batch that was written twice); lookups take the latest.
+    """
+    until = F.unix_timestamp(F.col("cached_at").cast("timestamp")) + F.col("ttl_s")
+    rows = rows.withColumns({"hour": F.floor(until / 3600), "bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")})
+    rows.repartition("hour", "bucket").write.mode("append").partitionBy("hour", "bucket").parquet(path)
+
+
+def cached(spark: SparkSession, path: str, items: DataFrame, now: datetime, buckets: int = 64) -> DataFrame:
+    """The part of a cache that a batch of items (key) can hit: hours that are not over, buckets that it has keys in."""
+    own = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    asked = [r["bucket"] for r in items.select(own).distinct().collect()]  # `buckets` numbers at most
+    rows = spark.read.parquet(path)
+    return rows.where((F.col("hour") >= int(now.timestamp()) // 3600) & F.col("bucket").isin(asked)).drop("hour", "bucket")
+
+
+def drop_expired(spark: SparkSession, path: str, now: datetime) -> list[int]:
+    """Removes the hours of a cache that are over, and tells which."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    gone = sorted(int(n.split("=")[1]) for n in names if n.startswith("hour=") and int(n.split("=")[1]) < int(now.timestamp()) // 3600)
+    for hour in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hour={hour}"), True)
+    return gone
