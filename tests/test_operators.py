@@ -4,6 +4,7 @@ import json
 import math
 import random
 import time
+from collections import Counter
 from datetime import datetime, timezone
 
 import duckdb
@@ -140,7 +141,8 @@ def test_tfidf_by_hand(spark):
     want = [1 / (1 + math.exp(-sum(x * (share[1][g] - share[0][g]) for g, x in v.items()))) for v in vectors]
     got = {r["doc_id"]: r["score"] for r in models.score(models.fit_bayes(frame), frame).collect()}
     assert [got[k] for k in range(5)] == pytest.approx(want, abs=1e-6)
-    kept, terms, _ = models._training(frame, "doc_id", "toxicity", (3, 4), 100, 2, 1.0, [])
+    counted = models._counted(frame, "doc_id", "toxicity", (3, 4), [])
+    kept, terms, _ = models._training(*counted, "doc_id", [], 100, 2, 1.0, True, True, "l2")
     index = {r["idx"]: r["term"] for r in terms.collect()}
     rows = sorted(sorted((index[int(i)], round(float(x), 6)) for i, x in zip(r["features"].indices, r["features"].values)) for r in kept.collect())
     assert rows == sorted(sorted((g, round(x, 6)) for g, x in v.items()) for v in vectors)
@@ -164,6 +166,47 @@ def test_search(spark):
     assert [r["objective"] for r in found] == [1.0, 1.0]
 
 
+WEIGHTS = [{}, {"norm": "l1", "alpha": 0.5}, {"use_idf": False, "sublinear": False, "size": 40}, {"min_df": 3, "max_df": 0.8, "sublinear": False, "norm": "l1"}]
+
+
+def test_search_bayes(spark):
+    """One pass over all trials and folds gives what fitting each of them gives, with every kind of weight."""
+    rng = random.Random(11)
+    words = ["good", "fine", "text", "here", "bad", "awful", "junk", "there", "СКИДКА!!"]
+    rows = [(k, " ".join(rng.choice(words[:6] if k % 3 else words[2:]) for _ in range(rng.randint(1, 9))) if k % 11 else " ", int(k % 3 == 0)) for k in range(45)]
+    frame = spark.createDataFrame([*rows, (99, "none", None)], "doc_id long, text string, label int")
+    held, folds = models._dealt(frame, 2, None, "doc_id")
+    got = {(r["trial"], r["fold"]): r["objective"] for r in models._bayes_curves(held, folds, list(enumerate({"alpha": 1.0, "size": 100, "sizes": (3, 4), "min_df": 2, "max_df": 1.0, "sublinear": True, "use_idf": True, "norm": "l2"} | w for w in WEIGHTS)), (3, 4), "ap", 0.9, "doc_id", "spam").collect()}
+    for i, w in enumerate(WEIGHTS):
+        for k in folds:
+            model = models.fit_bayes(held.where(f"fold <> {k}"), "spam", **({"size": 100} | w))
+            points = metrics.curve(models.scored(model, held.where(f"fold = {k}")).select(F.round("score", 6).alias("score"), "label"))
+            assert got[i, k] == pytest.approx(metrics.average_precision(points).first()[0], abs=1e-6)
+    found = models.search_bayes(frame, [{"alpha": 0.5}, {"sizes": (2, 3)}], folds=2, floor=0.5).collect()
+    assert sorted(r["trial"] for r in found) == [0, 1] and all(0 < r["objective"] <= 1 for r in found)
+
+
+def test_weight_parameters(spark):
+    """Raw counts, no idf and the l1 norm, against the definition; a saved model keeps them."""
+    texts, labels = ["aab", "aab aab ccd", "ccd", "ccd aab", "xyz ccd"], [1, 1, 0, 1, 0]
+    frame = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, label int")
+    model = models.fit_bayes(frame, sublinear=False, use_idf=False, norm="l1")
+    tf = [Counter(g for w in t.split() for n in (3, 4) for g in [f" {w} "[a : a + n] for a in range(len(w) + 3 - n)]) for t in texts]
+    known = {g for g in set().union(*tf) if sum(g in d for d in tf) >= 2}
+    vectors = [{g: n / sum(x for h, x in d.items() if h in known) for g, n in d.items() if g in known} for d in tf]
+    share = {}
+    for y in (0, 1):
+        total = {g: sum(v.get(g, 0.0) for v, own in zip(vectors, labels) if own == y) for g in known}
+        share[y] = {g: math.log((x + 1) / (sum(total.values()) + len(known))) for g, x in total.items()}
+    want = [1 / (1 + math.exp(-sum(x * (share[1][g] - share[0][g]) for g, x in v.items()))) for v in vectors]
+    got = {r["doc_id"]: r["score"] for r in models.score(model, frame).collect()}
+    assert [got[k] for k in range(5)] == pytest.approx(want, abs=1e-6)
+    kept, _, _ = models._training(*models._counted(frame, "doc_id", "toxicity", (3, 4), []), "doc_id", [], 100, 2, 1.0, False, False, "l1")
+    assert all(abs(sum(r["features"].values) - 1) < 1e-9 for r in kept.collect())
+    with pytest.raises(ValueError):
+        models.norm_of(F.col("w"), "l3")
+
+
 def test_prefix_sum(spark):
     df = spark.range(0, 1000).selectExpr("cast(id AS double) AS x", "id % 7 AS v")
     got = {r["x"]: r["run_v"] for r in prefix.prefix_sum(df, "x", ["v"], 8).collect()}

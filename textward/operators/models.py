@@ -37,6 +37,8 @@ class Model:
     sizes: tuple[int, int] = (3, 4)
     threshold: float = 0.5
     extra: list[tuple[str, float, float, float]] = field(default_factory=list)
+    sublinear: bool = True
+    norm: str = "l2"
 
 
 def parts(text: Column, flavour: str) -> list[tuple[str, Column]]:
@@ -72,13 +74,25 @@ def vocabulary(tf: DataFrame, n: int, size: int = SIZE, min_df: int = 2, max_df:
     return found.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "part", "term").limit(size)
 
 
-def weighted(tf: DataFrame, terms: DataFrame) -> DataFrame:
-    """tf with w = (1 + ln tf) idf for the terms of a vocabulary (with idf)."""
-    return tf.join(F.broadcast(terms), ["part", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+def tf_weight(sublinear: bool = True) -> Column:
+    """What a count weighs: 1 + ln tf, or tf itself."""
+    return 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
 
 
-def with_idf(terms: DataFrame, n: int) -> DataFrame:
-    return terms.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+def norm_of(w: Column, norm: str = "l2") -> Column:
+    """The length of a vector of weights, as an aggregate."""
+    if norm not in ("l1", "l2"):
+        raise ValueError(f"norm {norm}")
+    return F.sqrt(F.sum(w * w)) if norm == "l2" else F.sum(F.abs(w))
+
+
+def weighted(tf: DataFrame, terms: DataFrame, sublinear: bool = True) -> DataFrame:
+    """tf with w, the count's weight times idf, for the terms of a vocabulary (with idf)."""
+    return tf.join(F.broadcast(terms), ["part", "term"]).withColumn("w", tf_weight(sublinear) * F.col("idf"))
+
+
+def with_idf(terms: DataFrame, n: int, use_idf: bool = True) -> DataFrame:
+    return terms.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0 if use_idf else F.lit(1.0))
 
 
 def _kept(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
@@ -91,26 +105,40 @@ def _blank(rows: DataFrame) -> Column:
     return F.array_join(F.transform("parts", lambda p: p["made"]), "") == ""
 
 
-def _training(df: DataFrame, key: str, flavour: str, sizes: tuple[int, int], size: int, min_df: int, max_df: float, names: list[str]) -> tuple[DataFrame, DataFrame, list[tuple[str, float, float]]]:
-    """Rows of (label, vector), the vocabulary with idf and idx, and mean and population deviation of each feature.
+def _deciding(text: Column) -> Column:
+    """Whether a capitals rule decides a text."""
+    return features.matches_caps_shout(text) | features.matches_caps_word(text)
 
-    Texts without words are left out, on the spam side also those that a capitals rule decides. Vectors have unit length
-    in each part and are kept as a table.
+
+def _counted(df: DataFrame, key: str, flavour: str, sizes: tuple[int, int], names: list[str], *more: str) -> tuple[DataFrame, DataFrame]:
+    """The n-gram counts, and the rows (label, names, more) of the texts to train on, both kept as tables with the columns in more.
+
+    Texts without words are left out, on the spam side also those that a capitals rule decides.
     """
     extra = features.features(F.col("text"), names) if names else []
-    rows = _rows(df.where("label IS NOT NULL"), key, flavour, F.col("label").cast("int").alias("label"), *extra)
+    rows = _rows(df.where("label IS NOT NULL"), key, flavour, F.col("label").cast("int").alias("label"), *more, *extra)
     if flavour != "toxicity":
-        rows = rows.where(~(features.matches_caps_shout(F.col("text")) | features.matches_caps_word(F.col("text"))))
+        rows = rows.where(~_deciding(F.col("text")))
     rows = rows.where(~_blank(rows))
-    tf = _kept(counts(rows, key, sizes), "gram-counts")
-    plain = _kept(rows.select(key, "h", "label", *names), "training-rows")
+    plain = _kept(rows.select(key, "h", "label", *more, *names), "training-rows")
+    tf = tx.gram_counts(rows.select(key, "h", *more, F.inline("parts")), [key, "h", *more, "part"], F.col("made"), *sizes)
+    return _kept(tf, "gram-counts"), plain
+
+
+def _training(
+    tf: DataFrame, plain: DataFrame, key: str, names: list[str], size: int, min_df: int, max_df: float, sublinear: bool, use_idf: bool, norm: str
+) -> tuple[DataFrame, DataFrame, list[tuple[str, float, float]]]:
+    """Rows of (label, vector) of what was counted, the vocabulary with idf and idx, and mean and population deviation of each feature.
+
+    Vectors have unit length in each part and are kept as a table.
+    """
     n = plain.count()
-    terms = with_idf(vocabulary(tf, n, size, min_df, max_df), n)
+    terms = with_idf(vocabulary(tf, n, size, min_df, max_df), n, use_idf)
     order = F.row_number().over(tx.Window.orderBy(F.desc("total"), "part", "term")) - 1  # `size` rows at most
     terms = _kept(terms.withColumn("idx", order), "vocabulary")
     stats = plain.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.avg, F.stddev_pop)]).first() if names else {}
     scaled = [(c, stats[f"avg_{c}"] or 0.0, stats[f"stddev_pop_{c}"] or 1.0) for c in features.NAMES if c in names]
-    unit = weighted(tf, terms).groupBy(key, "h", "part").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("own"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = weighted(tf, terms, sublinear).groupBy(key, "h", "part").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("own"), norm_of(F.col("w"), norm).alias("norm"))
     unit = unit.select(key, "h", F.transform("own", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("norm")).alias("w"))).alias("own"))
     unit = unit.groupBy(key, "h").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own"))
     wide = terms.count()
@@ -131,22 +159,38 @@ def _logistic(vectors: DataFrame, c: float):
     return LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50).fit(vectors.withColumn("weight", weight))
 
 
-def fit(df: DataFrame, flavour: str = "toxicity", c: float = 1.0, size: int = SIZE, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: float = 1.0, names: list[str] | None = None, key: str = "doc_id") -> Model:
+def _names(flavour: str, names: list[str] | None) -> list[str]:
+    return (features.NAMES if flavour != "toxicity" else []) if names is None else [n for n in features.NAMES if n in names]
+
+
+def fit(
+    df: DataFrame, flavour: str = "toxicity", c: float = 1.0, size: int = SIZE, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: float = 1.0, names: list[str] | None = None, key: str = "doc_id",
+    sublinear: bool = True, use_idf: bool = True, norm: str = "l2",
+) -> Model:
     """Logistic regression with balanced class weights and regParam 1 / (C n) on (key, text, label).
 
     The vectors are [TF-IDF | scaled hand-made features]; the spam flavours take all features unless names says which.
+    Counts weigh 1 + ln tf or tf, times idf or not, and vectors have length 1 by the norm l2 or l1.
     """
-    names = (features.NAMES if flavour != "toxicity" else []) if names is None else [n for n in features.NAMES if n in names]
-    vectors, terms, scaled = _training(df, key, flavour, sizes, size, min_df, max_df, names)
+    names = _names(flavour, names)
+    counted = _counted(df, key, flavour, sizes, names)
+    return _fitted(*counted, key, flavour, c, size, sizes, min_df, max_df, names, sublinear, use_idf, norm)
+
+
+def _fitted(tf: DataFrame, plain: DataFrame, key, flavour, c, size, sizes, min_df, max_df, names, sublinear, use_idf, norm) -> Model:
+    vectors, terms, scaled = _training(tf, plain, key, names, size, min_df, max_df, sublinear, use_idf, norm)
     fitted = _logistic(vectors, c)
     coefficients = fitted.coefficients.toArray().tolist()  # size + 17 numbers at most
     wide = len(coefficients) - len(scaled)
-    table = df.sparkSession.createDataFrame(list(enumerate(coefficients[:wide])), "idx int, coefficient double")
+    table = tf.sparkSession.createDataFrame(list(enumerate(coefficients[:wide])), "idx int, coefficient double")
     own = _kept(terms.join(F.broadcast(table), "idx").select("part", "term", "idf", "coefficient"), "model")
-    return Model(own, float(fitted.intercept), flavour, sizes, 0.5, [(*s, coefficients[wide + k]) for k, s in enumerate(scaled)])
+    return Model(own, float(fitted.intercept), flavour, sizes, 0.5, [(*s, coefficients[wide + k]) for k, s in enumerate(scaled)], sublinear, norm)
 
 
-def fit_bayes(df: DataFrame, flavour: str = "toxicity", alpha: float = 1.0, size: int = SIZE, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: float = 1.0, key: str = "doc_id") -> Model:
+def fit_bayes(
+    df: DataFrame, flavour: str = "toxicity", alpha: float = 1.0, size: int = SIZE, sizes: tuple[int, int] = (3, 4), min_df: int = 2, max_df: float = 1.0, key: str = "doc_id",
+    sublinear: bool = True, use_idf: bool = True, norm: str = "l2",
+) -> Model:
     """Complement naive Bayes on unit TF-IDF vectors, in closed form: one aggregation over weights.
 
     A class is judged by the terms of the other's documents, so a term's coefficient is the log ratio of its smoothed
@@ -157,16 +201,16 @@ def fit_bayes(df: DataFrame, flavour: str = "toxicity", alpha: float = 1.0, size
     plain = _kept(rows.select(key, "h", "label"), "training-rows")
     tf = _kept(counts(rows, key, sizes).join(plain, [key, "h"]), "gram-counts")
     n = plain.count()
-    terms = _kept(with_idf(vocabulary(tf, n, size, min_df, max_df), n).select("part", "term", "idf"), "vocabulary")
-    w = weighted(tf, terms)
-    norms = w.groupBy(key, "h", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    terms = _kept(with_idf(vocabulary(tf, n, size, min_df, max_df), n, use_idf).select("part", "term", "idf"), "vocabulary")
+    w = weighted(tf, terms, sublinear)
+    norms = w.groupBy(key, "h", "part").agg(norm_of(F.col("w"), norm).alias("norm"))
     w = w.join(norms, [key, "h", "part"]).withColumn("w", F.col("w") / F.col("norm"))
     of = lambda y: F.sum(F.when(F.col("label") == y, F.col("w")).otherwise(0.0))
     sums = _kept(w.groupBy("part", "term").agg(of(1).alias("w1"), of(0).alias("w0")), "class-weights")
     s1, s0, v = sums.agg(F.sum("w1"), F.sum("w0"), F.count(F.lit(1))).first()
     share = lambda x, s: F.log((F.col(x) + alpha) / F.lit(float((s or 0.0) + alpha * v)))
     own = terms.join(F.broadcast(sums), ["part", "term"]).select("part", "term", "idf", (share("w1", s1) - share("w0", s0)).alias("coefficient"))
-    return Model(_kept(own, "model"), 0.0, flavour, sizes)
+    return Model(_kept(own, "model"), 0.0, flavour, sizes, sublinear=sublinear, norm=norm)
 
 
 def scores(model: Model, df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -175,8 +219,14 @@ def scores(model: Model, df: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = _rows(df, key, model.flavour, *extra)
     names = [name for name, *_ in model.extra]
     tf = tx.gram_counts(rows.select(key, "h", *names, F.inline("parts")), [key, "h", *names, "part"], F.col("made"), *model.sizes)
-    w = tf.join(F.broadcast(model.terms), ["part", "term"], "left").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    dot = F.sum(F.col("w") * F.col("coefficient")) / F.sqrt(F.sum(F.col("w") * F.col("w")))
+    return _summed(model, tf, key)
+
+
+def _summed(model: Model, tf: DataFrame, key: str) -> DataFrame:
+    """key, h, score from n-gram counts (key, h, the model's features, part, term, tf)."""
+    names = [name for name, *_ in model.extra]
+    w = tf.join(F.broadcast(model.terms), ["part", "term"], "left").withColumn("w", tf_weight(model.sublinear) * F.col("idf"))
+    dot = F.sum(F.col("w") * F.col("coefficient")) / norm_of(F.col("w"), model.norm)
     dots = w.groupBy(key, "h", *names, "part").agg(dot.alias("dot")).groupBy(key, "h", *names).agg(F.coalesce(F.sum("dot"), F.lit(0.0)).alias("dot"))
     hand = F.lit(model.intercept)
     for name, mean, deviation, coefficient in model.extra:
@@ -189,7 +239,7 @@ def scored(model: Model, df: DataFrame, key: str = "doc_id") -> DataFrame:
     out = df.withColumn("h", F.xxhash64("text")).join(scores(model, df, key), [key, "h"], "left")
     score = F.coalesce("score", F.lit(0.0))
     if model.flavour != "toxicity":
-        score = F.when(features.matches_caps_shout(F.col("text")) | features.matches_caps_word(F.col("text")), 1.0).otherwise(score)
+        score = F.when(_deciding(F.col("text")), 1.0).otherwise(score)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], score.alias("score"))
 
 
@@ -230,22 +280,40 @@ def importance(model: Model) -> DataFrame:
     return model.terms.select("part", "term", "coefficient").unionByName(hand).orderBy(F.abs("coefficient").desc(), "part", "term")
 
 
+def _dealt(df: DataFrame, folds: int, val: DataFrame | None, key: str) -> tuple[DataFrame, list[int]]:
+    """Labelled rows (key, text, label, fold), and the folds to hold out; with validation rows these are fold 0, all others -1."""
+    columns = [key, "text", "label"]
+    labelled = df.where("label IS NOT NULL").select(*columns)
+    if val is None:
+        return _kept(split(labelled, "label", key, {"all": 1.0}).select(*columns, (F.col("rank") % folds).cast("int").alias("fold")), "folds"), list(range(folds))
+    return _kept(labelled.withColumn("fold", F.lit(-1)).unionByName(val.where("label IS NOT NULL").select(*columns).withColumn("fold", F.lit(0))), "folds"), [0]
+
+
 def search(df: DataFrame, trials: list[dict], folds: int = 3, val: DataFrame | None = None, by: str = "ap", floor: float = 0.9, key: str = "doc_id", flavour: str = "toxicity") -> DataFrame:
     """trial, params, objective of each of the trials (arguments of fit): mean over folds, or on fixed validation rows.
 
     by is ap (average precision) or f1 (best F1 at a precision of floor or more). Vocabulary, scaling and model are fitted
-    on the training rows of a fold only.
+    on the training rows of a fold only; n-grams are counted once for all trials of the same sizes.
     """
-    labelled = df.where("label IS NOT NULL")
-    if val is None:
-        ranked = _kept(split(labelled, "label", key, {"all": 1.0}).withColumn("fold", F.col("rank") % folds), "folds")
-        pairs = [(ranked.where(F.col("fold") != k), ranked.where(F.col("fold") == k)) for k in range(folds)]
-    else:
-        pairs = [(labelled, val.where("label IS NOT NULL"))]
+    rows, held = _dealt(df, folds, val, key)
+    usual = {"c": 1.0, "size": SIZE, "sizes": (3, 4), "min_df": 2, "max_df": 1.0, "names": None, "sublinear": True, "use_idf": True, "norm": "l2"}
+    counted: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    decided = F.lit(False) if flavour == "toxicity" else _deciding(F.col("text"))
+    every = _kept(rows.select(key, F.xxhash64("text").alias("h"), "label", "fold", decided.alias("decided")), "judged-rows")
     found = []
     for number, params in enumerate(trials):
-        for train, held in pairs:
-            points = curve(scored(fit(train.select(key, "text", "label"), flavour=flavour, key=key, **params), held.select(key, "text", "label"), key).select(F.round("score", 6).alias("score"), "label"))
+        own = usual | params
+        names, sizes = _names(flavour, own.pop("names")), tuple(own.pop("sizes"))
+        if (sizes, tuple(names)) not in counted:
+            counted[sizes, tuple(names)] = _counted(rows, key, flavour, sizes, names, "fold")
+        tf, plain = counted[sizes, tuple(names)]
+        for k in held:
+            model = _fitted(tf.where(F.col("fold") != k), plain.where(F.col("fold") != k), key, flavour, sizes=sizes, names=names, **own)
+            grams = tf.where(F.col("fold") == k).drop("fold")
+            grams = grams.join(plain.where(F.col("fold") == k).select(key, "h", *names), [key, "h"]) if names else grams
+            judged = every.where(F.col("fold") == k).join(_summed(model, grams, key), [key, "h"], "left")
+            score = F.when(F.col("decided"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+            points = curve(judged.select(F.round(score, 6).alias("score"), "label"))
             if by == "ap":
                 reached = average_precision(points).first()[0]
             else:
@@ -256,10 +324,80 @@ def search(df: DataFrame, trials: list[dict], folds: int = 3, val: DataFrame | N
     return table.groupBy("trial", "params").agg(F.round(F.avg("objective"), 6).alias("objective"))
 
 
+def search_bayes(df: DataFrame, trials: list[dict], folds: int = 3, val: DataFrame | None = None, by: str = "f1", floor: float = 0.9, key: str = "doc_id", flavour: str = "spam") -> DataFrame:
+    """The same for naive Bayes (arguments of fit_bayes): all trials of the same n-gram sizes and all folds in one pass.
+
+    A term's counts are kept per fold, so a fold's vocabulary is the total less the fold. Each n-gram then meets the
+    models that have it, and sums per model give weights, scores and curves; scores are rounded to six digits, so a
+    curve has a million points at most.
+    """
+    rows, held = _dealt(df, folds, val, key)
+    usual = {"alpha": 1.0, "size": SIZE, "sizes": (3, 4), "min_df": 2, "max_df": 1.0, "sublinear": True, "use_idf": True, "norm": "l2"}
+    asked = [usual | p for p in trials]
+    out = None
+    for sizes in sorted({tuple(t["sizes"]) for t in asked}):
+        own = [(i, t) for i, t in enumerate(asked) if tuple(t["sizes"]) == sizes]
+        found = _bayes_curves(rows, held, own, sizes, by, floor, key, flavour)
+        out = found if out is None else out.unionByName(found)
+    named = df.sparkSession.createDataFrame([(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(trials)], "trial int, params string")
+    return named.join(out.groupBy("trial").agg(F.round(F.avg("objective"), 6).alias("objective")), "trial")
+
+
+def _bayes_curves(rows: DataFrame, held: list[int], trials: list[tuple[int, dict]], sizes: tuple[int, int], by: str, floor: float, key: str, flavour: str) -> DataFrame:
+    """trial, fold, objective."""
+    spark = rows.sparkSession
+    own = _rows(rows, key, flavour, F.col("label").cast("int").alias("label"), "fold")
+    blank = _blank(own)
+    plain = _kept(own.select(key, "h", "label", "fold", blank.alias("blank")), "training-rows")
+    tf = _kept(tx.gram_counts(own.where(~blank).select(key, "h", "label", "fold", F.inline("parts")), [key, "h", "label", "fold", "part"], F.col("made"), *sizes), "gram-counts")
+    in_fold = plain.where("NOT blank").groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per fold
+    n = {k: sum(r["n"] for r in in_fold if r["fold"] != k) for k in held}
+    less = lambda c, k: F.sum(F.when(F.col("fold") != k, c).otherwise(0))
+    sums = tf.groupBy("part", "term").agg(*[less(F.col("tf"), k).alias(f"total_{k}") for k in held], *[less(F.lit(1), k).alias(f"df_{k}") for k in held])
+    sums = _kept(sums, "fold-counts")
+    models = None
+    for i, t in trials:
+        for k in held:
+            df_k = F.col(f"df_{k}")
+            known = sums.where((df_k >= max(1, t["min_df"])) & (df_k <= t["max_df"] * n[k])).orderBy(F.desc(f"total_{k}"), "part", "term").limit(t["size"])
+            idf = F.log((1.0 + n[k]) / (1.0 + df_k)) + 1.0 if t["use_idf"] else F.lit(1.0)
+            known = known.select("part", "term", F.lit(i).alias("trial"), F.lit(k).alias("held"), idf.alias("idf"))
+            models = known if models is None else models.union(known)
+    models = _kept(models, "vocabularies")
+    kinds = [(i, t["sublinear"], t["norm"] == "l2", float(t["alpha"])) for i, t in trials]
+    kinds = F.broadcast(spark.createDataFrame(kinds, "trial int, sublinear boolean, square boolean, alpha double"))  # a row per trial
+    w = tf.join(models, ["part", "term"]).join(kinds, "trial")
+    w = w.withColumn("w", F.when(F.col("sublinear"), tf_weight()).otherwise(tf_weight(False)) * F.col("idf"))
+    model, text = ["trial", "held"], ["trial", "held", key, "h", "part"]
+    length = F.when(F.first("square"), norm_of(F.col("w"))).otherwise(norm_of(F.col("w"), "l1"))
+    w = _kept(w.join(w.groupBy(*text).agg(length.alias("length")), text).select(*text, "label", "fold", "term", "alpha", (F.col("w") / F.col("length")).alias("w")), "weights")
+    of = lambda y: F.sum(F.when(F.col("label") == y, F.col("w")).otherwise(0.0))
+    trained = w.where("fold != held").groupBy(*model, "part", "term", "alpha").agg(of(1).alias("w1"), of(0).alias("w0"))
+    totals = trained.groupBy(*model).agg(F.sum("w1").alias("s1"), F.sum("w0").alias("s0"), F.count(F.lit(1)).alias("v"))
+    part = lambda x, s: F.log((F.col(x) + F.col("alpha")) / (F.col(s) + F.col("alpha") * F.col("v")))
+    weights = trained.join(F.broadcast(totals), model).select(*model, "part", "term", (part("w1", "s1") - part("w0", "s0")).alias("coefficient"))
+    dots = w.where("fold = held").join(weights, [*model, "part", "term"]).groupBy(*model, key, "h").agg(F.sum(F.col("w") * F.col("coefficient")).alias("dot"))
+    pairs = spark.createDataFrame([(i, k) for i, _ in trials for k in held], "trial int, held int")
+    judged = plain.where(F.col("fold").isin(held)).join(F.broadcast(pairs), F.col("fold") == F.col("held")).join(dots, [*model, key, "h"], "left")
+    caps = rows.select(key, F.xxhash64("text").alias("h"), _deciding(F.col("text")).alias("decided")).distinct() if flavour != "toxicity" else None
+    judged = judged.join(caps, [key, "h"]) if caps is not None else judged.withColumn("decided", F.lit(False))
+    score = F.when(F.col("decided"), 1.0).when(F.col("blank"), 0.0).otherwise(1 / (1 + F.exp(-F.coalesce("dot", F.lit(0.0)))))
+    y = F.col("label") == 1
+    points = judged.groupBy(*model, F.round(score, 6).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    down = tx.Window.partitionBy(*model).orderBy(F.desc("score"))
+    points = points.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all": F.sum("pos").over(tx.Window.partitionBy(*model))})
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("all"))
+    if by == "ap":
+        objective = F.sum(F.try_divide(F.col("pos"), F.col("all")) * precision)
+    else:
+        objective = F.max(F.when(precision >= floor, F.try_divide(2 * precision * recall, precision + recall)))
+    return points.groupBy(*model).agg(F.coalesce(objective, F.lit(0.0)).alias("objective")).select("trial", F.col("held").alias("fold"), "objective")
+
+
 def save(model: Model, path: str, **more) -> None:
     """The model's terms, and beside them its metadata: threshold, flavour, n-gram sizes, features, and what else is given."""
     model.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    metadata = {"threshold": model.threshold, "intercept": model.intercept, "flavour": model.flavour, "sizes": model.sizes, "features": model.extra, **more}
+    metadata = {"threshold": model.threshold, "intercept": model.intercept, "flavour": model.flavour, "sizes": model.sizes, "features": model.extra, "sublinear": model.sublinear, "norm": model.norm, **more}
     model.terms.sparkSession.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
@@ -267,4 +405,4 @@ def load(spark: SparkSession, path: str) -> tuple[Model, dict]:
     """A saved model, which decides by its saved threshold, and its metadata."""
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     terms = spark.read.parquet(f"{path}/terms")
-    return Model(terms, metadata["intercept"], metadata["flavour"], tuple(metadata["sizes"]), metadata["threshold"], [tuple(x) for x in metadata["features"]]), metadata
+    return Model(terms, metadata["intercept"], metadata["flavour"], tuple(metadata["sizes"]), metadata["threshold"], [tuple(x) for x in metadata["features"]], metadata["sublinear"], metadata["norm"]), metadata

@@ -354,6 +354,13 @@ def m06_search(spark, d):
     return models.search(base.labelled(spark, d), [{"size": 10_000}, {"size": 45_000, "min_df": 5, "max_df": 0.7}], folds=2, by="f1", floor=0.5)
 
 
+@query()
+def m06_search_bayes(spark, d):
+    """Naive Bayes over idf, norms, counts, sizes and smoothing, all trials and folds in one pass."""
+    trials = [{"alpha": 0.1}, {"alpha": 1.0, "norm": "l1"}, {"use_idf": False, "size": 10_000}, {"sublinear": False, "min_df": 5, "max_df": 0.7}]
+    return models.search_bayes(base.spam_labelled(spark, d), trials, folds=2, floor=0.5)
+
+
 @query()
 def m06_search_fixed(spark, d):
     """Penalties tried on fixed validation rows, by average precision."""
