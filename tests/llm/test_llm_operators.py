@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, blanks, repeats, ties, long texts, clashing columns."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -405,6 +406,18 @@ def test_url_rules_in_a_table(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in url_rules.judge(pages, table_of_rules).collect()} == want
 
 
+def test_tokens_without_spaces():
+    """Long texts without spaces take time in proportion, and give the library's ids and counts."""
+    rng = random.Random(12)
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
+    model = pieces.pieces(tokens.model_path())
+    for alphabet, size in (("abcdefghijklmnopqrstuvwxyz", 150_000), ("".join(map(chr, range(0x4E00, 0x4E00 + 3000))), 150_000), ("a", 100_000), ("é日x\u2581\U0001f600", 50_000)):
+        text = "".join(rng.choice(alphabet) for _ in range(size))
+        want = library.encode(text)
+        assert [i for run in pieces.Encoded(model).of(text) for i in run] == want
+        assert pieces.Counter(model).count(text, 4096) == len(want)
+
+
 def test_empty_tables(spark):
     none = table(spark, [], ids=[])
     pages = spark.createDataFrame([], "page_id long, url string, html string")

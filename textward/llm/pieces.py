@@ -27,6 +27,8 @@ MAX_TRANSITIONS = 1_000_000
 MAX_WORDS = 400_000
 MAX_PAIRS = 2_000_000
 LONGEST_KEPT = 64
+#: Characters of a run that the search takes in at once, besides its window.
+STEP = 256
 
 _models: dict[str, Pieces] = {}
 
@@ -195,7 +197,7 @@ class Encoded(dict):
         self.model, self.value = model, value
 
     def __missing__(self, run: str):
-        found = self.value(self.model.stream([run]))
+        found = self.value(self.model.stream(run[k : k + STEP] for k in range(0, len(run), STEP)))
         if len(run) <= LONGEST_KEPT:
             if len(self) >= MAX_WORDS:
                 self.clear()
@@ -216,11 +218,11 @@ START: State = ((0, -1, 0),)
 class Stretch:
     """The map of a stretch of text from state to (state, count).
 
-    head is what comes before the first reset. Without a reset state is None, and the map is that of head. With one, any
-    state goes to `state`, and count is what is emitted from the reset on.
+    head is what comes before the first reset, in pieces. Without a reset state is None, and the map is that of head. With
+    one, any state goes to `state`, and count is what is emitted from the reset on.
     """
 
-    head: str
+    head: tuple[str, ...]
     count: int = 0
     state: State | None = None
 
@@ -300,17 +302,25 @@ class Counter:
         """The map of a piece of spelled text, cut anywhere."""
         runs = self.model.runs.findall(text)
         if len(runs) < 2:
-            return Stretch(text)
+            return Stretch((text,))
         words = self.words
         middle = sum([words[r] if r in words else self.whole(r) for r in runs[1:-1]])
         state, count = self.walk(START, runs[-1])
-        return Stretch(runs[0], middle + count, state)
+        return Stretch((runs[0],), middle + count, state)
+
+    def walk_all(self, state: State, pieces: tuple[str, ...]) -> tuple[State, int]:
+        """The state after a text in pieces, and the tokens emitted on the way."""
+        total = 0
+        for piece in pieces:
+            state, count = self.walk(state, piece)
+            total += count
+        return state, total
 
     def compose(self, a: Stretch, b: Stretch) -> Stretch:
         """First a, then b; associative."""
         if a.state is None:
             return Stretch(a.head + b.head, b.count, b.state)
-        state, count = self.walk(a.state, b.head)
+        state, count = self.walk_all(a.state, b.head)
         if b.state is None:
             return Stretch(a.head, a.count + count, state)
         return Stretch(a.head, a.count + count + state[-1][2] + b.count, b.state)
@@ -325,9 +335,15 @@ class Counter:
             out.append(pairs[k // 2] if k % 2 else self.compose(pairs[k // 2 - 1], maps[k]))
         return out
 
+    def last(self, maps: list[Stretch]) -> Stretch:
+        """The last prefix alone: the way up of the scan's tree, which holds each piece of text once."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0]
+
     def total(self, whole: Stretch) -> int:
         """The tokens of a text from its map."""
-        state, count = self.walk(START, whole.head)
+        state, count = self.walk_all(START, whole.head)
         if whole.state is None:
             return count + state[-1][2]
         return count + state[-1][2] + whole.count + whole.state[-1][2]
@@ -336,4 +352,4 @@ class Counter:
         """The tokens of a text: maps of its chunks, composed."""
         spelled = self.model.spelled(text)
         maps = [self.stretch(spelled[k : k + chunk]) for k in range(0, len(spelled), chunk)]
-        return self.total(self.scan(maps)[-1]) if maps else 0
+        return self.total(self.last(maps)) if maps else 0
