@@ -186,6 +186,17 @@ def test_search_bayes(spark):
     assert sorted(r["trial"] for r in found) == [0, 1] and all(0 < r["objective"] <= 1 for r in found)
 
 
+def test_vocabulary_by_buckets(spark):
+    """Large buckets first: the same commonest terms as counting all, also where the bound fails and smaller buckets join in."""
+    rng = random.Random(13)
+    rows = [(d, "all" if d % 2 else "caps", f"t{int(rng.paretovariate(0.7)) % 700}", rng.randint(1, 5)) for d in range(300) for _ in range(12)]
+    tf = spark.createDataFrame(sorted({(d, p, g): n for d, p, g, n in rows}.items()), "k struct<doc_id:int,part:string,term:string>, tf int").select("k.*", "tf").cache()
+    for size, min_df, max_df, buckets in ((10, 1, 1.0, 64), (50, 2, 0.3, 64), (50, 5, 0.2, 8), (5000, 1, 1.0, 1024), (40, 2, 1.0, 1 << 18)):
+        want = [tuple(r) for r in models.vocabulary(tf, 300, size, min_df, max_df).collect()]
+        assert [tuple(r) for r in models.vocabulary(tf, 300, size, min_df, max_df, buckets).collect()] == want
+        assert want
+
+
 def test_weight_parameters(spark):
     """Raw counts, no idf and the l1 norm, against the definition; a saved model keeps them."""
     texts, labels = ["aab", "aab aab ccd", "ccd", "ccd aab", "xyz ccd"], [1, 1, 0, 1, 0]

@@ -68,10 +68,26 @@ def counts(rows: DataFrame, key: str, sizes: tuple[int, int]) -> DataFrame:
     return tx.gram_counts(rows.select(key, "h", F.inline("parts")), [key, "h", "part"], F.col("made"), *sizes)
 
 
-def vocabulary(tf: DataFrame, n: int, size: int = SIZE, min_df: int = 2, max_df: float = 1.0) -> DataFrame:
-    """part, term, total, df: terms in min_df documents at least and a share of max_df at most, the `size` commonest."""
-    found = tf.groupBy("part", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return found.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("total"), "part", "term").limit(size)
+def vocabulary(tf: DataFrame, n: int, size: int = SIZE, min_df: int = 2, max_df: float = 1.0, buckets: int | None = None) -> DataFrame:
+    """part, term, total, df: terms in min_df documents at least and a share of max_df at most, the `size` commonest.
+
+    With buckets, rare terms are not sent: terms are first summed by hash bucket, and a bucket's sum is a bound for its
+    terms. Only terms of large buckets are then counted. If enough of them reach the smallest of these sums, no other
+    term can be among the commonest; else smaller buckets join in, down to all.
+    """
+    limits = (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
+    known = lambda rows: rows.groupBy("part", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).where(limits)
+    if buckets is None:
+        return known(tf).orderBy(F.desc("total"), "part", "term").limit(size)
+    tf = tf.withColumn("bucket", F.pmod(F.xxhash64("part", "term"), F.lit(buckets)).cast("int"))
+    sums = _kept(tf.groupBy("bucket").agg(F.sum("tf").alias("sum")), "bucket-sums")  # `buckets` rows at most
+    least = sums.orderBy(F.desc("sum")).limit(2 * size).agg(F.min("sum")).first()[0] or 1
+    while True:
+        large = F.broadcast(sums.where(F.col("sum") >= least).select("bucket"))
+        found = _kept(known(tf.join(large, "bucket", "left_semi")), "common-terms")
+        if least <= 1 or found.where(F.col("total") >= least).limit(size).count() == size:
+            return found.orderBy(F.desc("total"), "part", "term").limit(size)
+        least = max(1, least // 4)
 
 
 def tf_weight(sublinear: bool = True) -> Column:

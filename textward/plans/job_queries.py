@@ -268,14 +268,20 @@ _VOCAB = f"SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM ({_TF}) GR
 
 
 def _tf(spark, d):
+    """The n-gram counts and the number of texts; both are kept, so texts are normalised and cut once."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = base.labelled(spark, d).select("doc_id", tx.normalise(F.col("text")).alias("made")).where("made <> ''").repartition(n, "doc_id")
-    return tx.gram_counts(rows.withColumn("part", F.lit("all")), ["doc_id", "part"], F.col("made"), 3, 4), rows.count()
+    rows = models._kept(rows, "normalised")
+    tf = tx.gram_counts(rows.repartition(n, "doc_id").withColumn("part", F.lit("all")), ["doc_id", "part"], F.col("made"), 3, 4)
+    return models._kept(tf, "gram-counts"), rows.count()
+
+
+_BUCKETS = 1 << 18
 
 
 @query(_VOCAB)
 def m01_vocabulary(spark, d):
-    return models.vocabulary(*_tf(spark, d), min_df=5, max_df=0.7).drop("part")
+    return models.vocabulary(*_tf(spark, d), min_df=5, max_df=0.7, buckets=_BUCKETS).drop("part")
 
 
 @query(
@@ -284,11 +290,20 @@ def m01_vocabulary(spark, d):
 )
 def m02_tfidf(spark, d):
     tf, n = _tf(spark, d)
-    w = models.weighted(tf, models.with_idf(models.vocabulary(tf, n, min_df=5, max_df=0.7), n))
+    w = models.weighted(tf, models.with_idf(models.vocabulary(tf, n, min_df=5, max_df=0.7, buckets=_BUCKETS), n))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "term", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
+@query(f"SELECT t.doc_id, t.term, round(t.tf / sum(t.tf) OVER (PARTITION BY t.doc_id), 6) AS weight FROM ({_TF}) t JOIN ({_VOCAB}) v USING (term)")
+def m02_raw_shares(spark, d):
+    """Raw counts without idf, by the l1 norm."""
+    tf, n = _tf(spark, d)
+    w = models.weighted(tf, models.with_idf(models.vocabulary(tf, n, min_df=5, max_df=0.7, buckets=_BUCKETS), n, use_idf=False), sublinear=False)
+    norms = w.groupBy("doc_id").agg(models.norm_of(F.col("w"), "l1").alias("norm"))
+    return w.join(norms, "doc_id").select("doc_id", "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
+
+
 _SCALED = [n for n in ft.NAMES if n not in ("repeated_chars_ratio", "has_phone")]  # those that the other engine can spell
 
 
