@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +110,12 @@ def _batched(size: int, window: int, block: int):
     return work
 
 
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
+    """a joined with b on columns of which null is a value like any other."""
+    b = b.select(*[F.col(n).alias(f"_{n}") if n in names else F.col(n) for n in b.columns])
+    return a.join(b, reduce(and_, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])).drop(*[f"_{n}" for n in names])
+
+
 def micro_batches(df: DataFrame, source: str, at: str, key: str, size: int, seconds: float, block: int = BLOCK_ROWS) -> DataFrame:
     """source, key, batch: a batch closes with its `size`th item, or with the item that comes `seconds` or more after its first.
 
@@ -136,9 +145,9 @@ def micro_batches(df: DataFrame, source: str, at: str, key: str, size: int, seco
             maps.append(above.groupBy(source, "above").applyInArrow(_composed, shape))
         for level in reversed(maps[:-1]):
             above = entries.withColumnRenamed("block", "above")
-            inside = level.withColumn("above", F.floor(F.col("block") / FAN)).join(above, [source, "above"]).select(source, "above", "block", "leave", "started", "entry", "first")
+            inside = _same(level.withColumn("above", F.floor(F.col("block") / FAN)), above, [source, "above"]).select(source, "above", "block", "leave", "started", "entry", "first")
             entries = inside.groupBy(source, "above").applyInArrow(_entered, f"{source} {kind}, block long, entry long, first long")
-    rows = rows.join(entries, [source, "block"]).select(source, key, "block", "place", "at", "entry", "first")
+    rows = _same(rows, entries, [source, "block"]).select(source, key, "block", "place", "at", "entry", "first")
     return rows.groupBy(source, "block").applyInArrow(_batched(size, window, block), f"{source} {kind}, {key} {dict(rows.dtypes)[key]}, batch long")
 
 

@@ -241,13 +241,13 @@ def j04_realign(spark, d):
     return relational.realign(found.select("doc_id", "task_id", "verdict"), results, order="doc_id")
 
 
-_ARRAYS = "SELECT conv_id, array_agg(turn ORDER BY turn) AS turns, array_agg(length(text) ORDER BY turn) AS score FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id"
+_ARRAYS = "SELECT conv_id, array_agg(turn ORDER BY turn) AS turns, array_agg(length(text) ORDER BY turn) AS score FROM conversations WHERE role = 'assistant' GROUP BY conv_id"
 
 
 @query(f"SELECT c.conv_id, c.turn, coalesce(u.score, 0)::BIGINT AS score FROM conversations c LEFT JOIN (SELECT conv_id, unnest(turns) AS turn, unnest(score) AS score FROM ({_ARRAYS})) u USING (conv_id, turn)")
 def j05_bulk_update(spark, d):
     rows = table(spark, d, "conversations")
-    arrays = _column_arrays(rows.where("turn % 2 = 0"))
+    arrays = _column_arrays(rows.where("role = 'assistant'"))
     updates = arrays.select("conv_id", F.inline(F.arrays_zip("turn", "score")))
     return rows.select("conv_id", "turn").join(updates, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
 
