@@ -197,7 +197,8 @@ class Encoded(dict):
         self.model, self.value = model, value
 
     def __missing__(self, run: str):
-        found = self.value(self.model.stream(run[k : k + STEP] for k in range(0, len(run), STEP)))
+        steps = [run] if len(run) <= STEP else (run[k : k + STEP] for k in range(0, len(run), STEP))
+        found = self.value(self.model.stream(steps))
         if len(run) <= LONGEST_KEPT:
             if len(self) >= MAX_WORDS:
                 self.clear()
