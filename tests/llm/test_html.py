@@ -3,6 +3,7 @@
 import html as entities
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
@@ -27,6 +28,7 @@ class Plain(HTMLParser):
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
         self.path, self.places, self.blocks, self.text, self.linked, self.in_link, self.raw = [("", "plain")], [], [], "", 0, False, False
+        self.boxes, self.heading, self.alike = [], False, Counter()
         self.feed(page)
         self.close()
         self.flush()
@@ -34,7 +36,7 @@ class Plain(HTMLParser):
     def flush(self):
         t = " ".join(self.text.split())
         if t:
-            self.blocks.append((len(self.places), t, self.path[-1][1], min(self.linked, len(t))))
+            self.blocks.append((len(self.places), t, self.path[-1][1], min(self.linked, len(t)), self.path[-1][0], self.heading))
             self.places.append(f"{self.path[-1][0]} text {t}" if self.path[-1][1] == "plain" else None)
         self.text, self.linked = "", 0
 
@@ -48,9 +50,13 @@ class Plain(HTMLParser):
         if tag in INLINE:
             return
         self.flush()
+        self.heading = tag == "h1"
         path, kind = self.path[-1]
         names = (dict(attrs).get("class") or "").split()
         label = f"{path}>{tag}" + "".join(f".{w}" for w in sorted({w for n in names for w in re.findall("[a-z]+", n)}))
+        if tag in CONTAINERS | RAW:
+            self.alike[label] += 1
+            label += f" {self.alike[label]}" if self.alike[label] > 1 else ""
         self.places.append(label)
         if tag in RAW:
             self.raw = True
@@ -58,13 +64,17 @@ class Plain(HTMLParser):
             parts = [re.findall("[a-z]+", n) for n in names]
             role = any(any(w in ROLES for w in p) and all(w in ROLES | BESIDE for w in p) for p in parts)
             drop = role or tag in DROPPED or (tag == "header" and kind != "made")
-            self.path.append((label, "role" if drop or kind == "role" else "made" if tag in ("article", "main") else kind))
+            inner = "role" if drop or kind == "role" else "made" if tag in ("article", "main") else kind
+            if kind == "plain" and inner != "role":
+                self.boxes.append(label)
+            self.path.append((label, inner))
 
     def handle_endtag(self, tag):
         self.in_link = False if tag == "a" else self.in_link
         if tag in INLINE:
             return
         self.flush()
+        self.heading = False
         if tag in RAW:
             self.raw = False
         elif tag in CONTAINERS:
@@ -73,6 +83,35 @@ class Plain(HTMLParser):
             self.places.append(f"{self.path[-1][0]}>/{tag}")
 
 
+def chosen(pages, template, slots, sums, keys):
+    """Which blocks the main container, what stays beside it and long slots between hold; every container looked up for every block."""
+    inside = lambda path, box: box in ("", path) or path.startswith(box + ">")
+    weight = {}
+    for page in pages:
+        for box in ["", *(b for b in page.boxes if b in template)]:
+            own = [b for b in page.blocks if b[2] != "role" and inside(b[4], box) and (b[2] == "made" or page.places[b[0]] not in template)]
+            w = weight.setdefault(box, [0, 0, 0, 0])
+            for n, v in enumerate((sum(len(b[1]) - b[3] for b in own), sum(b[3] for b in own), any(b[5] and b[2] == "plain" for b in own), 1)):
+                w[n] += v
+    total = weight[""][0]
+    around = [box for box, w in weight.items() if w[0] > html_text.MAIN_SHARE * total or not total and not box]
+    main = max(around, key=len)
+    least = html_text.KEPT_SHARE * weight[main][0]
+    parent = {box: max((c for c in weight if c != box and inside(box, c)), key=len) for box in weight if box}
+    kept = [b for b, up in parent.items() if b not in around and up in around and up != main and weight[b][1] <= weight[b][0] and (weight[b][0] >= least or 2 * weight[b][2] > weight[b][3])]
+    boxes = dict(zip(keys, pages))
+
+    def stays(key, block):
+        for box in sorted((b for b in ["", *boxes[key].boxes] if (not b or b in template) and inside(block[4], b)), key=len):
+            if box == main or box in kept:
+                return True
+            if box not in around:
+                return False
+        return block[2] == "made" or block[5] or sums[slots[key, block[0]]][0] >= least
+
+    return stays
+
+
 def brute(rows):
     """All pages in memory, every pair of classes compared."""
     out = [None] * len(rows)
@@ -124,22 +163,24 @@ def brute(rows):
         template = set().union(*(classes[v] for v in classes if v not in bad and len(shape[v]) == 1))
         slots, sums = {}, {}
         for p, page in different.items():
-            for at, t, kind, links in page.blocks:
+            for at, *_ in page.blocks:
                 before = [x for x in page.places[:at] if x in template and " text " not in x]
                 slots[p, at] = before[-1] if before else None
         for _, p in pages:
-            for at, t, kind, links in different[p].blocks:
+            for at, t, kind, links, *_ in different[p].blocks:
                 if kind == "plain":
                     own = sums.setdefault(slots[p, at], [0, 0])
-                    own[0] += len(t)
+                    own[0] += len(t) - links
                     own[1] += links
+        stays = chosen([different[p] for _, p in pages], template, slots, sums, [p for _, p in pages]) if template else lambda p, block: True
         for k, p in pages:
-            blocks = different[p].blocks
-            made = [t for _, t, kind, _ in blocks if kind == "made"]
-            plain = [(at, t) for at, t, kind, _ in blocks if kind == "plain"]
-            menu = lambda at: template and 2 * sums[slots[p, at]][1] > sums[slots[p, at]][0]
-            own = [t for at, t in plain if different[p].places[at] not in template and not menu(at)]
-            out[k] = "\n".join(made or own or [t for _, t in plain])
+            blocks = [b for b in different[p].blocks if b[2] != "role"]
+            menu = lambda at: template and sums[slots[p, at]][1] > sums[slots[p, at]][0]
+            site = lambda b: different[p].places[b[0]] in template or menu(b[0])
+            made = [b for b in blocks if b[2] == "made"]
+            own = [b for b in blocks if b[2] == "plain" and not site(b)]
+            kept = [[b for b in made if stays(p, b)], [b for b in own if stays(p, b)], made, own, [b for b in blocks if b[2] == "plain"], []]
+            out[k] = "\n".join(b[1] for b in next((c for c in kept if c), []))
     return out
 
 
@@ -169,7 +210,7 @@ def test_against_brute_force(spark, monkeypatch):
     rows += rows[:5] + [("http://h3.example/again", rows[9][1])]
     want = brute(rows)
     assert extracted(spark, rows) == want
-    alone = [html_text.article({"text": p.text, "kind": p.kind, "token": p.token, "tags": p.tags, "at": p.at}, {}) for p in (Scanner().scan(h) for _, h in rows)]
+    alone = [html_text.article(vars(p), {}) for p in (Scanner().scan(h) for _, h in rows)]
     assert sum(a != b for a, b in zip(alone, want)) > len(rows) // 2  # the templates act
     assert any("Welcome & hello" in a for a in alone) and sum("Welcome & hello" in b for b in want) < sum("Welcome & hello" in a for a in alone)
     monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
@@ -229,3 +270,30 @@ def test_nest(first, second, gaps):
     """Nested, crossing and separate spans; the class on fewer pages gives way."""
     made = [{"class": c, "rows": rows, "size": 2, "token": 10 * n + k, "first": p, "last": p} for n, (c, rows, span) in enumerate((("a", 9, first), ("b", 4, second)), 1) for k, p in enumerate(span)]
     assert [min(g, 1) for _, _, g in html_text.nest(made)] == list(gaps)
+
+
+def unnamed(rng, k):
+    """A page whose parts are told by no name: menu, advert, article and footer are div elements with words of their own."""
+    vocabulary = "river stone light under seven apple window orange paper".split()
+    word = lambda n: " ".join(rng.choice(vocabulary) + str(rng.randint(0, 99)) for _ in range(n))
+    menu = "".join(f"<li><a href='/{rng.random()}'>{word(2)}</a></li>" for _ in range(5))
+    body = [word(rng.randint(1, 30)) for _ in range(rng.randint(3, 9))]
+    text = [word(5), *body]
+    inner = f"<h1>{text[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+    return f"<html><body><div><ul>{menu}</ul></div><div>{word(6)}</div><div>{inner}</div><div>&copy; h.example {word(4)}</div></body></html>", "\n".join(text)
+
+
+def test_template_chooses(spark, monkeypatch):
+    """Adverts and footers with words of their own go by their place; the title in a part of its own and a long second part stay."""
+    rng = random.Random(9)
+    pages = [unnamed(rng, k) for k in range(20)]
+    rows = [(f"http://h.example/{k}", page) for k, (page, _) in enumerate(pages)] + [(f"http://one.example/{k}", pages[0][0]) for k in range(2)]
+    parts = "<html><body><div><h1>Title {0}</h1></div><div><p>{1}</p><p>{1}</p></div><div><p>{2}</p></div><div>note {0}</div></body></html>"
+    rows += [(f"http://parts.example/{k}", parts.format(k, f"long text {k} " * 30, f"second part {k} " * 6)) for k in range(6)]
+    want = brute(rows)
+    assert want[:20] == [text for _, text in pages]
+    assert want[22:] == [f"Title {k}\n" + "\n".join([(f"long text {k} " * 30).strip()] * 2 + [(f"second part {k} " * 6).strip()]) for k in range(6)]
+    assert extracted(spark, rows) == want
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html_text, "hot_values", lambda rows, column: ["h.example", "one.example"])
+    assert extracted(spark, rows) == want

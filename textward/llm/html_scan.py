@@ -1,8 +1,9 @@
 """A page as its sequence of tag tokens and the text blocks between them, in one linear pass.
 
 A token is a tag (with its class and id words) under the containers around it. Containers carry a number that is a hash
-of the parent's number and their own label, so a token costs the same at any depth. An unclosed tag, comment or raw
-element takes the rest of the page; a quote counts only after an equals sign.
+of the parent's number, their own label and how many alike stand before them in the parent, so a token costs the same at
+any depth and no container of a page shares its number with another. An unclosed tag, comment or raw element takes the
+rest of the page; a quote counts only after an equals sign.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 
 import xxhash
 
-PLAIN, MADE, ROLE = 0, 1, 2
+PLAIN, MADE, ROLE, HEADING = 0, 1, 2, 3
 
 _SPACE = re.compile(r"\s+")
 _TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -59,6 +60,12 @@ class Page:
     links: list[int] = field(default_factory=list)
     kind: list[int] = field(default_factory=list)
     token: list[int] = field(default_factory=list)
+    #: which box a block is in, -1 outside of all
+    inside: list[int] = field(default_factory=list)
+    #: boxes, the containers that may hold an article: those without a role, down to the first made for one; where among
+    #: the tags each opens, and the box around it
+    boxes: list[int] = field(default_factory=list)
+    up: list[int] = field(default_factory=list)
 
 
 class Scanner:
@@ -98,21 +105,22 @@ class Scanner:
     def scan(self, page: str) -> Page:
         out = Page()
         tags = out.tags
-        # open containers: tag, number, kind
-        stack: list[tuple[str, int, int]] = [("", 0, PLAIN)]
+        # open containers: tag, number, kind, box, how many of each label they hold
+        stack: list[tuple[str, int, int, int, dict[str, int]]] = [("", 0, PLAIN, -1, {})]
         opened: Counter[str] = Counter()
         parts: list[str] = []
-        links, in_link, at, size = 0, False, 0, len(page)
+        links, in_link, heading, at, size = 0, False, False, 0, len(page)
 
         def flush():
             nonlocal links
             joined = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if joined:
-                _, number, kind = stack[-1]
+                _, number, kind, box, _ = stack[-1]
                 out.at.append(len(tags))
                 out.text.append(joined)
                 out.links.append(min(links, len(joined)))
-                out.kind.append(kind)
+                out.kind.append(HEADING if heading and kind == PLAIN else kind)
+                out.inside.append(box)
                 out.token.append(self.number(number, f"text {joined}") if kind == PLAIN else 0)
             parts.clear()
             links = 0
@@ -159,21 +167,23 @@ class Scanner:
             if tag in INLINE:
                 continue
             flush()
+            heading = tag == "h1" and not closing
             if tag not in CONTAINERS and tag not in RAW:
                 tags.append(self.number(stack[-1][1], f"/{tag}" if closing else tag))
                 continue
             if closing:
                 if opened[tag]:
                     while True:
-                        inner, number, _ = stack.pop()
+                        inner, number, *_ = stack.pop()
                         opened[inner] -= 1
                         if inner == tag:
                             break
                     tags.append(self.number(number, "/"))
                 continue
             label, dropped, made = self.label(tag, page[name.end() : end])
-            _, parent, kind = stack[-1]
-            number = self.number(parent, label)
+            _, parent, kind, box, alike = stack[-1]
+            alike[label] = alike.get(label, 0) + 1
+            number = self.number(parent, label if alike[label] == 1 else f"{label} {alike[label]}")
             tags.append(number)
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -184,7 +194,12 @@ class Scanner:
             # the header of an article is part of it; any other part that is dropped stays so, down to its last element
             if tag == "header" and kind == MADE and dropped and not any(map(is_role, label.split(".")[1:])):
                 dropped = False
-            stack.append((tag, number, ROLE if dropped or kind == ROLE else MADE if made else kind))
+            inner = ROLE if dropped or kind == ROLE else MADE if made else kind
+            if kind == PLAIN and inner != ROLE:
+                out.boxes.append(len(tags) - 1)
+                out.up.append(box)
+                box = len(out.boxes) - 1
+            stack.append((tag, number, inner, box, {}))
             opened[tag] += 1
         flush()
         return out
