@@ -28,11 +28,75 @@ def cut(word: str, least: int, most: int) -> list[str]:
     return [padded[i : i + n] for n in range(least, most + 1) for i in range(len(padded) - n + 1)]
 
 
+def packs(least: int, most: int) -> bool:
+    """Whether n-grams fit 64 bits, 16 for each character's number, and no padded word is shorter than the least size."""
+    return 2 <= least <= 3 and most <= 4
+
+
+class Letters:
+    """Numbers of characters, from 1 as they are met (or only those of some terms), and n-grams packed by them."""
+
+    def __init__(self, terms: list[str] | None = None):
+        self.number, self.point, self.open = np.zeros(0x110000, dtype=np.uint16), [0], terms is None
+        self._meet(np.unique(_points("".join(terms or []) + " ")))
+
+    def _meet(self, points: np.ndarray) -> None:
+        self.number[points] = np.arange(len(self.point), len(self.point) + len(points))
+        self.point += points.tolist()
+
+    def full(self) -> bool:
+        return len(self.point) > 30_000
+
+    def packed(self, text: str, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, ascending, and counts of a text's n-grams whose characters have numbers."""
+        words = text.split()
+        points = _points(f" {' '.join(words)} " if words else "")
+        ids = self.number[points]
+        if self.open and not ids.all():
+            self._meet(np.unique(points[ids == 0]))
+            ids = self.number[points]
+        inside, known, ids = points != 32, ids != 0, ids.astype(np.uint64)
+        found = []
+        for n in range(least, most + 1):
+            size = len(ids) - n + 1
+            if size < 1:
+                break
+            key, good = ids[:size].copy(), known[:size].copy()
+            for j in range(1, n):
+                key |= ids[j : j + size] << np.uint64(16 * j)
+                good &= known[j : j + size]
+                if j < n - 1:
+                    good &= inside[j : j + size]
+            found.append(key[good])
+        return np.unique(np.concatenate(found), return_counts=True) if found else (_NONE.astype(np.uint64), _NONE)
+
+    def key(self, term: str) -> int:
+        return sum(int(self.number[ord(ch)]) << 16 * j for j, ch in enumerate(term))
+
+    def terms(self, keys: np.ndarray) -> list[str]:
+        point = np.array(self.point, dtype=np.uint32)
+        wide = np.stack([(keys >> np.uint64(16 * j)) & np.uint64(0xFFFF) for j in range(4)], axis=1).astype(np.int64)
+        return ["".join(map(chr, row[:n])) for row, n in zip(point[wide].tolist(), (wide > 0).sum(axis=1).tolist())]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 class Counts:
     """Numbers of the n-grams of words: those in known, or all, numbered as they are met."""
 
     def __init__(self, sizes: tuple[int, int], known: dict[str, int] | None = None):
         self.sizes, self.open, self.terms, self.words = sizes, known is None, {} if known is None else known, {}
+        self.letters = None
+        if known and packs(*sizes):
+            self.letters = Letters(list(known))
+            if self.letters.full():
+                self.letters = None
+        if self.letters:
+            keys = np.array([self.letters.key(g) for g in known], dtype=np.uint64)
+            order = np.argsort(keys)
+            self.keys, self.places = keys[order], np.fromiter(known.values(), np.int64, len(known))[order]
 
     def _of(self, word: str) -> list[int]:
         grams = cut(word, *self.sizes)
@@ -41,7 +105,12 @@ class Counts:
         return [k for k in map(self.terms.get, grams) if k is not None]
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers, ascending, and counts of the n-grams of a text."""
+        """Numbers and counts of the n-grams of a text, each once; ascending where all n-grams are numbered."""
+        if self.letters:
+            keys, tf = self.letters.packed(text, *self.sizes)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            return self.places[at[hit]], tf[hit]
         words = Counter(text.split())
         if len(self.words) > WORDS:
             self.words.clear()
@@ -68,6 +137,44 @@ def totals(texts: DataFrame, names: list[str], sizes: tuple[int, int], by: Colum
     """by, part, term, total, df of texts (made): how often each term occurs and in how many of the texts."""
     least, most = sizes
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, held, room = Letters(), {}, 0
+
+        def summed(parts):
+            keys, total, df = map(np.concatenate, zip(*parts))
+            order = np.argsort(keys)
+            keys, total, df = keys[order], total[order], df[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[first], np.add.reduceat(total, first), np.add.reduceat(df, first)
+
+        def out():
+            for (group, k), parts in held.items():
+                keys, total, df = summed(parts)
+                yield pa.RecordBatch.from_pydict({
+                    "by": pa.array(np.full(len(keys), group, dtype=np.int32)), "part": pa.array([names[k]] * len(keys), pa.string()), "term": pa.array(letters.terms(keys), pa.string()),
+                    "total": pa.array(total), "df": pa.array(df),
+                })
+            held.clear()
+
+        for batch in batches:
+            for group, made in zip(batch.column("by").to_pylist(), batch.column("made")):
+                for k, text in enumerate(made.as_py()):
+                    keys, tf = letters.packed(text, least, most)
+                    if len(keys):
+                        held.setdefault((group, k), []).append((keys, tf, np.ones(len(keys), dtype=np.int64)))
+                        room += len(keys)
+                if room > 5 * TERMS:
+                    for own, parts in held.items():
+                        held[own] = [summed(parts)]
+                    room = sum(len(parts[0][0]) for parts in held.values())
+                    if room > 2 * TERMS:
+                        yield from out()
+                        room = 0
+                if letters.full():
+                    yield from out()
+                    letters, room = Letters(), 0
+        yield from out()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
         cutters = [Counts((least, most)) for _ in names]
@@ -102,7 +209,7 @@ def totals(texts: DataFrame, names: list[str], sizes: tuple[int, int], by: Colum
                     yield from out()
         yield from out()
 
-    found = texts.select((F.lit(0) if by is None else by).cast("int").alias("by"), "made").mapInArrow(work, "by int, part string, term string, total long, df long")
+    found = texts.select((F.lit(0) if by is None else by).cast("int").alias("by"), "made").mapInArrow(packed if packs(least, most) else work, "by int, part string, term string, total long, df long")
     return found.groupBy("by", "part", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
