@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textward.functions import text as tx
-from textward.operators import grams, models
+from textward.operators import grams, metrics, models
 from textward.plans import eval_queries
 
 
@@ -34,3 +34,18 @@ def test_repeated_ids(spark, monkeypatch):
     model = models.fit_bayes(rows)
     got = {tuple(r) for r in models.score_merged(model, rows).select("doc_id", "score").collect()}
     assert len(got) == 3 and models.score_merged(model, rows).count() == 5
+
+
+def test_term_lift_at_ties(spark):
+    """Shares that lie between two rounded numbers go where DuckDB takes them; by their printed digits 41 of 640 would be 0.064063."""
+    import duckdb
+
+    shares = [(41, 640), (323, 640), (201, 3200), (246, 3840), (1, 128), (0, 640)]
+    for n1, n0 in ((640, 3200), (3840, 640)):
+        rows = spark.range(n1 + n0).select(F.when(F.col("id") < n1, 1).otherwise(0).alias("label"))
+        terms = spark.createDataFrame([(f"t{d}", y) for d, n in shares for y in (1, 0) if n == (n1, n0)[1 - y] for _ in range(d)], "term string, label int")
+        got = {r["term"]: (r["rate_1"], r["rate_0"]) for r in metrics.term_lift(terms, rows).collect()}
+        for d, n in shares:
+            want = duckdb.execute("SELECT round(?::DOUBLE / ?, 6)", [d, n]).fetchone()[0]
+            if d and n in (n1, n0):
+                assert got[f"t{d}"][0 if n == n1 else 1] == want, (d, n)
