@@ -24,7 +24,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with similar five-word shingles (Jaccard 0.8 or more) the smallest id stays, of repeated rows one."""
+    """Of each component of texts with similar five-word shingles (Jaccard 0.8 or more) the smallest id stays, of repeated rows one.
+
+    Candidates come from op9's SimHash links by pivot distance tables, and from MinHash what lies beyond their bits.
+    """
     return similar.one_of_each(docs)
 
 

@@ -90,3 +90,25 @@ def test_empty_stages(spark):
     assert mixing.mixed(none).count() == similar.one_of_each(none).count() == tokens.decode(tokens.encode(none)).count() == 0
     rows = none.union(spark.createDataFrame([(1, "a b c", "en", None, 5, 7, "z", 9, True), (None, None, None, None, None, None, None, None, None), (1, "a b c", "en", None, 5, 7, "z", 9, True)], none.schema))
     assert similar.one_of_each(rows).orderBy("doc_id").collect()[1] == rows.where("doc_id = 1").first() and similar.one_of_each(rows).count() == 2
+
+
+def test_near_copies_by_fingerprint(spark):
+    """Texts whose SimHashes lie within near_dup's bits meet through its links alone, without any MinHash band; a link is verified by the sets."""
+    import random
+
+    from textward.llm import near_dup, similar
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(1500)]
+    rows = [(0, " ".join(base)), (3, "a b c d e f g"), (4, "")]
+    for k in (1, 2):
+        copy = list(base)
+        copy[700 * k] = "changed"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in near_dup.group(docs).collect()}
+    assert want == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+    bare = similar.shingle_sets(docs).selectExpr("doc_id", "fp", "sim", "grams", "CAST(array() AS array<long>) keys")
+    names = {r["fp"]: r["doc_id"] for r in bare.collect()}
+    linked = {frozenset((names[r["u"]], names[r["v"]])) for r in similar.links(bare).collect()}
+    assert linked and set().union(*linked) == {0, 1, 2}

@@ -1,9 +1,11 @@
-"""Near-duplicates by real similarity: Jaccard of the sets of five-word shingles, 0.8 or more.
+"""Near-duplicates by SimHash and pivot distance tables, and by MinHash beyond its reach; links have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets are one node. A SimHash cannot find such pairs by blocks: they lie up to 13 of 64 bits apart and
-more, where blocks selective enough to scale share nothing. Candidates therefore come from MinHash: two sets of
-similarity s agree in a band of ROWS minima with s ** ROWS, so of pairs at just 0.8 all but 0.06 % meet in one of BANDS.
-Buckets with the same members are one bucket. Every link is verified on both whole sets.
+Texts with equal sets of five-word shingles are one node. Candidates come from near_dup's method first: fingerprints of
+the texts, bit blocks, pivot distance tables; of each link the two texts meet in a bucket, and so do all texts of one
+fingerprint. Similar sets lie up to 13 of 64 bits apart and more, where blocks selective enough to scale share nothing.
+The others therefore come from MinHash: two sets of similarity s agree in a band of ROWS minima with s ** ROWS, so of
+pairs at just 0.8 all but 0.06 % meet in one of BANDS. Buckets with the same members are one bucket. Every link is
+verified on both whole sets.
 
 A bucket emits a spanning forest of its links; buckets with very many nodes are cut into blocks that meet two by two.
 """
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_dup
 from .common import all_salts, salt, text_of, written
 from .near_dup import SALTS, components, cut_cells, with_components
 
@@ -73,7 +76,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """doc_id, fp (64 bits of the set as a long), keys (bands), grams (the set, 4 bytes each), and the columns in carry."""
+    """doc_id, fp (64 bits of the set as a long), keys (bands), grams (the set, 4 bytes each), sim (the text's SimHash), and the columns in carry."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,14 +88,16 @@ def shingle_sets(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
                 for k, line in zip(full, band_keys([sets[k] for k in full]).view(np.int64)):
                     keys[k] = line
             fp = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64).view(np.int64)
-            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(fp), "keys": pa.array(keys, pa.list_(pa.int64())), "grams": pa.array(grams, pa.binary())}
+            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(fp), "keys": pa.array(keys, pa.list_(pa.int64())), "grams": pa.array(grams, pa.binary()), "sim": batch.column("sim")}
             columns |= {f"carried_{i}": batch.column(f"carried_{i}") for i in range(len(carry))}
             yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").cast("binary").alias("raw"), *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)])
+    # the fingerprint's operator carries the text along, so both read it in one pass
+    marked = near_dup.fingerprints(docs.select("doc_id", "text", text_of("text").cast("binary").alias("raw"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(carry)]), ["raw", *[f"own_{i}" for i in range(len(carry))]])
+    rows = marked.select("doc_id", "raw", F.col("fp").alias("sim"), *[F.col(f"own_{i}").alias(f"carried_{i}") for i in range(len(carry))])
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(work, "doc_id long, fp long, keys array<long>, grams binary" + "".join(f", carried_{i} {kinds[f'carried_{i}']}" for i in range(len(carry))))
-    return out.select("doc_id", "fp", "keys", "grams", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
+    out = rows.mapInArrow(work, "doc_id long, fp long, keys array<long>, grams binary, sim long" + "".join(f", carried_{i} {kinds[f'carried_{i}']}" for i in range(len(carry))))
+    return out.select("doc_id", "fp", "keys", "grams", "sim", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def alike(shared, a, b):
@@ -156,9 +161,27 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(run())
 
 
+def fingerprint_keys(marked: DataFrame) -> DataFrame:
+    """fp, key: the buckets that near_dup's links give to the sets of marked (fp, sim, grams).
+
+    All sets of a fingerprint share one, and of two linked fingerprints the least sets do: rows are linear in sets and
+    links. Sets without shingles are left out.
+    """
+    sims = written(marked.where(F.length("grams") > 0).select("fp", "sim").distinct(), "sims")
+    least = written(sims.groupBy("sim").agg(F.min("fp").alias("fp")), "least-sets")
+    found = near_dup.links(least.select(F.col("sim").alias("fp")))
+    ends = found.select(F.explode(F.array("u", "v")).alias("sim"), F.xxhash64(F.lit("link"), "u", "v").alias("key"))
+    ends = written(ends, "fingerprint-links")
+    # a fingerprint may have very many links: its least set returns over salted keys
+    hot = [r["sim"] for r in ends.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, ends.count() // 1000)).collect()]  # under a thousand
+    spread = least.withColumn("salt", F.explode(all_salts(F.col("sim"), hot, SALTS)))
+    linked = ends.withColumn("salt", salt(F.col("sim"), hot, F.col("key"), SALTS)).join(spread, ["sim", "salt"]).select("fp", "key")
+    return sims.select("fp", F.xxhash64(F.lit("same"), "sim").alias("key")).union(linked)
+
+
 def links(marked: DataFrame) -> DataFrame:
-    """u, v: links between the sets of marked (fp, keys, grams), enough to connect all that are linked in a bucket."""
-    keyed = written(marked.select("fp", F.explode("keys").alias("key")).distinct(), "bands")
+    """u, v: links between the sets of marked (fp, keys, grams, sim), enough to connect all that are linked in a bucket."""
+    keyed = written(marked.select("fp", F.explode("keys").alias("key")).union(fingerprint_keys(marked)).distinct(), "bands")
     signature = F.sum(F.xxhash64("fp").cast("decimal(20,0)"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), signature.alias("who")).where("n > 1")
     buckets = written(buckets.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
@@ -183,7 +206,7 @@ def group(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     names = [f"carried_{i}" for i in range(len(carry))]
     marked = written(shingle_sets(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry)]), names), "shingles")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    out = with_components(marked.drop("keys", "grams"), nodes, components(links(marked)))
+    out = with_components(marked.drop("keys", "grams", "sim"), nodes, components(links(marked)))
     return out.select("doc_id", "component_id", "best", *[F.col(n).alias(c) for n, c in zip(names, carry)])
 
 
