@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 #: Words and terms that a task holds at most.
 WORDS, TERMS = 200_000, 400_000
 _NONE = np.array([], dtype=np.int64)
+#: Tasks for each core, at most, where every task sends a line per term.
+TASKS = 3
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows in a few tasks for each core: what the tasks send is then bounded by cores and terms, however many rows there are."""
+    return rows.coalesce(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def cut(word: str, least: int, most: int) -> list[str]:
@@ -209,7 +216,8 @@ def totals(texts: DataFrame, names: list[str], sizes: tuple[int, int], by: Colum
                     yield from out()
         yield from out()
 
-    found = texts.select((F.lit(0) if by is None else by).cast("int").alias("by"), "made").mapInArrow(packed if packs(least, most) else work, "by int, part string, term string, total long, df long")
+    rows = _few(texts.select((F.lit(0) if by is None else by).cast("int").alias("by"), "made"))
+    found = rows.mapInArrow(packed if packs(least, most) else work, "by int, part string, term string, total long, df long")
     return found.groupBy("by", "part", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
@@ -294,7 +302,7 @@ def class_sums(texts: DataFrame, found: Vocabularies, kinds: list[tuple[int, boo
             })
 
     rows = texts.select("made", F.col("fold").cast("int").alias("fold"), *[F.col(c).cast("long").alias(c) for c in ("n1", "n0", "n")])
-    made = rows.mapInArrow(work, "model int, part string, term string, w1 double, w0 double")
+    made = _few(rows).mapInArrow(work, "model int, part string, term string, w1 double, w0 double")
     return made.groupBy("model", "part", "term").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0"))
 
 
