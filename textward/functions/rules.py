@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,6 +81,92 @@ def alternatives(pattern: str) -> list[str]:
     return parts
 
 
+#: Letters that match another one whatever their case, beyond lower().
+_ALIKE = str.maketrans({"ſ": "s", "ς": "σ"})
+
+
+def folded(text: str) -> str:
+    return text.lower().translate(_ALIKE)
+
+
+def literal(part: str) -> str:
+    """The longest run of plain characters that a match of an alternative must contain; empty if there is none.
+
+    Groups, classes, escapes and dots end a run, and a character that may be absent is not part of one.
+    """
+    best, run, k, depth = "", "", 0, 0
+    while k < len(part):
+        ch, plain = part[k], ""
+        if ch == "\\":
+            if k + 1 < len(part) and not part[k + 1].isalnum():
+                plain = part[k + 1]
+            elif part[k + 1 : k + 2] in ("p", "P", "x", "u") and part[k + 2 : k + 3] == "{":
+                k = part.index("}", k)
+            k += plain == "" and part[k] == "\\"
+            k += plain != ""
+        elif ch == "[":
+            k += 1 + (part[k + 1 : k + 2] == "^")
+            k += part[k : k + 1] == "]"
+            while k < len(part) and part[k] != "]":
+                k += 1 + (part[k] == "\\")
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "{":
+            k = part.index("}", k)
+        elif ch not in ".^$*+?|":
+            plain = ch
+        k += 1
+        follows = part[k : k + 1]
+        if plain and depth == 0 and follows not in ("?", "*", "{"):
+            run += plain
+            best = max(best, run, key=len)
+        if not plain or depth or follows in ("?", "*", "{", "+"):
+            run = ""
+    return folded(best)
+
+
+#: Letters beyond ASCII that match one of ASCII in a case-blind search.
+_FOLDED = {"ı": "i", "İ": "i", "ſ": "s", "\u212a": "k"}
+
+
+def _groups(part: str) -> list[str]:
+    """What stands in the groups (?:...) of an alternative that it can't do without, those inside others left out."""
+    found, start, depth, k = [], 0, 0, 0
+    while k < len(part):
+        ch = part[k]
+        if ch == "\\":
+            k += 1
+        elif ch == "[":
+            k += 1 + (part[k + 1 : k + 2] == "^")
+            k += part[k : k + 1] == "]"
+            while k < len(part) and part[k] != "]":
+                k += 1 + (part[k] == "\\")
+        elif ch == "(":
+            start = k if depth == 0 else start
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0 and part.startswith("(?:", start) and part[k + 1 : k + 2] not in ("?", "*", "{"):
+                found.append(part[start + 3 : k])
+        k += 1
+    return found
+
+
+def needed(pattern: str) -> list[str] | None:
+    """Plain ASCII runs of which each match of a pattern contains one (case aside); None if there are no such."""
+    out = []
+    for part in alternatives(pattern):
+        own = [literal(part)]
+        if not own[0]:
+            own = next((x for x in map(needed, _groups(part)) if x), None)
+        if not own:
+            return None
+        out += own
+    return out if all(x.isascii() for x in out) else None
+
+
 def is_cyrillic(pattern: str) -> bool:
     """Whether every alternative needs a Cyrillic letter, so that texts without one can be passed over."""
     return all(re.search("[а-яё]", part) for part in alternatives(pattern))
@@ -86,7 +174,15 @@ def is_cyrillic(pattern: str) -> bool:
 
 def _search(text: Column, pattern: str, cyrillic: bool) -> Column:
     found = clean(text).rlike("(?iu)" + pattern)
-    return clean(text).rlike("[а-яА-ЯёЁ]") & found if cyrillic else found
+    if cyrillic:
+        return clean(text).rlike("[а-яА-ЯёЁ]") & found
+    runs = needed(pattern)
+    if not runs:
+        return found
+    # looked up before the search, with the letters beyond ASCII that match i, s or k whatever their case
+    likely = [F.lower(clean(text)).contains(run) for run in dict.fromkeys(runs)]
+    likely += [clean(text).contains(ch) for ch, plain in _FOLDED.items() if any(plain in run for run in runs)]
+    return reduce(or_, likely) & found
 
 
 def hits(text: Column, pattern: str) -> Column:
@@ -101,7 +197,9 @@ def categories(text: Column, patterns: dict[str, str]) -> Column:
 
 
 def any_hit(text: Column, patterns: dict[str, str]) -> Column:
-    """Whether some category hits: one pattern, so a text is searched once."""
+    """Whether some category hits: one pattern, so a text is searched once; one by one where plain runs rule out most searches."""
+    if all(map(needed, patterns.values())):
+        return reduce(or_, [hits(text, p) for p in patterns.values()])
     return _search(text, "|".join(f"(?:{p})" for p in patterns.values()), all(map(is_cyrillic, patterns.values())))
 
 

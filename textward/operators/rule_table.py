@@ -15,56 +15,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import alternatives
+from ..functions.rules import alternatives, folded, literal
 from ..functions.text import clean
 
 #: Rules at most: the table goes to every task (some 100 bytes a rule).
 MAX_RULES = 100_000
 _LEAST = 2
-#: Letters that match another one whatever their case, beyond lower().
-_ALIKE = str.maketrans({"ſ": "s", "ς": "σ"})
-
-
-def folded(text: str) -> str:
-    return text.lower().translate(_ALIKE)
-
-
-def literal(part: str) -> str:
-    """The longest run of plain characters that a match of an alternative must contain; empty if there is none.
-
-    Groups, classes, escapes and dots end a run, and a character that may be absent is not part of one.
-    """
-    best, run, k, depth = "", "", 0, 0
-    while k < len(part):
-        ch, plain = part[k], ""
-        if ch == "\\":
-            if k + 1 < len(part) and not part[k + 1].isalnum():
-                plain = part[k + 1]
-            elif part[k + 1 : k + 2] in ("p", "P", "x", "u") and part[k + 2 : k + 3] == "{":
-                k = part.index("}", k)
-            k += plain == "" and part[k] == "\\"
-            k += plain != ""
-        elif ch == "[":
-            k += 1 + (part[k + 1 : k + 2] == "^")
-            k += part[k : k + 1] == "]"
-            while k < len(part) and part[k] != "]":
-                k += 1 + (part[k] == "\\")
-        elif ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        elif ch == "{":
-            k = part.index("}", k)
-        elif ch not in ".^$*+?|":
-            plain = ch
-        k += 1
-        follows = part[k : k + 1]
-        if plain and depth == 0 and follows not in ("?", "*", "{"):
-            run += plain
-            best = max(best, run, key=len)
-        if not plain or depth or follows in ("?", "*", "{", "+"):
-            run = ""
-    return folded(best)
 
 
 def literals(pattern: str) -> list[str] | None:

@@ -31,7 +31,7 @@ def _sql_verdicts(source: str) -> str:
 
 
 def verdicts(spark, d, df, mode="both"):
-    tox, spam = base.fitted(spark, d)
+    tox, spam = base.fitted(spark, d, mode)
     out = cascade.classify(base.spread(df), mode, L, tox_model=tox, spam_model=spam)
     return out.withColumns({c: F.round(c, 6) for c in ("toxicity_score", "spam_score")})
 
