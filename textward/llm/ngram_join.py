@@ -4,9 +4,9 @@ Texts with equal sets are one node. Shingles are ordered from rarest to commones
 shingle among each one's first 15 % in that order (its prefix). Shingles that no other set has come first and can't be
 shared, so a node with too many of them has no partner and goes no further.
 
-1. Postings: shingles meet their like in buckets, packed into byte columns (6 bytes each and a number of the text). Only
-   those found twice return, with their count, to their node. Very common ones are counted before, per task block, and
-   never enter a bucket.
+1. Postings: shingles meet their like in buckets, packed into byte columns (6 bytes each and 2 for the text's number in
+   its block). Only those found twice return, with their count, to their block, which knows its texts' names; only nodes
+   of which enough has returned go on. Very common ones are counted before, per task block, and never enter a bucket.
 2. Groups: nodes of one size and prefix are one group; groups meet in the list of each prefix shingle and size window
    (two of similar size share a window). Lists with the same members are one list.
 3. Representatives: every group of a list is verified against the list's representative, and every member of a group
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,11 @@ from .near_dup import SALTS, components, with_components
 SHINGLE = 4
 SEED = 42
 PERCENT = 85
-#: Shingles of a block, which one task packs at once, and of a bucket, which one task counts at once.
+#: Shingles of a block, of which one task packs two at once, and of a bucket, which one task counts at once.
 BLOCK = 1 << 19
-BUCKET = 1 << 20
+BUCKET = 1 << 21
+#: Added to the counts of common shingles, which are shared by any text's own reckoning.
+ALWAYS = 1 << 31
 #: Common shingles: more than this often, and than one in COMMON_SHARE of all shingles: so at most COMMON_SHARE of them.
 COMMON = 4096
 COMMON_SHARE = 1 << 20
@@ -151,19 +154,27 @@ def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
     return found.column("fp").to_numpy().view(np.uint64), found.column("often").to_numpy()
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The values' lowest bytes, place by place: bytes that agree lie side by side."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T.tobytes()
+
+
+def _values(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    wide[:, 8 - width :] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
 def postings(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
-    """Packed shingles: bucket, tokens (6 bytes each, as byte planes), owners (2 bytes each), fps and sizes of the texts they number.
+    """Packed shingles: bucket, block, tokens (6 bytes each) and owners (2 bytes each: which of the block's texts), as byte planes.
 
-    Common shingles go to bucket -1, which needs no counting.
+    What a shingle takes is the same for any number of buckets: texts are named once a block, by fps and sizes, in its row
+    of bucket -1, where its common shingles are, which need no counting.
     """
 
-    def row(bucket: int, tokens: np.ndarray, owners: np.ndarray, fps: np.ndarray, sizes: np.ndarray) -> tuple:
-        present, owners = np.unique(owners, return_inverse=True)
-        planes = tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T
-        return bucket, planes.tobytes(), owners.astype(np.uint16).tobytes(), fps[present].tobytes(), sizes[present].tobytes()
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, fps, sizes, sets in _blocks(batches, BLOCK, SEEN):
+        block = TaskContext.get().partitionId() << 32
+        for ids, fps, sizes, sets in _blocks(batches, 2 * BLOCK, SEEN):
             if ids is not None:
                 continue
             tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -171,76 +182,77 @@ def postings(docs: DataFrame, bits: int, common: np.ndarray) -> DataFrame:
             if len(common):
                 buckets[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens] = -1
             order = np.argsort(buckets, kind="stable")
-            ends = np.flatnonzero(np.diff(buckets[order], append=-2)) + 1
-            fps, sizes = np.array(fps, dtype=np.uint64), np.array(sizes, dtype=np.int32)
-            rows = [row(int(buckets[order[b - 1]]), tokens[order[a:b]], owners[order[a:b]], fps, sizes) for a, b in zip([0, *ends], ends)]
-            names = ("bucket", "tokens", "owners", "fps", "sizes")
-            yield pa.RecordBatch.from_pydict({name: pa.array(column, pa.int64() if name == "bucket" else pa.binary()) for name, column in zip(names, zip(*rows))})
-
-    return _raw(docs).mapInArrow(work, "bucket long, tokens binary, owners binary, fps binary, sizes binary")
-
+            found = np.unique(np.append(buckets, -1))  # the row of bucket -1 is there without common shingles too
+            ends = np.searchsorted(buckets[order], found, side="right")
+            spans = [order[a:b] for a, b in zip([0, *ends], ends)]
+            names = [np.array(fps, dtype=np.uint64).tobytes()], [np.array(sizes, dtype=np.int32).tobytes()]
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array(found), "block": pa.array(np.full(len(found), block)),
+                "tokens": pa.array([_planes(tokens[x], 6) for x in spans], pa.binary()), "owners": pa.array([_planes(owners[x], 2) for x in spans], pa.binary()),
+            } | {c: pa.array(own + [None] * (len(found) - 1), pa.binary()) for c, own in zip(("fps", "sizes"), names)})
+            block += 1
 
-def _unpacked(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """tokens, their sets' ids and sizes of each row of postings."""
-    for tokens, owners, fps, sizes in zip(*[table.column(c).to_pylist() for c in ("tokens", "owners", "fps", "sizes")]):
-        wide = np.zeros((len(tokens) // 6, 8), dtype=np.uint8)
-        wide[:, 2:] = np.frombuffer(tokens, dtype=np.uint8).reshape(6, -1).T
-        own = np.frombuffer(owners, dtype=np.uint16)
-        yield wide.view(">u8").ravel().astype(np.uint64), np.frombuffer(fps, dtype=np.uint64)[own], np.frombuffer(sizes, dtype=np.int32)[own]
-
-
-def _per_set(tokens: np.ndarray, counts: np.ndarray, fps: np.ndarray, sizes: np.ndarray) -> dict:
-    """Columns fp, n, tokens, counts: a row for each set, its tokens once."""
-    order = np.lexsort((tokens, fps))
-    tokens, counts, fps, sizes = tokens[order], counts[order], fps[order], sizes[order]
-    new = np.ones(len(fps), dtype=bool)
-    new[1:] = (fps[1:] != fps[:-1]) | (tokens[1:] != tokens[:-1])
-    tokens, counts, fps, sizes = tokens[new], counts[new], fps[new], sizes[new]
-    ends = np.flatnonzero(np.append(fps[1:] != fps[:-1], True)) + 1 if len(fps) else np.array([], dtype=np.int64)
-    spans = list(zip([0, *ends], ends))
-    return {
-        "fp": _signed(fps[ends - 1]), "n": pa.array(sizes[ends - 1], pa.int64()),
-        "tokens": pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([counts[a:b].astype(np.int64).tobytes() for a, b in spans], pa.binary()),
-    }
-
-
-_PER_SET = "fp long, n long, tokens binary, counts binary"
+    return _raw(docs).mapInArrow(work, "bucket long, block long, tokens binary, owners binary, fps binary, sizes binary")
 
 
 def _counted(common: np.ndarray, often: np.ndarray):
-    """Of a bucket, the shingles of more than one set with their counts, for each set; common ones have theirs."""
+    """Of a bucket, the shingles that more than one text has posted, with their counts, for each block; common ones have theirs."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        tokens, fps, sizes = map(np.concatenate, zip(*_unpacked(table)))
-        if bucket < 0:
-            found = _per_set(tokens, often[np.searchsorted(common, tokens)], fps, sizes)
+        own = [_values(x, 6) for x in table.column("tokens").to_pylist()]
+        tokens = np.concatenate(own)
+        if key[0].as_py() < 0:
+            counts = ALWAYS + np.minimum(often[np.searchsorted(common, tokens)], ALWAYS - 1)
+            some = np.ones(len(tokens), dtype=bool)
         else:
-            order = np.lexsort((fps, tokens))
-            tokens, fps, sizes = tokens[order], fps[order], sizes[order]
-            new = np.ones(len(fps), dtype=bool)  # copies of a text come from several tasks
-            new[1:] = (fps[1:] != fps[:-1]) | (tokens[1:] != tokens[:-1])
-            tokens, fps, sizes = tokens[new], fps[new], sizes[new]
-            bounds = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])), len(tokens))
-            counts = np.repeat(np.diff(bounds), np.diff(bounds))
+            _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            counts = counts[at]
             some = counts > 1
-            found = _per_set(tokens[some], counts[some], fps[some], sizes[some])
-        return pa.table({"bucket": pa.array(np.full(len(found["fp"]), bucket))} | found)
+        ends = np.cumsum([len(x) for x in own])
+        rows = []
+        for a, b, block, owners, fps, sizes in zip([0, *ends], ends, *[table.column(c).to_pylist() for c in ("block", "owners", "fps", "sizes")]):
+            hit = some[a:b]
+            if fps is not None or hit.any():
+                rows.append((block, _planes(tokens[a:b][hit], 6), _planes(_values(owners, 2)[hit], 2), _planes(counts[a:b][hit], 4), fps, sizes))
+        columns = zip(*rows) if rows else [[]] * 6
+        return pa.table({c: pa.array(x, pa.int64() if c == "block" else pa.binary()) for c, x in zip(("block", "tokens", "owners", "counts", "fps", "sizes"), columns)})
 
     return work
 
 
+def _returned(table: pa.Table) -> pa.Table:
+    """fp, n, tokens, counts of those texts of a block of which so many shingles returned that they may have a partner."""
+    columns = {c: table.column(c).to_pylist() for c in ("tokens", "owners", "counts", "fps", "sizes")}
+    fps = np.frombuffer(next(x for x in columns["fps"] if x is not None), dtype=np.int64)
+    sizes = np.frombuffer(next(x for x in columns["sizes"] if x is not None), dtype=np.int32).astype(np.int64)
+    tokens, owners, counts = [np.concatenate([_values(x, width) for x in columns[c]]) for c, width in (("tokens", 6), ("owners", 2), ("counts", 4))]
+    owners = owners.astype(np.int64)
+    order = np.lexsort((tokens, owners))
+    tokens, counts = tokens[order], counts[order]
+    ends = np.cumsum(np.bincount(owners, minlength=len(fps)))
+    starts = np.append(0, ends[:-1])
+    kept = np.flatnonzero(ends - starts >= need(sizes))
+    return pa.table({
+        "fp": pa.array(fps[kept]), "n": pa.array(sizes[kept]),
+        "tokens": pa.array([_planes(tokens[starts[k] : ends[k]], 6) for k in kept], pa.binary()), "counts": pa.array([_planes(counts[starts[k] : ends[k]], 4) for k in kept], pa.binary()),
+    })
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp, n, prefix (its shared part, rarest first), tokens (all shared, sorted) of the sets that share enough to have a partner."""
+    """fp, n, prefix (its shared part, rarest first), tokens (all shared, sorted) of the sets that share enough to have a partner.
+
+    A set that several blocks hold has posted its shingles so often: others share what is counted more often.
+    """
     for batch in batches:
         found = []
-        for fp, n, parts in zip(*[batch.column(c).to_pylist() for c in ("fp", "n", "parts")]):
-            tokens = np.concatenate([np.frombuffer(p["tokens"], dtype=np.uint64) for p in parts])
-            counts = np.concatenate([np.frombuffer(p["counts"], dtype=np.int64) for p in parts])
+        for fp, n, copies, own, often in zip(*[batch.column(c).to_pylist() for c in ("fp", "n", "copies", "tokens", "counts")]):
+            tokens, counts = _values(own, 6), _values(often, 4)
+            shared = counts > copies
+            tokens, counts = tokens[shared], counts[shared]
             if len(tokens) >= need(n):
                 first = n - need(n) + 1 - (n - len(tokens))
                 rarest = tokens[np.lexsort((tokens, counts))[:first]]
-                found.append((fp, n, rarest.view(np.int64), np.sort(tokens).tobytes()))
+                found.append((fp, n, rarest.view(np.int64), tokens.tobytes()))
         kinds = {"fp": pa.int64(), "n": pa.int64(), "prefix": pa.list_(pa.int64()), "tokens": pa.binary()}
         yield pa.RecordBatch.from_pydict({c: pa.array(x, kinds[c]) for c, x in zip(kinds, zip(*found) if found else [[]] * 4)})
 
@@ -250,12 +262,11 @@ def candidates(docs: DataFrame, rows: DataFrame) -> DataFrame:
     total = rows.where("n > 0").agg(F.sum("n")).first()[0] or 0
     common, often = common_shingles(rows, total)
     bits = max(0, (total // BUCKET).bit_length())
-    # common shingles need no counting: each block of them is a group of its own
-    packed = postings(docs, bits, common).withColumn("part", F.when(F.col("bucket") < 0, F.monotonically_increasing_id()).otherwise(0))
-    found = packed.groupBy("bucket", "part").applyInArrow(_counted(common, often), f"bucket long, {_PER_SET}")
-    # a copied text's common shingles come from every task that has met it
-    found = found.repartition("fp").groupBy("fp", "bucket").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "counts")])
-    whole = found.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "counts")).alias("parts"))
+    # a block's row of common shingles and names needs no counting and is a group of its own
+    packed = postings(docs, bits, common).withColumn("part", F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.lit(0).cast("long")))
+    found = packed.groupBy("bucket", "part").applyInArrow(_counted(common, often), "block long, tokens binary, owners binary, counts binary, fps binary, sizes binary")
+    found = found.groupBy("block").applyInArrow(_returned, "fp long, n long, tokens binary, counts binary")
+    whole = found.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "tokens", "counts")])
     return whole.mapInArrow(_candidates, "fp long, n long, prefix array<long>, tokens binary")
 
 
