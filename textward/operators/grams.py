@@ -145,18 +145,22 @@ def totals(texts: DataFrame, names: list[str], sizes: tuple[int, int], by: Colum
     least, most = sizes
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each group and part: keys, ascending, their totals and dfs, and what came of other keys, which room counts
         letters, held, room = Letters(), {}, 0
 
-        def summed(parts):
-            keys, total, df = map(np.concatenate, zip(*parts))
-            order = np.argsort(keys)
-            keys, total, df = keys[order], total[order], df[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[first], np.add.reduceat(total, first), np.add.reduceat(df, first)
+        def merged():
+            for own in held.values():
+                if own[3]:
+                    keys, total = (np.concatenate([x, *more]) for x, more in zip(own, zip(*own[3])))
+                    df = np.concatenate([own[2], np.ones(len(keys) - len(own[2]), dtype=np.int64)])
+                    order = np.argsort(keys)
+                    keys, total, df = keys[order], total[order], df[order]
+                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    own[:] = keys[first], np.add.reduceat(total, first), np.add.reduceat(df, first), []
 
         def out():
-            for (group, k), parts in held.items():
-                keys, total, df = summed(parts)
+            merged()
+            for (group, k), (keys, total, df, _) in held.items():
                 yield pa.RecordBatch.from_pydict({
                     "by": pa.array(np.full(len(keys), group, dtype=np.int32)), "part": pa.array([names[k]] * len(keys), pa.string()), "term": pa.array(letters.terms(keys), pa.string()),
                     "total": pa.array(total), "df": pa.array(df),
@@ -167,16 +171,22 @@ def totals(texts: DataFrame, names: list[str], sizes: tuple[int, int], by: Colum
             for group, made in zip(batch.column("by").to_pylist(), batch.column("made")):
                 for k, text in enumerate(made.as_py()):
                     keys, tf = letters.packed(text, least, most)
-                    if len(keys):
-                        held.setdefault((group, k), []).append((keys, tf, np.ones(len(keys), dtype=np.int64)))
-                        room += len(keys)
-                if room > 5 * TERMS:
-                    for own, parts in held.items():
-                        held[own] = [summed(parts)]
-                    room = sum(len(parts[0][0]) for parts in held.values())
-                    if room > 2 * TERMS:
+                    if not len(keys):
+                        continue
+                    own = held.setdefault((group, k), [_NONE.astype(np.uint64), _NONE, _NONE, []])
+                    at = np.searchsorted(own[0], keys)
+                    hit = at < len(own[0])
+                    hit[hit] = own[0][at[hit]] == keys[hit]
+                    own[1][at[hit]] += tf[hit]
+                    own[2][at[hit]] += 1
+                    if not hit.all():
+                        own[3].append((keys[~hit], tf[~hit]))
+                        room += len(own[3][-1][0])
+                if room > TERMS // 8 and room > (size := sum(len(own[0]) for own in held.values())):
+                    merged()
+                    room, size = 0, sum(len(own[0]) for own in held.values())
+                    if size > 2 * TERMS:
                         yield from out()
-                        room = 0
                 if letters.full():
                     yield from out()
                     letters, room = Letters(), 0
@@ -338,29 +348,33 @@ def dots(texts: DataFrame, found: Vocabularies, kinds: list[tuple[int, bool, str
     return out.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], "model", "dot")
 
 
-def vectors(texts: DataFrame, found: Vocabularies, sublinear: bool, norm: str, sizes: tuple[int, int], keep: list[str]) -> DataFrame:
-    """keep, own: each text's numbers of terms, ascending, and their weights, of unit length in each part (made)."""
+def vectors(texts: DataFrame, found: Vocabularies, sublinear: bool, norm: str, sizes: tuple[int, int], keep: list[str], more: list[Column] = ()) -> DataFrame:
+    """keep, idx, w: each text's numbers of terms, ascending, and their weights, of unit length in each part (made); the numbers after all terms are those of more."""
     sent = found.sent(texts.sparkSession)
-    least, most = sizes
+    (least, most), extra = sizes, len(more)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         cutters = known.cutters((least, most))
+        last = np.arange(len(known.keys), len(known.keys) + extra)
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
+                tails = np.stack([batch.column(f"more_{i}").to_numpy(zero_copy_only=False) for i in range(extra)], axis=1) if extra else np.zeros((batch.num_rows, 0))
                 ids, ws = [], []
-                for made in batch.column("made"):
+                for made, tail in zip(batch.column("made"), tails):
                     counts = [cutter(text) for cutter, text in zip(cutters, made.as_py())]
                     at = np.concatenate([at for at, _ in counts])
                     w = np.concatenate([_weights(tf, known.idf[0, own], sublinear, norm) for own, tf in counts])
                     order = np.argsort(at)
-                    ids.append(at[order].astype(np.int32))
-                    ws.append(w[order])
+                    ids += [at[order], last]
+                    ws += [w[order], tail]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)[::2]
                 columns = {f"kept_{i}": batch.column(f"kept_{i}") for i in range(len(keep))}
-                yield pa.RecordBatch.from_pydict(columns | {"idx": pa.array(ids, pa.list_(pa.int32())), "w": pa.array(ws, pa.list_(pa.float64()))})
+                flat = {"idx": np.concatenate([_NONE, *ids]).astype(np.int32), "w": np.concatenate([np.zeros(0), *ws])}
+                yield pa.RecordBatch.from_pydict(columns | {c: pa.ListArray.from_arrays(ends, pa.array(x)) for c, x in flat.items()})
 
-    rows = texts.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], "made")
+    rows = texts.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], "made", *[c.cast("double").alias(f"more_{i}") for i, c in enumerate(more)])
     types = dict(rows.dtypes)
     out = rows.mapInArrow(work, "".join(f"kept_{i} {types[f'kept_{i}']}, " for i in range(len(keep))) + "idx array<int>, w array<double>")
     return out.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], "idx", "w")
