@@ -147,7 +147,8 @@ def a12_model_table(spark, d):
     from ..operators import models
 
     model = models.fit(base.spam_labelled(spark, d), "spam")
-    rows = base.spam_labelled(spark, d).select("label", *ft.features(F.col("text"), ft.NAMES))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = models._kept(ft.with_features(base.spam_labelled(spark, d).repartition(n, "doc_id"), "text", ft.NAMES, ["label"]), "features")  # they are read several times
     coefficients = spark.createDataFrame([(name, float(c)) for name, _, _, c in model.extra], "feature string, coefficient double")  # 17 rows
     found = metrics.feature_table(rows, ft.NAMES).join(F.broadcast(coefficients), "feature", "left")
     kept = found.collect()  # a row per feature
