@@ -177,7 +177,7 @@ def a13_term_lift(spark, d):
     """Share of documents of either class that have a term, and their ratio; without any of class 0 it is the largest number."""
     rows = labelled(spark, d)
     own = rows.groupBy("doc_id", "label").agg(F.array_join(F.collect_list("text"), " ").alias("text"))  # rows of one id and label are one document
-    terms = own.select("label", F.explode(F.array_distinct(tx.tokens(F.lower("text")))).alias("term"))
+    terms = own.select("label", F.explode(F.array_distinct(tx.tokens(tx.lower(F.col("text"))))).alias("term"))
     return metrics.term_lift(terms, rows)
 
 
